@@ -142,3 +142,297 @@ SQL["top10_per_customer"] = _with(WINDOWED + ratings_cte() + top_cte()) + """
 SELECT customer_area, customernumber, item AS model_number, CAST(rn AS INTEGER) AS "row",
        interaction
 FROM top"""
+
+
+# ------------------------------------------------------------------ rules
+def keycols(keys: list[str], alias: str = "") -> str:
+    p = f"{alias}." if alias else ""
+    return "".join(f"{p}{k}, " for k in keys)
+
+
+def keyjoin(keys: list[str], a: str, b: str) -> str:
+    return " AND ".join([f"{a}.{k} = {b}.{k}" for k in keys] or ["TRUE"])
+
+
+def baskets_cte(src: str, item_expr: str, keys: list[str], name: str = "bask",
+                extra_where: str = "TRUE") -> str:
+    k = keycols(keys)
+    return f""",
+{name} AS (
+  SELECT {k}customernumber, sales_receipt, list_sort(list(DISTINCT item)) AS items
+  FROM (SELECT {k}customernumber, sales_receipt, {item_expr} AS item FROM {src}
+        WHERE {item_expr} IS NOT NULL AND {extra_where}) z
+  GROUP BY {k}customernumber, sales_receipt
+)"""
+
+
+def itemsets_cte(bask: str, keys: list[str], min_support: float, name: str = "sets") -> str:
+    """Exact frequent itemsets: every subset of every basket, counted."""
+    k = keycols(keys)
+    return f""",
+{name}_n AS (SELECT {k}COUNT(*) AS n_baskets FROM {bask} GROUP BY ALL),
+{name}_sub AS (
+  SELECT {k}list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items
+  FROM (SELECT {k}items, unnest(range(1, (1 << len(items)))) AS m FROM {bask}) z
+),
+{name}_c AS (SELECT {k}items, COUNT(*) AS freq FROM {name}_sub GROUP BY ALL),
+{name} AS (
+  SELECT {keycols(keys, 'c')}c.items, c.freq
+  FROM {name}_c c JOIN {name}_n n ON {keyjoin(keys, 'n', 'c')}
+  WHERE c.freq >= ceil(CAST({min_support} AS DOUBLE) * n.n_baskets)
+)"""
+
+
+def rules_cte(sets: str, keys: list[str], min_conf: float, min_lift: float | None,
+              max_freq: int | None, name: str = "rules") -> str:
+    k = keycols(keys)
+    cap = f"WHERE freq <= {max_freq}" if max_freq is not None else ""
+    lift = f"AND lift >= {min_lift}" if min_lift is not None else ""
+    return f""",
+{name}_s AS (SELECT {k}items[1] AS c, freq AS freq_c FROM {sets} WHERE len(items) = 1),
+{name}_cap AS (SELECT * FROM {sets} {cap}),
+{name}_b AS (SELECT {k}items, freq, unnest(items) AS c FROM {name}_cap WHERE len(items) >= 2),
+{name}_all AS (
+  SELECT {keycols(keys, 'b')}list_filter(b.items, lambda x: x <> b.c) AS antecedent,
+         [b.c] AS consequent,
+         CAST(b.freq AS DOUBLE) / a.freq AS confidence,
+         (CAST(b.freq AS DOUBLE) / a.freq) / (CAST(s.freq_c AS DOUBLE) / n.n_baskets) AS lift,
+         CAST(b.freq AS DOUBLE) / n.n_baskets AS support
+  FROM {name}_b b
+  JOIN {name}_cap a ON {keyjoin(keys, 'a', 'b')} AND a.items = list_filter(b.items, lambda x: x <> b.c)
+  JOIN {name}_s s ON {keyjoin(keys, 's', 'b')} AND s.c = b.c
+  JOIN {sets}_n n ON {keyjoin(keys, 'n', 'b')}
+),
+{name} AS (SELECT * FROM {name}_all WHERE confidence >= {min_conf} {lift})"""
+
+
+NAME_ITEM = "split_part(product_name, ':', 1)"
+POOLED = INVOICE + baskets_cte("invoice", NAME_ITEM, []) + itemsets_cte("bask", [], 0.001)
+
+SQL["baskets"] = _with(WINDOWED + baskets_cte("win", NAME_ITEM, ["customer_area"])) + """
+SELECT customer_area, customernumber, sales_receipt, array_to_string(items, ',') AS items,
+       CAST(len(items) AS INTEGER) AS "count"
+FROM bask"""
+
+SQL["frequent_itemsets"] = _with(POOLED) + """
+SELECT array_to_string(items, ',') AS items, CAST(len(items) AS INTEGER) AS size, freq
+FROM sets"""
+
+_RULE_OUT = """SELECT {k}array_to_string(antecedent, ',') AS antecedent,
+       array_to_string(consequent, ',') AS consequent, round(confidence, 6) AS confidence,
+       round(lift, 6) AS lift, round(support, 6) AS support
+FROM rules"""
+
+SQL["association_rules"] = _with(POOLED + rules_cte("sets", [], 0.05, 1.0, None)) + \
+    _RULE_OUT.format(k="")
+SQL["capped_rules"] = _with(POOLED + rules_cte("sets", [], 0.05, 1.0, 900)) + \
+    _RULE_OUT.format(k="")
+SQL["lift_floor"] = _with(POOLED + rules_cte("sets", [], 0.05, None, None)) + """
+SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent,
+       round(lift, 6) AS lift FROM rules WHERE lift >= 1.0"""
+SQL["freq_cap"] = _with(POOLED) + """
+SELECT array_to_string(items, ',') AS items, freq FROM sets WHERE freq <= 900"""
+
+# Flagship: names as items, trailing window, per-area rules at the fixed thresholds.
+FLAG_BASE = (WINDOWED + ratings_cte("win", NAME_ITEM, "fr") + top_cte("fr", 10, "ftop")
+             + baskets_cte("win", NAME_ITEM, ["customer_area"])
+             + itemsets_cte("bask", ["customer_area"], 0.001)
+             + rules_cte("sets", ["customer_area"], 0.5, 1.0, 2000))
+
+SQL["all_area_rules"] = _with(FLAG_BASE) + _RULE_OUT.format(k="customer_area, ")
+
+MATCH = FLAG_BASE + """,
+na AS (SELECT customer_area, customernumber, COUNT(*) AS n_a FROM ftop GROUP BY ALL),
+ante AS (SELECT DISTINCT customer_area, antecedent, len(antecedent) AS n_b FROM rules),
+ante_items AS (SELECT customer_area, antecedent, n_b, unnest(antecedent) AS item FROM ante),
+cand AS (
+  SELECT t.customer_area, t.customernumber, a.antecedent, a.n_b, COUNT(*) AS n_ab
+  FROM ftop t JOIN ante_items a ON t.customer_area = a.customer_area AND t.item = a.item
+  GROUP BY ALL
+),
+jac AS (
+  SELECT c.*, na.n_a, CAST(c.n_ab AS DOUBLE) / (na.n_a + c.n_b - c.n_ab) AS jaccard
+  FROM cand c JOIN na ON c.customer_area = na.customer_area AND c.customernumber = na.customernumber
+),
+best_ante AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY customer_area, antecedent
+      ORDER BY confidence DESC, lift DESC, array_to_string(consequent, ',')) AS r
+    FROM rules) z WHERE r = 1
+),
+best AS (
+  SELECT * FROM (
+    SELECT j.customer_area, j.customernumber, j.antecedent, j.jaccard, j.n_ab, j.n_b,
+           b.consequent, b.confidence, b.lift,
+           row_number() OVER (PARTITION BY j.customer_area, j.customernumber
+             ORDER BY j.jaccard DESC, b.confidence DESC, b.lift DESC,
+                      array_to_string(j.antecedent, ','), array_to_string(b.consequent, ',')) AS r
+    FROM jac j JOIN best_ante b ON j.customer_area = b.customer_area AND j.antecedent = b.antecedent
+    WHERE j.jaccard > 0) z WHERE r = 1
+),
+actual AS (
+  SELECT customer_area, customernumber, string_agg(item, ',' ORDER BY rn) AS actual_products,
+         list(item ORDER BY rn) AS actual_list
+  FROM ftop GROUP BY ALL
+)"""
+
+SQL["jaccard_join"] = _with(MATCH) + """
+SELECT customer_area, customernumber, array_to_string(antecedent, ',') AS antecedent,
+       n_ab, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS INTEGER) AS n_b, round(jaccard, 6) AS jaccard
+FROM jac"""
+
+SQL["best_rule"] = _with(MATCH) + """
+SELECT customer_area, customernumber, array_to_string(antecedent, ',') AS antecedent,
+       array_to_string(consequent, ',') AS consequent, round(jaccard, 6) AS jaccard,
+       round(confidence, 6) AS confidence, round(lift, 6) AS lift
+FROM best"""
+
+SQL["bundle_by_rule"] = _with(MATCH) + """
+SELECT a.customer_area, a.customernumber, a.actual_products,
+       array_to_string(b.antecedent, ',') AS highest_similarity,
+       array_to_string(b.consequent, ',') AS consequent, round(b.confidence, 6) AS confidence,
+       round(b.lift, 6) AS lift, round(b.jaccard, 6) AS jaccard,
+       array_to_string(list_concat(b.antecedent, b.consequent), ',') AS rules
+FROM actual a JOIN best b ON a.customer_area = b.customer_area AND a.customernumber = b.customernumber"""
+
+SQL["match_split"] = _with(MATCH) + """
+SELECT a.customer_area, a.customernumber, (b.customernumber IS NOT NULL) AS matched
+FROM actual a LEFT JOIN best b
+  ON a.customer_area = b.customer_area AND a.customernumber = b.customernumber"""
+
+
+# ------------------------------------------------------------------ similarity
+# Second configuration: part keys as items over the whole history.
+SIM_BASE = (INVOICE + ratings_cte("invoice", "model_number", "sr") + top_cte("sr", 10, "stop")
+            + baskets_cte("invoice", "model_number", ["customer_area"], "sbask")
+            + itemsets_cte("sbask", ["customer_area"], 0.001, "ssets")
+            + rules_cte("ssets", ["customer_area"], 0.5, 1.0, 2000, "srules") + """,
+bought AS (SELECT customer_area, customernumber, item FROM sr WHERE interaction > 0),
+n_items AS (SELECT customer_area, item, COUNT(*) AS n FROM bought GROUP BY ALL),
+co AS (
+  SELECT x.customer_area, x.item AS a, y.item AS b, COUNT(*) AS co
+  FROM bought x JOIN bought y ON x.customer_area = y.customer_area
+   AND x.customernumber = y.customernumber AND x.item < y.item
+  GROUP BY ALL
+),
+sim AS (
+  SELECT co.customer_area, co.a, co.b, co.co,
+         co.co / sqrt(CAST(na.n * nb.n AS DOUBLE)) AS sim
+  FROM co JOIN n_items na ON co.customer_area = na.customer_area AND co.a = na.item
+          JOIN n_items nb ON co.customer_area = nb.customer_area AND co.b = nb.item
+),
+sims AS (
+  SELECT customer_area, a AS item, b AS other, co, sim FROM sim
+  UNION ALL SELECT customer_area, b AS item, a AS other, co, sim FROM sim
+),
+top2 AS (
+  SELECT *, round(sim, 3) AS sim_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY customer_area, item ORDER BY sim DESC, other) AS rank
+    FROM sims) z WHERE rank <= 2
+),
+s_na AS (SELECT customer_area, customernumber, COUNT(*) AS n_a FROM stop GROUP BY ALL),
+s_ante AS (SELECT DISTINCT customer_area, antecedent, len(antecedent) AS n_b FROM srules),
+s_cand AS (
+  SELECT t.customer_area, t.customernumber, a.antecedent, COUNT(*) AS n_ab, a.n_b
+  FROM stop t JOIN (SELECT customer_area, antecedent, n_b, unnest(antecedent) AS item FROM s_ante) a
+    ON t.customer_area = a.customer_area AND t.item = a.item
+  GROUP BY ALL
+),
+s_best_ante AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_area, antecedent
+      ORDER BY confidence DESC, lift DESC, array_to_string(consequent, ',')) AS r FROM srules) z
+  WHERE r = 1
+),
+s_best AS (
+  SELECT * FROM (
+    SELECT c.customer_area, c.customernumber, c.antecedent, b.consequent, b.confidence, b.lift,
+      CAST(c.n_ab AS DOUBLE) / (na.n_a + c.n_b - c.n_ab) AS jaccard,
+      row_number() OVER (PARTITION BY c.customer_area, c.customernumber
+        ORDER BY CAST(c.n_ab AS DOUBLE) / (na.n_a + c.n_b - c.n_ab) DESC, b.confidence DESC,
+                 b.lift DESC, array_to_string(c.antecedent, ','),
+                 array_to_string(b.consequent, ',')) AS r
+    FROM s_cand c JOIN s_na na ON c.customer_area = na.customer_area
+                              AND c.customernumber = na.customernumber
+    JOIN s_best_ante b ON c.customer_area = b.customer_area AND c.antecedent = b.antecedent) z
+  WHERE r = 1
+),
+s_actual AS (
+  SELECT customer_area, customernumber, list(item ORDER BY rn) AS actual_list
+  FROM stop GROUP BY ALL
+),
+unmatched AS (
+  SELECT a.* FROM s_actual a WHERE NOT EXISTS (
+    SELECT 1 FROM s_best b WHERE b.customer_area = a.customer_area
+                             AND b.customernumber = a.customernumber)
+),
+heads AS (
+  SELECT customer_area, customernumber, unnest(actual_list[1:2]) AS item FROM unmatched
+),
+nbj AS (
+  SELECT h.customer_area, h.customernumber, h.item, t.other, t.rank, t.sim_score
+  FROM heads h JOIN top2 t ON h.customer_area = t.customer_area AND h.item = t.item
+),
+plist AS (SELECT DISTINCT model_number, split_part(product_name, ':', 1) AS product_name
+          FROM invoice),
+named AS (
+  SELECT j.*, ps.product_name AS similar_product_name, pa.product_name AS actual_product_name
+  FROM nbj j JOIN plist ps ON ps.model_number = j.other JOIN plist pa ON pa.model_number = j.item
+),
+grp AS (
+  SELECT customer_area, customernumber, item,
+         list(other ORDER BY rank, other) AS sims_list,
+         list(sim_score ORDER BY rank, other) AS score_list,
+         list_sort(list(DISTINCT actual_product_name)) AS actual_names,
+         list_sort(list(DISTINCT similar_product_name)) AS similar_names
+  FROM named GROUP BY ALL
+),
+fallback AS (
+  SELECT customer_area, customernumber, [item] AS actual_products, sims_list AS most_similar_items,
+         score_list AS sim_score,
+         list_filter(list_concat([item], sims_list),
+                     lambda x, i: list_position(list_concat([item], sims_list), x) = i) AS recommend,
+         list_filter(list_concat(actual_names, similar_names),
+                     lambda x, i: list_position(list_concat(actual_names, similar_names), x) = i)
+           AS recommend_name
+  FROM grp
+)""")
+
+SQL["cooccurrence_join"] = _with(SIM_BASE) + "\nSELECT customer_area, a, b, co FROM co"
+SQL["item_cosine"] = _with(SIM_BASE) + """
+SELECT customer_area, item, other, co, round(sim, 6) AS sim FROM sims"""
+SQL["top2_similar"] = _with(SIM_BASE) + """
+SELECT customer_area, item, other, CAST(rank AS INTEGER) AS rank, sim_score FROM top2"""
+SQL["first_n_items"] = _with(SIM_BASE) + """
+SELECT customer_area, customernumber, array_to_string(actual_list[1:2], ',') AS head_items
+FROM unmatched"""
+SQL["neighbour_join"] = _with(SIM_BASE) + """
+SELECT customer_area, customernumber, item, other, CAST(rank AS INTEGER) AS rank, sim_score
+FROM nbj"""
+SQL["name_lookup"] = _with(SIM_BASE) + """
+SELECT customer_area, customernumber, item, other, actual_product_name, similar_product_name
+FROM named"""
+SQL["set_string_agg"] = _with(SIM_BASE) + """
+SELECT customer_area, customernumber, item, array_to_string(sims_list, ',') AS most_similar_items,
+       array_to_string(score_list, ',') AS sim_score
+FROM grp"""
+_FALLBACK_OUT = """
+SELECT customer_area, customernumber, array_to_string(actual_products, ',') AS actual_products,
+       array_to_string(most_similar_items, ',') AS most_similar_items,
+       array_to_string(sim_score, ',') AS sim_score, array_to_string(recommend, ',') AS recommend,
+       array_to_string(recommend_name, ',') AS recommend_name,
+       CAST(len(recommend) AS INTEGER) AS rules_count
+FROM fallback"""
+SQL["item_fallback"] = _with(SIM_BASE) + _FALLBACK_OUT
+SQL["score_left_join"] = _with(SIM_BASE) + _FALLBACK_OUT
+SQL["bundle_pipeline"] = _with(SIM_BASE) + """
+SELECT customer_area, customernumber, array_to_string(actual_products, ',') AS actual_products,
+       array_to_string(most_similar_items, ',') AS most_similar_items,
+       array_to_string(recommend, ',') AS recommend, array_to_string(sim_score, ',') AS sim_score,
+       'similarity' AS method
+FROM fallback
+UNION ALL
+SELECT customer_area, customernumber, array_to_string(antecedent, ',') AS actual_products,
+       array_to_string(consequent, ',') AS most_similar_items,
+       array_to_string(list_concat(antecedent, consequent), ',') AS recommend,
+       CAST(round(confidence, 6) AS VARCHAR) AS sim_score, 'rule' AS method
+FROM s_best"""

@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise import config as C
-from cartwise.operators.windows import top_items
+from cartwise.config import BundleConfig
+from cartwise.functions.text import name_prefix
+from cartwise.operators import rules as R
+from cartwise.operators.windows import baskets, top_items
+from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
 from cartwise.sources import testdata as TD
 
@@ -70,4 +74,218 @@ def q_customer_ratings(spark, root):
 def q_top10(spark, root):
     return top10(spark, root).select("customer_area", "customernumber", "model_number",
                                      "row", "interaction")
-FLAGSHIP = "top10_per_customer"
+
+
+def arr(col: str) -> F.Column:
+    """Arrays leave as comma-joined text (order kept)."""
+    return F.concat_ws(",", F.col(col)).alias(col)
+
+
+FLAG_CFG = BundleConfig(as_of=TD.AS_OF, item_col="product_name")
+
+
+def pooled_baskets(spark, root):
+    inv = invoices(spark, root).withColumn("item", name_prefix("product_name"))
+    return baskets(inv, ("customernumber", "sales_receipt"), "item").withColumnRenamed(
+        "item", "items")
+
+
+def pooled_rules(spark, root, min_conf=0.05, min_lift=1.0, max_freq=None):
+    return R.association_rules(pooled_baskets(spark, root), "items", 0.001, min_conf,
+                               min_lift, max_freq)
+
+
+def rule_out(df, keys=()):
+    return df.select(*keys, arr("antecedent"), arr("consequent"), r6("confidence"), r6("lift"),
+                     r6("support"))
+
+
+_PARTS: dict = {}
+
+
+def parts(spark, root) -> B.BundleParts:
+    """Flagship intermediate frames (lazy; rebuilt per call so plans stay fresh)."""
+    return B.bundle_parts(invoices(spark, root), FLAG_CFG)
+
+
+# ---------------------------------------------------------------- rules
+@register("baskets")
+def q_baskets(spark, root):
+    return parts(spark, root).baskets.select("customer_area", "customernumber", "sales_receipt",
+                                             arr("items"), "count")
+
+
+@register("frequent_itemsets")
+def q_frequent_itemsets(spark, root):
+    sets = R.frequent_itemsets(pooled_baskets(spark, root), 0.001, "items")
+    return sets.select(arr("items"), F.size("items").alias("size"), "freq")
+
+
+@register("association_rules")
+def q_association_rules(spark, root):
+    return rule_out(pooled_rules(spark, root))
+
+
+@register("capped_rules")
+def q_capped_rules(spark, root):
+    return rule_out(pooled_rules(spark, root, max_freq=900))
+
+
+@register("lift_floor")
+def q_lift_floor(spark, root):
+    from cartwise.operators.filters import min_lift
+    r = min_lift(pooled_rules(spark, root, min_lift=None), 1.0)
+    return r.select(arr("antecedent"), arr("consequent"), r6("lift"))
+
+
+@register("freq_cap")
+def q_freq_cap(spark, root):
+    from cartwise.operators.filters import cap_frequency
+    sets = cap_frequency(R.frequent_itemsets(pooled_baskets(spark, root), 0.001, "items"), 900)
+    return sets.select(arr("items"), "freq")
+
+
+@register("all_area_rules")
+def q_all_area_rules(spark, root):
+    return rule_out(parts(spark, root).rules, ["customer_area"])
+
+
+@register("jaccard_join")
+def q_jaccard_join(spark, root):
+    p = parts(spark, root)
+    c = R.jaccard_candidates(p.top, p.rules, ["customer_area"], "customernumber", "item")
+    return c.select("customer_area", "customernumber", arr("antecedent"), "n_ab", "n_a", "n_b",
+                    r6("jaccard"))
+
+
+@register("best_rule")
+def q_best_rule(spark, root):
+    p = parts(spark, root)
+    c = R.jaccard_candidates(p.top, p.rules, ["customer_area"], "customernumber", "item")
+    b = R.best_rule(c, p.rules, ["customer_area"], "customernumber")
+    return b.select("customer_area", "customernumber", arr("antecedent"), arr("consequent"),
+                    r6("jaccard"), r6("confidence"), r6("lift"))
+
+
+@register("bundle_by_rule")
+def q_bundle_by_rule(spark, root):
+    m = parts(spark, root).matched
+    return m.select("customer_area", "customernumber", arr("actual_products"),
+                    arr("highest_similarity"), arr("consequent"), r6("confidence"), r6("lift"),
+                    r6("jaccard"), arr("rules"))
+
+
+@register("match_split")
+def q_match_split(spark, root):
+    p = parts(spark, root)
+    m = p.matched.select("customer_area", "customernumber", F.lit(True).alias("matched"))
+    return (p.actual.join(m, ["customer_area", "customernumber"], "left")
+            .select("customer_area", "customernumber",
+                    F.coalesce("matched", F.lit(False)).alias("matched")))
+
+
+
+
+# ---------------------------------------------------------------- similarity
+SIM_CFG = BundleConfig(as_of=None, item_col="model_number")
+
+
+def sim_parts(spark, root, with_names: bool = True) -> B.BundleParts:
+    inv = invoices(spark, root)
+    prods = D.product_list(inv) if with_names else None
+    return B.bundle_parts(inv, SIM_CFG, prods)
+
+
+def sim_bought(spark, root):
+    from cartwise.operators import similarity as S
+    r = D.customer_ratings(invoices(spark, root), item="model_number")
+    return S.purchases(r, ["customer_area"], "customernumber", "model_number")
+
+
+@register("cooccurrence_join")
+def q_cooccurrence(spark, root):
+    from cartwise.operators import similarity as S
+    return S.co_purchase(sim_bought(spark, root), ["customer_area"])
+
+
+@register("item_cosine")
+def q_item_cosine(spark, root):
+    from cartwise.operators import similarity as S
+    s = S.item_cosine(sim_bought(spark, root), ["customer_area"])
+    return s.select("customer_area", "item", "other", "co", r6("sim"))
+
+
+@register("top2_similar")
+def q_top2(spark, root):
+    return sim_parts(spark, root, False).neighbours.select(
+        "customer_area", "item", "other", "rank", "sim_score")
+
+
+@register("first_n_items")
+def q_first_n(spark, root):
+    from cartwise.operators.windows import head_items
+    u = sim_parts(spark, root, False).unmatched
+    return u.select("customer_area", "customernumber",
+                    F.concat_ws(",", head_items("actual_products", C.FALLBACK_ITEMS_PER_CUSTOMER))
+                    .alias("head_items"))
+
+
+@register("neighbour_join")
+def q_neighbour_join(spark, root):
+    from cartwise.operators import similarity as S
+    p = sim_parts(spark, root, False)
+    return S.head_neighbours(p.unmatched, p.neighbours).select(
+        "customer_area", "customernumber", "item", "other", "rank", "sim_score")
+
+
+@register("name_lookup")
+def q_name_lookup(spark, root):
+    from cartwise.operators import similarity as S
+    inv = invoices(spark, root)
+    p = B.bundle_parts(inv, SIM_CFG)
+    rows = S.attach_names(S.head_neighbours(p.unmatched, p.neighbours), D.product_list(inv))
+    return rows.select("customer_area", "customernumber", "item", "other",
+                       "actual_product_name", "similar_product_name")
+
+
+@register("set_string_agg")
+def q_set_string_agg(spark, root):
+    from cartwise.operators import similarity as S
+    p = sim_parts(spark, root, False)
+    rows = S.head_neighbours(p.unmatched, p.neighbours)
+    reco = S.collect_recommendations(rows)
+    sc = S.score_lists(rows)
+    return (reco.join(sc, ["customer_area", "customernumber", "item"])
+            .select("customer_area", "customernumber", "item", arr("most_similar_items"),
+                    arr("sim_score")))
+
+
+def fallback_out(df):
+    return df.select("customer_area", "customernumber", arr("actual_products"),
+                     arr("most_similar_items"), arr("sim_score"), arr("recommend"),
+                     arr("recommend_name"), "rules_count")
+
+
+@register("item_fallback")
+def q_item_fallback(spark, root):
+    return fallback_out(sim_parts(spark, root).fallback)
+
+
+@register("score_left_join")
+def q_score_left_join(spark, root):
+    return fallback_out(sim_parts(spark, root).fallback)
+
+
+def bundles_out(df):
+    return df.select("customer_area", "customernumber", arr("actual_products"),
+                     arr("most_similar_items"), arr("recommend"),
+                     F.concat_ws(",", F.transform("sim_score", lambda x: F.round(x, 6)))
+                     .alias("sim_score"), "method")
+
+
+@register("bundle_pipeline")
+def q_bundle_pipeline(spark, root):
+    return bundles_out(B.union_bundles(sim_parts(spark, root, False)))
+
+
+FLAGSHIP = "bundle_pipeline"
