@@ -32,41 +32,53 @@ def purchases(ratings: DataFrame, keys: Sequence[str] = ("customer_area",),
 
 
 def co_purchase(bought: DataFrame, keys: Sequence[str] = ("customer_area",),
-                cust: str = "customernumber", chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Number of shared customers for every item pair a < b (keys, a, b, co)."""
+                cust: str = "customernumber", chunk: int = DEFAULT_CHUNK,
+                with_counts: bool = False) -> DataFrame:
+    """Number of shared customers for every item pair a < b (keys, a, b, co).
+
+    With ``with_counts`` the buyer counts n_a, n_b ride along: they are
+    attached to the (customer, item) rows before the self join and kept in the
+    pair aggregation key (they are functions of the item), so the large pair
+    table is never joined again."""
     keys = list(keys)
     k = bought.groupBy(*keys, cust).agg(F.count("*").alias("_k"))
-    b = (bought.join(k, [*keys, cust])
-         .withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(chunk))).cast("int"))
+    b = bought.join(k, [*keys, cust])
+    if with_counts:
+        n = bought.groupBy(*keys, "item").agg(F.count("*").alias("_n"))
+        b = b.join(n, [*keys, "item"])
+    else:
+        b = b.withColumn("_n", F.lit(0).cast("bigint"))
+    b = (b.withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(chunk))).cast("int"))
          .withColumn("_c", F.pmod(F.xxhash64("item"), F.col("_m")).cast("int")))
     # Left rows of chunk ca go to groups (ca, cb >= ca); right rows of chunk cb
     # go to groups (ca <= cb, cb).  Each unordered pair meets in exactly one group.
     left = b.select(*keys, cust, F.col("_c").alias("ca"),
                     F.explode(F.sequence(F.col("_c"), F.col("_m") - 1)).alias("cb"),
-                    F.col("item").alias("i"))
+                    F.col("item").alias("i"), F.col("_n").alias("n_i"))
     right = b.select(*keys, cust, F.col("_c").alias("cb"),
                      F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("ca"),
-                     F.col("item").alias("j"))
+                     F.col("item").alias("j"), F.col("_n").alias("n_j"))
+    first = F.col("i") < F.col("j")
     pairs = (left.join(right, [*keys, cust, "ca", "cb"])
-             .where((F.col("ca") < F.col("cb")) | (F.col("i") < F.col("j")))
-             .where(F.col("i") != F.col("j"))
-             .select(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
-    return pairs.groupBy(*keys, "a", "b").agg(F.count("*").alias("co"))
+             .where((F.col("ca") < F.col("cb")) | first)
+             .select(*keys,
+                     F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"),
+                     F.when(first, F.col("j")).otherwise(F.col("i")).alias("b"),
+                     F.when(first, F.col("n_i")).otherwise(F.col("n_j")).alias("n_a"),
+                     F.when(first, F.col("n_j")).otherwise(F.col("n_i")).alias("n_b")))
+    co = pairs.groupBy(*keys, "a", "b", "n_a", "n_b").agg(F.count("*").alias("co"))
+    return co if with_counts else co.drop("n_a", "n_b")
 
 
 def item_cosine(bought: DataFrame, keys: Sequence[str] = ("customer_area",),
                 cust: str = "customernumber", chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Cosine of binary item columns, co / sqrt(n_a * n_b), for pairs with
-    at least one shared customer, both directions (keys, item, other, sim)."""
+    at least one shared customer, both directions (keys, item, other, co, sim)."""
     keys = list(keys)
-    n = bought.groupBy(*keys, "item").agg(F.count("*").alias("n"))
-    co = co_purchase(bought, keys, cust, chunk)
-    na = n.select(*keys, F.col("item").alias("a"), F.col("n").alias("n_a"))
-    nb = n.select(*keys, F.col("item").alias("b"), F.col("n").alias("n_b"))
-    sim = (co.join(na, [*keys, "a"]).join(nb, [*keys, "b"])
-           .select(*keys, "a", "b", "co",
-                   (F.col("co") / F.sqrt((F.col("n_a") * F.col("n_b")).cast("double"))
-                    ).alias("sim")))
+    co = co_purchase(bought, keys, cust, chunk, with_counts=True)
+    sim = co.select(*keys, "a", "b", "co",
+                    (F.col("co") / F.sqrt((F.col("n_a") * F.col("n_b")).cast("double"))
+                     ).alias("sim"))
     return (sim.select(*keys, F.col("a").alias("item"), F.col("b").alias("other"), "co", "sim")
             .unionByName(sim.select(*keys, F.col("b").alias("item"), F.col("a").alias("other"),
                                     "co", "sim")))

@@ -3,7 +3,7 @@ neighbour bundles for the rest, all areas in one plan (U1)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,20 +19,8 @@ from cartwise.plans import dataset as D
 AREA, CUST = "customer_area", "customernumber"
 
 
-@dataclass
-class BundleParts:
-    ratings: DataFrame
-    top: DataFrame       # one row per (area, customer, item) of the top items
-    actual: DataFrame    # one row per (area, customer) with the rank-ordered list
-    baskets: DataFrame
-    rules: DataFrame
-    matched: DataFrame
-    unmatched: DataFrame
-    neighbours: DataFrame
-    fallback: DataFrame
-
-
 def prepare(invoices: DataFrame, cfg: BundleConfig) -> DataFrame:
+    """F10 window (when ``as_of`` is set) and X1 name cleaning for name items."""
     inv = invoices
     if cfg.as_of:
         inv = D.invoice_window(inv, cfg.as_of, cfg.trailing_months)
@@ -41,26 +29,67 @@ def prepare(invoices: DataFrame, cfg: BundleConfig) -> DataFrame:
     return inv
 
 
+class BundleParts:
+    """Intermediate frames of one bundle run.  Each is built on first access,
+    so asking for the neighbours alone never runs FP-growth."""
+
+    def __init__(self, invoices: DataFrame, cfg: BundleConfig,
+                 products: DataFrame | None = None):
+        self.cfg, self.products = cfg, products
+        self.inv = prepare(invoices, cfg)
+        self.item = cfg.item_col
+
+    @cached_property
+    def ratings(self) -> DataFrame:
+        return D.customer_ratings(self.inv, item=self.item, cap=self.cfg.rating_cap)
+
+    @cached_property
+    def top(self) -> DataFrame:
+        """One row per (area, customer, item) of each customer's top items."""
+        t = top_items(self.ratings, self.cfg.top_items, [AREA, CUST], "interaction", self.item)
+        return FL.dropna_any(t.select(AREA, CUST, F.col(self.item).alias("item"), "row",
+                                      "interaction"))
+
+    @cached_property
+    def actual(self) -> DataFrame:
+        """One row per (area, customer) with the rank-ordered item list."""
+        return ranked_list(self.top, [AREA, CUST], "item", "row", "actual_products")
+
+    @cached_property
+    def baskets(self) -> DataFrame:
+        src = FL.exclude_families(self.inv, self.cfg.excluded_families)
+        return (baskets(src, (AREA, CUST, "sales_receipt"), self.item)
+                .withColumnRenamed(self.item, "items"))
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        c = self.cfg
+        return R.area_rules(self.baskets, "items", AREA, c.min_support, c.min_confidence,
+                            c.min_lift, c.max_itemset_freq)
+
+    @cached_property
+    def matched(self) -> DataFrame:
+        return R.match_rules(self.top, self.actual, self.rules, [AREA], CUST, "item")
+
+    @cached_property
+    def unmatched(self) -> DataFrame:
+        return self.actual.join(self.matched.select(AREA, CUST), [AREA, CUST], "left_anti")
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        bought = S.purchases(self.ratings, [AREA], CUST, self.item,
+                             use_raw=self.cfg.use_raw_purchases)
+        return S.top_similar(S.item_cosine(bought, [AREA], CUST), self.cfg.neighbours, [AREA])
+
+    @cached_property
+    def fallback(self) -> DataFrame:
+        return S.fallback_bundles(self.unmatched, self.neighbours, self.products, [AREA], CUST,
+                                  self.cfg.fallback_items)
+
+
 def bundle_parts(invoices: DataFrame, cfg: BundleConfig,
                  products: DataFrame | None = None) -> BundleParts:
-    item = cfg.item_col
-    inv = prepare(invoices, cfg)
-    ratings = D.customer_ratings(inv, item=item, cap=cfg.rating_cap)
-    top = FL.dropna_any(top_items(ratings, cfg.top_items, [AREA, CUST], "interaction", item)
-                        .select(AREA, CUST, F.col(item).alias("item"), "row", "interaction"))
-    actual = ranked_list(top, [AREA, CUST], "item", "row", "actual_products")
-    bask_src = FL.exclude_families(inv, cfg.excluded_families)
-    bask = baskets(bask_src, (AREA, CUST, "sales_receipt"), item).withColumnRenamed(item, "items")
-    rules = R.area_rules(bask, "items", AREA, cfg.min_support, cfg.min_confidence,
-                         cfg.min_lift, cfg.max_itemset_freq)
-    matched = R.match_rules(top, actual, rules, [AREA], CUST, "item")
-    unmatched = actual.join(matched.select(AREA, CUST), [AREA, CUST], "left_anti")
-    bought = S.purchases(ratings, [AREA], CUST, item, use_raw=cfg.use_raw_purchases)
-    neighbours = S.top_similar(S.item_cosine(bought, [AREA], CUST), cfg.neighbours, [AREA])
-    fallback = S.fallback_bundles(unmatched, neighbours, products, [AREA], CUST,
-                                  cfg.fallback_items)
-    return BundleParts(ratings, top, actual, bask, rules, matched, unmatched, neighbours,
-                       fallback)
+    return BundleParts(invoices, cfg, products)
 
 
 def union_bundles(parts: BundleParts) -> DataFrame:
