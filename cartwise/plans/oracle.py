@@ -436,3 +436,270 @@ SELECT customer_area, customernumber, array_to_string(antecedent, ',') AS actual
        array_to_string(list_concat(antecedent, consequent), ',') AS recommend,
        CAST(round(confidence, 6) AS VARCHAR) AS sim_score, 'rule' AS method
 FROM s_best"""
+
+
+# ------------------------------------------------------------------ smaller operators
+def sround(expr: str, n: int) -> str:
+    """HALF_UP rounding of the shortest decimal text of a double (Spark's rule)."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 12)), {n}) AS DOUBLE)"
+
+
+CA_LIST = "customer_area, customernumber"
+
+SQL["scan_parquet"] = "SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice FROM lineitem"
+SQL["semantic_scan"] = """SELECT c_custkey AS customer, c_name AS custcontact,
+  c_mktsegment AS customerindustry, c_acctbal AS balance FROM customer"""
+SQL["company_scan"] = "SELECT * FROM customer WHERE c_nationkey = 7"
+SQL["csv_scan"] = "SELECT p_partkey, p_name, p_retailprice FROM part"
+SQL["parquet_sink"] = SQL["customer_ratings"]
+SQL["area_sink"] = SQL["top10_per_customer"]
+SQL["area_result_read"] = f"SELECT * FROM ({SQL['top10_per_customer']}) z WHERE customer_area = 'Metal'"
+
+ORDERS_M = """WITH m AS (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y%m') AS calendar_yearmonth
+  FROM orders)"""
+SQL["latest_month"] = ORDERS_M + """
+SELECT * FROM m WHERE calendar_yearmonth = (SELECT max(calendar_yearmonth) FROM m WHERE o_orderstatus = 'O')"""
+SQL["global_max"] = ORDERS_M + """
+SELECT max(calendar_yearmonth) AS last_month FROM m WHERE o_orderstatus = 'O'"""
+SQL["active_customers"] = _with(CUST) + """
+SELECT customer, sales_region, customerdivision AS sales_sector_of_customer, region FROM cust"""
+SQL["code_range"] = """SELECT CAST(c.c_custkey AS VARCHAR) AS customer,
+  lpad(CAST(n.n_regionkey + 11 AS VARCHAR), 12, '0') AS sales_region
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+WHERE lpad(CAST(n.n_regionkey + 11 AS VARCHAR), 12, '0') BETWEEN '000000000012' AND '000000000014'"""
+SQL["not_blank"] = """SELECT * FROM (SELECT p_partkey, CASE WHEN p_size > 45 THEN ' ' ELSE p_type END AS label
+  FROM part) z WHERE trim(label) <> ''"""
+SQL["active_products"] = f"""SELECT CAST(p_partkey AS VARCHAR) AS s_p_product_number,
+  p_type || '/' || p_brand || '/' || {SIZE_BAND} AS n_product_family_nr, p_name AS product_name
+FROM part p"""
+SQL["drop_null_keys"] = """SELECT c.c_custkey, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"""
+SQL["not_null"] = SQL["drop_null_keys"]
+SQL["dropna_any"] = """SELECT c.c_custkey, o.o_orderkey, strftime(o.o_orderdate, '%Y-%m-%d') AS o_orderdate
+FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"""
+SQL["drop_negative"] = """SELECT l_orderkey, l_linenumber, round(l_extendedprice - 50000, 6) AS margin
+FROM lineitem WHERE l_extendedprice - 50000 >= 0"""
+_LINES = "SELECT customernumber, sales_receipt, model_number, strftime(calendar_day, '%Y-%m-%d') AS calendar_day"
+SQL["trailing_12m"] = _with(WINDOWED) + f"\n{_LINES} FROM win"
+SQL["fixed_range"] = _with(INVOICE) + f"""
+{_LINES} FROM invoice WHERE calendar_day BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'"""
+SQL["area_filter"] = _with(INVOICE) + f"\n{_LINES} FROM invoice WHERE customer_area = 'Metal'"
+SQL["family_exclude"] = _with(INVOICE) + """
+SELECT customer_area, customernumber, sales_receipt, model_number, product_family FROM invoice
+WHERE NOT coalesce(customer_area = 'Metal' AND (product_family IS NULL
+  OR product_family IN ('LARGE/Brand#4/L', 'STANDARD/Brand#16/L')), FALSE)"""
+SQL["positive_only"] = _with(INVOICE) + """
+SELECT customer_area, customernumber, model_number, SUM(soldnumber) AS product_orders
+FROM invoice GROUP BY ALL HAVING SUM(soldnumber) > 0"""
+LOYAL = INVOICE + """,
+loyal AS (SELECT customernumber FROM invoice GROUP BY customernumber
+  HAVING COUNT(DISTINCT CAST(sales_year AS VARCHAR) || '-' || CAST(sales_month AS VARCHAR)) > 5),
+diverse AS (SELECT customernumber FROM invoice WHERE customernumber IN (SELECT customernumber FROM loyal)
+  GROUP BY customernumber HAVING COUNT(DISTINCT model_number) > 5)"""
+SQL["loyal_customers"] = _with(LOYAL) + "\nSELECT customernumber FROM loyal"
+SQL["diverse_customers"] = _with(LOYAL) + "\nSELECT customernumber FROM diverse"
+SQL["rowcount_guard"] = """SELECT CAST(COUNT(*) AS BIGINT) AS before_rows,
+  CAST(SUM(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS BIGINT) AS after_rows,
+  SUM(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) < COUNT(*) AS reduced FROM customer"""
+
+SQL["region_label"] = """SELECT customer, sales_region,
+  CASE WHEN sales_region BETWEEN '000000000011' AND '000000000018'
+       THEN 'Region-' || CAST(CAST(sales_region AS INTEGER) AS VARCHAR) ELSE sales_region END AS region
+FROM (SELECT CAST(c.c_custkey AS VARCHAR) AS customer,
+  lpad(CAST(n.n_regionkey + 11 AS VARCHAR), 12, '0') AS sales_region
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey) z"""
+SQL["area_label"] = f"""SELECT customer, customerdivision, {AREA.format(d='customerdivision')} AS customer_area
+FROM (SELECT CAST(c.c_custkey AS VARCHAR) AS customer, {DIVISION} AS customerdivision
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey) z"""
+SQL["positional_rename"] = """SELECT l_orderkey AS sales_receipt, l_partkey AS product_number,
+  l_quantity AS soldnumber FROM lineitem"""
+SQL["rename_columns"] = f"""SELECT CAST(p_partkey AS VARCHAR) AS article_number, 'ALL' AS product_field,
+  p_type AS product_group, p_type || '/' || p_brand AS product_class,
+  p_type || '/' || p_brand || '/' || {SIZE_BAND} AS product_family,
+  CAST(p_partkey AS VARCHAR) AS productmodel FROM part p"""
+SQL["drop_columns"] = f"""SELECT CAST(p_partkey AS VARCHAR) AS s_p_product_number,
+  p_type AS n_product_group_nr, p_type || '/' || p_brand AS n_product_class_nr,
+  p_type || '/' || p_brand || '/' || {SIZE_BAND} AS n_product_family_nr,
+  CAST(p_partkey AS VARCHAR) AS n_product_model_nr FROM part p"""
+QTY = INVOICE + """,
+qty AS (SELECT customer_area, customernumber, model_number, SUM(soldnumber) AS product_orders
+  FROM invoice GROUP BY ALL HAVING SUM(soldnumber) > 0),
+turn AS (SELECT customer_area, customernumber, model_number, """ + sround("SUM(sales_value)", 2) + """ AS turnover
+  FROM invoice GROUP BY ALL),
+turnp AS (SELECT * FROM turn WHERE turnover > 0),
+turn_mean AS (SELECT customer_area, model_number, AVG(turnover) AS avg_turnover FROM turnp
+  GROUP BY ALL HAVING AVG(turnover) <> 0),
+mean_r AS (SELECT t.*, m.avg_turnover, t.turnover / m.avg_turnover AS raw_rating
+  FROM turnp t JOIN turn_mean m USING (customer_area, model_number))"""
+SQL["share_rating"] = _with(QTY) + """
+SELECT q.customer_area, q.customernumber, q.model_number,
+       round(q.product_orders / t.tot, 6) AS raw_rating
+FROM qty q JOIN (SELECT customer_area, model_number, SUM(product_orders) AS tot FROM qty
+                 GROUP BY ALL HAVING SUM(product_orders) <> 0) t USING (customer_area, model_number)"""
+SQL["mean_rating"] = _with(QTY) + """
+SELECT customer_area, customernumber, model_number, turnover, round(avg_turnover, 6) AS avg_turnover,
+       round(raw_rating, 6) AS raw_rating FROM mean_r"""
+SQL["cap_outlier"] = _with(QTY) + """
+SELECT customer_area, customernumber, model_number,
+       round(CASE WHEN raw_rating > 2.0 THEN 2.0 ELSE raw_rating END, 6) AS rating FROM mean_r"""
+SQL["binary_interaction"] = _with(WINDOWED + ratings_cte()) + """
+SELECT customer_area, customernumber, item AS model_number,
+       CASE WHEN interaction > 0 THEN 1 ELSE 0 END AS interacted FROM ratings"""
+SQL["cast_keys"] = _with(INVOICE) + """
+SELECT TRY_CAST(customernumber AS BIGINT) AS customernumber, TRY_CAST(model_number AS BIGINT) AS model_number,
+       TRY_CAST(cchierl3 AS BIGINT) AS cchierl3
+FROM (SELECT DISTINCT customernumber, model_number, cchierl3 FROM invoice) z"""
+
+SQL["name_prefix"] = """SELECT p_partkey, split_part(p_name || ':' || p_brand, ':', 1) AS with_sep,
+  split_part(p_type, ':', 1) AS without_sep FROM part"""
+SQL["trim_text"] = "SELECT p_partkey, trim('  ' || p_name || ' ') AS name FROM part"
+SQL["like_match"] = "SELECT p_partkey, p_type, p_name FROM part WHERE p_type LIKE 'S%' AND p_name NOT LIKE '%ring%'"
+SQL["concat_month"] = _with(INVOICE) + """
+SELECT DISTINCT customernumber, CAST(sales_year AS VARCHAR) || '-' || CAST(sales_month AS VARCHAR) AS month_year
+FROM invoice"""
+POOLED_RULES = POOLED + rules_cte("sets", [], 0.05, 1.0, None)
+SQL["rule_string"] = _with(POOLED_RULES) + """
+SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent,
+  array_to_string(antecedent, ',') || ',' || array_to_string(consequent, ',') AS rules FROM rules"""
+SQL["list_text"] = _with(MATCH) + """
+SELECT customer_area, customernumber, array_to_string(actual_list, ', ') AS actual_products FROM actual"""
+SQL["truncate_label"] = """SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 10) || '...'
+  ELSE p_name END AS label FROM part"""
+SQL["strip_brackets"] = _with(MATCH) + """
+SELECT customer_area, customernumber, actual_products FROM actual"""
+SQL["split_text"] = _with(MATCH) + """
+SELECT customer_area, customernumber, CAST(len(actual_list) AS INTEGER) AS n,
+       array_to_string(actual_list, '|') AS joined FROM actual"""
+SQL["year_month"] = _with(INVOICE) + """
+SELECT DISTINCT sales_receipt, year(calendar_day) AS y, month(calendar_day) AS m FROM invoice"""
+SQL["month_start"] = """SELECT o_orderkey,
+  strftime(CAST(date_trunc('month', o_orderdate) AS DATE) - INTERVAL 1 YEAR, '%Y-%m-%d') AS year_back,
+  strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month_first FROM orders"""
+SQL["round_n"] = _with(WINDOWED + ratings_cte()) + f"""
+SELECT customer_area, customernumber, item AS model_number, {sround('raw_rating', 3)} AS r3,
+  {sround('raw_rating', 5)} AS r5, {sround('raw_rating', 6)} AS r6 FROM ratings"""
+SQL["array_set_sorted"] = _with(INVOICE) + """
+SELECT sales_receipt, array_to_string(list_sort(list(DISTINCT product_name)), ',') AS s,
+  CAST(COUNT(DISTINCT product_name) AS INTEGER) AS n FROM invoice GROUP BY sales_receipt"""
+SQL["array_concat"] = _with(POOLED_RULES) + """
+SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent,
+  array_to_string(list_concat(antecedent, consequent), ',') AS joined FROM rules"""
+SQL["array_unique"] = _with(MATCH) + """
+SELECT a.customer_area, a.customernumber,
+  array_to_string(list_filter(list_concat(a.actual_list, b.consequent),
+    lambda x, i: list_position(list_concat(a.actual_list, b.consequent), x) = i), ',') AS items
+FROM actual a JOIN best b ON a.customer_area = b.customer_area AND a.customernumber = b.customernumber"""
+SQL["array_length"] = _with(MATCH) + """
+SELECT customer_area, customernumber, CAST(len(actual_list) AS INTEGER) AS n FROM actual"""
+SQL["array_get"] = _with(POOLED_RULES) + """
+SELECT array_to_string(antecedent, ',') AS antecedent, consequent[1] AS consequent_item FROM rules"""
+SQL["array_slice"] = _with(MATCH) + """
+SELECT customer_area, customernumber, array_to_string(actual_list[1:2], ',') AS head FROM actual"""
+SQL["array_explode"] = _with(POOLED_RULES) + """
+SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent,
+  unnest(antecedent) AS antecedent_split FROM rules"""
+SQL["set_overlap"] = _with(MATCH) + """
+SELECT customer_area, customernumber, round(jaccard, 6) AS jaccard FROM best"""
+
+SQL["orders_per_item"] = _with(INVOICE) + """
+SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice GROUP BY ALL"""
+SQL["turnover_per_item"] = _with(INVOICE) + f"""
+SELECT customernumber, model_number, {sround('SUM(sales_value)', 2)} AS turnover FROM invoice GROUP BY ALL"""
+SQL["item_total"] = _with(INVOICE) + """
+SELECT model_number, SUM(product_orders) AS avg_order FROM (
+  SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice GROUP BY ALL) z
+GROUP BY model_number"""
+SQL["item_mean"] = _with(INVOICE) + f"""
+SELECT model_number, round(AVG(turnover), 6) AS avg_turnover FROM (
+  SELECT customernumber, model_number, {sround('SUM(sales_value)', 2)} AS turnover FROM invoice
+  GROUP BY ALL) z GROUP BY model_number"""
+SQL["active_months"] = _with(INVOICE) + """
+SELECT customernumber, COUNT(DISTINCT CAST(sales_year AS VARCHAR) || '-' || CAST(sales_month AS VARCHAR))
+  AS active_months FROM invoice GROUP BY customernumber"""
+SQL["distinct_items"] = _with(INVOICE) + """
+SELECT customernumber, COUNT(DISTINCT model_number) AS distinct_items FROM invoice GROUP BY customernumber"""
+SQL["customer_item_set"] = _with(MATCH) + """
+SELECT customernumber, array_to_string(list_sort(list(DISTINCT item)), ',') AS actual_products
+FROM ftop GROUP BY customernumber"""
+SQL["interaction_pivot"] = _with(WINDOWED + ratings_cte()) + """
+SELECT customernumber, item AS model_number, CASE WHEN SUM(interaction) > 0 THEN 1 ELSE 0 END AS bought
+FROM ratings GROUP BY ALL"""
+SQL["distinct_rows"] = "SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem"
+_PLIST = """SELECT DISTINCT model_number, split_part(product_name, ':', 1) AS product_name, product_family,
+  product_class, product_group, product_field FROM {src}"""
+SQL["distinct_subset"] = _with(INVOICE) + "\n" + _PLIST.format(src="invoice")
+SQL["product_list"] = _with(WINDOWED) + "\n" + _PLIST.format(src="win")
+
+SQL["customer_master_join"] = """SELECT CAST(c.c_custkey AS VARCHAR) AS customer,
+  lpad(CAST(n.n_regionkey + 11 AS VARCHAR), 12, '0') AS sales_region,
+  CASE WHEN c.c_acctbal > 0 THEN 4 ELSE 1 END AS customer_status
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"""
+SQL["invoice_customer_join"] = _with(CUST) + """
+SELECT CAST(o.o_custkey AS VARCHAR) AS soldtoparty, CAST(l.l_orderkey AS VARCHAR) AS order_number,
+  CAST(l.l_partkey AS VARCHAR) AS product, cu.sales_region, cu.region
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN cust cu ON CAST(o.o_custkey AS VARCHAR) = cu.customer"""
+SQL["invoice_product_join"] = f"""
+SELECT CAST(l.l_orderkey AS VARCHAR) AS order_number, CAST(l.l_partkey AS VARCHAR) AS product,
+  CAST(p.p_partkey AS VARCHAR) AS productmodel,
+  p.p_type || '/' || p.p_brand || '/' || {SIZE_BAND} AS product_family
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey"""
+SQL["join_back_agg"] = _with(INVOICE) + """
+SELECT i.customernumber, i.sales_receipt, i.model_number, round(t.tot, 6) AS customer_total
+FROM invoice i JOIN (SELECT customernumber, SUM(sales_value) AS tot FROM invoice GROUP BY ALL) t
+  USING (customernumber)"""
+
+ALS_R = INVOICE + f""",
+als_t AS (SELECT customernumber, model_number, {sround('SUM(sales_value)', 2)} AS turnover
+  FROM invoice WHERE customer_area = 'Metal' AND model_number IS NOT NULL GROUP BY ALL),
+als_p AS (SELECT * FROM als_t WHERE turnover > 0),
+als_m AS (SELECT model_number, AVG(turnover) AS avg_turnover FROM als_p GROUP BY ALL
+  HAVING AVG(turnover) <> 0),
+als_r AS (SELECT p.*, m.avg_turnover, p.turnover / m.avg_turnover AS raw_rating, 1 AS purchased,
+  CASE WHEN p.turnover / m.avg_turnover > 10.0 THEN 10.0 ELSE p.turnover / m.avg_turnover END AS rating
+  FROM als_p p JOIN als_m m USING (model_number)),
+als_s AS (SELECT stddev_samp(rating) AS sd, MIN(rating) AS mn, MAX(rating) AS mx FROM als_r),
+als_c AS (SELECT customernumber, row_number() OVER (ORDER BY COUNT(*) DESC, customernumber) - 1 AS cid
+  FROM als_r GROUP BY customernumber),
+als_i AS (SELECT model_number, row_number() OVER (ORDER BY COUNT(*) DESC, model_number) - 1 AS pid
+  FROM als_r GROUP BY model_number),
+als AS (
+  SELECT r.*, CASE WHEN s.sd = 0 THEN 0.0 ELSE r.rating / s.sd END AS std_scaled_rating,
+    CASE WHEN s.mx = s.mn THEN 0.5 ELSE (r.rating - s.mn) / (s.mx - s.mn) END AS minmax_scaled_rating,
+    CAST(c.cid AS DOUBLE) AS customer_id, CAST(i.pid AS DOUBLE) AS product_id
+  FROM als_r r CROSS JOIN als_s s JOIN als_c c USING (customernumber) JOIN als_i i USING (model_number)
+)"""
+SQL["als_ratings"] = _with(ALS_R) + """
+SELECT customernumber, model_number, turnover, round(avg_turnover, 6) AS avg_turnover,
+  round(raw_rating, 6) AS raw_rating, purchased, round(rating, 6) AS rating,
+  round(std_scaled_rating, 6) AS std_scaled_rating, round(minmax_scaled_rating, 6) AS minmax_scaled_rating,
+  customer_id, product_id FROM als"""
+SQL["minmax_scale"] = _with(ALS_R) + """
+SELECT customernumber, model_number, round(minmax_scaled_rating, 6) AS minmax_scaled_rating FROM als"""
+SQL["standard_scale"] = _with(ALS_R) + """
+SELECT customernumber, model_number, round(std_scaled_rating, 6) AS std_scaled_rating FROM als"""
+SQL["string_index"] = _with(ALS_R) + """
+SELECT DISTINCT customernumber, customer_id FROM als"""
+SQL["assemble_vector"] = _with(ALS_R) + """
+SELECT customernumber, model_number, round(rating, 6) AS rating FROM als"""
+
+NCF_R = LOYAL + """,
+ncf_q AS (SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice
+  WHERE customernumber IN (SELECT customernumber FROM diverse) AND customer_area = 'Metal'
+    AND model_number IS NOT NULL GROUP BY ALL HAVING SUM(soldnumber) > 0),
+ncf_m AS (SELECT model_number, AVG(product_orders) AS avg_order FROM ncf_q GROUP BY ALL
+  HAVING AVG(product_orders) <> 0),
+ncf_r AS (SELECT q.*, m.avg_order, q.product_orders / m.avg_order AS raw_rating,
+  CASE WHEN q.product_orders / m.avg_order > 10.0 THEN 10.0 ELSE q.product_orders / m.avg_order END AS rating
+  FROM ncf_q q JOIN ncf_m m USING (model_number)),
+ncf_b AS (SELECT MIN(rating) AS mn, MAX(rating) AS mx FROM ncf_r),
+ncf_w AS (SELECT model_number, MIN(rating) AS wmn, MAX(rating) AS wmx FROM ncf_r GROUP BY ALL),
+ncf AS (
+  SELECT r.*, """ + sround("(r.rating - (w.wmn - 1)) / (w.wmx - (w.wmn - 1))", 3) + """ AS scaled,
+    """ + sround("CASE WHEN b.mx = b.mn THEN 0.5 ELSE (r.rating - b.mn) / (b.mx - b.mn) END", 6) + """ AS interaction
+  FROM ncf_r r CROSS JOIN ncf_b b JOIN ncf_w w USING (model_number)
+)"""
+SQL["ncf_ratings"] = _with(NCF_R) + """
+SELECT customernumber, model_number, product_orders, round(avg_order, 6) AS avg_order,
+  round(raw_rating, 6) AS raw_rating, round(rating, 6) AS rating,
+  CASE WHEN scaled > 0 THEN 1 ELSE 0 END AS interaction_round, interaction FROM ncf"""
+SQL["item_minmax_window"] = _with(NCF_R) + "\nSELECT customernumber, model_number, scaled FROM ncf"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,18 @@ def r6(col: str) -> F.Column:
 
 
 # ---------------------------------------------------------------- building blocks
+_INVOICE_CACHE: dict = {}
+
+
 def invoices(spark: SparkSession, root: str) -> DataFrame:
-    return D.build_invoices(TD.sources(spark, root))
+    """The invoice fact of ``root``, built once per session and persisted
+    (memory and disk; lost blocks are recomputed from lineage)."""
+    key = (id(spark), root)
+    inv = _INVOICE_CACHE.get(key)
+    if inv is None or inv.sparkSession is not spark:
+        inv = D.build_invoices(TD.sources(spark, root)).persist(StorageLevel.MEMORY_AND_DISK)
+        _INVOICE_CACHE[key] = inv
+    return inv
 
 
 def window(spark: SparkSession, root: str) -> DataFrame:
@@ -289,3 +300,5 @@ def q_bundle_pipeline(spark, root):
 
 
 FLAGSHIP = "bundle_pipeline"
+
+from cartwise.plans import queries_ops  # noqa: E402,F401  (registers more queries)
