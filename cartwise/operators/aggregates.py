@@ -19,8 +19,11 @@ def customer_item_qty(df: DataFrame, keys: Sequence[str] = (CUST, ITEM),
 
 def customer_item_value(df: DataFrame, keys: Sequence[str] = (CUST, ITEM),
                         value: str = "sales_value", out: str = "turnover") -> DataFrame:
-    """A2: turnover per (customer, item), rounded to cents."""
-    return df.groupBy(*keys).agg(F.round(F.sum(value), 2).alias(out))
+    """A2: turnover per (customer, item), rounded to cents.  Values are summed
+    as exact decimals (4 places) so the total, and a half-cent rounding tie,
+    do not depend on the order rows arrive in."""
+    total = F.sum(F.col(value).cast("decimal(20,4)"))
+    return df.groupBy(*keys).agg(F.round(total, 2).cast("double").alias(out))
 
 
 def item_total(df: DataFrame, keys: Sequence[str] = (ITEM,), col: str = "product_orders",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise import config as C
+from cartwise.operators import aggregates as A
 from cartwise.operators import filters as FL
 from cartwise.operators import projections as PR
 from cartwise.operators.scaling import dense_index, minmax, standardise
@@ -21,8 +22,7 @@ def als_ratings(invoices: DataFrame, area: str = C.ALS_AREA, cap: float = C.RATI
     mean (P7), purchased flag (P9), capped (P8), standardised (M2) and min-max
     scaled (M1) over the area, customer and model indexed (M3)."""
     df = FL.for_area(invoices, area).select(CUST, ITEM, "sales_value")
-    t = (FL.drop_null_keys(df, [ITEM]).groupBy(CUST, ITEM)
-         .agg(F.round(F.sum("sales_value"), 2).alias("turnover")))
+    t = A.customer_item_value(FL.drop_null_keys(df, [ITEM]), (CUST, ITEM))
     t = FL.positive_only(t, "turnover")
     t = PR.raw_rating(t, "turnover", base="mean", item_col=ITEM, keys=[], base_col="avg_turnover")
     t = (t.withColumn("purchased", PR.purchased_flag())
@@ -57,3 +57,131 @@ def ncf_ratings(invoices: DataFrame, area: str = C.ALS_AREA, cap: float = C.RATI
     q = q.withColumn("interaction_round", PR.binarise("interaction_round"))
     q = q.withColumn("interaction", F.round("minmax_scaled_rating", 6))
     return FL.dropna_any(q)
+
+
+# ---------------------------------------------------------------- L2: split
+def hash_split(df: DataFrame, fraction: float, seed: int = C.SEED,
+               keys: tuple[str, ...] = (CUST, ITEM)) -> tuple[DataFrame, DataFrame]:
+    """L2: deterministic train/test split by a hash of the row key.  Unlike
+    ``randomSplit`` it does not depend on partitioning or re-execution order,
+    so a recomputed partition (lost executor) lands on the same side."""
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(10000))
+    flagged = df.withColumn("_train", bucket < F.lit(int(round(fraction * 10000))))
+    return (flagged.where("_train").drop("_train"), flagged.where(~F.col("_train")).drop("_train"))
+
+
+# ---------------------------------------------------------------- L3-L5: ALS
+def fit_als(train: DataFrame, rank: int = C.ALS_RANK, max_iter: int = C.ALS_MAX_ITER,
+            reg: float = C.ALS_REG, alpha: float = C.ALS_ALPHA,
+            rating_col: str = "minmax_scaled_rating", seed: int = C.SEED):
+    """L3: implicit, non-negative ALS; factor blocks are shuffled by Spark ML and
+    lineage is cut every 10 iterations in the session's checkpoint folder."""
+    from pyspark.ml.recommendation import ALS
+    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha,
+              userCol="customer_id", itemCol="product_id", ratingCol=rating_col,
+              coldStartStrategy="drop", nonnegative=True, implicitPrefs=True, seed=seed,
+              checkpointInterval=10)
+    return als.fit(train)
+
+
+def als_recommend(model, ratings: DataFrame, k: int = C.ALS_TOP_K) -> DataFrame:
+    """``k`` items per customer, exploded, ids resolved to numbers."""
+    from cartwise.operators.joins import resolve_ids
+    recs = model.recommendForAllUsers(k)
+    flat = recs.select("customer_id", F.posexplode("recommendations").alias("pos", "rec")).select(
+        F.col("customer_id").cast("double").alias("customer_id"),
+        (F.col("pos") + 1).alias("rank"),
+        F.col("rec.product_id").cast("double").alias("product_id"),
+        F.col("rec.rating").alias("rating"))
+    users = ratings.select("customer_id", CUST).distinct()
+    items = ratings.select("product_id", ITEM).distinct()
+    return resolve_ids(flat, users, items)
+
+
+def regression_metrics(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
+    """MAE, MSE and RMSE in one aggregate (one row)."""
+    err = F.col(label) - F.col(prediction)
+    return pred.agg(F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"),
+                    F.sqrt(F.avg(err * err)).alias("rmse"), F.count("*").alias("n"))
+
+
+def als_pipeline(invoices: DataFrame, area: str = C.ALS_AREA, rank: int = C.ALS_RANK,
+                 max_iter: int = C.ALS_MAX_ITER, k: int = C.ALS_TOP_K):
+    """L1-L5 end to end: ratings, 70/30 split, fit, held-out metrics, top-k."""
+    ratings = als_ratings(invoices, area)
+    train, test = hash_split(ratings, C.ALS_TRAIN_FRACTION)
+    model = fit_als(train, rank=rank, max_iter=max_iter)
+    metrics = regression_metrics(model.transform(test), "minmax_scaled_rating")
+    return model, ratings, metrics, als_recommend(model, ratings, k)
+
+
+# ---------------------------------------------------------------- L7-L9: FM
+def fm_features(ratings: DataFrame) -> DataFrame:
+    """One-hot customer + one-hot model as one sparse vector: the factorisation
+    machine's pair term is then the customer/item embedding dot product."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml import Pipeline
+    pipe = Pipeline(stages=[
+        StringIndexer(inputCols=[CUST, ITEM], outputCols=["_ci", "_ii"], handleInvalid="keep"),
+        OneHotEncoder(inputCols=["_ci", "_ii"], outputCols=["_cv", "_iv"], dropLast=False),
+        VectorAssembler(inputCols=["_cv", "_iv"], outputCol="features")])
+    return pipe.fit(ratings).transform(ratings)
+
+
+def fit_fm(train: DataFrame, label: str = "interaction", factor_size: int = C.NCF_FACTORS,
+           step_size: float = 0.01, max_iter: int = C.NCF_EPOCHS, reg: float = 0.0,
+           seed: int = C.SEED):
+    """L7 (re-aimed neural factorisation): ``FMRegressor`` on one-hot features."""
+    from pyspark.ml.regression import FMRegressor
+    fm = FMRegressor(featuresCol="features", labelCol=label, factorSize=factor_size,
+                     stepSize=step_size, maxIter=max_iter, regParam=reg, seed=seed)
+    return fm.fit(train)
+
+
+def param_sweep(data: DataFrame, label: str = "interaction",
+                factor_sizes=(8, 32), regs=(0.0, 0.01), steps=(0.01,),
+                max_iter: int = 10, seed: int = C.SEED) -> DataFrame:
+    """Validation RMSE over a grid (latent_dim, reg_value, learning_rate)."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import FMRegressor
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+    fm = FMRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, seed=seed)
+    grid = (ParamGridBuilder().addGrid(fm.factorSize, list(factor_sizes))
+            .addGrid(fm.regParam, list(regs)).addGrid(fm.stepSize, list(steps)).build())
+    tvs = TrainValidationSplit(estimator=fm, estimatorParamMaps=grid, seed=seed,
+                               evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
+                               trainRatio=C.NCF_TRAIN_FRACTION)
+    model = tvs.fit(data)
+    rows = [(p[fm.factorSize], float(p[fm.regParam]), float(p[fm.stepSize]), float(m))
+            for p, m in zip(grid, model.validationMetrics)]
+    return data.sparkSession.createDataFrame(
+        rows, "latent_dim int, reg_value double, learning_rate double, RMSE double")
+
+
+# ---------------------------------------------------------------- G9, G10
+def factors_long(factors: DataFrame, layer: str, id_col: str = "id",
+                 vec_col: str = "features") -> DataFrame:
+    """A factor/weight matrix in long form (layer, Row, Column, Value)."""
+    return factors.select(F.lit(layer).alias("layer"), F.col(id_col).cast("string").alias("Row"),
+                          F.posexplode(vec_col).alias("Column", "Value")).select(
+        "layer", "Row", F.col("Column").cast("string").alias("Column"),
+        F.col("Value").cast("double").alias("Value"))
+
+
+def project_2d(vectors: DataFrame, source: int, id_col: str = "id",
+               vec_col: str = "features") -> DataFrame:
+    """2-D points of embedding vectors by PCA (distributed covariance);
+    t-SNE has no scalable built-in, so PCA stands in for it."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    v = vectors.select(F.col(id_col).alias("Index"),
+                       array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    pca = PCA(k=2, inputCol="_v", outputCol="_p").fit(v)
+    p = pca.transform(v).select("Index", vector_to_array("_p").alias("_a"))
+    return p.select("Index", F.col("_a")[0].alias("tsne1"), F.col("_a")[1].alias("tsne2"),
+                    F.lit(source).alias("Source"))
+
+
+def bench_als(invoices: DataFrame) -> DataFrame:
+    """Bench entry: the ALS pipeline at the fixed settings, recommendations."""
+    return als_pipeline(invoices)[3]

@@ -523,7 +523,7 @@ SQL["drop_columns"] = f"""SELECT CAST(p_partkey AS VARCHAR) AS s_p_product_numbe
 QTY = INVOICE + """,
 qty AS (SELECT customer_area, customernumber, model_number, SUM(soldnumber) AS product_orders
   FROM invoice GROUP BY ALL HAVING SUM(soldnumber) > 0),
-turn AS (SELECT customer_area, customernumber, model_number, """ + sround("SUM(sales_value)", 2) + """ AS turnover
+turn AS (SELECT customer_area, customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover
   FROM invoice GROUP BY ALL),
 turnp AS (SELECT * FROM turn WHERE turnover > 0),
 turn_mean AS (SELECT customer_area, model_number, AVG(turnover) AS avg_turnover FROM turnp
@@ -603,14 +603,14 @@ SELECT customer_area, customernumber, round(jaccard, 6) AS jaccard FROM best"""
 SQL["orders_per_item"] = _with(INVOICE) + """
 SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice GROUP BY ALL"""
 SQL["turnover_per_item"] = _with(INVOICE) + f"""
-SELECT customernumber, model_number, {sround('SUM(sales_value)', 2)} AS turnover FROM invoice GROUP BY ALL"""
+SELECT customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover FROM invoice GROUP BY ALL"""
 SQL["item_total"] = _with(INVOICE) + """
 SELECT model_number, SUM(product_orders) AS avg_order FROM (
   SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice GROUP BY ALL) z
 GROUP BY model_number"""
 SQL["item_mean"] = _with(INVOICE) + f"""
 SELECT model_number, round(AVG(turnover), 6) AS avg_turnover FROM (
-  SELECT customernumber, model_number, {sround('SUM(sales_value)', 2)} AS turnover FROM invoice
+  SELECT customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover FROM invoice
   GROUP BY ALL) z GROUP BY model_number"""
 SQL["active_months"] = _with(INVOICE) + """
 SELECT customernumber, COUNT(DISTINCT CAST(sales_year AS VARCHAR) || '-' || CAST(sales_month AS VARCHAR))
@@ -649,7 +649,7 @@ FROM invoice i JOIN (SELECT customernumber, SUM(sales_value) AS tot FROM invoice
   USING (customernumber)"""
 
 ALS_R = INVOICE + f""",
-als_t AS (SELECT customernumber, model_number, {sround('SUM(sales_value)', 2)} AS turnover
+als_t AS (SELECT customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover
   FROM invoice WHERE customer_area = 'Metal' AND model_number IS NOT NULL GROUP BY ALL),
 als_p AS (SELECT * FROM als_t WHERE turnover > 0),
 als_m AS (SELECT model_number, AVG(turnover) AS avg_turnover FROM als_p GROUP BY ALL
@@ -703,3 +703,115 @@ SELECT customernumber, model_number, product_orders, round(avg_order, 6) AS avg_
   round(raw_rating, 6) AS raw_rating, round(rating, 6) AS rating,
   CASE WHEN scaled > 0 THEN 1 ELSE 0 END AS interaction_round, interaction FROM ncf"""
 SQL["item_minmax_window"] = _with(NCF_R) + "\nSELECT customernumber, model_number, scaled FROM ncf"
+
+_DESC = ("'As the product(s) ' || array_to_string({a}, ', ') || ' is purchased often, we are "
+         "suggesting these products ' || array_to_string({b}, ', ') || ' which forms the bundle ' "
+         "|| array_to_string({c}, ', ')")
+SQL["describe_bundle"] = _with(SIM_BASE) + f"""
+SELECT customer_area, customernumber, 'similarity' AS method,
+  {_DESC.format(a='actual_products', b='most_similar_items', c='recommend')} AS description
+FROM fallback
+UNION ALL
+SELECT customer_area, customernumber, 'rule' AS method,
+  {_DESC.format(a='antecedent', b='consequent', c='list_concat(antecedent, consequent)')} AS description
+FROM s_best"""
+
+
+# ------------------------------------------------------------------ interpretability
+EMB_LONG = """WITH el AS (
+  SELECT 'label_' || CAST(label AS VARCHAR) AS layer, CAST(vec_id AS VARCHAR) AS "Row",
+         CAST(i - 1 AS VARCHAR) AS "Column", round(CAST(v AS DOUBLE), 6) AS "Value"
+  FROM (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i
+        FROM embeddings) z
+)"""
+SQL["factor_matrix_long"] = EMB_LONG + "\nSELECT * FROM el"
+SQL["value_range"] = EMB_LONG + """
+SELECT layer, MIN("Value") AS min_value, MAX("Value") AS max_value FROM el GROUP BY layer"""
+COORD = """WITH pts AS (SELECT vec_id AS "Index", round(CAST(embedding[1] AS DOUBLE), 6) AS tsne1,
+  round(CAST(embedding[2] AS DOUBLE), 6) AS tsne2, label AS "Source" FROM embeddings)"""
+SQL["point_brush"] = COORD + """
+SELECT * FROM pts WHERE tsne1 BETWEEN -0.5 AND 0.5 AND tsne2 BETWEEN -0.5 AND 0.5"""
+SQL["source_filter"] = COORD + "\nSELECT * FROM pts WHERE \"Source\" = 1"
+
+EDGES = POOLED_RULES + """,
+edges AS (
+  SELECT "from", "to", MAX(confidence) AS value FROM (
+    SELECT unnest(antecedent) AS "from", consequent[1] AS "to", confidence FROM rules) z
+  GROUP BY ALL
+),
+und AS (SELECT DISTINCT src, dst FROM (
+  SELECT "from" AS src, "to" AS dst FROM edges UNION ALL SELECT "to", "from" FROM edges) z),
+nodes AS (SELECT src AS id, src AS label, src AS title, COUNT(DISTINCT dst) AS value
+  FROM und WHERE src <> dst GROUP BY src),
+picked AS (SELECT DISTINCT id FROM (
+  SELECT "from" AS id FROM edges WHERE "from" IN ('blue bolt', 'small ring', 'red widget')
+  UNION ALL SELECT "to" FROM edges WHERE "from" IN ('blue bolt', 'small ring', 'red widget')) z)"""
+SQL["rule_edges"] = _with(EDGES) + '\nSELECT "from", "to", round(value, 6) AS value FROM edges'
+SQL["node_degree"] = _with(EDGES) + "\nSELECT id, value FROM nodes"
+SQL["rule_nodes"] = _with(EDGES) + "\nSELECT id, label, title, value FROM nodes"
+SQL["two_hop"] = _with(EDGES) + """,
+l1 AS (SELECT dst AS id FROM und WHERE src = 'blue bolt'),
+l2 AS (SELECT u.dst AS id FROM l1 JOIN und u ON u.src = l1.id)
+SELECT id, CAST(MIN(level) AS INTEGER) AS level FROM (
+  SELECT 'blue bolt' AS id, 0 AS level UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2) z
+GROUP BY id"""
+SQL["edge_filter"] = _with(EDGES) + "\nSELECT id FROM picked"
+SQL["visible_nodes"] = _with(EDGES) + "\nSELECT id, value FROM nodes WHERE id IN (SELECT id FROM picked)"
+
+TREE = INVOICE + """,
+plv AS (SELECT DISTINCT product_field, product_group, product_class, product_family, model_number
+  FROM invoice),
+tree AS (SELECT DISTINCT parent, child, level FROM (
+  SELECT product_field AS parent, product_group AS child, 1 AS level FROM plv
+  UNION ALL SELECT product_group, product_class, 2 FROM plv
+  UNION ALL SELECT product_class, product_family, 3 FROM plv
+  UNION ALL SELECT product_family, model_number, 4 FROM plv) z WHERE child IS NOT NULL)"""
+SQL["hierarchy_tree"] = _with(TREE) + "\nSELECT parent, child, CAST(level AS INTEGER) AS level FROM tree"
+ANC = """SELECT {c}p.model_number AS leaf, unnest([0, 1, 2, 3, 4]) AS level,
+  unnest([p.product_field, p.product_group, p.product_class, p.product_family, p.model_number]) AS node
+FROM {src} x JOIN plv p ON p.model_number = x.model_number"""
+SQL["hierarchy_paths"] = _with(TREE) + "\nSELECT leaf, CAST(level AS INTEGER) AS level, node FROM (" + \
+    ANC.format(c="", src="(SELECT DISTINCT model_number FROM plv)") + ") z"
+
+MARKS = SIM_BASE + """,
+plv AS (SELECT DISTINCT product_field, product_group, product_class, product_family, model_number
+  FROM invoice),
+tree AS (SELECT DISTINCT parent, child, level FROM (
+  SELECT product_field AS parent, product_group AS child, 1 AS level FROM plv
+  UNION ALL SELECT product_group, product_class, 2 FROM plv
+  UNION ALL SELECT product_class, product_family, 3 FROM plv
+  UNION ALL SELECT product_family, model_number, 4 FROM plv) z WHERE child IS NOT NULL),
+act AS (SELECT DISTINCT customernumber, item AS model_number FROM stop),
+pred AS (SELECT DISTINCT s.customernumber, t.other AS model_number
+  FROM stop s JOIN top2 t ON s.customer_area = t.customer_area AND s.item = t.item),
+tagged AS (
+  SELECT customernumber, level, node, 1 AS is_a, 0 AS is_p FROM (""" + \
+    ANC.format(c="x.customernumber, ", src="act") + """) a
+  UNION ALL
+  SELECT customernumber, level, node, 0, 1 FROM (""" + \
+    ANC.format(c="x.customernumber, ", src="pred") + """) b
+),
+marks AS (
+  SELECT customernumber, level, node,
+    CASE WHEN level = 4 AND MAX(is_a) = 1 THEN 'actual' WHEN MAX(is_p) = 1 THEN 'predicted'
+         ELSE 'actual' END AS status
+  FROM tagged GROUP BY customernumber, level, node
+)"""
+SQL["actual_vs_predicted"] = _with(MARKS) + """
+SELECT customernumber, CAST(level AS INTEGER) AS level, node, status FROM marks"""
+SQL["pruned_tree"] = _with(MARKS) + """
+SELECT m.customernumber, t.parent, t.child, CAST(t.level AS INTEGER) AS level
+FROM tree t JOIN marks m ON t.parent = m.node"""
+SQL["marked_links"] = _with(MARKS) + """
+SELECT m.customernumber, t.parent, t.child, CAST(t.level AS INTEGER) AS level, m.status
+FROM tree t JOIN marks m ON t.child = m.node"""
+SQL["area_recommendations"] = _with(SIM_BASE) + f"""
+SELECT customer_area, customernumber,
+  {_DESC.format(a='actual_products', b='most_similar_items', c='recommend')} AS description,
+  array_to_string(sim_score, ', ') AS sim_score
+FROM fallback WHERE customer_area = 'Metal'
+UNION ALL
+SELECT customer_area, customernumber,
+  {_DESC.format(a='antecedent', b='consequent', c='list_concat(antecedent, consequent)')} AS description,
+  CAST(confidence AS VARCHAR) AS sim_score
+FROM s_best WHERE customer_area = 'Metal'"""

@@ -302,3 +302,4 @@ def q_bundle_pipeline(spark, root):
 FLAGSHIP = "bundle_pipeline"
 
 from cartwise.plans import queries_ops  # noqa: E402,F401  (registers more queries)
+from cartwise.plans import queries_models  # noqa: E402,F401
