@@ -441,7 +441,7 @@ FROM s_best"""
 # ------------------------------------------------------------------ smaller operators
 def sround(expr: str, n: int) -> str:
     """HALF_UP rounding of the shortest decimal text of a double (Spark's rule)."""
-    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 12)), {n}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 24)), {n}) AS DOUBLE)"
 
 
 CA_LIST = "customer_area, customernumber"
@@ -815,3 +815,34 @@ SELECT customer_area, customernumber,
   {_DESC.format(a='antecedent', b='consequent', c='list_concat(antecedent, consequent)')} AS description,
   CAST(confidence AS VARCHAR) AS sim_score
 FROM s_best WHERE customer_area = 'Metal'"""
+
+
+def _spark_rounding(sql: str) -> str:
+    """Rewrite every ``round(x, n)`` into Spark's rule: HALF_UP applied to the
+    shortest decimal text of the double (DuckDB rounds the binary value)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + 6:k - 1]
+        expr, _, digits = inner.rpartition(",")
+        if inner.startswith("CAST(CAST(") or not digits.strip().isdigit():
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        out.append(sql[i:j])
+        out.append(sround(_spark_rounding(expr), int(digits)))
+        i = k
+
+
+SQL = {k: _spark_rounding(v) for k, v in SQL.items()}
