@@ -58,7 +58,7 @@ def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def raw_rating(df: DataFrame, value_col: str, base: str = "share",
                item_col: str = "model_number", keys: Sequence[str] = ("customer_area",),
-               base_col: str = "avg_order") -> DataFrame:
+               base_col: str = "avg_order", money: bool = False) -> DataFrame:
     """P6/P7 with J4/A3/A4: raw_rating = value / item base, where the base is
     the item's total (``share``) or mean (``mean``) over customers.
 
@@ -66,7 +66,8 @@ def raw_rating(df: DataFrame, value_col: str, base: str = "share",
     the item key; AQE broadcasts it when small and splits a hot item's
     partition otherwise, so one popular item never lands in one task."""
     group = [*keys, item_col]
-    agg = F.sum(value_col) if base == "share" else F.avg(value_col)
+    from cartwise.operators.aggregates import mean_of
+    agg = F.sum(value_col) if base == "share" else mean_of(value_col, money)
     stat = df.groupBy(*group).agg(agg.alias(base_col)).where(F.col(base_col) != 0)
     return (df.join(stat, group)
             .withColumn("raw_rating", F.col(value_col) / F.col(base_col)))

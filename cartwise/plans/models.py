@@ -24,7 +24,8 @@ def als_ratings(invoices: DataFrame, area: str = C.ALS_AREA, cap: float = C.RATI
     df = FL.for_area(invoices, area).select(CUST, ITEM, "sales_value")
     t = A.customer_item_value(FL.drop_null_keys(df, [ITEM]), (CUST, ITEM))
     t = FL.positive_only(t, "turnover")
-    t = PR.raw_rating(t, "turnover", base="mean", item_col=ITEM, keys=[], base_col="avg_turnover")
+    t = PR.raw_rating(t, "turnover", base="mean", item_col=ITEM, keys=[], base_col="avg_turnover",
+                      money=True)
     t = (t.withColumn("purchased", PR.purchased_flag())
          .withColumn("rating", PR.cap("raw_rating", cap)))
     t = standardise(t, "rating", "std_scaled_rating")

@@ -444,6 +444,15 @@ def sround(expr: str, n: int) -> str:
     return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 24)), {n}) AS DOUBLE)"
 
 
+def money_avg(col: str) -> str:
+    """Exact HALF_UP mean of cent values at 6 places, as Spark's decimal average."""
+    cents = f"SUM(CAST(round({col} * 100) AS BIGINT))"
+    return (f"CAST(({cents} * 20000 + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) "
+            f"/ CAST(1000000 AS DOUBLE)")
+
+
+MAVG = money_avg("turnover")
+
 CA_LIST = "customer_area, customernumber"
 
 SQL["scan_parquet"] = "SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice FROM lineitem"
@@ -526,8 +535,8 @@ qty AS (SELECT customer_area, customernumber, model_number, SUM(soldnumber) AS p
 turn AS (SELECT customer_area, customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover
   FROM invoice GROUP BY ALL),
 turnp AS (SELECT * FROM turn WHERE turnover > 0),
-turn_mean AS (SELECT customer_area, model_number, AVG(turnover) AS avg_turnover FROM turnp
-  GROUP BY ALL HAVING AVG(turnover) <> 0),
+turn_mean AS (SELECT * FROM (SELECT customer_area, model_number, """ + MAVG + """ AS avg_turnover
+  FROM turnp GROUP BY ALL) z WHERE avg_turnover <> 0),
 mean_r AS (SELECT t.*, m.avg_turnover, t.turnover / m.avg_turnover AS raw_rating
   FROM turnp t JOIN turn_mean m USING (customer_area, model_number))"""
 SQL["share_rating"] = _with(QTY) + """
@@ -609,7 +618,7 @@ SELECT model_number, SUM(product_orders) AS avg_order FROM (
   SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice GROUP BY ALL) z
 GROUP BY model_number"""
 SQL["item_mean"] = _with(INVOICE) + f"""
-SELECT model_number, round(AVG(turnover), 6) AS avg_turnover FROM (
+SELECT model_number, {MAVG} AS avg_turnover FROM (
   SELECT customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover FROM invoice
   GROUP BY ALL) z GROUP BY model_number"""
 SQL["active_months"] = _with(INVOICE) + """
@@ -652,8 +661,8 @@ ALS_R = INVOICE + f""",
 als_t AS (SELECT customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover
   FROM invoice WHERE customer_area = 'Metal' AND model_number IS NOT NULL GROUP BY ALL),
 als_p AS (SELECT * FROM als_t WHERE turnover > 0),
-als_m AS (SELECT model_number, AVG(turnover) AS avg_turnover FROM als_p GROUP BY ALL
-  HAVING AVG(turnover) <> 0),
+als_m AS (SELECT * FROM (SELECT model_number, {MAVG} AS avg_turnover FROM als_p GROUP BY ALL) z
+  WHERE avg_turnover <> 0),
 als_r AS (SELECT p.*, m.avg_turnover, p.turnover / m.avg_turnover AS raw_rating, 1 AS purchased,
   CASE WHEN p.turnover / m.avg_turnover > 10.0 THEN 10.0 ELSE p.turnover / m.avg_turnover END AS rating
   FROM als_p p JOIN als_m m USING (model_number)),

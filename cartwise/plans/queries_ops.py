@@ -273,13 +273,15 @@ def _turnover(spark, root):
 
 @register("mean_rating")
 def q_mean_rating(spark, root):
-    r = PR.raw_rating(_turnover(spark, root), "turnover", "mean", MN, [CA], "avg_turnover")
+    r = PR.raw_rating(_turnover(spark, root), "turnover", "mean", MN, [CA], "avg_turnover",
+                      money=True)
     return r.select(CA, CU, MN, "turnover", r6("avg_turnover"), r6("raw_rating"))
 
 
 @register("cap_outlier")
 def q_cap_outlier(spark, root):
-    r = PR.raw_rating(_turnover(spark, root), "turnover", "mean", MN, [CA], "avg_turnover")
+    r = PR.raw_rating(_turnover(spark, root), "turnover", "mean", MN, [CA], "avg_turnover",
+                      money=True)
     return r.select(CA, CU, MN, F.round(PR.cap("raw_rating", 2.0), 6).alias("rating"))
 
 
@@ -458,7 +460,7 @@ def q_item_total(spark, root):
 
 @register("item_mean")
 def q_item_mean(spark, root):
-    m = A.item_mean(A.customer_item_value(invoices(spark, root)))
+    m = A.item_mean(A.customer_item_value(invoices(spark, root)), money=True)
     return m.select(MN, r6("avg_turnover"))
 
 

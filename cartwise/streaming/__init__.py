@@ -1,0 +1,5 @@
+"""Structured Streaming variants.
+
+Intentionally empty: the original application is batch-only (no watermark,
+window, state or late data anywhere in it), so no streaming operator is built.
+"""
