@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,10 @@ class BundleParts:
 
     @cached_property
     def ratings(self) -> DataFrame:
-        return D.customer_ratings(self.inv, item=self.item, cap=self.cfg.rating_cap)
+        """Read by the top-k, matching and cosine branches: persisted once
+        (memory and disk; lost blocks are recomputed from lineage)."""
+        r = D.customer_ratings(self.inv, item=self.item, cap=self.cfg.rating_cap)
+        return r.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def top(self) -> DataFrame:
