@@ -73,7 +73,10 @@ class BundleParts:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return R.match_rules(self.top, self.actual, self.rules, [AREA], CUST, "item")
+        """One row per matched customer; read by the rule bundles and by the
+        unmatched split, so it is persisted (small: bounded by customers)."""
+        m = R.match_rules(self.top, self.actual, self.rules, [AREA], CUST, "item")
+        return m.persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def unmatched(self) -> DataFrame:
@@ -83,7 +86,8 @@ class BundleParts:
     def neighbours(self) -> DataFrame:
         bought = S.purchases(self.ratings, [AREA], CUST, self.item,
                              use_raw=self.cfg.use_raw_purchases)
-        return S.top_similar(S.item_cosine(bought, [AREA], CUST), self.cfg.neighbours, [AREA])
+        top = S.top_similar(S.item_cosine(bought, [AREA], CUST), self.cfg.neighbours, [AREA])
+        return top.persist(StorageLevel.MEMORY_AND_DISK)  # k rows per item
 
     @cached_property
     def fallback(self) -> DataFrame:
