@@ -854,4 +854,7 @@ def _spark_rounding(sql: str) -> str:
         i = k
 
 
+SQL["purchased_flag"] = _with(ALS_R) + "\nSELECT customernumber, model_number, purchased FROM als"
+SQL["basket_window"] = SQL["baskets"]
+
 SQL = {k: _spark_rounding(v) for k, v in SQL.items()}

@@ -588,3 +588,14 @@ def q_item_minmax(spark, root):
     from cartwise.operators.windows import scale_per_item
     r = MO.ncf_ratings(invoices(spark, root))
     return scale_per_item(r, "rating", "scaled", MN, 3).select(CU, MN, "scaled")
+
+
+@register("purchased_flag")
+def q_purchased(spark, root):
+    return _als(spark, root, False).select(CU, MN, "purchased")
+
+
+@register("basket_window")
+def q_basket_window(spark, root):
+    from cartwise.plans.queries import q_baskets
+    return q_baskets(spark, root)
