@@ -858,3 +858,77 @@ SQL["purchased_flag"] = _with(ALS_R) + "\nSELECT customernumber, model_number, p
 SQL["basket_window"] = SQL["baskets"]
 
 SQL = {k: _spark_rounding(v) for k, v in SQL.items()}
+
+
+def fallback_tail(ratings: str, top: str, rules: str, p: str) -> str:
+    """Cosine fallback CTEs (prefix ``p``) for an arbitrary ratings/top/rules
+    triple: unmatched customers' first two items with their two neighbours."""
+    return f""",
+{p}bought AS (SELECT customer_area, customernumber, item FROM {ratings} WHERE interaction > 0),
+{p}n AS (SELECT customer_area, item, COUNT(*) AS n FROM {p}bought GROUP BY ALL),
+{p}co AS (
+  SELECT x.customer_area, x.item AS a, y.item AS b, COUNT(*) AS co
+  FROM {p}bought x JOIN {p}bought y ON x.customer_area = y.customer_area
+   AND x.customernumber = y.customernumber AND x.item < y.item GROUP BY ALL),
+{p}sim AS (
+  SELECT c.customer_area, c.a, c.b, c.co / sqrt(CAST(na.n * nb.n AS DOUBLE)) AS sim
+  FROM {p}co c JOIN {p}n na ON c.customer_area = na.customer_area AND c.a = na.item
+               JOIN {p}n nb ON c.customer_area = nb.customer_area AND c.b = nb.item),
+{p}sims AS (SELECT customer_area, a AS item, b AS other, sim FROM {p}sim
+            UNION ALL SELECT customer_area, b, a, sim FROM {p}sim),
+{p}top2 AS (SELECT *, round(sim, 3) AS sim_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_area, item ORDER BY sim DESC, other) AS rank
+  FROM {p}sims) z WHERE rank <= 2),
+{p}na AS (SELECT customer_area, customernumber, COUNT(*) AS n_a FROM {top} GROUP BY ALL),
+{p}ante AS (SELECT DISTINCT customer_area, antecedent, len(antecedent) AS n_b FROM {rules}),
+{p}cand AS (
+  SELECT t.customer_area, t.customernumber, a.antecedent, COUNT(*) AS n_ab, a.n_b
+  FROM {top} t JOIN (SELECT customer_area, antecedent, n_b, unnest(antecedent) AS item FROM {p}ante) a
+    ON t.customer_area = a.customer_area AND t.item = a.item GROUP BY ALL),
+{p}best_ante AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_area, antecedent
+      ORDER BY confidence DESC, lift DESC, array_to_string(consequent, ',')) AS r FROM {rules}) z
+  WHERE r = 1),
+{p}best AS (
+  SELECT * FROM (
+    SELECT c.customer_area, c.customernumber, c.antecedent, b.consequent, b.confidence, b.lift,
+      row_number() OVER (PARTITION BY c.customer_area, c.customernumber
+        ORDER BY CAST(c.n_ab AS DOUBLE) / (na.n_a + c.n_b - c.n_ab) DESC, b.confidence DESC,
+                 b.lift DESC, array_to_string(c.antecedent, ','),
+                 array_to_string(b.consequent, ',')) AS r
+    FROM {p}cand c JOIN {p}na na ON c.customer_area = na.customer_area
+                               AND c.customernumber = na.customernumber
+    JOIN {p}best_ante b ON c.customer_area = b.customer_area AND c.antecedent = b.antecedent) z
+  WHERE r = 1),
+{p}actual AS (SELECT customer_area, customernumber, list(item ORDER BY rn) AS actual_list
+  FROM {top} GROUP BY ALL),
+{p}heads AS (
+  SELECT customer_area, customernumber, unnest(actual_list[1:2]) AS item FROM {p}actual a
+  WHERE NOT EXISTS (SELECT 1 FROM {p}best b WHERE b.customer_area = a.customer_area
+                                             AND b.customernumber = a.customernumber)),
+{p}grp AS (
+  SELECT h.customer_area, h.customernumber, h.item,
+         list(t.other ORDER BY t.rank, t.other) AS sims_list,
+         list(t.sim_score ORDER BY t.rank, t.other) AS score_list
+  FROM {p}heads h JOIN {p}top2 t ON h.customer_area = t.customer_area AND h.item = t.item
+  GROUP BY ALL),
+{p}fallback AS (
+  SELECT customer_area, customernumber, [item] AS actual_products, sims_list AS most_similar_items,
+         score_list AS sim_score,
+         list_filter(list_concat([item], sims_list),
+                     lambda x, i: list_position(list_concat([item], sims_list), x) = i) AS recommend
+  FROM {p}grp)"""
+
+
+SQL["union_bundles"] = _spark_rounding(_with(FLAG_BASE + fallback_tail("fr", "ftop", "rules", "u_")) + """
+SELECT customer_area, customernumber, array_to_string(actual_products, ',') AS actual_products,
+       array_to_string(most_similar_items, ',') AS most_similar_items,
+       array_to_string(recommend, ',') AS recommend, array_to_string(sim_score, ',') AS sim_score,
+       'similarity' AS method
+FROM u_fallback
+UNION ALL
+SELECT customer_area, customernumber, array_to_string(antecedent, ',') AS actual_products,
+       array_to_string(consequent, ',') AS most_similar_items,
+       array_to_string(list_concat(antecedent, consequent), ',') AS recommend,
+       CAST(round(confidence, 6) AS VARCHAR) AS sim_score, 'rule' AS method
+FROM u_best""")

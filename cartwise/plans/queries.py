@@ -115,8 +115,12 @@ _PARTS: dict = {}
 
 
 def parts(spark, root) -> B.BundleParts:
-    """Flagship intermediate frames (lazy; rebuilt per call so plans stay fresh)."""
-    return B.bundle_parts(invoices(spark, root), FLAG_CFG)
+    """Flagship intermediate frames, one lazy set per session and folder, so
+    the registered queries share one FP-growth fit and one cosine run."""
+    key = (id(spark), root, "flag")
+    if key not in _PARTS or _PARTS[key].inv.sparkSession is not spark:
+        _PARTS[key] = B.bundle_parts(invoices(spark, root), FLAG_CFG)
+    return _PARTS[key]
 
 
 # ---------------------------------------------------------------- rules
@@ -202,9 +206,12 @@ SIM_CFG = BundleConfig(as_of=None, item_col="model_number")
 
 
 def sim_parts(spark, root, with_names: bool = True) -> B.BundleParts:
-    inv = invoices(spark, root)
-    prods = D.product_list(inv) if with_names else None
-    return B.bundle_parts(inv, SIM_CFG, prods)
+    key = (id(spark), root, "sim", with_names)
+    if key not in _PARTS or _PARTS[key].inv.sparkSession is not spark:
+        inv = invoices(spark, root)
+        prods = D.product_list(inv) if with_names else None
+        _PARTS[key] = B.bundle_parts(inv, SIM_CFG, prods)
+    return _PARTS[key]
 
 
 def sim_bought(spark, root):

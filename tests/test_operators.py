@@ -137,3 +137,4 @@ def test_same_result_under_any_partitioning(spark):
                           .select("item", "rank", "other", "sim_score").collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert res[0] == res[1]
+
