@@ -138,3 +138,18 @@ def test_same_result_under_any_partitioning(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert res[0] == res[1]
 
+
+
+def test_derived_rules_equal_spark_association_rules(spark):
+    from pyspark.ml.fpm import FPGrowth
+    rows = [(["a", "b", "c"],), (["a", "b"],), (["a", "c"],), (["b", "c", "d"],), (["a", "b", "d"],),
+            (["c", "d"],), (["a", "b", "c", "d"],), (["b"],)]
+    b = spark.createDataFrame(rows, "items array<string>")
+    ours = R.association_rules(b, "items", 0.2, 0.3, None, None)
+    model = FPGrowth(itemsCol="items", minSupport=0.2, minConfidence=0.3).fit(b)
+    theirs = model.associationRules
+
+    def norm(df):
+        return sorted((tuple(sorted(r.antecedent)), tuple(r.consequent), round(r.confidence, 9),
+                       round(r.lift, 9), round(r.support, 9)) for r in df.collect())
+    assert norm(ours) == norm(theirs)
