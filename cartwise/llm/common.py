@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,3 +105,15 @@ def components(nodes: DataFrame, edges: DataFrame, tag: str, max_rounds: int = 6
         raise RuntimeError("components did not converge")
     return nodes.join(labels, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows for the tables written inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
