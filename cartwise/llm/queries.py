@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cartwise.llm import line_dedup, substring_dedup
+from cartwise.llm import line_dedup, packing, sharding, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,25 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(docs, min_chars=40, min_docs=5))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, radius=3)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.digest(substring_dedup.dedup_substrings(docs, width=13))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op5_best_fit_packing,
+                                  op6_simhash_near_dedup, op10_substring_dedup)}
 
 SQL: dict[str, str] = {}
