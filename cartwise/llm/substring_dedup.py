@@ -5,10 +5,11 @@ document, over buckets by their leading bits; each bucket is sorted and gives,
 for every document, the hashes that also start in a smaller ``doc_id``.
 
 A window that ``COMMON`` or more documents of one scan round share is sent to
-its bucket only once, with its smallest document; its other holders stay aside,
-dealt by document, and meet the bucket's answer in a join of plain stored tables,
-which Spark splits where a window is held by a large part of all documents.  The
-hashes of each document then mark its windows; overlapping windows merge into
+its bucket only once, with its smallest document.  What its other holders have is
+set aside with the round; the round's different common windows meet the buckets'
+answers in a join, and the holders are told by round.  So a window that a large
+part of all documents hold makes a row for each round, not for each document.
+The hashes of each document then mark its windows; overlapping windows merge into
 maximal intervals, which are removed.
 
 Hashes have 64 bits; among n different windows about n * n / 2**65 pairs share
@@ -21,6 +22,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +67,7 @@ def by_document(h: np.ndarray, doc: np.ndarray) -> tuple[bytes, bytes, np.ndarra
     return np.diff(ids, prepend=0).astype("<i8").tobytes(), n.astype("<u4").tobytes(), h[order]
 
 
-def _emit(h: np.ndarray, doc: np.ndarray, fine: int):
+def _emit(h: np.ndarray, doc: np.ndarray, fine: int, at_round: int):
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
     new = np.append(True, h[1:] != h[:-1])
@@ -79,7 +81,7 @@ def _emit(h: np.ndarray, doc: np.ndarray, fine: int):
     rows: list[tuple] = []
     if big.any():
         docs, n, found = by_document(h[common], doc[common])
-        rows.append((-1 - int(doc[0]) % 65536, 0, ASIDE, docs, n, found.astype("<u8").tobytes()))
+        rows.append((-1 - at_round, 0, ASIDE, docs, n, found.astype("<u8").tobytes()))
     for kind, hashes, holders in ((PAIRS, h[~common], doc[~common]), (LEAST, h[runs][big], doc[runs][big])):
         # in order of hash already: a slice for each leading byte
         lead = (hashes >> np.uint64(56)).astype(np.int64)
@@ -101,6 +103,7 @@ def _emit(h: np.ndarray, doc: np.ndarray, fine: int):
 def _deal(width: int, fine: int):
     def deal(batches):
         h, doc, held = [], [], 0
+        at_round = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part, texts in B.text_chunks(batch):
                 found, at = windows(texts, width)
@@ -109,10 +112,10 @@ def _deal(width: int, fine: int):
                     doc.append(B.names_of(part.column("doc_id"))[texts.doc[at]])
                 held += len(texts.data)
                 if held >= ROUND_BYTES and h:
-                    yield from _emit(np.concatenate(h), np.concatenate(doc), fine)
-                    h, doc, held = [], [], 0
+                    yield from _emit(np.concatenate(h), np.concatenate(doc), fine, at_round)
+                    h, doc, held, at_round = [], [], 0, at_round + 1
         if h:
-            yield from _emit(np.concatenate(h), np.concatenate(doc), fine)
+            yield from _emit(np.concatenate(h), np.concatenate(doc), fine, at_round)
     return deal
 
 
@@ -131,9 +134,9 @@ def _split(h: np.ndarray, doc: np.ndarray, kind: int) -> pd.DataFrame:
 
 def _answer(key, rows: pd.DataFrame) -> pd.DataFrame:
     """The repeats of a bucket by document; the smallest document of each common
-    window (by document too); what was sent aside, unpacked by document."""
+    window (by document too); what a round has set aside, as it is."""
     if key[0] < 0:
-        return _split(np.concatenate([np.frombuffer(x, "<u8") for x in rows["hashes"]]), _pairs(rows), ASIDE)
+        return rows.assign(doc_id=-1 - key[0])[["kind", "doc_id", "docs", "sizes", "hashes"]]
     out = []
     for lead, own in rows.groupby("lead"):
         kinds = own["kind"].to_numpy()
@@ -149,37 +152,47 @@ def _answer(key, rows: pd.DataFrame) -> pd.DataFrame:
     h, doc, common, least = (np.concatenate(x) for x in zip(*out))
     one = np.lexsort((h, doc))
     h, doc = h[one], doc[one]
-    return pd.concat([_split(h, doc, PAIRS), _split(common, least, LEAST)])
+    return pd.concat([_split(h, doc, PAIRS), _split(common, least, LEAST)]).assign(docs=None, sizes=None)[
+        ["kind", "doc_id", "docs", "sizes", "hashes"]]
 
 
-def _longs(packed: str = "hashes"):
-    """Unpack (doc_id, hashes) to rows (doc_id, hash)."""
-    def unpacked(batches):
-        for batch in batches:
-            held = [np.frombuffer(x, "<i8") for x in batch.column(packed).to_pylist()]
-            for at in range(0, len(held), 16):
-                own = held[at:at + 16]
-                ids = np.repeat(B.names_of(batch.column("doc_id"))[at:at + 16], [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(own), pa.int64())],
-                                                 ["doc_id", "hash"])
-    return unpacked
+def _told(key, rounds: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """For the documents of a round, their common windows held by a smaller id."""
+    if not len(rounds) or not len(known):
+        return _split(np.zeros(0, np.int64), np.zeros(0, np.int64), PAIRS)[["doc_id", "hashes"]]
+    h, doc = np.frombuffer(rounds["hashes"].iloc[0], "<i8"), _pairs(rounds)
+    known = known.sort_values("hash")
+    names, least = known["hash"].to_numpy(), known["least"].to_numpy()
+    again = doc > least[np.searchsorted(names, h)]
+    return _split(h[again], doc[again], PAIRS)[["doc_id", "hashes"]]
+
+
+def _longs(batches):
+    """Unpack (doc_id, hashes) to rows (doc_id, hash), different ones."""
+    for batch in batches:
+        held = [np.unique(np.frombuffer(x, "<i8")) for x in batch.column("hashes").to_pylist()]
+        for at in range(0, len(held), 16):
+            own = held[at:at + 16]
+            ids = np.repeat(B.names_of(batch.column("doc_id"))[at:at + 16], [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(own), pa.int64())],
+                                             ["doc_id", "hash"])
 
 
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, packed): hashes of the windows of each document that also start in
+    """(doc_id, hashes): hashes of the windows of each document that also start in
     a document with a smaller id, as a list of packed arrays."""
     fine = max(1, -(-text_bytes(docs) // (64 * BUCKET_BYTES)))
     answers = materialize(
         docs.select("doc_id", "text").mapInArrow(_deal(width, fine), DEALT)
-        .groupBy("bucket").applyInPandas(_answer, "kind int, doc_id long, hashes binary"), "windows")
+        .groupBy("bucket").applyInPandas(_answer, "kind int, doc_id long, docs binary, sizes binary, hashes binary"), "windows")
     cold = answers.where(F.col("kind") == PAIRS).select("doc_id", "hashes")
-    aside = answers.where(F.col("kind") == ASIDE).select("doc_id", "hashes").mapInArrow(_longs(), "doc_id long, hash long")
-    least = (answers.where(F.col("kind") == LEAST).select("doc_id", "hashes").mapInArrow(_longs(), "doc_id long, hash long")
-             .withColumnRenamed("doc_id", "least"))
-    hot = (aside.join(least, "hash").where("doc_id > least")
-           .groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")))
-    return (cold.groupBy("doc_id").agg(F.collect_list("hashes").alias("cold"))
-            .join(hot, "doc_id", "full"))
+    aside = answers.where(F.col("kind") == ASIDE).withColumnRenamed("doc_id", "round")
+    least, wanted = (answers.where(F.col("kind") == kind).select("doc_id", "hashes").mapInArrow(
+        _longs, "doc_id long, hash long").withColumnRenamed("doc_id", name)
+        for kind, name in ((LEAST, "least"), (ASIDE, "round")))
+    hot = (aside.select("round", "docs", "sizes", "hashes").groupBy("round")
+           .cogroup(wanted.join(least, "hash").groupBy("round")).applyInPandas(_told, "doc_id long, hashes binary"))
+    return cold.union(hot).groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
 
 
 def _remove(width: int):
@@ -188,15 +201,14 @@ def _remove(width: int):
             for part, texts in B.text_chunks(batch):
                 h, at = windows(texts, width)
                 cuts = np.searchsorted(at, texts.first)
-                cold, hot = part.column("__cold").to_pylist(), part.column("__hot").to_pylist()
+                told = part.column("__hashes").to_pylist()
                 kept, n_words, n_removed = [], [], []
                 valid = part.column("text").is_valid().to_pylist()
                 for i in range(len(texts)):
                     a, b = texts.first[i], texts.first[i + 1]
                     keep = np.ones(b - a, bool)
-                    if cold[i] or hot[i]:
-                        known = np.concatenate([*(np.frombuffer(x, "<i8") for x in cold[i] or []),
-                                                np.array(hot[i] or [], np.int64)]).view(np.uint64)
+                    if told[i]:
+                        known = np.concatenate([np.frombuffer(x, "<u8") for x in told[i]])
                         hit = at[cuts[i]:cuts[i + 1]][np.isin(h[cuts[i]:cuts[i + 1]], known)] - a
                         step = np.zeros(b - a + 1, np.int64)
                         np.add.at(step, hit, 1)
@@ -207,7 +219,7 @@ def _remove(width: int):
                     words = texts.data[texts.offsets[i]:texts.offsets[i + 1]].tobytes().split()
                     kept.append(" ".join(w.decode("utf-8", "replace") for w, k in zip(words, keep) if k)
                                 if valid[i] else None)
-                names = [n for n in part.schema.names if n not in ("__cold", "__hot")]
+                names = [n for n in part.schema.names if n != "__hashes"]
                 columns = [pa.array(kept, pa.string()) if n == "text" else part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
@@ -229,12 +241,12 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
     of each other; rows with a null ``doc_id`` lose nothing and count for
     nothing.  An empty table gives an empty table."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "__cold", "__hot")
+    docs = docs.drop("n_words", "n_removed", "__hashes")
     found = repeated_windows(docs.where(F.col("doc_id").isNotNull()), width)
     out = T.StructType([*(f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema),
                         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    wide = docs.join(found.select("doc_id", F.col("cold").alias("__cold"), F.col("hashes").alias("__hot")),
-                     "doc_id", "left").select(*docs.columns, "__cold", "__hot")
+    wide = docs.join(found.select("doc_id", F.col("hashes").alias("__hashes")), "doc_id", "left").select(
+        *docs.columns, "__hashes")
     return wide.mapInArrow(_remove(width), out)
 
 
