@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.llm import decontamination, embedding_dedup, line_dedup, packing, sharding, simhash, substring_dedup
+from cartwise.llm import (decontamination, embedding_dedup, license_scan, line_dedup, packing, sharding, simhash,
+                          substring_dedup, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,15 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, radius=3)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), max_labelled=1_000_000).drop("text")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.digest(substring_dedup.dedup_substrings(docs, width=13))
@@ -46,6 +56,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_benchmark_decontamination,
                                   op4_embedding_near_dedup, op5_best_fit_packing,
-                                  op6_simhash_near_dedup, op10_substring_dedup)}
+                                  op6_simhash_near_dedup, op8_toxicity, op9_license_scan, op10_substring_dedup)}
 
 SQL: dict[str, str] = {}
