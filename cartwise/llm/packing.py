@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from cartwise.llm import bytetext as B
 from cartwise.llm.common import batch_rows, gapless, materialize, small_batches
 
 #: Different chunks whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,27 +35,62 @@ class Encoder:
 
     Valid for tokenizers that never join across white space and lower-case their
     input; ASCII letters are lower-cased first, but not in a text that may hold a
-    special token's string."""
+    special token's string.  A chunk of Latin letters and at most one final mark
+    is put together from its word and the mark, and the word goes to the
+    tokenizer's model at once, if that gives the tokenizer's ids for ``PROBES``."""
+
+    MARKS = ".,;:!?|"
+    PROBES = ("word", "thntblere", "éèçà", "ßkeit", "año", "x", "straße", "ionœuvre")
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
+        self.marks = {m: self.ids_of([m])[0] for m in self.MARKS}
+        # the usual bytes-to-letters table of byte-level models
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.letters = dict(zip([*plain, *(b for b in range(256) if b not in plain)], map(chr, [*plain, *range(256, 324)])))
+        self.direct = all(self.word_ids(p) == q and self.ids_of([p + m])[0] == q + self.marks[m]
+                          for p, q in zip(self.PROBES, self.ids_of(list(self.PROBES))) for m in self.MARKS)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts, self.sizes, self.ids = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint32))
 
+    def ids_of(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def word_ids(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def learn(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        sizes = np.array([len(x) for x in lists], np.int64)
+        found: list = [None] * len(chunks)
+        words: dict[str, list[int]] = {}
+        others = []
+        for i, chunk in enumerate(chunks):
+            text = chunk.decode("utf-8", "replace")
+            word, mark = (text[:-1], text[-1]) if text[-1] in self.marks else (text, "")
+            if self.direct and word.isalpha() and (word.isascii() or (
+                    max(word) < "\u0250" and is_normalized("NFC", word))) and word == word.lower():
+                ids = words.get(word)
+                if ids is None:
+                    at = self.known.get(word.encode()) if mark else None
+                    ids = words[word] = (self.word_ids(word) if at is None else
+                                         self.ids[self.starts[at]:self.starts[at] + self.sizes[at]].tolist())
+                found[i] = ids + self.marks[mark] if mark else ids
+            else:
+                others.append(i)
+        for i, ids in zip(others, self.ids_of([chunks[i].decode("utf-8", "replace") for i in others])):
+            found[i] = ids
+        sizes = np.array([len(x) for x in found], np.int64)
         at = len(self.starts)
         self.known.update(zip(chunks, range(at, at + len(chunks))))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
         self.sizes = np.append(self.sizes, sizes)
-        self.ids = np.append(self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())))
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the places they start."""
