@@ -16,6 +16,8 @@ task's memory is that of two blocks."""
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -88,7 +90,7 @@ def _first_axis(axis: np.ndarray):
 
 
 def _pack(width: int):
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "first"])
         vectors = np.zeros((len(rows), width), np.float64)
         for k, v in enumerate(rows["vector"]):

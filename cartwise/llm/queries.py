@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartwise.llm import (decontamination, embedding_dedup, license_scan, line_dedup, packing, sharding, simhash,
-                          substring_dedup, toxicity)
+from cartwise.llm import (decontamination, embedding_dedup, license_scan, line_dedup, oracle, packing, sharding, simhash,
+                          substring_dedup, toxicity, warc)
+from cartwise.llm.common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,17 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, radius=3)
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages archived, read back from the stored archive, and audited against a
+    replica with faults: a row for each record, with its state."""
+    archive = materialize(warc.write_archive(table(spark, sf_dir, "pages"), per_file=1_000), "warc")
+    replica = materialize(warc.damaged(archive, every=101), "warc-replica")
+    faults = warc.audit(archive, replica, fanout=16).select("file", F.col("node").alias("ordinal"), "state")
+    return (archive.join(faults, ["file", "ordinal"], "left")
+            .select("file", "ordinal", "page_id", "offset", "length", F.sha2("record", 256).alias("record_sha256"),
+                    F.coalesce("state", F.lit("sound")).alias("state")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), max_labelled=1_000_000).drop("text")
@@ -56,6 +69,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_benchmark_decontamination,
                                   op4_embedding_near_dedup, op5_best_fit_packing,
-                                  op6_simhash_near_dedup, op8_toxicity, op9_license_scan, op10_substring_dedup)}
+                                  op6_simhash_near_dedup, op7_warc_fixity, op8_toxicity, op9_license_scan, op10_substring_dedup)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_dedup": oracle.OP1, "op3_benchmark_decontamination": oracle.OP3,
+                       "op4_embedding_near_dedup": oracle.OP4, "op7_warc_fixity": oracle.OP7,
+                       "op10_substring_dedup": oracle.OP10}

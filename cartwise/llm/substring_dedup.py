@@ -18,6 +18,7 @@ one, and then one of the two is taken for a repeat of the other."""
 from __future__ import annotations
 
 import hashlib
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -132,7 +133,7 @@ def _split(h: np.ndarray, doc: np.ndarray, kind: int) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.full(len(ids), kind, np.int32), "doc_id": ids.astype(np.int64), "hashes": held})
 
 
-def _answer(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _answer(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
     """The repeats of a bucket by document; the smallest document of each common
     window (by document too); what a round has set aside, as it is."""
     if key[0] < 0:
@@ -156,7 +157,7 @@ def _answer(key, rows: pd.DataFrame) -> pd.DataFrame:
         ["kind", "doc_id", "docs", "sizes", "hashes"]]
 
 
-def _told(key, rounds: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _told(key: tuple[Any, ...], rounds: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """For the documents of a round, their common windows held by a smaller id."""
     if not len(rounds) or not len(known):
         return _split(np.zeros(0, np.int64), np.zeros(0, np.int64), PAIRS)[["doc_id", "hashes"]]
