@@ -159,6 +159,7 @@ def links(prints: DataFrame, radius: int, parts: int) -> DataFrame:
     """Links (a, b) between different fingerprints ``prints(print)``: enough of
     those within ``radius`` bits to connect all that are connected."""
     near = radius // 2
+    prints = prints.repartition(parts, "print")  # else few tasks would hold all variants
     met = (prints.mapInArrow(_halves(near), "key long, print long").groupBy("key")
            .agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("key"))
     own = prints.select("print", F.explode(F.array(
