@@ -84,11 +84,11 @@ class BundleConfig:
     min_support: float = MIN_SUPPORT
     min_confidence: float = MIN_CONFIDENCE
     min_lift: float = MIN_LIFT
-    max_itemset_freq: int | None = MAX_ITEMSET_FREQ
+    max_itemset_freq: int | None = None  # F15 is an absolute count: off unless asked for
     top_items: int = TOP_ITEMS_PER_CUSTOMER
     neighbours: int = NEIGHBOURS_PER_ITEM
     fallback_items: int = FALLBACK_ITEMS_PER_CUSTOMER
-    rating_cap: float = RATING_CAP
+    rating_cap: float | None = RATING_CAP
     trailing_months: int = TRAILING_MONTHS
     as_of: str | None = None  # ISO date; window ends at the first of its month
     item_col: str = "model_number"

@@ -19,11 +19,8 @@ def customer_item_qty(df: DataFrame, keys: Sequence[str] = (CUST, ITEM),
 
 def customer_item_value(df: DataFrame, keys: Sequence[str] = (CUST, ITEM),
                         value: str = "sales_value", out: str = "turnover") -> DataFrame:
-    """A2: turnover per (customer, item), rounded to cents.  Values are summed
-    as exact decimals (4 places) so the total, and a half-cent rounding tie,
-    do not depend on the order rows arrive in."""
-    total = F.sum(F.col(value).cast("decimal(20,4)"))
-    return df.groupBy(*keys).agg(F.round(total, 2).cast("double").alias(out))
+    """A2: turnover per (customer, item), summed as it is; whoever shows it rounds it."""
+    return df.groupBy(*keys).agg(F.sum(value).alias(out))
 
 
 def item_total(df: DataFrame, keys: Sequence[str] = (ITEM,), col: str = "product_orders",
@@ -33,16 +30,9 @@ def item_total(df: DataFrame, keys: Sequence[str] = (ITEM,), col: str = "product
 
 
 def item_mean(df: DataFrame, keys: Sequence[str] = (ITEM,), col: str = "turnover",
-              out: str = "avg_turnover", money: bool = False) -> DataFrame:
-    """A4: mean over customers per item.  With ``money`` the cent values are
-    averaged as decimals (exact, HALF_UP at 6 places), independent of order."""
-    return df.groupBy(*keys).agg(mean_of(col, money).alias(out))
-
-
-def mean_of(col: str, money: bool = False):
-    if money:
-        return F.avg(F.col(col).cast("decimal(20,2)")).cast("double")
-    return F.avg(col)
+              out: str = "avg_turnover") -> DataFrame:
+    """A4: mean over customers per item."""
+    return df.groupBy(*keys).agg(F.avg(col).alias(out))
 
 
 def active_months(df: DataFrame, cust: str = CUST, out: str = "active_months") -> DataFrame:

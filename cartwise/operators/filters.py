@@ -125,13 +125,8 @@ def positive_only(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col) > 0)
 
 
-def nonzero(df: DataFrame, col: str) -> DataFrame:
-    """keep rows whose denominator is != 0."""
-    return df.where(F.col(col) != 0)
-
-
-def cap_frequency(itemsets: DataFrame, max_freq: int = C.MAX_ITEMSET_FREQ) -> DataFrame:
-    """F15."""
+def cap_frequency(itemsets: DataFrame, max_freq: int) -> DataFrame:
+    """drop itemsets above an absolute count (no default: it grows with the data)."""
     return itemsets.where(F.col("freq") <= max_freq)
 
 

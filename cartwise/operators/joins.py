@@ -8,14 +8,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, stat: DataFrame, keys: Sequence[str],
+                salts: int = SALTS) -> DataFrame:
+    """Inner equi join of detail rows with one row per key.
+
+    An aggregate joined back on its own key brings its partitioning along, and
+    Spark's skew join does not split such a join.  Here each row gets a salt from
+    a hash of all its columns and the (much smaller) stat side is repeated for
+    every salt, so a hot key's rows go to ``salts`` places whatever the plan.
+    Repeating multiplies the stat side by ``salts``; AQE still broadcasts it when
+    it is small."""
+    keys = list(keys)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    every = stat.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(every, [*keys, "_salt"]).drop("_salt")
 
 
 def with_group_stat(df: DataFrame, keys: Sequence[str], stat: Column, out: str) -> DataFrame:
-    """Aggregate per group and join the value back onto every detail row.
-    The aggregate is map-side combined; AQE broadcasts it when small and splits
-    a hot group's partition when not, so no group lands whole in one task."""
-    agg = df.groupBy(*keys).agg(stat.alias(out))
-    return df.join(agg, list(keys))
+    """Aggregate per group (combined before the shuffle) and join the value
+    back onto every detail row; a hot group's rows are salted."""
+    return salted_join(df, df.groupBy(*keys).agg(stat.alias(out)), keys)
 
 
 def resolve_ids(reco: DataFrame, users: DataFrame, items: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise import config as C
+from cartwise.operators.joins import salted_join
 
 
 def _c(col) -> Column:
@@ -58,24 +59,25 @@ def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def raw_rating(df: DataFrame, value_col: str, base: str = "share",
                item_col: str = "model_number", keys: Sequence[str] = ("customer_area",),
-               base_col: str = "avg_order", money: bool = False) -> DataFrame:
+               base_col: str = "avg_order") -> DataFrame:
     """P6/P7 with J4/A3/A4: raw_rating = value / item base, where the base is
     the item's total (``share``) or mean (``mean``) over customers.
 
     The per-item base is a partial (map-side combined) aggregate joined back on
-    the item key; AQE broadcasts it when small and splits a hot item's
-    partition otherwise, so one popular item never lands in one task."""
+    the item key; AQE broadcasts it when small, and the salted join deals the
+    rows of a hot item over several tasks otherwise."""
     group = [*keys, item_col]
-    from cartwise.operators.aggregates import mean_of
-    agg = F.sum(value_col) if base == "share" else mean_of(value_col, money)
+    agg = F.sum(value_col) if base == "share" else F.avg(value_col)
     stat = df.groupBy(*group).agg(agg.alias(base_col)).where(F.col(base_col) != 0)
-    return (df.join(stat, group)
+    return (salted_join(df, stat, group)
             .withColumn("raw_rating", F.col(value_col) / F.col(base_col)))
 
 
-def cap(col, limit: float = C.RATING_CAP) -> Column:
-    """Values above ``limit`` become ``limit`` (null stays null)."""
+def cap(col, limit: float | None = None) -> Column:
+    """Values above ``limit`` become ``limit`` (null stays null; no limit: as is)."""
     c = _c(col)
+    if limit is None:
+        return c
     return F.when(c > limit, F.lit(float(limit))).otherwise(c)
 
 

@@ -2,20 +2,22 @@
 
 Mining uses Spark ML's parallel FP-growth.  Rules are derived from the
 (optionally frequency-capped) itemsets with joins, so the frequency cap and
-per-area support thresholds are exact, and all areas are mined in one fit:
-items are tagged with their area, every area keeps its own minimum count.
+per-area support thresholds are exact.  Areas of about the same size share a fit
+(items are tagged with their area); every area keeps its own minimum count.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise import config as C
+from cartwise.scope import persist
 
 TAG_SEP = "\u001f"  # separates the area tag from the item inside one fit
 
@@ -73,39 +75,62 @@ def association_rules(baskets: DataFrame, items: str = "items",
                       min_confidence: float = C.MIN_CONFIDENCE,
                       min_lift: float | None = C.MIN_LIFT,
                       max_freq: int | None = None) -> DataFrame:
-    """R2/R3 over one pool of baskets."""
-    sets = frequent_itemsets(baskets, min_support, items)
+    """R2/R3 over one pool of baskets; itemsets and rules are mined once."""
+    sets = persist(frequent_itemsets(baskets, min_support, items))
     n = baskets.agg(F.count("*").alias("n_baskets"))
-    return derive_rules(sets, n, min_confidence, min_lift, max_freq)
+    return persist(derive_rules(sets, n, min_confidence, min_lift, max_freq))
+
+
+def fit_groups(needs: dict[str, int], within: float = 2.0) -> list[list[str]]:
+    """Areas whose minimum counts differ by at most the factor ``within``: one fit
+    each, at the smallest count of the group."""
+    groups: list[list[str]] = []
+    for area in sorted(needs, key=lambda a: (needs[a], a)):
+        if groups and needs[area] <= within * needs[groups[-1][0]]:
+            groups[-1].append(area)
+        else:
+            groups.append([area])
+    return groups
+
+
+def area_fits(baskets: DataFrame, sizes: dict[str, int], items: str = "items",
+              area: str = "customer_area", min_support: float = C.MIN_SUPPORT,
+              within: float = 2.0) -> list[tuple[list[str], DataFrame]]:
+    """One FP-growth fit for each group of areas of about the same size: (areas,
+    itemsets with area at the group's smallest minimum count).
+
+    Items are tagged with their basket's area, so an itemset never mixes areas."""
+    needs = {a: math.ceil(min_support * n) for a, n in sizes.items()}
+    fits = []
+    for group in fit_groups(needs, within):
+        own = baskets.where(F.col(area).isin(group)).select(
+            F.transform(items, lambda x: F.concat(F.col(area), F.lit(TAG_SEP), x)).alias("items"))
+        support = (needs[group[0]] - 0.5) / sum(sizes[a] for a in group)
+        sets = frequent_itemsets(own, support, "items").select(
+            F.substring_index(F.col("items")[0], TAG_SEP, 1).alias(area),
+            F.transform("items", lambda x: F.substring_index(x, TAG_SEP, -1)).alias("items"),
+            "freq")
+        fits.append((group, sets))
+    return fits
 
 
 def area_itemsets(baskets: DataFrame, items: str = "items", area: str = "customer_area",
                   min_support: float = C.MIN_SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """R5 mining step: one FP-growth fit over all areas.
+    """R5 mining step: every area at its own count ceil(min_support * n_area).
 
-    Items are tagged with their basket's area, so an itemset never mixes
-    areas; the fit runs at the smallest per-area minimum count and every
-    itemset is then held to its own area's count ceil(min_support * n_area).
+    Areas are mined in groups of about the same size (``area_fits``); what a
+    group's smallest count lets through is then held to each area's own.
     Returns (itemsets with area, basket counts per area).  The only driver
     round trip is the per-area basket count (one row per area)."""
-    counts = baskets.groupBy(area).agg(F.count("*").alias("n_baskets"))
-    rows = counts.collect()
-    if not rows:
+    counts = baskets.where(F.col(area).isNotNull()).groupBy(area).agg(F.count("*").alias("n_baskets"))
+    sizes = {r[area]: r["n_baskets"] for r in counts.collect()}
+    if not sizes:
         empty = baskets.sparkSession.createDataFrame(
             [], f"{area} string, items array<string>, freq bigint")
         return empty, counts
-    total = sum(r["n_baskets"] for r in rows)
-    min_count = min(math.ceil(min_support * r["n_baskets"]) for r in rows)
-    fit_support = (min_count - 0.5) / total
-    tagged = baskets.select(F.transform(items, lambda x: F.concat(F.col(area), F.lit(TAG_SEP), x)
-                                        ).alias("items"))
-    sets = frequent_itemsets(tagged, fit_support, "items")
-    sets = sets.select(
-        F.substring_index(F.col("items")[0], TAG_SEP, 1).alias(area),
-        F.transform("items", lambda x: F.substring_index(x, TAG_SEP, -1)).alias("items"),
-        "freq")
-    need = counts.select(area, "n_baskets")
-    sets = (sets.join(F.broadcast(need), area)  # one row per area: size-bounded
+    fits = [sets for _, sets in area_fits(baskets, sizes, items, area, min_support)]
+    sets = reduce(DataFrame.unionAll, fits)
+    sets = (sets.join(F.broadcast(counts), area)  # one row per area: size-bounded
             .where(F.col("freq") >= F.ceil(F.col("n_baskets") * F.lit(min_support)))
             .select(area, F.array_sort("items").alias("items"), "freq"))
     return sets, counts
@@ -113,11 +138,10 @@ def area_itemsets(baskets: DataFrame, items: str = "items", area: str = "custome
 
 def area_rules(baskets: DataFrame, items: str = "items", area: str = "customer_area",
                min_support: float = C.MIN_SUPPORT, min_confidence: float = C.MIN_CONFIDENCE,
-               min_lift: float | None = C.MIN_LIFT, max_freq: int | None = C.MAX_ITEMSET_FREQ
-               ) -> DataFrame:
-    """Rules of every area in one plan."""
+               min_lift: float | None = C.MIN_LIFT, max_freq: int | None = None) -> DataFrame:
+    """Rules of every area in one plan; itemsets and rules are mined once."""
     sets, counts = area_itemsets(baskets, items, area, min_support)
-    return derive_rules(sets, counts, min_confidence, min_lift, max_freq, keys=[area])
+    return persist(derive_rules(persist(sets), counts, min_confidence, min_lift, max_freq, keys=[area]))
 
 
 # --------------------------------------------------------------------- matching
@@ -137,31 +161,37 @@ def jaccard_candidates(cust_items: DataFrame, rules: DataFrame,
     antecedent sharing at least one item (the only pairs with J > 0), via an
     inverted-index equi-join on the item instead of a customer x rule loop.
 
+    Rows carry both item arrays (a customer's top items and an antecedent are
+    short), a pair is kept at its smallest shared item only, and is scored in its
+    row: no shuffle after the join.
+
     ``cust_items`` has one row per (keys, customer, item)."""
     keys = list(keys)
-    ca = cust_items.select(*keys, cust, item).distinct()
-    na = ca.groupBy(*keys, cust).agg(F.count("*").alias("n_a"))
-    ante = (rules.select(*keys, "antecedent").distinct()
-            .withColumn("n_b", F.size("antecedent")))
-    ante_items = ante.select(*keys, "antecedent", "n_b", F.explode("antecedent").alias(item))
-    overlap = (ca.join(ante_items, [*keys, item])
-               .groupBy(*keys, cust, "antecedent", "n_b").agg(F.count("*").alias("n_ab")))
-    return (overlap.join(na, [*keys, cust])
+    held = cust_items.groupBy(*keys, cust).agg(F.array_sort(F.collect_set(item)).alias("_a"))
+    ca = held.select(*keys, cust, "_a", F.explode("_a").alias(item))
+    ante = rules.select(*keys, "antecedent").distinct()
+    ante_items = ante.select(*keys, "antecedent", F.explode("antecedent").alias(item))
+    n_ab = F.size(F.array_intersect("_a", "antecedent"))
+    pairs = (ca.join(ante_items, [*keys, item])
+             .where(F.col(item) == F.array_min(F.array_intersect("_a", "antecedent"))))
+    return (pairs.select(*keys, cust, "antecedent", n_ab.cast("long").alias("n_ab"),
+                         F.size("_a").cast("long").alias("n_a"), F.size("antecedent").alias("n_b"))
             .withColumn("jaccard", F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab"))))
 
 
 def best_rule(candidates: DataFrame, rules: DataFrame, keys: Sequence[str] = ("customer_area",),
               cust: str = "customernumber") -> DataFrame:
     """Per customer the rule of highest Jaccard; ties by confidence, lift
-    (desc), antecedent text, consequent text (asc)."""
+    (desc), antecedent text, consequent text (asc).  A minimum over the whole
+    order, combined before the shuffle."""
     keys = list(keys)
     best = best_rule_per_antecedent(rules, keys)
-    scored = candidates.join(best, [*keys, "antecedent"])
-    w = Window.partitionBy(*keys, cust).orderBy(
-        F.desc("jaccard"), F.desc("confidence"), F.desc("lift"),
-        F.asc(F.concat_ws(",", "antecedent")), F.asc(F.concat_ws(",", "consequent")))
-    return (scored.where(F.col("jaccard") > 0)
-            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r"))
+    scored = candidates.join(best, [*keys, "antecedent"]).where(F.col("jaccard") > 0)
+    order = F.struct(-F.col("jaccard"), -F.col("confidence"), -F.col("lift"),
+                     F.concat_ws(",", "antecedent"), F.concat_ws(",", "consequent"))
+    kept = [c for c in scored.columns if c not in (*keys, cust)]
+    return (scored.groupBy(*keys, cust).agg(F.min_by(F.struct(*kept), order).alias("_b"))
+            .select(*keys, cust, *(F.col(f"_b.{c}").alias(c) for c in kept)))
 
 
 def match_rules(top: DataFrame, actual: DataFrame, rules: DataFrame,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwise.operators.joins import salted_join
+
 
 def top_items(df: DataFrame, k: int, keys: Sequence[str], score: str, item: str,
               rank_col: str = "row") -> DataFrame:
@@ -41,11 +43,11 @@ def baskets(df: DataFrame, keys: Sequence[str] = ("customernumber", "sales_recei
 def scale_per_item(df: DataFrame, col: str, out: str, item: str = "model_number",
                    digits: int = 3) -> DataFrame:
     """(r - (min - 1)) / (max - (min - 1)) within each item, rounded.
-    Per-item bounds are a partial aggregate joined back (a hot item is split
-    by AQE), not an unbounded window over one item's rows."""
+    Per-item bounds are a partial aggregate joined back (a hot item's rows are
+    salted), not an unbounded window over one item's rows."""
     stats = df.groupBy(item).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     base = F.col("_mn") - 1
-    return (df.join(stats, item)
+    return (salted_join(df, stats, [item])
             .withColumn(out, F.round((F.col(col) - base) / (F.col("_mx") - base), digits))
             .drop("_mn", "_mx"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from cartwise.operators import rules as R
 from cartwise.operators import similarity as S
 from cartwise.operators.windows import baskets, ranked_list, top_items
 from cartwise.plans import dataset as D
+from cartwise.scope import persist
 
 AREA, CUST = "customer_area", "customernumber"
 
@@ -45,7 +45,7 @@ class BundleParts:
         """Read by the top-k, matching and cosine branches: persisted once
         (memory and disk; lost blocks are recomputed from lineage)."""
         r = D.customer_ratings(self.inv, item=self.item, cap=self.cfg.rating_cap)
-        return r.persist(StorageLevel.MEMORY_AND_DISK)
+        return persist(r)
 
     @cached_property
     def top(self) -> DataFrame:
@@ -62,8 +62,8 @@ class BundleParts:
     @cached_property
     def baskets(self) -> DataFrame:
         src = FL.exclude_families(self.inv, self.cfg.excluded_families)
-        return (baskets(src, (AREA, CUST, "sales_receipt"), self.item)
-                .withColumnRenamed(self.item, "items"))
+        return persist(baskets(src, (AREA, CUST, "sales_receipt"), self.item)
+                       .withColumnRenamed(self.item, "items"))  # counted and mined
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -76,7 +76,7 @@ class BundleParts:
         """One row per matched customer; read by the rule bundles and by the
         unmatched split, so it is persisted (small: bounded by customers)."""
         m = R.match_rules(self.top, self.actual, self.rules, [AREA], CUST, "item")
-        return m.persist(StorageLevel.MEMORY_AND_DISK)
+        return persist(m)
 
     @cached_property
     def unmatched(self) -> DataFrame:
@@ -87,7 +87,7 @@ class BundleParts:
         bought = S.purchases(self.ratings, [AREA], CUST, self.item,
                              use_raw=self.cfg.use_raw_purchases)
         top = S.top_similar(S.item_cosine(bought, [AREA], CUST), self.cfg.neighbours, [AREA])
-        return top.persist(StorageLevel.MEMORY_AND_DISK)  # k rows per item
+        return persist(top)  # k rows per item
 
     @cached_property
     def fallback(self) -> DataFrame:

@@ -158,7 +158,7 @@ def baskets_cte(src: str, item_expr: str, keys: list[str], name: str = "bask",
                 extra_where: str = "TRUE") -> str:
     k = keycols(keys)
     return f""",
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT {k}customernumber, sales_receipt, list_sort(list(DISTINCT item)) AS items
   FROM (SELECT {k}customernumber, sales_receipt, {item_expr} AS item FROM {src}
         WHERE {item_expr} IS NOT NULL AND {extra_where}) z
@@ -166,18 +166,23 @@ def baskets_cte(src: str, item_expr: str, keys: list[str], name: str = "bask",
 )"""
 
 
+SEP = "chr(31)"
+
+
 def itemsets_cte(bask: str, keys: list[str], min_support: float, name: str = "sets") -> str:
-    """Exact frequent itemsets: every subset of every basket, counted."""
+    """Exact frequent itemsets: every subset of every basket, counted.  ``skey`` is
+    the itemset as text, by which rules are joined."""
     k = keycols(keys)
     return f""",
-{name}_n AS (SELECT {k}COUNT(*) AS n_baskets FROM {bask} GROUP BY ALL),
+{name}_n AS MATERIALIZED (SELECT {k}COUNT(*) AS n_baskets FROM {bask} GROUP BY ALL),
 {name}_sub AS (
   SELECT {k}list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items
   FROM (SELECT {k}items, unnest(range(1, (1 << len(items)))) AS m FROM {bask}) z
 ),
-{name}_c AS (SELECT {k}items, COUNT(*) AS freq FROM {name}_sub GROUP BY ALL),
-{name} AS (
-  SELECT {keycols(keys, 'c')}c.items, c.freq
+{name}_c AS (SELECT {k}array_to_string(items, {SEP}) AS skey, ANY_VALUE(items) AS items, COUNT(*) AS freq
+  FROM {name}_sub GROUP BY {k}skey),
+{name} AS MATERIALIZED (
+  SELECT {keycols(keys, 'c')}c.items, c.skey, c.freq
   FROM {name}_c c JOIN {name}_n n ON {keyjoin(keys, 'n', 'c')}
   WHERE c.freq >= ceil(CAST({min_support} AS DOUBLE) * n.n_baskets)
 )"""
@@ -189,21 +194,22 @@ def rules_cte(sets: str, keys: list[str], min_conf: float, min_lift: float | Non
     cap = f"WHERE freq <= {max_freq}" if max_freq is not None else ""
     lift = f"AND lift >= {min_lift}" if min_lift is not None else ""
     return f""",
-{name}_s AS (SELECT {k}items[1] AS c, freq AS freq_c FROM {sets} WHERE len(items) = 1),
+{name}_s AS (SELECT {k}skey AS c, freq AS freq_c FROM {sets} WHERE len(items) = 1),
 {name}_cap AS (SELECT * FROM {sets} {cap}),
-{name}_b AS (SELECT {k}items, freq, unnest(items) AS c FROM {name}_cap WHERE len(items) >= 2),
+{name}_u AS (SELECT {k}items, freq, unnest(items) AS c FROM {name}_cap WHERE len(items) >= 2),
+{name}_b AS MATERIALIZED (SELECT {k}freq, c, list_filter(items, lambda x: x <> c) AS antecedent,
+  array_to_string(list_filter(items, lambda x: x <> c), {SEP}) AS akey FROM {name}_u),
 {name}_all AS (
-  SELECT {keycols(keys, 'b')}list_filter(b.items, lambda x: x <> b.c) AS antecedent,
-         [b.c] AS consequent,
+  SELECT {keycols(keys, 'b')}b.antecedent, [b.c] AS consequent,
          CAST(b.freq AS DOUBLE) / a.freq AS confidence,
          (CAST(b.freq AS DOUBLE) / a.freq) / (CAST(s.freq_c AS DOUBLE) / n.n_baskets) AS lift,
          CAST(b.freq AS DOUBLE) / n.n_baskets AS support
   FROM {name}_b b
-  JOIN {name}_cap a ON {keyjoin(keys, 'a', 'b')} AND a.items = list_filter(b.items, lambda x: x <> b.c)
+  JOIN {name}_cap a ON {keyjoin(keys, 'a', 'b')} AND a.skey = b.akey
   JOIN {name}_s s ON {keyjoin(keys, 's', 'b')} AND s.c = b.c
   JOIN {sets}_n n ON {keyjoin(keys, 'n', 'b')}
 ),
-{name} AS (SELECT * FROM {name}_all WHERE confidence >= {min_conf} {lift})"""
+{name} AS MATERIALIZED (SELECT * FROM {name}_all WHERE confidence >= {min_conf} {lift})"""
 
 
 NAME_ITEM = "split_part(product_name, ':', 1)"
@@ -237,7 +243,7 @@ SELECT array_to_string(items, ',') AS items, freq FROM sets WHERE freq <= 900"""
 FLAG_BASE = (WINDOWED + ratings_cte("win", NAME_ITEM, "fr") + top_cte("fr", 10, "ftop")
              + baskets_cte("win", NAME_ITEM, ["customer_area"])
              + itemsets_cte("bask", ["customer_area"], 0.001)
-             + rules_cte("sets", ["customer_area"], 0.5, 1.0, 2000))
+             + rules_cte("sets", ["customer_area"], 0.5, 1.0, None))
 
 SQL["all_area_rules"] = _with(FLAG_BASE) + _RULE_OUT.format(k="customer_area, ")
 
@@ -306,7 +312,7 @@ FROM actual a LEFT JOIN best b
 SIM_BASE = (INVOICE + ratings_cte("invoice", "model_number", "sr") + top_cte("sr", 10, "stop")
             + baskets_cte("invoice", "model_number", ["customer_area"], "sbask")
             + itemsets_cte("sbask", ["customer_area"], 0.001, "ssets")
-            + rules_cte("ssets", ["customer_area"], 0.5, 1.0, 2000, "srules") + """,
+            + rules_cte("ssets", ["customer_area"], 0.5, 1.0, None, "srules") + """,
 bought AS (SELECT customer_area, customernumber, item FROM sr WHERE interaction > 0),
 n_items AS (SELECT customer_area, item, COUNT(*) AS n FROM bought GROUP BY ALL),
 co AS (
@@ -444,14 +450,11 @@ def sround(expr: str, n: int) -> str:
     return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 24)), {n}) AS DOUBLE)"
 
 
-def money_avg(col: str) -> str:
-    """Exact HALF_UP mean of cent values at 6 places, as Spark's decimal average."""
-    cents = f"SUM(CAST(round({col} * 100) AS BIGINT))"
-    return (f"CAST(({cents} * 20000 + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) "
-            f"/ CAST(1000000 AS DOUBLE)")
-
+def snap(expr: str, n: int) -> str:
+    """Half-up rounding of a sum or mean of amounts whose noise beyond eight places
+    is cut off."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(28, 8)), {n}) AS DOUBLE)"
 
-MAVG = money_avg("turnover")
 
 CA_LIST = "customer_area, customernumber"
 
@@ -532,10 +535,10 @@ SQL["drop_columns"] = f"""SELECT CAST(p_partkey AS VARCHAR) AS s_p_product_numbe
 QTY = INVOICE + """,
 qty AS (SELECT customer_area, customernumber, model_number, SUM(soldnumber) AS product_orders
   FROM invoice GROUP BY ALL HAVING SUM(soldnumber) > 0),
-turn AS (SELECT customer_area, customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover
+turn AS (SELECT customer_area, customernumber, model_number, SUM(sales_value) AS turnover
   FROM invoice GROUP BY ALL),
 turnp AS (SELECT * FROM turn WHERE turnover > 0),
-turn_mean AS (SELECT * FROM (SELECT customer_area, model_number, """ + MAVG + """ AS avg_turnover
+turn_mean AS (SELECT * FROM (SELECT customer_area, model_number, AVG(turnover) AS avg_turnover
   FROM turnp GROUP BY ALL) z WHERE avg_turnover <> 0),
 mean_r AS (SELECT t.*, m.avg_turnover, t.turnover / m.avg_turnover AS raw_rating
   FROM turnp t JOIN turn_mean m USING (customer_area, model_number))"""
@@ -545,7 +548,7 @@ SELECT q.customer_area, q.customernumber, q.model_number,
 FROM qty q JOIN (SELECT customer_area, model_number, SUM(product_orders) AS tot FROM qty
                  GROUP BY ALL HAVING SUM(product_orders) <> 0) t USING (customer_area, model_number)"""
 SQL["mean_rating"] = _with(QTY) + """
-SELECT customer_area, customernumber, model_number, turnover, round(avg_turnover, 6) AS avg_turnover,
+SELECT customer_area, customernumber, model_number, """ + snap("turnover", 4) + """ AS turnover, """ + snap("avg_turnover", 6) + """ AS avg_turnover,
        round(raw_rating, 6) AS raw_rating FROM mean_r"""
 SQL["cap_outlier"] = _with(QTY) + """
 SELECT customer_area, customernumber, model_number,
@@ -612,14 +615,15 @@ SELECT customer_area, customernumber, round(jaccard, 6) AS jaccard FROM best"""
 SQL["orders_per_item"] = _with(INVOICE) + """
 SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice GROUP BY ALL"""
 SQL["turnover_per_item"] = _with(INVOICE) + f"""
-SELECT customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover FROM invoice GROUP BY ALL"""
+SELECT customernumber, model_number, {snap("SUM(sales_value)", 4)} AS turnover FROM invoice
+GROUP BY customernumber, model_number"""
 SQL["item_total"] = _with(INVOICE) + """
 SELECT model_number, SUM(product_orders) AS avg_order FROM (
   SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice GROUP BY ALL) z
 GROUP BY model_number"""
 SQL["item_mean"] = _with(INVOICE) + f"""
-SELECT model_number, {MAVG} AS avg_turnover FROM (
-  SELECT customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover FROM invoice
+SELECT model_number, {snap("AVG(turnover)", 6)} AS avg_turnover FROM (
+  SELECT customernumber, model_number, SUM(sales_value) AS turnover FROM invoice
   GROUP BY ALL) z GROUP BY model_number"""
 SQL["active_months"] = _with(INVOICE) + """
 SELECT customernumber, COUNT(DISTINCT CAST(sales_year AS VARCHAR) || '-' || CAST(sales_month AS VARCHAR))
@@ -658,10 +662,10 @@ FROM invoice i JOIN (SELECT customernumber, SUM(sales_value) AS tot FROM invoice
   USING (customernumber)"""
 
 ALS_R = INVOICE + f""",
-als_t AS (SELECT customernumber, model_number, CAST(round(SUM(CAST(sales_value AS DECIMAL(20, 4))), 2) AS DOUBLE) AS turnover
+als_t AS (SELECT customernumber, model_number, SUM(sales_value) AS turnover
   FROM invoice WHERE customer_area = 'Metal' AND model_number IS NOT NULL GROUP BY ALL),
 als_p AS (SELECT * FROM als_t WHERE turnover > 0),
-als_m AS (SELECT * FROM (SELECT model_number, {MAVG} AS avg_turnover FROM als_p GROUP BY ALL) z
+als_m AS (SELECT * FROM (SELECT model_number, AVG(turnover) AS avg_turnover FROM als_p GROUP BY ALL) z
   WHERE avg_turnover <> 0),
 als_r AS (SELECT p.*, m.avg_turnover, p.turnover / m.avg_turnover AS raw_rating, 1 AS purchased,
   CASE WHEN p.turnover / m.avg_turnover > 10.0 THEN 10.0 ELSE p.turnover / m.avg_turnover END AS rating
@@ -678,7 +682,7 @@ als AS (
   FROM als_r r CROSS JOIN als_s s JOIN als_c c USING (customernumber) JOIN als_i i USING (model_number)
 )"""
 SQL["als_ratings"] = _with(ALS_R) + """
-SELECT customernumber, model_number, turnover, round(avg_turnover, 6) AS avg_turnover,
+SELECT customernumber, model_number, """ + snap("turnover", 4) + """ AS turnover, """ + snap("avg_turnover", 6) + """ AS avg_turnover,
   round(raw_rating, 6) AS raw_rating, purchased, round(rating, 6) AS rating,
   round(std_scaled_rating, 6) AS std_scaled_rating, round(minmax_scaled_rating, 6) AS minmax_scaled_rating,
   customer_id, product_id FROM als"""
@@ -810,10 +814,10 @@ SQL["actual_vs_predicted"] = _with(MARKS) + """
 SELECT customernumber, CAST(level AS INTEGER) AS level, node, status FROM marks"""
 SQL["pruned_tree"] = _with(MARKS) + """
 SELECT m.customernumber, t.parent, t.child, CAST(t.level AS INTEGER) AS level
-FROM tree t JOIN marks m ON t.parent = m.node"""
+FROM tree t JOIN marks m ON t.parent = m.node AND t.level = m.level + 1"""
 SQL["marked_links"] = _with(MARKS) + """
 SELECT m.customernumber, t.parent, t.child, CAST(t.level AS INTEGER) AS level, m.status
-FROM tree t JOIN marks m ON t.child = m.node"""
+FROM tree t JOIN marks m ON t.child = m.node AND t.level = m.level"""
 SQL["area_recommendations"] = _with(SIM_BASE) + f"""
 SELECT customer_area, customernumber,
   {_DESC.format(a='actual_products', b='most_similar_items', c='recommend')} AS description,

@@ -7,8 +7,8 @@ result can be compared value by value with the SQL oracle."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from cartwise.operators import rules as R
 from cartwise.operators.windows import baskets, top_items
 from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
+from cartwise.scope import hold, once, persist, scope
 from cartwise.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,11 @@ QUERIES: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, root: str) -> DataFrame:
+            with scope() as own:
+                return hold(fn(spark, root), own)
+        QUERIES[name] = run
         return fn
     return deco
 
@@ -36,19 +41,17 @@ def r6(col: str) -> F.Column:
     return F.round(F.col(col), 6).alias(col)
 
 
-# ---------------------------------------------------------------- building blocks
-_INVOICE_CACHE: dict = {}
+def money(col: str, digits: int = 6) -> F.Column:
+    """Half-up rounding of sums and means of amounts, free of the order of summing:
+    noise beyond eight places is cut off first."""
+    return F.round(F.col(col).cast("decimal(28,8)"), digits).cast("double").alias(col)
 
 
+# ---------------------------------------------------------------- building blocks
 def invoices(spark: SparkSession, root: str) -> DataFrame:
-    """The invoice fact of ``root``, built once per session and persisted
-    (memory and disk; lost blocks are recomputed from lineage)."""
-    key = (id(spark), root)
-    inv = _INVOICE_CACHE.get(key)
-    if inv is None or inv.sparkSession is not spark:
-        inv = D.build_invoices(TD.sources(spark, root)).persist(StorageLevel.MEMORY_AND_DISK)
-        _INVOICE_CACHE[key] = inv
-    return inv
+    """The invoice fact of ``root``: one lazy plan, so that filters on it reach the
+    scans.  What a query reads several times it persists further on."""
+    return once(("invoices", root), lambda: D.build_invoices(TD.sources(spark, root)))
 
 
 def window(spark: SparkSession, root: str) -> DataFrame:
@@ -97,8 +100,8 @@ FLAG_CFG = BundleConfig(as_of=TD.AS_OF, item_col="product_name")
 
 def pooled_baskets(spark, root):
     inv = invoices(spark, root).withColumn("item", name_prefix("product_name"))
-    return baskets(inv, ("customernumber", "sales_receipt"), "item").withColumnRenamed(
-        "item", "items")
+    return persist(baskets(inv, ("customernumber", "sales_receipt"), "item").withColumnRenamed(
+        "item", "items"))
 
 
 def pooled_rules(spark, root, min_conf=0.05, min_lift=1.0, max_freq=None):
@@ -111,16 +114,9 @@ def rule_out(df, keys=()):
                      r6("support"))
 
 
-_PARTS: dict = {}
-
-
 def parts(spark, root) -> B.BundleParts:
-    """Flagship intermediate frames, one lazy set per session and folder, so
-    the registered queries share one FP-growth fit and one cosine run."""
-    key = (id(spark), root, "flag")
-    if key not in _PARTS or _PARTS[key].inv.sparkSession is not spark:
-        _PARTS[key] = B.bundle_parts(invoices(spark, root), FLAG_CFG)
-    return _PARTS[key]
+    """Intermediate frames of the windowed run, shared within one query."""
+    return once(("parts", root), lambda: B.bundle_parts(invoices(spark, root), FLAG_CFG))
 
 
 # ---------------------------------------------------------------- rules
@@ -192,13 +188,13 @@ def q_bundle_by_rule(spark, root):
 
 @register("match_split")
 def q_match_split(spark, root):
+    from cartwise.operators.filters import split_matched
     p = parts(spark, root)
-    m = p.matched.select("customer_area", "customernumber", F.lit(True).alias("matched"))
-    return (p.actual.join(m, ["customer_area", "customernumber"], "left")
-            .select("customer_area", "customernumber",
-                    F.coalesce("matched", F.lit(False)).alias("matched")))
-
-
+    every = p.actual.join(p.matched.select("customer_area", "customernumber", "confidence"),
+                          ["customer_area", "customernumber"], "left")
+    matched, rest = split_matched(every)
+    return (matched.select("customer_area", "customernumber", F.lit(True).alias("matched"))
+            .unionByName(rest.select("customer_area", "customernumber", F.lit(False).alias("matched"))))
 
 
 # ---------------------------------------------------------------- similarity
@@ -206,12 +202,10 @@ SIM_CFG = BundleConfig(as_of=None, item_col="model_number")
 
 
 def sim_parts(spark, root, with_names: bool = True) -> B.BundleParts:
-    key = (id(spark), root, "sim", with_names)
-    if key not in _PARTS or _PARTS[key].inv.sparkSession is not spark:
+    def build():
         inv = invoices(spark, root)
-        prods = D.product_list(inv) if with_names else None
-        _PARTS[key] = B.bundle_parts(inv, SIM_CFG, prods)
-    return _PARTS[key]
+        return B.bundle_parts(inv, SIM_CFG, D.product_list(inv) if with_names else None)
+    return once(("sim", root, with_names), build)
 
 
 def sim_bought(spark, root):
@@ -259,9 +253,9 @@ def q_neighbour_join(spark, root):
 @register("name_lookup")
 def q_name_lookup(spark, root):
     from cartwise.operators import similarity as S
-    inv = invoices(spark, root)
-    p = B.bundle_parts(inv, SIM_CFG)
-    rows = S.attach_names(S.head_neighbours(p.unmatched, p.neighbours), D.product_list(inv))
+    p = sim_parts(spark, root, False)
+    rows = S.attach_names(S.head_neighbours(p.unmatched, p.neighbours),
+                          D.product_list(invoices(spark, root)))
     return rows.select("customer_area", "customernumber", "item", "other",
                        "actual_product_name", "similar_product_name")
 

@@ -13,7 +13,7 @@ from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
 from cartwise.plans import models as MO
 from cartwise.plans.queries import (
-    SIM_CFG, arr, bundles_out, invoices, parts, pooled_rules, r6, register,
+    bundles_out, invoices, parts, pooled_rules, r6, register, sim_parts,
 )
 
 CU, MN = "customernumber", "model_number"
@@ -22,8 +22,9 @@ _MODEL_CACHE: dict = {}
 
 def als(spark, root):
     """ALS pipeline at the fixed settings, fitted once per session and folder."""
-    key = (id(spark), root)
+    key = (spark.sparkContext.applicationId, root)
     if key not in _MODEL_CACHE:
+        _MODEL_CACHE.clear()  # models of an ended session are dead
         _MODEL_CACHE[key] = MO.als_pipeline(invoices(spark, root))
     return _MODEL_CACHE[key]
 
@@ -205,7 +206,7 @@ def q_paths(spark, root):
 
 
 def _marks(spark, root):
-    p = B.bundle_parts(invoices(spark, root), SIM_CFG)
+    p = sim_parts(spark, root, False)
     actual = p.top.select(CU, F.col("item").alias(MN))
     predicted = (p.top.join(p.neighbours.select("customer_area", "item", "other"),
                             ["customer_area", "item"])
@@ -235,5 +236,4 @@ def q_union(spark, root):
 
 @register("area_recommendations")
 def q_area_view(spark, root):
-    from cartwise.plans.queries import sim_parts
     return G.area_view(B.union_bundles(sim_parts(spark, root, False)), "Metal")

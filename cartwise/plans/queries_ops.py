@@ -17,7 +17,7 @@ from cartwise.operators.windows import ranked_list
 from cartwise.plans import dataset as D
 from cartwise.plans import models as MO
 from cartwise.plans.queries import (
-    FLAG_CFG, arr, invoices, parts, pooled_baskets, pooled_rules, r6, register, sim_parts,
+    FLAG_CFG, arr, invoices, money, parts, pooled_baskets, pooled_rules, r6, register, sim_parts,
     top10, window,
 )
 from cartwise.session import CHECKPOINT_CONF
@@ -28,7 +28,7 @@ CA, CU, MN = "customer_area", "customernumber", "model_number"
 
 
 def scratch(spark, tag: str) -> str:
-    """A fresh folder under the shared checkpoint location (never machine-local)."""
+    """A fresh folder under the shared checkpoint location."""
     return f"{spark.conf.get(CHECKPOINT_CONF)}/cartwise-{tag}-{uuid.uuid4().hex}"
 
 
@@ -273,15 +273,13 @@ def _turnover(spark, root):
 
 @register("mean_rating")
 def q_mean_rating(spark, root):
-    r = PR.raw_rating(_turnover(spark, root), "turnover", "mean", MN, [CA], "avg_turnover",
-                      money=True)
-    return r.select(CA, CU, MN, "turnover", r6("avg_turnover"), r6("raw_rating"))
+    r = PR.raw_rating(_turnover(spark, root), "turnover", "mean", MN, [CA], "avg_turnover")
+    return r.select(CA, CU, MN, money("turnover", 4), money("avg_turnover"), r6("raw_rating"))
 
 
 @register("cap_outlier")
 def q_cap_outlier(spark, root):
-    r = PR.raw_rating(_turnover(spark, root), "turnover", "mean", MN, [CA], "avg_turnover",
-                      money=True)
+    r = PR.raw_rating(_turnover(spark, root), "turnover", "mean", MN, [CA], "avg_turnover")
     return r.select(CA, CU, MN, F.round(PR.cap("raw_rating", 2.0), 6).alias("rating"))
 
 
@@ -330,7 +328,8 @@ def q_concat_month(spark, root):
 
 @register("rule_string")
 def q_rule_string(spark, root):
-    return pooled_rules(spark, root).select(arr("antecedent"), arr("consequent"), "rules")
+    return pooled_rules(spark, root).select(
+        arr("antecedent"), arr("consequent"), X.rule_text("antecedent", "consequent").alias("rules"))
 
 
 @register("list_text")
@@ -392,7 +391,7 @@ def q_round_n(spark, root):
 @register("array_set_sorted")
 def q_sorted_set(spark, root):
     inv = invoices(spark, root)
-    g = inv.groupBy("sales_receipt").agg(X.sorted_set(F.collect_list("product_name")).alias("s"))
+    g = inv.groupBy("sales_receipt").agg(X.sorted_set(F.collect_set("product_name")).alias("s"))
     return g.select("sales_receipt", arr("s"), F.size("s").alias("n"))
 
 
@@ -450,7 +449,7 @@ def q_orders_per_item(spark, root):
 
 @register("turnover_per_item")
 def q_turnover_per_item(spark, root):
-    return A.customer_item_value(invoices(spark, root))
+    return A.customer_item_value(invoices(spark, root)).select(CU, MN, money("turnover", 4))
 
 
 @register("item_total")
@@ -460,8 +459,8 @@ def q_item_total(spark, root):
 
 @register("item_mean")
 def q_item_mean(spark, root):
-    m = A.item_mean(A.customer_item_value(invoices(spark, root)), money=True)
-    return m.select(MN, r6("avg_turnover"))
+    m = A.item_mean(A.customer_item_value(invoices(spark, root)))
+    return m.select(MN, money("avg_turnover"))
 
 
 @register("active_months")
@@ -547,7 +546,7 @@ def _als(spark, root, index=True):
 @register("als_ratings")
 def q_als_ratings(spark, root):
     r = _als(spark, root)
-    return r.select(CU, MN, "turnover", r6("avg_turnover"), r6("raw_rating"), "purchased",
+    return r.select(CU, MN, money("turnover", 4), money("avg_turnover"), r6("raw_rating"), "purchased",
                     r6("rating"), r6("std_scaled_rating"), r6("minmax_scaled_rating"),
                     "customer_id", "product_id")
 

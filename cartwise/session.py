@@ -32,13 +32,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_scratch: list[tempfile.TemporaryDirectory] = []  # removed when the process ends
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch folder.  Also hands it to the SparkContext so
-    iterative ML (ALS) and ``DataFrame.checkpoint`` cut their lineage there."""
+    """The cluster's shared ``spark.checkpoint.dir``, handed to the SparkContext so
+    iterative ML (ALS) and ``DataFrame.checkpoint`` cut their lineage there.
+
+    Only a local master may go without the setting: it gets a temporary folder,
+    removed at exit.  On a cluster executors could not see such a folder, so its
+    absence is an error."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
-        path = tempfile.mkdtemp(prefix="cartwise-ckpt-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        _scratch.append(tempfile.TemporaryDirectory(prefix="cartwise-ckpt-", ignore_cleanup_errors=True))
+        path = _scratch[-1].name
         spark.conf.set(CHECKPOINT_CONF, path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
