@@ -8,7 +8,6 @@ Every public function takes and returns a ``pyspark.sql.DataFrame`` (or a
 * ``operators`` - DataFrame-level operators (filters, joins, aggregates,
                   windows, rules, similarity, factorisation, graph tables)
 * ``plans``     - composed pipelines (invoice build, ratings, bundles)
-* ``streaming`` - incremental (Structured Streaming) variants
 """
 
 from cartwise.config import BundleConfig  # noqa: F401

@@ -62,9 +62,6 @@ ALS_AREA = "Metal"
 ALS_TRAIN_FRACTION = 0.7
 # Neural factorisation (re-aimed as a factorisation machine).
 NCF_FACTORS = 32
-NCF_LEARNING_RATE = 0.0001
-NCF_BATCH = 128
-NCF_EPOCHS = 30
 NCF_TRAIN_FRACTION = 0.8
 NCF_MIN_MONTHS = 5
 NCF_MIN_ITEMS = 5

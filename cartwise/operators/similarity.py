@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise import config as C
+from cartwise.operators.joins import salted_join
+from cartwise.scope import persist
 
 DEFAULT_CHUNK = 1024
 
@@ -31,57 +33,76 @@ def purchases(ratings: DataFrame, keys: Sequence[str] = ("customer_area",),
     return g.drop("_v")
 
 
-def co_purchase(bought: DataFrame, keys: Sequence[str] = ("customer_area",),
-                cust: str = "customernumber", chunk: int = DEFAULT_CHUNK,
-                with_counts: bool = False) -> DataFrame:
-    """Number of shared customers for every item pair a < b (keys, a, b, co).
-
-    With ``with_counts`` the buyer counts n_a, n_b ride along: they are
-    attached to the (customer, item) rows before the self join and kept in the
-    pair aggregation key (they are functions of the item), so the large pair
-    table is never joined again."""
-    keys = list(keys)
+def item_ids(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, item, _id, _n): a whole number and the number of buyers of each item
+    of a group.  Numbers come from a range-partitioned sort (row numbers within
+    partitions of a hash), so they fit in 32 bits and don't depend on run order."""
+    counts = bought.groupBy(*keys, "item").agg(F.count("*").alias("_n"))
+    buckets = 64  # a bucket's items are numbered in order; bucket b takes b, b + 64, ...
+    of = F.pmod(F.xxhash64(*keys, "item"), F.lit(buckets))
+    w = Window.partitionBy("_b").orderBy(*keys, "item")
+    return (counts.withColumn("_b", of)
+            .withColumn("_id", (F.row_number().over(w) - 1) * buckets + F.col("_b")).drop("_b"))
+
+
+def pair_counts(bought: DataFrame, ids: DataFrame, keys: Sequence[str],
+                cust: str, chunk: int) -> DataFrame:
+    """(_pair, co): the number of shared customers of every item pair; the smaller
+    id stands in the upper 32 bits of ``_pair``.
+
+    The number of a customer's items comes from a window-free aggregate joined with
+    salts, so neither a hot customer nor a hot item gathers in a task."""
     k = bought.groupBy(*keys, cust).agg(F.count("*").alias("_k"))
-    b = bought.join(k, [*keys, cust])
-    if with_counts:
-        n = bought.groupBy(*keys, "item").agg(F.count("*").alias("_n"))
-        b = b.join(n, [*keys, "item"])
-    else:
-        b = b.withColumn("_n", F.lit(0).cast("bigint"))
+    b = salted_join(salted_join(bought, k, [*keys, cust]), ids.select(*keys, "item", "_id"),
+                    [*keys, "item"])
     b = (b.withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(chunk))).cast("int"))
          .withColumn("_c", F.pmod(F.xxhash64("item"), F.col("_m")).cast("int")))
     # Left rows of chunk ca go to groups (ca, cb >= ca); right rows of chunk cb
     # go to groups (ca <= cb, cb).  Each unordered pair meets in exactly one group.
     left = b.select(*keys, cust, F.col("_c").alias("ca"),
                     F.explode(F.sequence(F.col("_c"), F.col("_m") - 1)).alias("cb"),
-                    F.col("item").alias("i"), F.col("_n").alias("n_i"))
+                    F.col("_id").alias("i"))
     right = b.select(*keys, cust, F.col("_c").alias("cb"),
                      F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("ca"),
-                     F.col("item").alias("j"), F.col("_n").alias("n_j"))
-    first = F.col("i") < F.col("j")
-    pairs = (left.join(right, [*keys, cust, "ca", "cb"])
-             .where((F.col("ca") < F.col("cb")) | first)
-             .select(*keys,
-                     F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"),
-                     F.when(first, F.col("j")).otherwise(F.col("i")).alias("b"),
-                     F.when(first, F.col("n_i")).otherwise(F.col("n_j")).alias("n_a"),
-                     F.when(first, F.col("n_j")).otherwise(F.col("n_i")).alias("n_b")))
-    co = pairs.groupBy(*keys, "a", "b", "n_a", "n_b").agg(F.count("*").alias("co"))
-    return co if with_counts else co.drop("n_a", "n_b")
+                     F.col("_id").alias("j"))
+    met = (left.join(right, [*keys, cust, "ca", "cb"])
+           .where((F.col("ca") < F.col("cb")) | (F.col("i") < F.col("j"))))
+    pair = F.shiftleft(F.least("i", "j"), 32) + F.greatest("i", "j")
+    return met.select(pair.alias("_pair")).groupBy("_pair").agg(F.count("*").alias("co"))
+
+
+def co_purchase(bought: DataFrame, keys: Sequence[str] = ("customer_area",),
+                cust: str = "customernumber", chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Number of shared customers for every item pair a < b (keys, a, b, co, n_a, n_b).
+
+    Pairs are counted by whole numbers; names and buyer counts are attached to
+    the counted pairs."""
+    keys = list(keys)
+    ids = persist(item_ids(bought, keys))
+    co = pair_counts(bought, ids, keys, cust, chunk).select(
+        F.shiftright("_pair", 32).alias("_i"), F.col("_pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_j"), "co")
+    one, two = (ids.select(F.col("_id").alias(i), F.col("item").alias(f"item{i}"), F.col("_n").alias(f"n{i}"),
+                           *(keys if i == "_i" else [])) for i in ("_i", "_j"))
+    named = co.join(one, "_i").join(two, "_j")
+    first = F.col("item_i") < F.col("item_j")
+
+    def side(x: str, when_first: str, otherwise: str):
+        return F.when(first, F.col(f"{x}{when_first}")).otherwise(F.col(f"{x}{otherwise}"))
+    return named.select(*keys, side("item", "_i", "_j").alias("a"), side("item", "_j", "_i").alias("b"), "co",
+                        side("n", "_i", "_j").alias("n_a"), side("n", "_j", "_i").alias("n_b"))
 
 
 def item_cosine(bought: DataFrame, keys: Sequence[str] = ("customer_area",),
                 cust: str = "customernumber", chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Cosine of binary item columns, co / sqrt(n_a * n_b), for pairs with
-    at least one shared customer, both directions (keys, item, other, co, sim)."""
+    at least one shared customer, both directions (keys, item, other, co, sim).
+    Each pair is counted once and turned into its two directions in its row."""
     keys = list(keys)
-    co = co_purchase(bought, keys, cust, chunk, with_counts=True)
-    sim = co.select(*keys, "a", "b", "co",
-                    (F.col("co") / F.sqrt((F.col("n_a") * F.col("n_b")).cast("double"))
-                     ).alias("sim"))
-    return (sim.select(*keys, F.col("a").alias("item"), F.col("b").alias("other"), "co", "sim")
-            .unionByName(sim.select(*keys, F.col("b").alias("item"), F.col("a").alias("other"),
-                                    "co", "sim")))
+    sim = (F.col("co") / F.sqrt((F.col("n_a") * F.col("n_b")).cast("double"))).alias("sim")
+    both = F.explode(F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("other")),
+                             F.struct(F.col("b").alias("item"), F.col("a").alias("other"))))
+    return (co_purchase(bought, keys, cust, chunk).select(*keys, "co", sim, both.alias("_d"))
+            .select(*keys, "_d.item", "_d.other", "co", "sim"))
 
 
 def top_similar(sims: DataFrame, k: int = C.NEIGHBOURS_PER_ITEM,
@@ -96,16 +117,6 @@ def top_similar(sims: DataFrame, k: int = C.NEIGHBOURS_PER_ITEM,
             .withColumn("sim_score", F.round("sim", digits)))
 
 
-def neighbour_lists(top: DataFrame, keys: Sequence[str] = ("customer_area",)) -> DataFrame:
-    """Per item: rank-ordered neighbour list and score list (bounded by k)."""
-    keys = list(keys)
-    g = (top.groupBy(*keys, "item")
-         .agg(F.array_sort(F.collect_list(F.struct("rank", "other", "sim_score"))).alias("_l")))
-    return g.select(*keys, F.col("item").alias("Product_number"),
-                    F.transform("_l", lambda x: x["other"]).alias("most_similar_items"),
-                    F.transform("_l", lambda x: x["sim_score"]).alias("sim_score"))
-
-
 def head_neighbours(unmatched: DataFrame, top: DataFrame, keys: Sequence[str] = ("customer_area",),
                     cust: str = "customernumber",
                     n_items: int = C.FALLBACK_ITEMS_PER_CUSTOMER) -> DataFrame:

@@ -41,13 +41,13 @@ def baskets(df: DataFrame, keys: Sequence[str] = ("customernumber", "sales_recei
 
 
 def scale_per_item(df: DataFrame, col: str, out: str, item: str = "model_number",
-                   digits: int = 3) -> DataFrame:
+                   digits: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """(r - (min - 1)) / (max - (min - 1)) within each item, rounded.
     Per-item bounds are a partial aggregate joined back (a hot item's rows are
     salted), not an unbounded window over one item's rows."""
-    stats = df.groupBy(item).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
+    stats = df.groupBy(*keys, item).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     base = F.col("_mn") - 1
-    return (salted_join(df, stats, [item])
+    return (salted_join(df, stats, [*keys, item])
             .withColumn(out, F.round((F.col(col) - base) / (F.col("_mx") - base), digits))
             .drop("_mn", "_mx"))
 

@@ -13,6 +13,7 @@ from cartwise.functions.text import name_prefix
 from cartwise.operators import filters as FL
 from cartwise.operators import rules as R
 from cartwise.operators import similarity as S
+from cartwise.operators.aggregates import union_results
 from cartwise.operators.windows import baskets, ranked_list, top_items
 from cartwise.plans import dataset as D
 from cartwise.scope import persist
@@ -110,7 +111,7 @@ def union_bundles(parts: BundleParts) -> DataFrame:
         AREA, CUST, "actual_products", "most_similar_items", "recommend",
         F.col("sim_score").cast("array<double>").alias("sim_score"),
         F.lit("similarity").alias("method"))
-    return by_rule.unionByName(by_sim)
+    return union_results(by_rule, by_sim)
 
 
 def recommend_bundles(invoices: DataFrame, cfg: BundleConfig,

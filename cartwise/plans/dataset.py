@@ -11,7 +11,8 @@ from cartwise.operators import filters as FL
 from cartwise.operators import projections as PR
 from cartwise.operators.scaling import minmax
 
-# Invoice-line source columns and their business names, by position.
+# Fixed values (must match the original application's columns): invoice-line source
+# columns and their business names, by position (P3), and product renames.
 INVOICE_SOURCE_COLS = [
     "calendar_day", "soldtoparty", "order_date", "order_reason_statistic", "order_number",
     "sales_sector_of_customer", "business_code", "contact_point",
@@ -27,6 +28,7 @@ INVOICE_NAMES = [
     "product_class", "product_family", "model_number", "product_number", "sales_region",
     "region", "product_name",
 ]
+LEVELS = ["product_field", "product_group", "product_class", "product_family"]
 PRODUCT_RENAMES = {
     "n_product_area_nr": "product_field",
     "n_product_group_nr": "product_group",
@@ -64,7 +66,10 @@ def build_invoices(src: dict[str, DataFrame]) -> DataFrame:
     prod = PR.rename(FL.active_products(src["products"])
                      .drop("n_ac_status", "b_ac_is_in_eshop", "partition_value")
                      .dropDuplicates(), PRODUCT_RENAMES)
-    inv = inv.join(prod, prod.article_number == inv.product)  # J3
+    # levels stated on the invoice line hold at invoice time; the master's fill in
+    stated = [c for c in LEVELS if f"{c}_int_product" in inv.columns]
+    inv = inv.join(prod.drop(*stated), prod.article_number == inv.product)  # J3
+    inv = inv.withColumnsRenamed({f"{c}_int_product": c for c in stated})
     inv = FL.drop_null_keys(inv, ["productmodel"])
     fact = PR.positional_rename(inv, INVOICE_SOURCE_COLS, INVOICE_NAMES)
     fact = (fact.where(FL.not_null("sales_receipt"))

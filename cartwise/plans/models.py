@@ -3,6 +3,8 @@ themselves (L2-L5, L7-L9, G9, G10)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,50 +12,55 @@ from cartwise import config as C
 from cartwise.operators import aggregates as A
 from cartwise.operators import filters as FL
 from cartwise.operators import projections as PR
+from cartwise.operators.joins import salted_join
 from cartwise.operators.scaling import dense_index, minmax, standardise
 from cartwise.operators.windows import scale_per_item
+from cartwise.scope import persist
 
-CUST, ITEM = "customernumber", "model_number"
+AREA, CUST, ITEM = "customer_area", "customernumber", "model_number"
 
 
-def als_ratings(invoices: DataFrame, area: str = C.ALS_AREA, cap: float = C.RATING_CAP,
+def als_ratings(invoices: DataFrame, area: str | None = None, cap: float | None = None,
                 index: bool = True) -> DataFrame:
-    """L1: turnover per (customer, model) of one area (A2), share of the model's
-    mean (P7), purchased flag (P9), capped (P8), standardised (M2) and min-max
-    scaled (M1) over the area, customer and model indexed (M3)."""
-    df = FL.for_area(invoices, area).select(CUST, ITEM, "sales_value")
-    t = A.customer_item_value(FL.drop_null_keys(df, [ITEM]), (CUST, ITEM))
+    """L1: turnover per (area, customer, model) (A2), share of the model's mean in
+    its area (P7), purchased flag (P9), capped if asked for (P8), standardised (M2)
+    and min-max scaled (M1) over the area, customer and model indexed (M3).  One
+    area, or all of them in one plan."""
+    df = invoices if area is None else FL.for_area(invoices, area)
+    df = df.select(AREA, CUST, ITEM, "sales_value")
+    t = A.customer_item_value(FL.drop_null_keys(df, [ITEM]), (AREA, CUST, ITEM))
     t = FL.positive_only(t, "turnover")
-    t = PR.raw_rating(t, "turnover", base="mean", item_col=ITEM, keys=[], base_col="avg_turnover")
+    t = PR.raw_rating(t, "turnover", base="mean", item_col=ITEM, keys=[AREA], base_col="avg_turnover")
     t = (t.withColumn("purchased", PR.purchased_flag())
          .withColumn("rating", PR.cap("raw_rating", cap)))
-    t = standardise(t, "rating", "std_scaled_rating")
-    t = minmax(t, "rating", "minmax_scaled_rating", 0.0, 1.0)
+    t = standardise(t, "rating", "std_scaled_rating", by=[AREA])
+    t = minmax(t, "rating", "minmax_scaled_rating", 0.0, 1.0, by=[AREA])
     if index:
         t = dense_index(t, CUST, "customer_id")
         t = dense_index(t, ITEM, "product_id")
     return t
 
 
-def ncf_ratings(invoices: DataFrame, area: str = C.ALS_AREA, cap: float = C.RATING_CAP,
+def ncf_ratings(invoices: DataFrame, area: str | None = None, cap: float | None = None,
                 lo: str | None = None, hi: str | None = None,
                 min_months: int = C.NCF_MIN_MONTHS, min_items: int = C.NCF_MIN_ITEMS
                 ) -> DataFrame:
-    """Loyal (F18) and diverse (F19) customers, then one area (F12):
-    quantity per (customer, model) (A1), share of the model mean (P7), capped
-    (P8), min-max scaled over the area (M1), per-model scaled flag (W3, P10)."""
+    """Loyal (F18) and diverse (F19) customers, one area or all (F12):
+    quantity per (area, customer, model) (A1), share of the model mean (P7), capped
+    if asked for (P8), min-max scaled over the area (M1), per-model scaled flag
+    (W3, P10)."""
     df = invoices if lo is None else FL.date_between(invoices, "calendar_day", lo, hi)
     df = FL.min_active_months(df, min_months)
     df = FL.min_distinct_items(df, min_items)
-    df = FL.for_area(df, area)
-    q = (FL.drop_null_keys(df.select(CUST, ITEM, "soldnumber"), [ITEM]).groupBy(CUST, ITEM)
+    df = df if area is None else FL.for_area(df, area)
+    q = (FL.drop_null_keys(df.select(AREA, CUST, ITEM, "soldnumber"), [ITEM]).groupBy(AREA, CUST, ITEM)
          .agg(F.sum("soldnumber").alias("product_orders")))
     q = FL.positive_only(q, "product_orders")
-    q = PR.raw_rating(q, "product_orders", base="mean", item_col=ITEM, keys=[],
+    q = PR.raw_rating(q, "product_orders", base="mean", item_col=ITEM, keys=[AREA],
                       base_col="avg_order")
     q = q.withColumn("rating", PR.cap("raw_rating", cap))
-    q = minmax(q, "rating", "minmax_scaled_rating", 0.0, 1.0)
-    q = scale_per_item(q, "rating", "interaction_round", ITEM, 3)
+    q = minmax(q, "rating", "minmax_scaled_rating", 0.0, 1.0, by=[AREA])
+    q = scale_per_item(q, "rating", "interaction_round", ITEM, 3, keys=[AREA])
     q = q.withColumn("interaction_round", PR.binarise("interaction_round"))
     q = q.withColumn("interaction", F.round("minmax_scaled_rating", 6))
     return FL.dropna_any(q)
@@ -62,25 +69,37 @@ def ncf_ratings(invoices: DataFrame, area: str = C.ALS_AREA, cap: float = C.RATI
 # ---------------------------------------------------------------- L2: split
 def hash_split(df: DataFrame, fraction: float, seed: int = C.SEED,
                keys: tuple[str, ...] = (CUST, ITEM)) -> tuple[DataFrame, DataFrame]:
-    """L2: deterministic train/test split by a hash of the row key.  Unlike
+    """L2: deterministic train/test split by the md5 of the row key.  Unlike
     ``randomSplit`` it does not depend on partitioning or re-execution order,
     so a recomputed partition (lost executor) lands on the same side."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(10000))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    bucket = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % 10000
     flagged = df.withColumn("_train", bucket < F.lit(int(round(fraction * 10000))))
     return (flagged.where("_train").drop("_train"), flagged.where(~F.col("_train")).drop("_train"))
 
 
+def item_mean_predictions(train: DataFrame, test: DataFrame, label: str,
+                          keys: tuple[str, ...] = (AREA, ITEM)) -> DataFrame:
+    """The baseline that a model has to beat: a test row is predicted by its item's
+    training mean; items without training rows are left out."""
+    mean = train.groupBy(*keys).agg(F.avg(label).alias("prediction"))
+    return salted_join(test, mean, keys)
+
+
 # ---------------------------------------------------------------- L3-L5: ALS
 def fit_als(train: DataFrame, rank: int = C.ALS_RANK, max_iter: int = C.ALS_MAX_ITER,
             reg: float = C.ALS_REG, alpha: float = C.ALS_ALPHA,
-            rating_col: str = "minmax_scaled_rating", seed: int = C.SEED):
-    """L3: implicit, non-negative ALS; factor blocks are shuffled by Spark ML and
-    lineage is cut every 10 iterations in the session's checkpoint folder."""
+            rating_col: str = "minmax_scaled_rating", seed: int = C.SEED,
+            blocks: int | None = None, implicit: bool = True):
+    """L3: non-negative ALS; factor blocks are shuffled by Spark ML and lineage is
+    cut every 10 iterations in the session's checkpoint folder.  ``blocks`` is the
+    number of user and of item blocks, by default that of shuffle partitions."""
     from pyspark.ml.recommendation import ALS
+    n = blocks or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha,
               userCol="customer_id", itemCol="product_id", ratingCol=rating_col,
-              coldStartStrategy="drop", nonnegative=True, implicitPrefs=True, seed=seed,
-              checkpointInterval=10)
+              coldStartStrategy="drop", nonnegative=True, implicitPrefs=implicit, seed=seed,
+              checkpointInterval=10, numUserBlocks=n, numItemBlocks=n)
     return als.fit(train)
 
 
@@ -105,57 +124,47 @@ def regression_metrics(pred: DataFrame, label: str, prediction: str = "predictio
                     F.sqrt(F.avg(err * err)).alias("rmse"), F.count("*").alias("n"))
 
 
-def als_pipeline(invoices: DataFrame, area: str = C.ALS_AREA, rank: int = C.ALS_RANK,
-                 max_iter: int = C.ALS_MAX_ITER, k: int = C.ALS_TOP_K):
-    """L1-L5 end to end: ratings, 70/30 split, fit, held-out metrics, top-k."""
-    ratings = als_ratings(invoices, area)
+def als_pipeline(invoices: DataFrame, area: str | None = C.ALS_AREA, rank: int = C.ALS_RANK,
+                 max_iter: int = C.ALS_MAX_ITER, k: int = C.ALS_TOP_K, blocks: int | None = None):
+    """L1-L5 end to end: ratings, 70/30 split, fit, held-out metrics, top-k.  The
+    ratings are read five times, so they are persisted."""
+    ratings = persist(als_ratings(invoices, area, C.RATING_CAP))
     train, test = hash_split(ratings, C.ALS_TRAIN_FRACTION)
-    model = fit_als(train, rank=rank, max_iter=max_iter)
+    model = fit_als(train, rank=rank, max_iter=max_iter, blocks=blocks)
     metrics = regression_metrics(model.transform(test), "minmax_scaled_rating")
     return model, ratings, metrics, als_recommend(model, ratings, k)
 
 
-# ---------------------------------------------------------------- L7-L9: FM
-def fm_features(ratings: DataFrame) -> DataFrame:
-    """One-hot customer + one-hot model as one sparse vector: the factorisation
-    machine's pair term is then the customer/item embedding dot product."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml import Pipeline
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCols=[CUST, ITEM], outputCols=["_ci", "_ii"], handleInvalid="keep"),
-        OneHotEncoder(inputCols=["_ci", "_ii"], outputCols=["_cv", "_iv"], dropLast=False),
-        VectorAssembler(inputCols=["_cv", "_iv"], outputCol="features")])
-    return pipe.fit(ratings).transform(ratings)
-
-
-def fit_fm(train: DataFrame, label: str = "interaction", factor_size: int = C.NCF_FACTORS,
-           step_size: float = 0.01, max_iter: int = C.NCF_EPOCHS, reg: float = 0.0,
-           seed: int = C.SEED):
-    """L7 (re-aimed neural factorisation): ``FMRegressor`` on one-hot features."""
-    from pyspark.ml.regression import FMRegressor
-    fm = FMRegressor(featuresCol="features", labelCol=label, factorSize=factor_size,
-                     stepSize=step_size, maxIter=max_iter, regParam=reg, seed=seed)
-    return fm.fit(train)
-
-
-def param_sweep(data: DataFrame, label: str = "interaction",
-                factor_sizes=(8, 32), regs=(0.0, 0.01), steps=(0.01,),
-                max_iter: int = 10, seed: int = C.SEED) -> DataFrame:
-    """Validation RMSE over a grid (latent_dim, reg_value, learning_rate)."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import FMRegressor
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-    fm = FMRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, seed=seed)
-    grid = (ParamGridBuilder().addGrid(fm.factorSize, list(factor_sizes))
-            .addGrid(fm.regParam, list(regs)).addGrid(fm.stepSize, list(steps)).build())
-    tvs = TrainValidationSplit(estimator=fm, estimatorParamMaps=grid, seed=seed,
-                               evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-                               trainRatio=C.NCF_TRAIN_FRACTION)
-    model = tvs.fit(data)
-    rows = [(p[fm.factorSize], float(p[fm.regParam]), float(p[fm.stepSize]), float(m))
-            for p, m in zip(grid, model.validationMetrics)]
-    return data.sparkSession.createDataFrame(
-        rows, "latent_dim int, reg_value double, learning_rate double, RMSE double")
+# ---------------------------------------------------------------- L7-L9: factorisation
+def fit_gmf(train: DataFrame, label: str = "interaction", factors: int = C.NCF_FACTORS,
+            max_iter: int = 10, reg: float = 0.01, seed: int = C.SEED):
+    """L7 (re-aimed neural factorisation): explicit ALS factors, whose product is
+    the factorisation model's prediction.  Factors stay distributed; no vector of
+    the size of all customers and items goes to the driver."""
+    return fit_als(train, rank=factors, max_iter=max_iter, reg=reg, rating_col=label, seed=seed,
+                   implicit=False)
+
+
+def param_sweep(data: DataFrame, label: str = "interaction", factor_sizes=(8, 32), regs=(0.01, 0.1),
+                max_iter: int = 5, seed: int = C.SEED) -> DataFrame:
+    """Held-out RMSE over a grid, in the viewer's columns.  Alternating least
+    squares has neither drop-out nor a learning rate, so those are null."""
+    data = persist(data)
+    train, test = hash_split(data, C.NCF_TRAIN_FRACTION)
+    found = []
+    for size in factor_sizes:
+        for reg in regs:
+            pred = fit_gmf(train, label, size, max_iter, reg, seed).transform(test)
+            found.append(regression_metrics(pred, label).select(
+                F.lit(size).alias("latent_dim"), F.lit(None).cast("double").alias("drop_out"),
+                F.lit(float(reg)).alias("reg_value"), F.lit(None).cast("double").alias("learning_rate"),
+                F.col("rmse").alias("RMSE")))
+    return reduce(DataFrame.unionAll, found)
+
+
+def sweep_between(sweep: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
+    """The sweep rows within a range of one of its dimensions."""
+    return sweep.where(F.col(col).between(lo, hi))
 
 
 # ---------------------------------------------------------------- G9, G10

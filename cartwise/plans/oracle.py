@@ -69,7 +69,7 @@ invoice AS (
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN cust cu ON CAST(o.o_custkey AS VARCHAR) = cu.customer
   JOIN part p ON CAST(p.p_partkey AS VARCHAR) = CAST(l.l_partkey AS VARCHAR)
-  WHERE l.l_extendedprice * (1 - l.l_discount) >= 0
+  WHERE l.l_extendedprice * (1 - l.l_discount) >= 0 AND p.p_size NOT IN (49, 50)
 )"""
 
 WINDOWED = INVOICE + f""",
@@ -309,10 +309,21 @@ FROM actual a LEFT JOIN best b
 
 # ------------------------------------------------------------------ similarity
 # Second configuration: part keys as items over the whole history.
-SIM_BASE = (INVOICE + ratings_cte("invoice", "model_number", "sr") + top_cte("sr", 10, "stop")
-            + baskets_cte("invoice", "model_number", ["customer_area"], "sbask")
-            + itemsets_cte("sbask", ["customer_area"], 0.001, "ssets")
-            + rules_cte("ssets", ["customer_area"], 0.5, 1.0, None, "srules") + """,
+NAMED = """named AS (
+  SELECT j.*, ps.product_name AS similar_product_name, pa.product_name AS actual_product_name
+  FROM nbj j JOIN plist ps ON ps.model_number = j.other JOIN plist pa ON pa.model_number = j.item
+)"""
+UNNAMED = """named AS (
+  SELECT *, other AS similar_product_name, item AS actual_product_name FROM nbj)"""
+
+
+def sim_base(base: str, src: str, item: str, support: float, confidence: float,
+             names: bool = True) -> str:
+    """Rules, cosine neighbours and fallback bundles of one run."""
+    return (base + ratings_cte(src, item, "sr") + top_cte("sr", 10, "stop")
+            + baskets_cte(src, item, ["customer_area"], "sbask")
+            + itemsets_cte("sbask", ["customer_area"], support, "ssets")
+            + rules_cte("ssets", ["customer_area"], confidence, 1.0, None, "srules") + """,
 bought AS (SELECT customer_area, customernumber, item FROM sr WHERE interaction > 0),
 n_items AS (SELECT customer_area, item, COUNT(*) AS n FROM bought GROUP BY ALL),
 co AS (
@@ -380,10 +391,7 @@ nbj AS (
 ),
 plist AS (SELECT DISTINCT model_number, split_part(product_name, ':', 1) AS product_name
           FROM invoice),
-named AS (
-  SELECT j.*, ps.product_name AS similar_product_name, pa.product_name AS actual_product_name
-  FROM nbj j JOIN plist ps ON ps.model_number = j.other JOIN plist pa ON pa.model_number = j.item
-),
+""" + (NAMED if names else UNNAMED) + """,
 grp AS (
   SELECT customer_area, customernumber, item,
          list(other ORDER BY rank, other) AS sims_list,
@@ -403,6 +411,11 @@ fallback AS (
   FROM grp
 )""")
 
+
+SIM_BASE = sim_base(INVOICE, "invoice", "model_number", 0.001, 0.5)
+# A run in which some customers have rules and others fall back on neighbours.
+MIXED_BASE = sim_base(WINDOWED, "win", NAME_ITEM, 0.02, 0.3, names=False)
+
 SQL["cooccurrence_join"] = _with(SIM_BASE) + "\nSELECT customer_area, a, b, co FROM co"
 SQL["item_cosine"] = _with(SIM_BASE) + """
 SELECT customer_area, item, other, co, round(sim, 6) AS sim FROM sims"""
@@ -430,7 +443,7 @@ SELECT customer_area, customernumber, array_to_string(actual_products, ',') AS a
 FROM fallback"""
 SQL["item_fallback"] = _with(SIM_BASE) + _FALLBACK_OUT
 SQL["score_left_join"] = _with(SIM_BASE) + _FALLBACK_OUT
-SQL["bundle_pipeline"] = _with(SIM_BASE) + """
+SQL["bundle_pipeline"] = _with(MIXED_BASE) + """
 SELECT customer_area, customernumber, array_to_string(actual_products, ',') AS actual_products,
        array_to_string(most_similar_items, ',') AS most_similar_items,
        array_to_string(recommend, ',') AS recommend, array_to_string(sim_score, ',') AS sim_score,
@@ -483,11 +496,12 @@ SQL["not_blank"] = """SELECT * FROM (SELECT p_partkey, CASE WHEN p_size > 45 THE
   FROM part) z WHERE trim(label) <> ''"""
 SQL["active_products"] = f"""SELECT CAST(p_partkey AS VARCHAR) AS s_p_product_number,
   p_type || '/' || p_brand || '/' || {SIZE_BAND} AS n_product_family_nr, p_name AS product_name
-FROM part p"""
-SQL["drop_null_keys"] = """SELECT c.c_custkey, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"""
+FROM part p WHERE p.p_size NOT IN (49, 50)"""
+BIG_ORDERS = "(SELECT * FROM orders WHERE o_totalprice > 250000)"
+SQL["drop_null_keys"] = f"""SELECT c.c_custkey, o.o_orderkey FROM customer c JOIN {BIG_ORDERS} o ON c.c_custkey = o.o_custkey"""
 SQL["not_null"] = SQL["drop_null_keys"]
-SQL["dropna_any"] = """SELECT c.c_custkey, o.o_orderkey, strftime(o.o_orderdate, '%Y-%m-%d') AS o_orderdate
-FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"""
+SQL["dropna_any"] = f"""SELECT c.c_custkey, o.o_orderkey, strftime(o.o_orderdate, '%Y-%m-%d') AS o_orderdate
+FROM customer c JOIN {BIG_ORDERS} o ON c.c_custkey = o.o_custkey"""
 SQL["drop_negative"] = """SELECT l_orderkey, l_linenumber, round(l_extendedprice - 50000, 6) AS margin
 FROM lineitem WHERE l_extendedprice - 50000 >= 0"""
 _LINES = "SELECT customernumber, sales_receipt, model_number, strftime(calendar_day, '%Y-%m-%d') AS calendar_day"
@@ -655,22 +669,24 @@ SQL["invoice_product_join"] = f"""
 SELECT CAST(l.l_orderkey AS VARCHAR) AS order_number, CAST(l.l_partkey AS VARCHAR) AS product,
   CAST(p.p_partkey AS VARCHAR) AS productmodel,
   p.p_type || '/' || p.p_brand || '/' || {SIZE_BAND} AS product_family
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey"""
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey
+WHERE p.p_size NOT IN (49, 50)"""
 SQL["join_back_agg"] = _with(INVOICE) + """
 SELECT i.customernumber, i.sales_receipt, i.model_number, round(t.tot, 6) AS customer_total
 FROM invoice i JOIN (SELECT customernumber, SUM(sales_value) AS tot FROM invoice GROUP BY ALL) t
   USING (customernumber)"""
 
-ALS_R = INVOICE + f""",
-als_t AS (SELECT customernumber, model_number, SUM(sales_value) AS turnover
-  FROM invoice WHERE customer_area = 'Metal' AND model_number IS NOT NULL GROUP BY ALL),
+ALS_R = INVOICE + """,
+als_t AS (SELECT customer_area, customernumber, model_number, SUM(sales_value) AS turnover
+  FROM invoice WHERE model_number IS NOT NULL GROUP BY ALL),
 als_p AS (SELECT * FROM als_t WHERE turnover > 0),
-als_m AS (SELECT * FROM (SELECT model_number, AVG(turnover) AS avg_turnover FROM als_p GROUP BY ALL) z
-  WHERE avg_turnover <> 0),
+als_m AS (SELECT * FROM (SELECT customer_area, model_number, AVG(turnover) AS avg_turnover FROM als_p
+  GROUP BY ALL) z WHERE avg_turnover <> 0),
 als_r AS (SELECT p.*, m.avg_turnover, p.turnover / m.avg_turnover AS raw_rating, 1 AS purchased,
   CASE WHEN p.turnover / m.avg_turnover > 10.0 THEN 10.0 ELSE p.turnover / m.avg_turnover END AS rating
-  FROM als_p p JOIN als_m m USING (model_number)),
-als_s AS (SELECT stddev_samp(rating) AS sd, MIN(rating) AS mn, MAX(rating) AS mx FROM als_r),
+  FROM als_p p JOIN als_m m USING (customer_area, model_number)),
+als_s AS (SELECT customer_area, stddev_samp(rating) AS sd, MIN(rating) AS mn, MAX(rating) AS mx
+  FROM als_r GROUP BY customer_area),
 als_c AS (SELECT customernumber, row_number() OVER (ORDER BY COUNT(*) DESC, customernumber) - 1 AS cid
   FROM als_r GROUP BY customernumber),
 als_i AS (SELECT model_number, row_number() OVER (ORDER BY COUNT(*) DESC, model_number) - 1 AS pid
@@ -679,48 +695,87 @@ als AS (
   SELECT r.*, CASE WHEN s.sd = 0 THEN 0.0 ELSE r.rating / s.sd END AS std_scaled_rating,
     CASE WHEN s.mx = s.mn THEN 0.5 ELSE (r.rating - s.mn) / (s.mx - s.mn) END AS minmax_scaled_rating,
     CAST(c.cid AS DOUBLE) AS customer_id, CAST(i.pid AS DOUBLE) AS product_id
-  FROM als_r r CROSS JOIN als_s s JOIN als_c c USING (customernumber) JOIN als_i i USING (model_number)
+  FROM als_r r JOIN als_s s USING (customer_area) JOIN als_c c USING (customernumber)
+  JOIN als_i i USING (model_number)
 )"""
-SQL["als_ratings"] = _with(ALS_R) + """
-SELECT customernumber, model_number, """ + snap("turnover", 4) + """ AS turnover, """ + snap("avg_turnover", 6) + """ AS avg_turnover,
+ALS_KEY = "customer_area, customernumber, model_number"
+SQL["als_ratings"] = _with(ALS_R) + f"""
+SELECT {ALS_KEY}, {snap("turnover", 4)} AS turnover, {snap("avg_turnover", 6)} AS avg_turnover,
   round(raw_rating, 6) AS raw_rating, purchased, round(rating, 6) AS rating,
   round(std_scaled_rating, 6) AS std_scaled_rating, round(minmax_scaled_rating, 6) AS minmax_scaled_rating,
   customer_id, product_id FROM als"""
-SQL["minmax_scale"] = _with(ALS_R) + """
-SELECT customernumber, model_number, round(minmax_scaled_rating, 6) AS minmax_scaled_rating FROM als"""
-SQL["standard_scale"] = _with(ALS_R) + """
-SELECT customernumber, model_number, round(std_scaled_rating, 6) AS std_scaled_rating FROM als"""
+SQL["minmax_scale"] = _with(ALS_R) + f"""
+SELECT {ALS_KEY}, round(minmax_scaled_rating, 6) AS minmax_scaled_rating FROM als"""
+SQL["standard_scale"] = _with(ALS_R) + f"""
+SELECT {ALS_KEY}, round(std_scaled_rating, 6) AS std_scaled_rating FROM als"""
 SQL["string_index"] = _with(ALS_R) + """
 SELECT DISTINCT customernumber, customer_id FROM als"""
-SQL["assemble_vector"] = _with(ALS_R) + """
-SELECT customernumber, model_number, round(rating, 6) AS rating FROM als"""
+SQL["assemble_vector"] = _with(ALS_R) + f"""
+SELECT {ALS_KEY}, round(rating, 6) AS rating FROM als"""
+
+
+def bucket(keys: str) -> str:
+    """The first six hex digits of the row key's md5, modulo 10000."""
+    digits = " + ".join(f"(strpos('0123456789abcdef', substr(h, {i}, 1)) - 1) * {16 ** (6 - i)}"
+                        for i in range(1, 7))
+    return f"(SELECT *, ({digits}) % 10000 AS bucket FROM (SELECT *, md5('123|' || {keys}) AS h FROM {{src}}) z)"
+
+
+ROW_KEY = "customernumber || '|' || model_number"
+SQL["random_split"] = _with(ALS_R) + f"""
+SELECT customernumber, model_number, CASE WHEN bucket < 7000 THEN 'train' ELSE 'test' END AS side
+FROM {bucket(ROW_KEY).format(src='als')} s"""
+
+# What a customer bought for most, as ids and back again.
+PICKED = ALS_R + """,
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
+  ORDER BY round(minmax_scaled_rating, 6) DESC, product_id) AS pick FROM als) z WHERE pick <= 3)"""
+SQL["id_resolve"] = _with(PICKED) + """
+SELECT customer_id, customernumber, product_id, model_number FROM picked"""
+SQL["struct_fields"] = _with(PICKED) + """
+SELECT customer_id, product_id, round(minmax_scaled_rating, 6) AS rating FROM picked"""
+
+
+def item_mean_metrics(src: str, label: str, train: int) -> str:
+    return f"""
+, s AS (SELECT * FROM {bucket(ROW_KEY).format(src=src)} z),
+mean AS (SELECT customer_area, model_number, AVG({label}) AS prediction FROM s WHERE bucket < {train}
+  GROUP BY ALL),
+e AS (SELECT {label} - prediction AS err FROM s JOIN mean USING (customer_area, model_number)
+  WHERE bucket >= {train})
+SELECT round(AVG(abs(err)), 6) AS mae, round(AVG(err * err), 6) AS mse,
+  round(sqrt(AVG(err * err)), 6) AS rmse, COUNT(*) AS n FROM e"""
+
+
+SQL["rmse_eval"] = _with(ALS_R) + item_mean_metrics("als", "minmax_scaled_rating", 7000)
 
 NCF_R = LOYAL + """,
-ncf_q AS (SELECT customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice
-  WHERE customernumber IN (SELECT customernumber FROM diverse) AND customer_area = 'Metal'
+ncf_q AS (SELECT customer_area, customernumber, model_number, SUM(soldnumber) AS product_orders FROM invoice
+  WHERE customernumber IN (SELECT customernumber FROM diverse)
     AND model_number IS NOT NULL GROUP BY ALL HAVING SUM(soldnumber) > 0),
-ncf_m AS (SELECT model_number, AVG(product_orders) AS avg_order FROM ncf_q GROUP BY ALL
+ncf_m AS (SELECT customer_area, model_number, AVG(product_orders) AS avg_order FROM ncf_q GROUP BY ALL
   HAVING AVG(product_orders) <> 0),
 ncf_r AS (SELECT q.*, m.avg_order, q.product_orders / m.avg_order AS raw_rating,
   CASE WHEN q.product_orders / m.avg_order > 10.0 THEN 10.0 ELSE q.product_orders / m.avg_order END AS rating
-  FROM ncf_q q JOIN ncf_m m USING (model_number)),
-ncf_b AS (SELECT MIN(rating) AS mn, MAX(rating) AS mx FROM ncf_r),
-ncf_w AS (SELECT model_number, MIN(rating) AS wmn, MAX(rating) AS wmx FROM ncf_r GROUP BY ALL),
+  FROM ncf_q q JOIN ncf_m m USING (customer_area, model_number)),
+ncf_b AS (SELECT customer_area, MIN(rating) AS mn, MAX(rating) AS mx FROM ncf_r GROUP BY customer_area),
+ncf_w AS (SELECT customer_area, model_number, MIN(rating) AS wmn, MAX(rating) AS wmx FROM ncf_r GROUP BY ALL),
 ncf AS (
   SELECT r.*, """ + sround("(r.rating - (w.wmn - 1)) / (w.wmx - (w.wmn - 1))", 3) + """ AS scaled,
     """ + sround("CASE WHEN b.mx = b.mn THEN 0.5 ELSE (r.rating - b.mn) / (b.mx - b.mn) END", 6) + """ AS interaction
-  FROM ncf_r r CROSS JOIN ncf_b b JOIN ncf_w w USING (model_number)
+  FROM ncf_r r JOIN ncf_b b USING (customer_area) JOIN ncf_w w USING (customer_area, model_number)
 )"""
-SQL["ncf_ratings"] = _with(NCF_R) + """
-SELECT customernumber, model_number, product_orders, round(avg_order, 6) AS avg_order,
+SQL["ncf_ratings"] = _with(NCF_R) + f"""
+SELECT {ALS_KEY}, product_orders, round(avg_order, 6) AS avg_order,
   round(raw_rating, 6) AS raw_rating, round(rating, 6) AS rating,
   CASE WHEN scaled > 0 THEN 1 ELSE 0 END AS interaction_round, interaction FROM ncf"""
-SQL["item_minmax_window"] = _with(NCF_R) + "\nSELECT customernumber, model_number, scaled FROM ncf"
+SQL["item_minmax_window"] = _with(NCF_R) + f"\nSELECT {ALS_KEY}, scaled FROM ncf"
+SQL["fit_metrics"] = _with(NCF_R) + item_mean_metrics("ncf", "interaction", 8000)
 
 _DESC = ("'As the product(s) ' || array_to_string({a}, ', ') || ' is purchased often, we are "
          "suggesting these products ' || array_to_string({b}, ', ') || ' which forms the bundle ' "
          "|| array_to_string({c}, ', ')")
-SQL["describe_bundle"] = _with(SIM_BASE) + f"""
+SQL["describe_bundle"] = _with(MIXED_BASE) + f"""
 SELECT customer_area, customernumber, 'similarity' AS method,
   {_DESC.format(a='actual_products', b='most_similar_items', c='recommend')} AS description
 FROM fallback
@@ -818,16 +873,16 @@ FROM tree t JOIN marks m ON t.parent = m.node AND t.level = m.level + 1"""
 SQL["marked_links"] = _with(MARKS) + """
 SELECT m.customernumber, t.parent, t.child, CAST(t.level AS INTEGER) AS level, m.status
 FROM tree t JOIN marks m ON t.child = m.node AND t.level = m.level"""
-SQL["area_recommendations"] = _with(SIM_BASE) + f"""
+SQL["area_recommendations"] = _with(MIXED_BASE) + f"""
 SELECT customer_area, customernumber,
   {_DESC.format(a='actual_products', b='most_similar_items', c='recommend')} AS description,
   array_to_string(sim_score, ', ') AS sim_score
-FROM fallback WHERE customer_area = 'Metal'
+FROM fallback
 UNION ALL
 SELECT customer_area, customernumber,
   {_DESC.format(a='antecedent', b='consequent', c='list_concat(antecedent, consequent)')} AS description,
   CAST(confidence AS VARCHAR) AS sim_score
-FROM s_best WHERE customer_area = 'Metal'"""
+FROM s_best"""
 
 
 def _spark_rounding(sql: str) -> str:
@@ -858,7 +913,7 @@ def _spark_rounding(sql: str) -> str:
         i = k
 
 
-SQL["purchased_flag"] = _with(ALS_R) + "\nSELECT customernumber, model_number, purchased FROM als"
+SQL["purchased_flag"] = _with(ALS_R) + f"\nSELECT {ALS_KEY}, purchased FROM als"
 SQL["basket_window"] = SQL["baskets"]
 
 SQL = {k: _spark_rounding(v) for k, v in SQL.items()}

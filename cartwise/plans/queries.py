@@ -19,7 +19,7 @@ from cartwise.operators import rules as R
 from cartwise.operators.windows import baskets, top_items
 from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
-from cartwise.scope import hold, once, persist, scope
+from cartwise.scope import latest, once, persist, scope
 from cartwise.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,9 @@ def register(name: str):
         @wraps(fn)
         def run(spark: SparkSession, root: str) -> DataFrame:
             with scope() as own:
-                return hold(fn(spark, root), own)
+                df = fn(spark, root)
+            latest(own)
+            return df
         QUERIES[name] = run
         return fn
     return deco
@@ -54,6 +56,11 @@ def invoices(spark: SparkSession, root: str) -> DataFrame:
     return once(("invoices", root), lambda: D.build_invoices(TD.sources(spark, root)))
 
 
+def fact(spark: SparkSession, root: str) -> DataFrame:
+    """The invoice fact, persisted for a query that reads it in several branches."""
+    return once(("fact", root), lambda: persist(invoices(spark, root)))
+
+
 def window(spark: SparkSession, root: str) -> DataFrame:
     return D.invoice_window(invoices(spark, root), TD.AS_OF)
 
@@ -116,7 +123,7 @@ def rule_out(df, keys=()):
 
 def parts(spark, root) -> B.BundleParts:
     """Intermediate frames of the windowed run, shared within one query."""
-    return once(("parts", root), lambda: B.bundle_parts(invoices(spark, root), FLAG_CFG))
+    return once(("parts", root), lambda: B.bundle_parts(fact(spark, root), FLAG_CFG))
 
 
 # ---------------------------------------------------------------- rules
@@ -203,7 +210,7 @@ SIM_CFG = BundleConfig(as_of=None, item_col="model_number")
 
 def sim_parts(spark, root, with_names: bool = True) -> B.BundleParts:
     def build():
-        inv = invoices(spark, root)
+        inv = fact(spark, root)
         return B.bundle_parts(inv, SIM_CFG, D.product_list(inv) if with_names else None)
     return once(("sim", root, with_names), build)
 
@@ -217,7 +224,7 @@ def sim_bought(spark, root):
 @register("cooccurrence_join")
 def q_cooccurrence(spark, root):
     from cartwise.operators import similarity as S
-    return S.co_purchase(sim_bought(spark, root), ["customer_area"])
+    return S.co_purchase(sim_bought(spark, root), ["customer_area"]).drop("n_a", "n_b")
 
 
 @register("item_cosine")
@@ -255,7 +262,7 @@ def q_name_lookup(spark, root):
     from cartwise.operators import similarity as S
     p = sim_parts(spark, root, False)
     rows = S.attach_names(S.head_neighbours(p.unmatched, p.neighbours),
-                          D.product_list(invoices(spark, root)))
+                          D.product_list(fact(spark, root)))
     return rows.select("customer_area", "customernumber", "item", "other",
                        "actual_product_name", "similar_product_name")
 
@@ -295,9 +302,18 @@ def bundles_out(df):
                      .alias("sim_score"), "method")
 
 
+# A run in which some customers match a rule and others fall back on neighbours.
+MIXED_CFG = BundleConfig(as_of=TD.AS_OF, item_col="product_name", min_support=0.02,
+                         min_confidence=0.3)
+
+
+def mixed_parts(spark, root) -> B.BundleParts:
+    return once(("mixed", root), lambda: B.bundle_parts(fact(spark, root), MIXED_CFG))
+
+
 @register("bundle_pipeline")
 def q_bundle_pipeline(spark, root):
-    return bundles_out(B.union_bundles(sim_parts(spark, root, False)))
+    return bundles_out(B.union_bundles(mixed_parts(spark, root)))
 
 
 FLAGSHIP = "bundle_pipeline"

@@ -3,18 +3,22 @@ interpretability tables (G1-G8, G11, A13, A14, F21-F24, U1)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartwise import config as C
 from cartwise.operators import filters as FL
 from cartwise.operators import interpret as G
 from cartwise.operators.aggregates import node_degree, value_range
+from cartwise.operators.joins import resolve_ids
+from cartwise.operators.scaling import dense_index
 from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
 from cartwise.plans import models as MO
 from cartwise.plans.queries import (
-    bundles_out, invoices, parts, pooled_rules, r6, register, sim_parts,
+    bundles_out, invoices, mixed_parts, parts, pooled_rules, r6, register, sim_parts,
 )
+from cartwise.scope import persist
 
 CU, MN = "customernumber", "model_number"
 _MODEL_CACHE: dict = {}
@@ -25,14 +29,14 @@ def als(spark, root):
     key = (spark.sparkContext.applicationId, root)
     if key not in _MODEL_CACHE:
         _MODEL_CACHE.clear()  # models of an ended session are dead
-        _MODEL_CACHE[key] = MO.als_pipeline(invoices(spark, root))
+        _MODEL_CACHE[key] = MO.als_pipeline(invoices(spark, root), area=None)
     return _MODEL_CACHE[key]
 
 
 # ------------------------------------------------------------------ models (rows only)
 @register("random_split")
 def q_split(spark, root):
-    r = MO.als_ratings(invoices(spark, root), index=False)
+    r = persist(MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP, index=False))
     train, test = MO.hash_split(r, C.ALS_TRAIN_FRACTION)
     return (train.select(CU, MN, F.lit("train").alias("side"))
             .unionByName(test.select(CU, MN, F.lit("test").alias("side"))))
@@ -54,46 +58,79 @@ def q_top_k(spark, root):
     return als(spark, root)[3].select("customer_id", "rank", "product_id")
 
 
+def _indexed(spark, root):
+    return persist(MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP))
+
+
+def _picked(ratings):
+    """Each customer's three best-rated models as an array of structs, by id."""
+    r = ratings.withColumn("_r", F.round("minmax_scaled_rating", 6))
+    w = Window.partitionBy("customer_id").orderBy(F.desc("_r"), "product_id")
+    top = r.withColumn("pos", F.row_number().over(w)).where("pos <= 3")
+    return top.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct(
+        "pos", "product_id", F.col("_r").alias("rating")))).alias("recommendations"))
+
+
 @register("id_resolve")
 def q_id_resolve(spark, root):
-    return als(spark, root)[3].select("customer_id", CU, "product_id", MN)
+    r = _indexed(spark, root)
+    flat = _picked(r).select("customer_id", F.explode("recommendations").alias("r")).select(
+        "customer_id", "r.product_id")
+    return resolve_ids(flat, r.select("customer_id", CU).distinct(),
+                       r.select("product_id", MN).distinct()).select("customer_id", CU, "product_id", MN)
 
 
 @register("struct_fields")
 def q_struct_fields(spark, root):
-    recs = als(spark, root)[0].recommendForAllUsers(C.ALS_TOP_K)
-    return recs.select("customer_id", F.explode("recommendations").alias("r")).select(
+    return _picked(_indexed(spark, root)).select(
+        "customer_id", F.explode("recommendations").alias("r")).select(
         "customer_id", F.col("r.product_id").alias("product_id"), F.col("r.rating").alias("rating"))
 
 
+def _metrics_out(m):
+    return m.select(r6("mae"), r6("mse"), r6("rmse"), "n")
+
+
 @register("rmse_eval")
 def q_rmse(spark, root):
+    r = persist(MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP, index=False))
+    pred = MO.item_mean_predictions(*MO.hash_split(r, C.ALS_TRAIN_FRACTION), "minmax_scaled_rating")
+    return _metrics_out(MO.regression_metrics(pred, "minmax_scaled_rating"))
+
+
+@register("als_metrics")
+def q_als_metrics(spark, root):
     return als(spark, root)[2]
 
 
-def _fm_data(spark, root):
-    r = MO.ncf_ratings(invoices(spark, root))
-    return MO.fm_features(r)
+def _ncf(spark, root, index=False):
+    r = MO.ncf_ratings(invoices(spark, root), cap=C.RATING_CAP)
+    if index:
+        r = dense_index(dense_index(r, CU, "customer_id"), MN, "product_id")
+    return persist(r)
 
 
 @register("gmf_fit")
-def q_fm(spark, root):
-    data = _fm_data(spark, root)
-    train, test = MO.hash_split(data, C.NCF_TRAIN_FRACTION)
-    model = MO.fit_fm(train)
-    return model.transform(test).select(CU, MN, "interaction", "prediction")
+def q_gmf(spark, root):
+    train, test = MO.hash_split(_ncf(spark, root, True), C.NCF_TRAIN_FRACTION)
+    return MO.fit_gmf(train).transform(test).select(CU, MN, "interaction", "prediction")
 
 
 @register("fit_metrics")
 def q_fit_metrics(spark, root):
-    data = _fm_data(spark, root)
-    train, test = MO.hash_split(data, C.NCF_TRAIN_FRACTION)
-    return MO.regression_metrics(MO.fit_fm(train).transform(test), "interaction")
+    pred = MO.item_mean_predictions(*MO.hash_split(_ncf(spark, root), C.NCF_TRAIN_FRACTION), "interaction")
+    return _metrics_out(MO.regression_metrics(pred, "interaction"))
+
+
+@register("gmf_metrics")
+def q_gmf_metrics(spark, root):
+    train, test = MO.hash_split(_ncf(spark, root, True), C.NCF_TRAIN_FRACTION)
+    return MO.regression_metrics(MO.fit_gmf(train).transform(test), "interaction")
 
 
 @register("param_sweep")
 def q_sweep(spark, root):
-    return MO.param_sweep(_fm_data(spark, root))
+    return MO.param_sweep(_ncf(spark, root, True))
 
 
 @register("als_factors_long")
@@ -236,4 +273,4 @@ def q_union(spark, root):
 
 @register("area_recommendations")
 def q_area_view(spark, root):
-    return G.area_view(B.union_bundles(sim_parts(spark, root, False)), "Metal")
+    return G.area_view(B.union_bundles(mixed_parts(spark, root)))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from cartwise import config as C
 from cartwise import functions as X
 from cartwise.operators import aggregates as A
 from cartwise.operators import filters as FL
@@ -17,7 +18,7 @@ from cartwise.operators.windows import ranked_list
 from cartwise.plans import dataset as D
 from cartwise.plans import models as MO
 from cartwise.plans.queries import (
-    FLAG_CFG, arr, invoices, money, parts, pooled_baskets, pooled_rules, r6, register, sim_parts,
+    arr, invoices, mixed_parts, money, parts, pooled_baskets, pooled_rules, r6, register,
     top10, window,
 )
 from cartwise.session import CHECKPOINT_CONF
@@ -143,7 +144,9 @@ def q_active_products(spark, root):
 
 def _cust_orders(spark, root):
     c = IO.read_table(spark, root, "customer").select("c_custkey")
-    o = IO.read_table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    # customers without a large order get nulls
+    o = IO.read_table(spark, root, "orders").where("o_totalprice > 250000").select(
+        "o_orderkey", "o_custkey", "o_orderdate")
     return c.join(o, c.c_custkey == o.o_custkey, "left").drop("o_custkey")
 
 
@@ -341,7 +344,7 @@ def q_list_text(spark, root):
 @register("describe_bundle")
 def q_describe(spark, root):
     from cartwise.plans import bundles as B
-    u = B.union_bundles(sim_parts(spark, root, False))
+    u = B.union_bundles(mixed_parts(spark, root))
     return u.select(CA, CU, "method", X.describe_bundle(
         "actual_products", "most_similar_items", "recommend").alias("description"))
 
@@ -540,13 +543,13 @@ def q_join_back(spark, root):
 
 # ------------------------------------------------------------------ 2.8 scaling / L1, L6
 def _als(spark, root, index=True):
-    return MO.als_ratings(invoices(spark, root), index=index)
+    return MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP, index=index)
 
 
 @register("als_ratings")
 def q_als_ratings(spark, root):
     r = _als(spark, root)
-    return r.select(CU, MN, money("turnover", 4), money("avg_turnover"), r6("raw_rating"), "purchased",
+    return r.select(CA, CU, MN, money("turnover", 4), money("avg_turnover"), r6("raw_rating"), "purchased",
                     r6("rating"), r6("std_scaled_rating"), r6("minmax_scaled_rating"),
                     "customer_id", "product_id")
 
@@ -554,13 +557,13 @@ def q_als_ratings(spark, root):
 @register("minmax_scale")
 def q_minmax(spark, root):
     r = _als(spark, root, False)
-    return r.select(CU, MN, r6("minmax_scaled_rating"))
+    return r.select(CA, CU, MN, r6("minmax_scaled_rating"))
 
 
 @register("standard_scale")
 def q_standard(spark, root):
     r = _als(spark, root, False)
-    return r.select(CU, MN, r6("std_scaled_rating"))
+    return r.select(CA, CU, MN, r6("std_scaled_rating"))
 
 
 @register("string_index")
@@ -572,26 +575,26 @@ def q_string_index(spark, root):
 @register("assemble_vector")
 def q_vector(spark, root):
     r = M.to_vector(_als(spark, root, False), "rating", "rating_vector")
-    return r.select(CU, MN, F.round(M.from_vector("rating_vector"), 6).alias("rating"))
+    return r.select(CA, CU, MN, F.round(M.from_vector("rating_vector"), 6).alias("rating"))
 
 
 @register("ncf_ratings")
 def q_ncf_ratings(spark, root):
-    r = MO.ncf_ratings(invoices(spark, root))
-    return r.select(CU, MN, "product_orders", r6("avg_order"), r6("raw_rating"), r6("rating"),
+    r = MO.ncf_ratings(invoices(spark, root), cap=C.RATING_CAP)
+    return r.select(CA, CU, MN, "product_orders", r6("avg_order"), r6("raw_rating"), r6("rating"),
                     "interaction_round", "interaction")
 
 
 @register("item_minmax_window")
 def q_item_minmax(spark, root):
     from cartwise.operators.windows import scale_per_item
-    r = MO.ncf_ratings(invoices(spark, root))
-    return scale_per_item(r, "rating", "scaled", MN, 3).select(CU, MN, "scaled")
+    r = MO.ncf_ratings(invoices(spark, root), cap=C.RATING_CAP)
+    return scale_per_item(r, "rating", "scaled", MN, 3, keys=[CA]).select(CA, CU, MN, "scaled")
 
 
 @register("purchased_flag")
 def q_purchased(spark, root):
-    return _als(spark, root, False).select(CU, MN, "purchased")
+    return _als(spark, root, False).select(CA, CU, MN, "purchased")
 
 
 @register("basket_window")

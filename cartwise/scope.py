@@ -1,13 +1,13 @@
-"""Persisted frames that live as long as the result that reads them.
+"""Persisted frames that live as long as the query that reads them.
 
 Within ``scope()`` intermediate frames are built once (``once``) and persisted
-(``persist``).  ``hold`` ties them to a result: when the result frame is garbage,
-they are unpersisted.  A frame that is read later than that is recomputed from its
-lineage, so releasing early costs time, never rows."""
+(``persist``); whoever opened the scope releases it.  ``latest`` keeps the scope of
+the query built last and releases the one before.  A frame that is read later
+than that is recomputed from its lineage, so releasing early costs time, never
+rows."""
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -62,8 +62,12 @@ def once(key: Any, build: Callable[[], Any]) -> Any:
     return own.values[key]
 
 
-def hold(df: DataFrame, own: Scope) -> DataFrame:
-    """Release ``own`` when ``df`` is garbage."""
+_latest: list[Scope] = []
+
+
+def latest(own: Scope) -> None:
+    """Release the scope given before, and keep this one."""
+    while _latest:
+        _latest.pop().release()
     own.values = {}
-    weakref.finalize(df, own.release)
-    return df
+    _latest.append(own)

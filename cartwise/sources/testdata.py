@@ -91,8 +91,8 @@ def products(spark: SparkSession, root: str) -> DataFrame:
         F.concat_ws("/", "p_type", "p_brand", size_band()).alias("n_product_family_nr"),
         F.col("p_partkey").cast("string").alias("n_product_model_nr"),
         F.col("p_name").alias("product_name"),
-        F.lit(C.PRODUCT_STATUS_ACTIVE).alias("n_ac_status"),
-        F.lit(C.PRODUCT_IN_ESHOP).alias("b_ac_is_in_eshop"),
+        F.when(F.col("p_size") == 50, 4).otherwise(C.PRODUCT_STATUS_ACTIVE).alias("n_ac_status"),
+        F.when(F.col("p_size") == 49, "false").otherwise(C.PRODUCT_IN_ESHOP).alias("b_ac_is_in_eshop"),
         F.lit(C.PRODUCT_PARTITION).alias("partition_value"),
     )
 

@@ -1,8 +1,6 @@
 """No default cuts, mining at each area's own count, hot keys, session folders,
 and release of persisted frames."""
 
-import gc
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from cartwise.operators import projections as PR
 from cartwise.operators import rules as R
 from cartwise.operators.joins import salted_join, with_group_stat
 from cartwise.operators.windows import scale_per_item
-from cartwise.scope import hold, once, persist, scope
+from cartwise.scope import latest, once, persist, scope
 from cartwise.session import ensure_checkpoint_dir
 
 
@@ -124,15 +122,17 @@ def test_checkpoint_folder_is_only_made_locally():
     assert ensure_checkpoint_dir(shared) == "hdfs:///shared" == shared.sparkContext.made
 
 
-def test_persisted_frames_go_with_the_result(spark):
+def test_persisted_frames_go_with_the_next_query(spark):
     with scope() as own:
         part = once("k", lambda: persist(spark.range(10)))
         assert once("k", lambda: None) is part
-        out = hold(part.selectExpr("id + 1 as id"), own)
+        out = part.selectExpr("id + 1 as id")
+    latest(own)
     assert part.storageLevel.useMemory and out.count() == 10
-    del out
-    gc.collect()
-    assert not part.storageLevel.useMemory
+    with scope() as another:
+        pass
+    latest(another)
+    assert not part.storageLevel.useMemory and out.count() == 10
 
 
 def test_a_label_at_two_levels_gives_no_duplicates(spark):
@@ -150,3 +150,28 @@ def test_node_titles(spark):
     names = spark.createDataFrame([("1", "b"), ("1", "a")], "model_number string, product_name string")
     got = {r["id"]: r["title"] for r in G.rule_nodes(edges, names).collect()}
     assert got == {"1": "a", "2": None}
+
+
+def test_invoice_time_levels_hold(spark):
+    from cartwise.plans import dataset as D
+    from cartwise.sources import testdata as TD
+    src = TD.sources(spark, "/root/testdata/sf0.001")
+    plain = D.build_invoices(src)
+    was = src["invoices"].withColumn("product_family_int_product", F.lit("before"))
+    assert D.build_invoices(src | {"invoices": was}).select("product_family").distinct().collect() == [("before",)]
+    got = D.build_invoices(src | {"invoices": was})
+    assert got.columns == plain.columns and got.count() <= plain.count()
+
+
+def test_date_filters_reach_the_scan(spark):
+    from cartwise.plans.queries import QUERIES
+    for name in ("trailing_12m", "fixed_range"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        scan = next(x for x in plan.splitlines() if "o_orderdate" in x and "PushedFilters" in x)
+        assert "(o_orderdate" in scan[scan.index("PushedFilters"):], scan
+
+
+def test_both_kinds_of_bundles(spark):
+    import __spark_entry__ as E
+    got = {r["method"]: r["count"] for r in E.entry(spark).groupBy("method").count().collect()}
+    assert got.get("rule", 0) > 0 and got.get("similarity", 0) > 0
