@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain, repeat
+from itertools import repeat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -26,7 +26,7 @@ from cartwise.llm import bytetext as B
 from cartwise.llm.common import batch_rows, gapless, materialize, small_batches
 
 #: Different chunks whose ids a Python worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,23 +35,25 @@ class Encoder:
 
     Valid for tokenizers that never join across white space and lower-case their
     input; ASCII letters are lower-cased first, but not in a text that may hold a
-    special token's string.  A chunk of Latin letters and at most one final mark
-    is put together from its word and the mark, and the word goes to the
-    tokenizer's model at once, if that gives the tokenizer's ids for ``PROBES``."""
+    special token's string.  A chunk of Latin letters and a final run of ASCII
+    marks is put together from both, and the letters go to the tokenizer's model at
+    once, if that gives the tokenizer's own ids for ``PROBES``."""
 
-    MARKS = ".,;:!?|"
-    PROBES = ("word", "thntblere", "éèçà", "ßkeit", "año", "x", "straße", "ionœuvre")
+    MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+    PROBES = ("word", "thntblere", "\u00e9\u00e8\u00e7\u00e0", "\u00dfkeit", "a\u00f1o", "x", "stra\u00dfe")
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
-        self.marks = {m: self.ids_of([m])[0] for m in self.MARKS}
         # the usual bytes-to-letters table of byte-level models
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.letters = dict(zip([*plain, *(b for b in range(256) if b not in plain)], map(chr, [*plain, *range(256, 324)])))
-        self.direct = all(self.word_ids(p) == q and self.ids_of([p + m])[0] == q + self.marks[m]
-                          for p, q in zip(self.PROBES, self.ids_of(list(self.PROBES))) for m in self.MARKS)
+        self.runs: dict[bytes, list[int]] = {b"": []}
+        self.direct = True
+        ends = ("", ",", ".", "***", "!?", "'", "'.", "(|)")
+        self.direct = all((self.word_ids(p.encode()) or []) + self.run_ids(e.encode()) == self.ids_of([p + e])[0]
+                          for p in self.PROBES for e in ends)
         self.clear()
 
     def clear(self) -> None:
@@ -61,36 +63,58 @@ class Encoder:
     def ids_of(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def word_ids(self, word: str) -> list[int]:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
+    def run_ids(self, marks: bytes) -> list[int]:
+        """Ids of a run of marks at the end of a chunk."""
+        ids = self.runs.get(marks)
+        if ids is None:
+            if len(self.runs) > 10_000:
+                self.runs = {b"": []}
+            ids = self.runs[marks] = self.ids_of([marks.decode()])[0]
+        return ids
+
+    def word_ids(self, word: bytes) -> list[int] | None:
+        """Ids of a word of Latin letters in lower case, else None."""
+        if word.isalpha():  # ASCII letters
+            text = word.decode()
+        else:
+            text = word.decode("utf-8", "replace")
+            if not text.isalpha() or max(text) >= "\u0250" or not is_normalized("NFC", text):
+                return None
+        if not self.direct or text != text.lower():
+            return None
+        if not text.isascii():
+            text = word.decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
 
     def learn(self, chunks: list[bytes]) -> None:
-        found: list = [None] * len(chunks)
-        words: dict[str, list[int]] = {}
-        others = []
-        for i, chunk in enumerate(chunks):
-            text = chunk.decode("utf-8", "replace")
-            word, mark = (text[:-1], text[-1]) if text[-1] in self.marks else (text, "")
-            if self.direct and word.isalpha() and (word.isascii() or (
-                    max(word) < "\u0250" and is_normalized("NFC", word))) and word == word.lower():
-                ids = words.get(word)
-                if ids is None:
-                    at = self.known.get(word.encode()) if mark else None
-                    ids = words[word] = (self.word_ids(word) if at is None else
-                                         self.ids[self.starts[at]:self.starts[at] + self.sizes[at]].tolist())
-                found[i] = ids + self.marks[mark] if mark else ids
+        names, flat, sizes, others = [], [], [], []
+        words: dict[bytes, list[int] | None] = {}
+        for chunk in chunks:
+            word = chunk.rstrip(self.MARKS)
+            if word in words:
+                ids = words[word]
             else:
-                others.append(i)
-        for i, ids in zip(others, self.ids_of([chunks[i].decode("utf-8", "replace") for i in others])):
-            found[i] = ids
-        sizes = np.array([len(x) for x in found], np.int64)
+                at = self.known.get(word)
+                ids = words[word] = (self.word_ids(word) if at is None else
+                                     self.ids[self.starts[at]:self.starts[at] + self.sizes[at]].tolist())
+            if ids is None or b"<|" in chunk:
+                others.append(chunk)
+                continue
+            if len(word) < len(chunk):
+                ids = ids + self.run_ids(chunk[len(word):])
+            names.append(chunk)
+            sizes.append(len(ids))
+            flat += ids
+        for chunk, ids in zip(others, self.ids_of([c.decode("utf-8", "replace") for c in others])):
+            names.append(chunk)
+            sizes.append(len(ids))
+            flat += ids
         at = len(self.starts)
-        self.known.update(zip(chunks, range(at, at + len(chunks))))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        self.known.update(zip(names, range(at, at + len(names))))
+        new = np.array(sizes, np.int64)
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(new) - new)
+        self.sizes = np.append(self.sizes, new)
+        self.ids = np.append(self.ids, np.array(flat, np.uint32))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the places they start."""
