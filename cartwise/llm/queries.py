@@ -48,9 +48,9 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = materialize(warc.write_archive(table(spark, sf_dir, "pages"), per_file=1_000), "warc")
     replica = materialize(warc.damaged(archive, every=101), "warc-replica")
     faults = warc.audit(archive, replica, fanout=16).select("file", F.col("node").alias("ordinal"), "state")
-    return (archive.join(faults, ["file", "ordinal"], "left")
-            .select("file", "ordinal", "page_id", "offset", "length", F.sha2("record", 256).alias("record_sha256"),
-                    F.coalesce("state", F.lit("sound")).alias("state")))
+    held = archive.select("file", "ordinal", "page_id", "offset", "length", F.sha2("record", 256).alias("record_sha256"))
+    return (held.join(faults, ["file", "ordinal"], "left")
+            .withColumn("state", F.coalesce("state", F.lit("sound"))))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
