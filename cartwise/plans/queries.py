@@ -19,7 +19,7 @@ from cartwise.operators import rules as R
 from cartwise.operators.windows import baskets, top_items
 from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
-from cartwise.scope import latest, once, persist, scope
+from cartwise.scope import once, persist, scope, shared
 from cartwise.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,8 @@ def register(name: str):
     def deco(fn: Query) -> Query:
         @wraps(fn)
         def run(spark: SparkSession, root: str) -> DataFrame:
-            with scope() as own:
-                df = fn(spark, root)
-            latest(own)
-            return df
+            with scope(shared((spark.sparkContext.applicationId, root))):
+                return fn(spark, root)
         QUERIES[name] = run
         return fn
     return deco
@@ -56,9 +54,15 @@ def invoices(spark: SparkSession, root: str) -> DataFrame:
     return once(("invoices", root), lambda: D.build_invoices(TD.sources(spark, root)))
 
 
+FACT_COLUMNS = ["customer_area", "customernumber", "sales_receipt", "calendar_day", "soldnumber",
+                "model_number", "product_name", "product_family", "product_class",
+                "product_group", "product_field"]
+
+
 def fact(spark: SparkSession, root: str) -> DataFrame:
-    """The invoice fact, persisted for a query that reads it in several branches."""
-    return once(("fact", root), lambda: persist(invoices(spark, root)))
+    """What bundles read of the invoice fact, persisted: they read it in several
+    branches."""
+    return once(("fact", root), lambda: persist(invoices(spark, root).select(*FACT_COLUMNS)))
 
 
 def window(spark: SparkSession, root: str) -> DataFrame:
@@ -107,13 +111,13 @@ FLAG_CFG = BundleConfig(as_of=TD.AS_OF, item_col="product_name")
 
 def pooled_baskets(spark, root):
     inv = invoices(spark, root).withColumn("item", name_prefix("product_name"))
-    return persist(baskets(inv, ("customernumber", "sales_receipt"), "item").withColumnRenamed(
-        "item", "items"))
+    return once(("pooled", root), lambda: persist(baskets(inv, ("customernumber", "sales_receipt"), "item").withColumnRenamed(
+        "item", "items")))
 
 
 def pooled_rules(spark, root, min_conf=0.05, min_lift=1.0, max_freq=None):
-    return R.association_rules(pooled_baskets(spark, root), "items", 0.001, min_conf,
-                               min_lift, max_freq)
+    return once(("rules", root, min_conf, min_lift, max_freq), lambda: R.association_rules(
+        pooled_baskets(spark, root), "items", 0.001, min_conf, min_lift, max_freq))
 
 
 def rule_out(df, keys=()):
@@ -217,7 +221,7 @@ def sim_parts(spark, root, with_names: bool = True) -> B.BundleParts:
 
 def sim_bought(spark, root):
     from cartwise.operators import similarity as S
-    r = D.customer_ratings(invoices(spark, root), item="model_number")
+    r = sim_parts(spark, root, False).ratings
     return S.purchases(r, ["customer_area"], "customernumber", "model_number")
 
 

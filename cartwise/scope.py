@@ -1,9 +1,10 @@
-"""Persisted frames that live as long as the query that reads them.
+"""Persisted frames that live as long as what reads them.
 
 Within ``scope()`` intermediate frames are built once (``once``) and persisted
-(``persist``); whoever opened the scope releases it.  ``latest`` keeps the scope of
-the query built last and releases the one before.  A frame that is read later
-than that is recomputed from its lineage, so releasing early costs time, never
+(``persist``); whoever opened the scope releases it.  ``shared`` keeps one scope at
+a time, so that queries over the same session and folder share their rules and
+neighbours; the first query over another one releases them.  A frame that is read
+later than that is recomputed from its lineage: releasing early costs time, never
 rows."""
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ _current: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
-def scope() -> Iterator[Scope]:
-    own = Scope()
+def scope(own: Scope | None = None) -> Iterator[Scope]:
+    own = own or Scope()
     token = _current.set(own)
     try:
         yield own
@@ -62,12 +63,11 @@ def once(key: Any, build: Callable[[], Any]) -> Any:
     return own.values[key]
 
 
-_latest: list[Scope] = []
+_shared: dict[Any, Scope] = {}
 
 
-def latest(own: Scope) -> None:
-    """Release the scope given before, and keep this one."""
-    while _latest:
-        _latest.pop().release()
-    own.values = {}
-    _latest.append(own)
+def shared(key: Any) -> Scope:
+    """The scope of ``key``; that of any other key is released."""
+    for other in [k for k in _shared if k != key]:
+        _shared.pop(other).release()
+    return _shared.setdefault(key, Scope())

@@ -13,7 +13,7 @@ from cartwise.operators import projections as PR
 from cartwise.operators import rules as R
 from cartwise.operators.joins import salted_join, with_group_stat
 from cartwise.operators.windows import scale_per_item
-from cartwise.scope import latest, once, persist, scope
+from cartwise.scope import once, persist, scope, shared
 from cartwise.session import ensure_checkpoint_dir
 
 
@@ -122,16 +122,24 @@ def test_checkpoint_folder_is_only_made_locally():
     assert ensure_checkpoint_dir(shared) == "hdfs:///shared" == shared.sparkContext.made
 
 
-def test_persisted_frames_go_with_the_next_query(spark):
+def test_one_shared_scope_at_a_time(spark):
+    with scope(shared("a")):
+        part = once("k", lambda: persist(spark.range(5)))
+    with scope(shared("a")):
+        assert once("k", lambda: None) is part
+    shared("b")
+    assert not part.storageLevel.useMemory
+    with scope(shared("a")):
+        assert once("k", lambda: 1) == 1
+
+
+def test_persisted_frames_go_with_their_scope(spark):
     with scope() as own:
         part = once("k", lambda: persist(spark.range(10)))
         assert once("k", lambda: None) is part
         out = part.selectExpr("id + 1 as id")
-    latest(own)
     assert part.storageLevel.useMemory and out.count() == 10
-    with scope() as another:
-        pass
-    latest(another)
+    own.release()
     assert not part.storageLevel.useMemory and out.count() == 10
 
 
