@@ -88,20 +88,23 @@ class Encoder:
 
     def learn(self, chunks: list[bytes]) -> None:
         names, flat, sizes, others = [], [], [], []
-        words: dict[bytes, list[int] | None] = {}
+        words: dict[bytes, list[int] | None] = {}  # those that stand before marks
+        tokenize = self.tokenizer.model.tokenize
         for chunk in chunks:
-            word = chunk.rstrip(self.MARKS)
-            if word in words:
-                ids = words[word]
+            if self.direct and chunk.isalpha() and chunk.islower():  # ASCII letters
+                ids = [t.id for t in tokenize(chunk.decode())]
             else:
-                at = self.known.get(word)
-                ids = words[word] = (self.word_ids(word) if at is None else
-                                     self.ids[self.starts[at]:self.starts[at] + self.sizes[at]].tolist())
-            if ids is None or b"<|" in chunk:
-                others.append(chunk)
-                continue
-            if len(word) < len(chunk):
-                ids = ids + self.run_ids(chunk[len(word):])
+                word = chunk.rstrip(self.MARKS)
+                ids = words.get(word)
+                if ids is None and word not in words:
+                    at = self.known.get(word)
+                    ids = words[word] = (self.word_ids(word) if at is None else
+                                         self.ids[self.starts[at]:self.starts[at] + self.sizes[at]].tolist())
+                if ids is None or b"<|" in chunk:
+                    others.append(chunk)
+                    continue
+                if len(word) < len(chunk):
+                    ids = ids + self.run_ids(chunk[len(word):])
             names.append(chunk)
             sizes.append(len(ids))
             flat += ids
@@ -133,9 +136,12 @@ class Encoder:
             codes[missing] = [self.known[chunks[i]] for i in missing]
         sizes = self.sizes[codes]
         total = np.append(0, np.cumsum(sizes))
-        ids = self.ids[np.repeat(self.starts[codes] - total[:-1], sizes) + np.arange(total[-1])]
-        ends = total[firsts[1:]]
-        return np.insert(ids, ends, end_id), np.append(0, ends + np.arange(1, len(texts) + 1))
+        # a place is left after each text for its end
+        text = np.repeat(np.arange(len(texts)), np.diff(firsts))
+        ids = np.full(total[-1] + len(texts), end_id, np.uint32)
+        at = np.repeat(self.starts[codes] - total[:-1], sizes) + np.arange(total[-1])
+        ids[np.arange(total[-1]) + np.repeat(text, sizes)] = self.ids[at]
+        return ids, np.append(0, total[firsts[1:]] + np.arange(1, len(texts) + 1))
 
 
 _encoders: dict[int, Encoder] = {}
