@@ -104,7 +104,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def suspects(docs: DataFrame, bits: int, slices: int, at: int, min_chars: int) -> DataFrame:
-    """(key, doc_id, lines) of the lines whose key may occur in two documents."""
+    """(key, doc_id, version, lines) of the lines whose key may occur in two documents."""
     spark = docs.sparkSession
     parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(
         _once_twice(bits, slices, at, min_chars), "segment long, once binary, twice binary")
@@ -117,8 +117,8 @@ def suspects(docs: DataFrame, bits: int, slices: int, at: int, min_chars: int) -
     def probe(batches):
         twice = shared.value
         for batch in batches:
-            out = {"key": [], "doc_id": [], "lines": []}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            out = {"key": [], "doc_id": [], "version": [], "lines": []}
+            for doc_id, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text"))):
                 keys = doc_keys(text, min_chars)
                 if not keys:
                     continue
@@ -129,18 +129,20 @@ def suspects(docs: DataFrame, bits: int, slices: int, at: int, min_chars: int) -
                 for i in np.flatnonzero(hit):
                     out["key"].append(names[i])
                     out["doc_id"].append(doc_id)
+                    out["version"].append(version)
                     out["lines"].append(keys[names[i]])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                [("key", pa.binary()), ("doc_id", pa.int64()), ("lines", pa.list_(pa.int32()))]))
+                [("key", pa.binary()), ("doc_id", pa.int64()), ("version", pa.int64()), ("lines", pa.list_(pa.int32()))]))
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        probe, "key binary, doc_id long, lines array<int>")
+    return docs.select("doc_id", "version", F.col("text").cast("binary").alias("text")).mapInArrow(
+        probe, "key binary, doc_id long, version long, lines array<int>")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                    max_filter_bits: int = 1 << 31,
                    bits_per_line: int = BITS_PER_LINE) -> DataFrame:
-    """(doc_id, dropped): the places of the lines that each document loses."""
+    """(doc_id, version, dropped): the places of the lines that each document loses.
+    ``version`` is a hash of the text: rows that share a doc_id are one document."""
     small_batches(docs.sparkSession)
     lines = docs.agg(F.sum(F.least(
         F.octet_length("text") / min_chars,
@@ -149,10 +151,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     slices = max(1, wanted // max(max_filter_bits, SEGMENT_BITS))
     found = materialize(reduce(DataFrame.unionAll, [
         suspects(docs, wanted // slices, slices, at, min_chars) for at in range(slices)]), "line-suspects")
-    repeated = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+    repeated = materialize(found.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
                            .where(F.col("n_docs") >= min_docs).select("key", "keeper"), "line-repeats")
     return (found.join(repeated, "key").where("doc_id < keeper")
-            .groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("dropped")))
+            .groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
@@ -162,18 +164,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     A line's key is the line without white space at both ends, A-Z lower-cased.
     Keys of at least ``min_chars`` characters found in at least ``min_docs``
     documents keep their lines only in the largest ``doc_id`` holding them (all
-    of them there); other lines stay.  ``doc_id`` must be unique.
+    of them there); other lines stay.  Rows that share a doc_id
+    count as one document and are rewritten each by its own text.
 
     Returns all columns of ``docs``, with ``text`` rewritten and ``n_lines``
     (before) and ``n_dropped`` added (input columns of these names are replaced).
     A null or empty text is one empty line; a null text stays null.  Rows with a
     null ``doc_id`` keep all lines and confirm no repeats.  An empty table gives
     an empty table."""
-    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    docs = docs.drop("n_lines", "n_dropped", "__gone", "__version")
+    version = F.xxhash64("text")
+    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", version.alias("version"), "text")
     gone = repeated_lines(keyed, min_chars, min_docs, max_filter_bits, bits_per_line)
-    docs = docs.drop("n_lines", "n_dropped", "__gone")
-    wide = docs.join(gone.select("doc_id", F.col("dropped").alias("__gone")), "doc_id", "left").select(
-        *docs.columns, "__gone")
+    gone = gone.select("doc_id", F.col("version").alias("__version"), F.col("dropped").alias("__gone"))
+    wide = docs.withColumn("__version", version).join(gone, ["doc_id", "__version"], "left").select(*docs.columns, "__gone")
     lines = F.split("text", "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(

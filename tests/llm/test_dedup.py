@@ -43,6 +43,15 @@ def test_lines_empty_null_and_extra_columns(spark):
     assert out[1]["n_lines"] == 1
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    line = "a line of more than forty characters, held by some"
+    rows = [(1, line), (1, line), (1, "x\n" + line), (2, line), (3, line), (4, line)]
+    out = line_dedup.dedup_lines(documents(spark, rows)).collect()
+    assert {r["n_dropped"] for r in out} == {0} and len(out) == 6  # four documents hold it
+    out = line_dedup.dedup_lines(documents(spark, rows + [(5, line)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, ""), (1, ""), (1, "x"), (2, ""), (3, ""), (4, ""), (5, line)]
+
+
 def word_rows(seed=1, n=50):
     r = random.Random(seed)
     passages = [" ".join("p%d_%d" % (k, i) for i in range(r.randint(13, 40))) for k in range(5)]
