@@ -46,7 +46,7 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages archived, read back from the stored archive, and audited against a
     replica with faults: a row for each record, with its state."""
     archive = materialize(warc.write_archive(table(spark, sf_dir, "pages"), per_file=1_000), "warc")
-    replica = materialize(warc.damaged(archive, every=101), "warc-replica")
+    replica = warc.damaged(archive, every=101)
     faults = warc.audit(archive, replica, fanout=16).select("file", F.col("node").alias("ordinal"), "state")
     held = archive.select("file", "ordinal", "page_id", "offset", "length", F.sha2("record", 256).alias("record_sha256"))
     return (held.join(faults, ["file", "ordinal"], "left")
