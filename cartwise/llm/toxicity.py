@@ -7,7 +7,9 @@ discount comes back from a backoff that both models share: its continuation coun
 over all documents, labelled or not.  A rare word thus has the same probability
 in both, and only words whose counts stand out compare unequally.  A text is scored by
 its log-likelihoods, toxic less ordinary, per word and per square root of words;
-words whose two probabilities differ by less than ``MARGIN`` count as even.
+words whose two probabilities differ by less than a margin count as even.  Discount
+and margin are the one of ``SETTINGS`` that fits labelled texts best which the
+counts have not seen.
 
 Counts add up over any split of the corpus.  They are kept in tables of fixed size
 addressed by word hashes, so the model stays as large as its tables however large
@@ -33,9 +35,8 @@ from cartwise.llm.common import small_batches
 WORD_BITS = 21
 SLOTS = 1 << WORD_BITS
 SEGMENT = 1 << 16
-#: Of a continuation count; and the least difference of logarithms that counts.
-DISCOUNT = 6.0
-MARGIN = 2.0
+#: (discount of a continuation count, least difference of logarithms that counts)
+SETTINGS = ((0.75, 3.0), (1.5, 3.0), (3.0, 3.0), (3.0, 2.0), (6.0, 2.0))
 
 
 def slots(texts: B.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -96,26 +97,34 @@ def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": rows["segment"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def compare_words(table: np.ndarray) -> np.ndarray:
+def compare_words(table: np.ndarray, discount: float, margin: float) -> np.ndarray:
     """The log-likelihood of each slot's words, toxic less ordinary."""
     shared = table[0] + 0.5
     shared = shared / shared.sum()
     logs = []
     for own in table[1:].astype(np.float64):
-        back = np.minimum(own.sum() * shared, DISCOUNT)
-        p = np.maximum(own - DISCOUNT, 0) + back
+        back = np.minimum(own.sum() * shared, discount)
+        p = np.maximum(own - discount, 0) + back
         logs.append(np.log(p / p.sum()) if own.any() else np.zeros(SLOTS))
     found = logs[1] - logs[0]
-    return np.where(np.abs(found) > MARGIN, found, 0).astype(np.float32)
+    return np.where(np.abs(found) > margin, found, 0).astype(np.float32)
 
 
-def compare(texts: B.Texts, words: np.ndarray) -> np.ndarray:
-    """Rows (per word, per root of words): log-likelihoods, toxic less ordinary."""
+def compare(texts: B.Texts, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """For each table rows (per word, per root of words) of log-likelihoods, toxic
+    less ordinary."""
     word, _ = slots(texts)
-    total = np.append(0, np.cumsum(words[word], dtype=np.float64))
     n = np.maximum(np.diff(texts.first), 1)
-    own = total[texts.first[1:]] - total[texts.first[:-1]]
-    return np.column_stack([own / n, own / np.sqrt(n)])
+    out = []
+    for table in tables:
+        total = np.append(0, np.cumsum(table[word], dtype=np.float64))
+        own = total[texts.first[1:]] - total[texts.first[:-1]]
+        out.append(np.column_stack([own / n, own / np.sqrt(n)]))
+    return out
+
+
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -130,30 +139,39 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w / scale
 
 
-def _calibration(words, ids):
+def _calibration(tables, ids):
     def run(batches):
         for batch in batches:
             own = batch.filter(pa.array(find(ids.value, batch.column("doc_id")) >= 0))
             for part, texts in B.text_chunks(own):
-                x = compare(texts, words.value)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x[:, 0]), pa.array(x[:, 1])],
-                                                 ["doc_id", "x0", "x1"])
+                x = np.concatenate(compare(texts, tables.value), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "x"])
     return run
 
 
-def _scores(words, weights):
+def _scores(table, weights):
     def run(batches):
         for batch in batches:
             for part, texts in B.text_chunks(batch):
-                if weights is None:
-                    score = np.zeros(len(texts))
-                else:
-                    x = compare(texts, words.value)
-                    score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+                score = np.zeros(len(texts)) if weights is None else probability(compare(texts, [table.value])[0], weights)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "__score"])
     return run
 
 
+def best_fit(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray]:
+    """The setting whose two columns of ``x`` predict ``y`` with the least loss, and
+    its weights."""
+    fits = []
+    for k in range(x.shape[1] // 2):
+        own = x[:, 2 * k:2 * k + 2]
+        weights = logistic(own, y)
+        p = np.clip(probability(own, weights), 1e-9, 1 - 1e-9)
+        fits.append((-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)), k, weights))
+    _, k, weights = min(fits, key=lambda f: f[:2])
+    return k, weights
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -163,8 +181,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
     """Score ``docs(doc_id, text, ...)`` after ``labels(doc_id, toxic)``.
 
     Labels are learned only from rows whose ``fold`` is not 0: folds 1 to 3 give
-    the class counts, fold 4 the weights that turn the comparison into a
-    probability.  A document with several label rows is toxic if one of them says
+    the class counts, fold 4 the setting and the weights that turn the comparison
+    into a probability.  A document with several label rows is toxic if one of them says
     so; labels other than 0 and 1, and null ones, are passed over.  ``max_labelled``
     bounds the labelled rows that are used; the corpus counts cover all documents.
 
@@ -189,11 +207,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
         table = np.zeros(3 * SLOTS, np.int64)
         for row in parts.groupBy("segment").applyInPandas(_sum, "segment int, counts binary").collect():
             table[row["segment"] * SEGMENT:(row["segment"] + 1) * SEGMENT] = np.frombuffer(row["counts"], np.int64)
-        words = spark.sparkContext.broadcast(compare_words(table.reshape(3, SLOTS)))
-        seen = keyed.mapInArrow(_calibration(words, spark.sparkContext.broadcast(check[0])),
-                                "doc_id long, x0 double, x1 double").toPandas().sort_values(["doc_id", "x0", "x1"])
-        if len(set(y := check[1][np.searchsorted(check[0], seen["doc_id"].to_numpy())])) == 2:
-            weights = logistic(seen[["x0", "x1"]].to_numpy(), y)
+        tables = [compare_words(table.reshape(3, SLOTS), *own) for own in SETTINGS]
+        shared = spark.sparkContext.broadcast(tables)
+        seen = keyed.mapInArrow(_calibration(shared, spark.sparkContext.broadcast(check[0])),
+                                "doc_id long, x array<double>").toPandas()
+        seen["x"] = seen["x"].map(tuple)
+        seen = seen.sort_values(["doc_id", "x"])
+        shared.unpersist()
+        y = check[1][np.searchsorted(check[0], seen["doc_id"].to_numpy())]
+        if len(set(y)) == 2:
+            best, weights = best_fit(np.array(seen["x"].tolist()), y)
+            words = spark.sparkContext.broadcast(tables[best])
     docs = docs.drop("held_out", "score", "predicted", "__score")
     scored = docs.mapInArrow(_scores(words, weights), T.StructType([*docs.schema, T.StructField("__score", T.DoubleType())]))
     return scored.withColumns({"held_out": F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)), "score": F.col("__score"),
