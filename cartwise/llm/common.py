@@ -3,42 +3,41 @@ gapless ranks, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from cartwise.session import ensure_checkpoint_dir
+
 #: Rows that one Arrow batch holds; long documents make small batches necessary.
 BATCH_ROWS = 512
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A scratch folder of this machine is used only if the setting is absent and
-    the master is local; on a cluster its absence is an error."""
-    path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="llm-scratch-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    return path.rstrip("/")
+_written: list[str] = []
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back.
+    """Write ``df`` to a new table in the folder that driver and executors share
+    (``spark.checkpoint.dir``) and read it back.
 
-    This cuts the lineage: a lost executor costs no recomputation of it."""
+    This cuts the lineage: a lost executor costs no recomputation of it.  The
+    table is there until ``clear_scratch``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` has written in this process.  Call it
+    when results have been read or written elsewhere."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches at ``BATCH_ROWS`` rows, so that a batch of very long
     documents stays within a Python worker's memory."""
