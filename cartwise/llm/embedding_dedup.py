@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm import bytetext as B
 from cartwise.llm.common import batch_rows, components, materialize
 
 BLOCK_ROWS, TILE_ROWS = 8_192, 1_024
