@@ -190,7 +190,3 @@ def project_2d(vectors: DataFrame, source: int, id_col: str = "id",
     return p.select("Index", F.col("_a")[0].alias("tsne1"), F.col("_a")[1].alias("tsne2"),
                     F.lit(source).alias("Source"))
 
-
-def bench_als(invoices: DataFrame) -> DataFrame:
-    """Bench entry: the ALS pipeline at the fixed settings, recommendations."""
-    return als_pipeline(invoices)[3]

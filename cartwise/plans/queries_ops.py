@@ -14,11 +14,10 @@ from cartwise.operators import filters as FL
 from cartwise.operators import projections as PR
 from cartwise.operators import scaling as M
 from cartwise.operators.joins import with_group_stat
-from cartwise.operators.windows import ranked_list
 from cartwise.plans import dataset as D
 from cartwise.plans import models as MO
 from cartwise.plans.queries import (
-    arr, invoices, mixed_parts, money, parts, pooled_baskets, pooled_rules, r6, register,
+    arr, invoices, mixed_parts, money, parts, pooled_rules, r6, register,
     top10, window,
 )
 from cartwise.session import CHECKPOINT_CONF
