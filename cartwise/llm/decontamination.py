@@ -15,6 +15,7 @@ gets is bounded."""
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -228,18 +229,18 @@ def _spans(shared):
     return run
 
 
-def blocks(benchmark: DataFrame, width: int) -> list[Benchmark]:
+def blocks(benchmark: DataFrame, width: int) -> Iterator[Benchmark]:
     """The benchmark in blocks of at most ``BLOCK_WORDS`` words (or one item)."""
     items = benchmark.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("long"), F.col("text").cast("binary"))
-    out, held, n = [], [], 0
+    held, n = [], 0
     for item_id, text in items.orderBy("item_id", "text").toLocalIterator():
         if held and n + len(text) // 2 > BLOCK_WORDS:
-            out.append(Benchmark(held, width))
+            yield Benchmark(held, width)
             held, n = [], 0
         held.append((item_id, bytes(text)))
         n += len(text) // 2
-    return [*out, Benchmark(held, width)]
+    yield Benchmark(held, width)
 
 
 def _with_spans(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
@@ -249,19 +250,24 @@ def _with_spans(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     docs = docs.drop(*ADDED)
     extra = [T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(
         ADDED, ("long", "array<array<int>>", "array<string>"))]
-    found = []
-    for at, block in enumerate(blocks(benchmark, width)):
+
+    def found(own: DataFrame, block) -> DataFrame:
+        return own.mapInArrow(_spans(block), T.StructType([*own.schema, *extra]))
+    first, more = None, []
+    for block in blocks(benchmark, width):
         shared = spark.sparkContext.broadcast(block)
-        own = docs if at == 0 else docs.select("doc_id", "text")
-        found.append(own.mapInArrow(_spans(shared), T.StructType([*own.schema, *extra])))
-    if len(found) == 1:
-        return found[0]
-    # later blocks add spans and items of the documents that hold any
-    more = materialize(reduce(DataFrame.unionAll, [
-        x.where("size(__spans) > 0").select("doc_id", "__spans", "__items") for x in found[1:]]), "spans")
-    more = more.groupBy("doc_id").agg(F.flatten(F.collect_list("__spans")).alias("__s"),
-                                      F.flatten(F.collect_list("__items")).alias("__i"))
-    wide = found[0].join(more, "doc_id", "left")
+        if first is None:
+            first = found(docs, shared)
+            continue
+        # later blocks add spans and items of the documents that hold any
+        some = found(docs.select("doc_id", "text"), shared).where("size(__spans) > 0")
+        more.append(materialize(some.select("doc_id", "__spans", "__items"), "spans"))
+        shared.unpersist()
+    if not more:
+        return first
+    more = reduce(DataFrame.unionAll, more).groupBy("doc_id").agg(
+        F.flatten(F.collect_list("__spans")).alias("__s"), F.flatten(F.collect_list("__items")).alias("__i"))
+    wide = first.join(more, "doc_id", "left")
     every = F.array_sort(F.concat("__spans", F.coalesce("__s", F.array())))
     last = F.lit(-1)
     merged = F.aggregate(every, F.array().cast("array<array<int>>"), lambda done, s: F.when(

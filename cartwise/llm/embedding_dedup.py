@@ -223,7 +223,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         .groupBy("block").applyInPandas(_pack(width), BLOCK), "vector-blocks")
     names = sorted(r["block"] for r in blocks.select("block").collect())
     ranks = spark.createDataFrame(list(enumerate(names)) or [], "rank long, block long")
-    ranked = blocks.join(F.broadcast(ranks), "block")  # a row for each BLOCK_ROWS classes
+    ranked = blocks.join(ranks, "block")  # a row for each BLOCK_ROWS classes
     pairs = ranks.select(F.col("rank").alias("rank_x"), F.explode(F.sequence("rank", F.lit(len(names) - 1))).alias("rank_y"))
     for s in "xy":
         pairs = pairs.join(ranked.select(*(F.col(c).alias(f"{c}_{s}") for c in ranked.columns)), f"rank_{s}")

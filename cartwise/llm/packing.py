@@ -279,7 +279,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, e
     table = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
     ranked = gapless(pieces, ["length"], order, F.xxhash64("doc_id", "piece", "ids_crc32"),
-                     max(1, sum(counts.values()) // 20_000), "__rank")
+                     max(16, sum(counts.values()) // 20_000), "__rank")
     with batch_rows(spark, 10_000):
         return materialize(ranked.select(*pieces.columns, "__rank").mapInArrow(
             _place(table), schema + ", sequence_id long, offset long"), "packed")

@@ -128,7 +128,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
         F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"")).alias("key")), "shard-rows")
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
-    n, total, n_rows = groups.agg(F.count("key"), F.sum("bytes")).crossJoin(rows.agg(F.count("size"))).first()
+    n, total = groups.agg(F.count("key"), F.sum("bytes")).first()
+    n_rows = rows.count()
     grain = max(1, -(-(total or 0) // GRAIN))
     lots = min(MAX_LOTS, max(1, -(-n // LOT_ROWS)))
     large = groups.where(F.col("bytes") >= grain)

@@ -38,7 +38,7 @@ def test_in_blocks(spark, monkeypatch):
     docs, items = data(3)
     monkeypatch.setattr(D, "BLOCK_WORDS", 200)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(D.blocks(bench, 10)) > 2
+    assert len(list(D.blocks(bench, 10))) > 2
     got = {r[0]: tuple(r)[1:] for r in D.digest(D.find_contamination(
         spark.createDataFrame(docs, "doc_id long, text string"), bench, 10)).collect()}
     assert got == D.brute_force(docs, items)
