@@ -134,12 +134,14 @@ def suspects(docs: DataFrame, bits: int, slices: int, at: int, min_chars: int) -
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
                 [("key", pa.binary()), ("doc_id", pa.int64()), ("version", pa.int64()), ("lines", pa.list_(pa.int32()))]))
 
-    return docs.select("doc_id", "version", F.col("text").cast("binary").alias("text")).mapInArrow(
-        probe, "key binary, doc_id long, version long, lines array<int>")
+    found = materialize(docs.select("doc_id", "version", F.col("text").cast("binary").alias("text")).mapInArrow(
+        probe, "key binary, doc_id long, version long, lines array<int>"), "line-suspects")
+    shared.unpersist()
+    return found
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
-                   max_filter_bits: int = 1 << 31,
+                   max_filter_bits: int = 1 << 30,
                    bits_per_line: int = BITS_PER_LINE) -> DataFrame:
     """(doc_id, version, dropped): the places of the lines that each document loses.
     ``version`` is a hash of the text: rows that share a doc_id are one document."""
@@ -149,8 +151,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).alias("n")).first()["n"] or 1
     wanted = max(SEGMENT_BITS, 1 << math.ceil(math.log2(bits_per_line * lines)))
     slices = max(1, wanted // max(max_filter_bits, SEGMENT_BITS))
-    found = materialize(reduce(DataFrame.unionAll, [
-        suspects(docs, wanted // slices, slices, at, min_chars) for at in range(slices)]), "line-suspects")
+    found = reduce(DataFrame.unionAll, [
+        suspects(docs, wanted // slices, slices, at, min_chars) for at in range(slices)])
     repeated = materialize(found.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
                            .where(F.col("n_docs") >= min_docs).select("key", "keeper"), "line-repeats")
     return (found.join(repeated, "key").where("doc_id < keeper")
@@ -158,7 +160,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
-                max_filter_bits: int = 1 << 31, bits_per_line: int = BITS_PER_LINE) -> DataFrame:
+                max_filter_bits: int = 1 << 30, bits_per_line: int = BITS_PER_LINE) -> DataFrame:
     """Drop repeated lines from ``docs(doc_id, text, ...)``.
 
     A line's key is the line without white space at both ends, A-Z lower-cased.
