@@ -34,7 +34,7 @@ from cartwise.llm.common import materialize, small_batches, text_bytes
 #: A window in so many documents of one round is common.
 COMMON = 16
 #: Bytes of text in one round of a scan task, and behind one of 64 buckets.
-ROUND_BYTES = 16 << 20
+ROUND_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 PAIRS, LEAST, ASIDE = 0, 1, 2
 DEALT = "bucket long, lead int, kind int, docs binary, sizes binary, hashes binary"
