@@ -252,7 +252,7 @@ def _with_spans(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
         ADDED, ("long", "array<array<int>>", "array<string>"))]
 
     def found(own: DataFrame, block) -> DataFrame:
-        return own.mapInArrow(_spans(block), T.StructType([*own.schema, *extra]))
+        return own.mapInArrow(B.frugal(_spans(block)), T.StructType([*own.schema, *extra]))
     first, more = None, []
     for block in blocks(benchmark, width):
         shared = spark.sparkContext.broadcast(block)
@@ -319,7 +319,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10)
     """``docs`` without the text of each merged span, from its first word's start
     to its last word's end; columns and rows as in ``docs``."""
     wide = _with_spans(docs, benchmark, width).drop("__n", "__items")
-    return wide.mapInArrow(_cut, T.StructType([f for f in wide.schema if f.name != "__spans"]))
+    return wide.mapInArrow(B.frugal(_cut), T.StructType([f for f in wide.schema if f.name != "__spans"]))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -186,13 +186,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     size = len(index.words) + 1
     held = np.zeros(size)
     # a row for each licence word
-    for row in docs.select("text").mapInArrow(_rarities(size), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select("text").mapInArrow(B.frugal(_rarities(size)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         held[row["word"]] = row["n"]
     rarity = np.log((held[0] + 1) / (held + 0.5))
     rarity = np.maximum(rarity, 1e-3)
     rarity[0] = 0
     docs = docs.drop(*ADDED.names)
-    return docs.mapInArrow(_scan(spark.sparkContext.broadcast(rarity)), T.StructType([*docs.schema, *ADDED]))
+    return docs.mapInArrow(B.frugal(_scan(spark.sparkContext.broadcast(rarity))), T.StructType([*docs.schema, *ADDED]))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.llm.bytetext import frugal
 from cartwise.llm.common import materialize, small_batches
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -107,7 +108,7 @@ def suspects(docs: DataFrame, bits: int, slices: int, at: int, min_chars: int) -
     """(key, doc_id, version, lines) of the lines whose key may occur in two documents."""
     spark = docs.sparkSession
     parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(
-        _once_twice(bits, slices, at, min_chars), "segment long, once binary, twice binary")
+        frugal(_once_twice(bits, slices, at, min_chars)), "segment long, once binary, twice binary")
     merged = parts.groupBy("segment").applyInPandas(_merge, "segment long, bits binary").collect()
     table = np.zeros((bits // SEGMENT_BITS, SEGMENT_BITS // 8), np.uint8)
     for row in merged:
@@ -135,7 +136,7 @@ def suspects(docs: DataFrame, bits: int, slices: int, at: int, min_chars: int) -
                 [("key", pa.binary()), ("doc_id", pa.int64()), ("version", pa.int64()), ("lines", pa.list_(pa.int32()))]))
 
     found = materialize(docs.select("doc_id", "version", F.col("text").cast("binary").alias("text")).mapInArrow(
-        probe, "key binary, doc_id long, version long, lines array<int>"), "line-suspects")
+        frugal(probe), "key binary, doc_id long, version long, lines array<int>"), "line-suspects")
     shared.unpersist()
     return found
 

@@ -274,7 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, e
         definition = spark.sparkContext.broadcast(f.read())
     schema = PIECES + (", ids array<int>" if with_ids else "")
     pieces = materialize(docs.select("doc_id", "text").mapInArrow(
-        _pieces(definition, capacity, end_id, with_ids), schema), "pieces")
+        B.frugal(_pieces(definition, capacity, end_id, with_ids)), schema), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]

@@ -81,7 +81,7 @@ def _fingerprints(size: int):
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, print): 64-bit SimHash of ``size``-word shingles, repeats included."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(size), "doc_id long, print long")
+    return docs.select("doc_id", "text").mapInArrow(B.frugal(_fingerprints(size)), "doc_id long, print long")
 
 
 def flips(bits: range, n: int) -> np.ndarray:
@@ -160,15 +160,15 @@ def links(prints: DataFrame, radius: int, parts: int) -> DataFrame:
     those within ``radius`` bits to connect all that are connected."""
     near = radius // 2
     prints = prints.repartition(parts, "print")  # else few tasks would hold all variants
-    met = (prints.mapInArrow(_halves(near), "key long, print long").groupBy("key")
+    met = (prints.mapInArrow(B.frugal(_halves(near)), "key long, print long").groupBy("key")
            .agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("key"))
     own = prints.select("print", F.explode(F.array(
         F.col("print").bitwiseAND(F.lit(int(LOW))).bitwiseOR(F.lit(int(LOW_TAG))),
         F.shiftrightunsigned("print", 32))).alias("key"))
     some = materialize(own.join(met, "key", "left_semi").select("print").distinct(), "simhash-candidates")
-    return (some.mapInArrow(_variants(radius), "variant long, print long")
+    return (some.mapInArrow(B.frugal(_variants(radius)), "variant long, print long")
             .repartition(parts, "variant").sortWithinPartitions("variant")
-            .mapInArrow(_stars(radius), "a long, b long").distinct())
+            .mapInArrow(B.frugal(_stars(radius)), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:

@@ -184,7 +184,7 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     a document with a smaller id, as a list of packed arrays."""
     fine = max(1, -(-text_bytes(docs) // (64 * BUCKET_BYTES)))
     answers = materialize(
-        docs.select("doc_id", "text").mapInArrow(_deal(width, fine), DEALT)
+        docs.select("doc_id", "text").mapInArrow(B.frugal(_deal(width, fine)), DEALT)
         .groupBy("bucket").applyInPandas(_answer, "kind int, doc_id long, docs binary, sizes binary, hashes binary"), "windows")
     cold = answers.where(F.col("kind") == PAIRS).select("doc_id", "hashes")
     aside = answers.where(F.col("kind") == ASIDE).withColumnRenamed("doc_id", "round")
@@ -248,7 +248,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
                         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     wide = docs.join(found.select("doc_id", F.col("hashes").alias("__hashes")), "doc_id", "left").select(
         *docs.columns, "__hashes")
-    return wide.mapInArrow(_remove(width), out)
+    return wide.mapInArrow(B.frugal(_remove(width)), out)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -203,13 +203,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = weights = None
     if all(len(set(own[1])) == 2 for own in (train, check)):
-        parts = keyed.mapInArrow(_counts(spark.sparkContext.broadcast(train)), "segment int, places binary, counts binary")
+        parts = keyed.mapInArrow(B.frugal(_counts(spark.sparkContext.broadcast(train))), "segment int, places binary, counts binary")
         table = np.zeros(3 * SLOTS, np.int64)
         for row in parts.groupBy("segment").applyInPandas(_sum, "segment int, counts binary").collect():
             table[row["segment"] * SEGMENT:(row["segment"] + 1) * SEGMENT] = np.frombuffer(row["counts"], np.int64)
         tables = [compare_words(table.reshape(3, SLOTS), *own) for own in SETTINGS]
         shared = spark.sparkContext.broadcast(tables)
-        seen = keyed.mapInArrow(_calibration(shared, spark.sparkContext.broadcast(check[0])),
+        seen = keyed.mapInArrow(B.frugal(_calibration(shared, spark.sparkContext.broadcast(check[0]))),
                                 "doc_id long, x array<double>").toPandas()
         seen["x"] = seen["x"].map(tuple)
         seen = seen.sort_values(["doc_id", "x"])
@@ -219,6 +219,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
             best, weights = best_fit(np.array(seen["x"].tolist()), y)
             words = spark.sparkContext.broadcast(tables[best])
     docs = docs.drop("held_out", "score", "predicted", "__score")
-    scored = docs.mapInArrow(_scores(words, weights), T.StructType([*docs.schema, T.StructField("__score", T.DoubleType())]))
+    scored = docs.mapInArrow(B.frugal(_scores(words, weights)), T.StructType([*docs.schema, T.StructField("__score", T.DoubleType())]))
     return scored.withColumns({"held_out": F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)), "score": F.col("__score"),
                                "predicted": (F.col("__score") >= 0.5).cast("int")}).drop("__score")
