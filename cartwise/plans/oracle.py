@@ -442,7 +442,13 @@ SELECT customer_area, customernumber, array_to_string(actual_products, ',') AS a
        CAST(len(recommend) AS INTEGER) AS rules_count
 FROM fallback"""
 SQL["item_fallback"] = _with(SIM_BASE) + _FALLBACK_OUT
-SQL["score_left_join"] = _with(SIM_BASE) + _FALLBACK_OUT
+SQL["score_left_join"] = _with(SIM_BASE) + """,
+strong AS (SELECT customer_area, customernumber, item, list(sim_score ORDER BY rank, other) AS score_list
+  FROM nbj WHERE sim_score >= 0.5 GROUP BY ALL)
+SELECT g.customer_area, g.customernumber, g.item, array_to_string(g.sims_list, ',') AS most_similar_items,
+       array_to_string(coalesce(s.score_list, []), ',') AS sim_score
+FROM grp g LEFT JOIN strong s ON g.customer_area = s.customer_area
+  AND g.customernumber = s.customernumber AND g.item = s.item"""
 SQL["bundle_pipeline"] = _with(MIXED_BASE) + """
 SELECT customer_area, customernumber, array_to_string(actual_products, ',') AS actual_products,
        array_to_string(most_similar_items, ',') AS most_similar_items,
@@ -914,7 +920,10 @@ def _spark_rounding(sql: str) -> str:
 
 
 SQL["purchased_flag"] = _with(ALS_R) + f"\nSELECT {ALS_KEY}, purchased FROM als"
-SQL["basket_window"] = SQL["baskets"]
+SQL["basket_window"] = _with(POOLED) + """
+SELECT customernumber, sales_receipt, array_to_string(items, ',') AS items,
+       CAST(len(items) AS INTEGER) AS "count"
+FROM bask"""
 
 SQL = {k: _spark_rounding(v) for k, v in SQL.items()}
 

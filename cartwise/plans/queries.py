@@ -296,7 +296,13 @@ def q_item_fallback(spark, root):
 
 @register("score_left_join")
 def q_score_left_join(spark, root):
-    return fallback_out(sim_parts(spark, root).fallback)
+    """Only scores of 0.5 and more are kept, so some recommendations stay without."""
+    from cartwise.operators import similarity as S
+    p = sim_parts(spark, root, False)
+    rows = S.head_neighbours(p.unmatched, p.neighbours)
+    strong = S.score_lists(rows.where("sim_score >= 0.5"))
+    return S.score_left_join(S.collect_recommendations(rows), strong).select(
+        "customer_area", "customernumber", "item", arr("most_similar_items"), arr("sim_score"))
 
 
 def bundles_out(df):

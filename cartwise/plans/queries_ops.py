@@ -598,5 +598,6 @@ def q_purchased(spark, root):
 
 @register("basket_window")
 def q_basket_window(spark, root):
-    from cartwise.plans.queries import q_baskets
-    return q_baskets(spark, root)
+    """Receipts of the whole history, areas pooled."""
+    from cartwise.plans.queries import pooled_baskets
+    return pooled_baskets(spark, root).select(CU, "sales_receipt", arr("items"), "count")
