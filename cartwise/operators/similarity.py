@@ -80,7 +80,7 @@ def co_purchase(bought: DataFrame, keys: Sequence[str] = ("customer_area",),
     keys = list(keys)
     ids = persist(item_ids(bought, keys))
     co = pair_counts(bought, ids, keys, cust, chunk).select(
-        F.shiftright("_pair", 32).alias("_i"), F.col("_pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_j"), "co")
+        F.shiftrightunsigned("_pair", 32).alias("_i"), F.col("_pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_j"), "co")
     one, two = (ids.select(F.col("_id").alias(i), F.col("item").alias(f"item{i}"), F.col("_n").alias(f"n{i}"),
                            *(keys if i == "_i" else [])) for i in ("_i", "_j"))
     named = co.join(one, "_i").join(two, "_j")

@@ -19,6 +19,7 @@ from cartwise.operators import rules as R
 from cartwise.operators.windows import baskets, top_items
 from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
+from cartwise.plans import models as MO
 from cartwise.scope import once, persist, scope, shared
 from cartwise.sources import testdata as TD
 
@@ -78,6 +79,17 @@ def top10(spark: SparkSession, root: str, item: str = "model_number") -> DataFra
                      ["customer_area", "customernumber"], "interaction", item)
 
 
+def als_input(spark: SparkSession, root: str, index: bool = True) -> DataFrame:
+    """L1 over all areas, persisted: several queries and branches read it."""
+    return once(("als", root, index), lambda: persist(
+        MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP, index=index)))
+
+
+def ncf_input(spark: SparkSession, root: str) -> DataFrame:
+    """L6 over all areas, persisted."""
+    return once(("ncf", root), lambda: persist(MO.ncf_ratings(invoices(spark, root), cap=C.RATING_CAP)))
+
+
 # ---------------------------------------------------------------- D / W slice
 @register("build_invoices")
 def q_build_invoices(spark, root):

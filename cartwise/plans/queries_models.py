@@ -16,9 +16,10 @@ from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
 from cartwise.plans import models as MO
 from cartwise.plans.queries import (
-    bundles_out, invoices, mixed_parts, parts, pooled_rules, r6, register, sim_parts,
+    als_input, bundles_out, invoices, mixed_parts, ncf_input, parts, pooled_rules, r6, register,
+    sim_parts,
 )
-from cartwise.scope import persist
+from cartwise.scope import once, persist
 
 CU, MN = "customernumber", "model_number"
 _MODEL_CACHE: dict = {}
@@ -36,7 +37,7 @@ def als(spark, root):
 # ------------------------------------------------------------------ models (rows only)
 @register("random_split")
 def q_split(spark, root):
-    r = persist(MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP, index=False))
+    r = als_input(spark, root, False)
     train, test = MO.hash_split(r, C.ALS_TRAIN_FRACTION)
     return (train.select(CU, MN, F.lit("train").alias("side"))
             .unionByName(test.select(CU, MN, F.lit("test").alias("side"))))
@@ -59,7 +60,7 @@ def q_top_k(spark, root):
 
 
 def _indexed(spark, root):
-    return persist(MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP))
+    return als_input(spark, root)
 
 
 def _picked(ratings):
@@ -93,7 +94,7 @@ def _metrics_out(m):
 
 @register("rmse_eval")
 def q_rmse(spark, root):
-    r = persist(MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP, index=False))
+    r = als_input(spark, root, False)
     pred = MO.item_mean_predictions(*MO.hash_split(r, C.ALS_TRAIN_FRACTION), "minmax_scaled_rating")
     return _metrics_out(MO.regression_metrics(pred, "minmax_scaled_rating"))
 
@@ -104,10 +105,11 @@ def q_als_metrics(spark, root):
 
 
 def _ncf(spark, root, index=False):
-    r = MO.ncf_ratings(invoices(spark, root), cap=C.RATING_CAP)
-    if index:
-        r = dense_index(dense_index(r, CU, "customer_id"), MN, "product_id")
-    return persist(r)
+    r = ncf_input(spark, root)
+    if not index:
+        return r
+    return once(("ncf indexed", root), lambda: persist(
+        dense_index(dense_index(r, CU, "customer_id"), MN, "product_id")))
 
 
 @register("gmf_fit")

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cartwise import config as C
 from cartwise import functions as X
 from cartwise.operators import aggregates as A
 from cartwise.operators import filters as FL
@@ -15,10 +14,9 @@ from cartwise.operators import projections as PR
 from cartwise.operators import scaling as M
 from cartwise.operators.joins import with_group_stat
 from cartwise.plans import dataset as D
-from cartwise.plans import models as MO
 from cartwise.plans.queries import (
-    arr, invoices, mixed_parts, money, parts, pooled_rules, r6, register,
-    top10, window,
+    als_input, arr, invoices, mixed_parts, money, ncf_input, parts, pooled_rules, r6,
+    register, top10, window,
 )
 from cartwise.session import CHECKPOINT_CONF
 from cartwise.sources import io as IO
@@ -542,7 +540,7 @@ def q_join_back(spark, root):
 
 # ------------------------------------------------------------------ 2.8 scaling / L1, L6
 def _als(spark, root, index=True):
-    return MO.als_ratings(invoices(spark, root), cap=C.RATING_CAP, index=index)
+    return als_input(spark, root, index)
 
 
 @register("als_ratings")
@@ -579,7 +577,7 @@ def q_vector(spark, root):
 
 @register("ncf_ratings")
 def q_ncf_ratings(spark, root):
-    r = MO.ncf_ratings(invoices(spark, root), cap=C.RATING_CAP)
+    r = ncf_input(spark, root)
     return r.select(CA, CU, MN, "product_orders", r6("avg_order"), r6("raw_rating"), r6("rating"),
                     "interaction_round", "interaction")
 
@@ -587,7 +585,7 @@ def q_ncf_ratings(spark, root):
 @register("item_minmax_window")
 def q_item_minmax(spark, root):
     from cartwise.operators.windows import scale_per_item
-    r = MO.ncf_ratings(invoices(spark, root), cap=C.RATING_CAP)
+    r = ncf_input(spark, root)
     return scale_per_item(r, "rating", "scaled", MN, 3, keys=[CA]).select(CA, CU, MN, "scaled")
 
 
