@@ -205,9 +205,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
     if all(len(set(own[1])) == 2 for own in (train, check)):
         parts = keyed.mapInArrow(B.frugal(_counts(spark.sparkContext.broadcast(train))), "segment int, places binary, counts binary")
         table = np.zeros(3 * SLOTS, np.int64)
-        for row in parts.groupBy("segment").applyInPandas(_sum, "segment int, counts binary").collect():
+        for row in parts.groupBy("segment").applyInPandas(_sum, "segment int, counts binary").toLocalIterator():
             table[row["segment"] * SEGMENT:(row["segment"] + 1) * SEGMENT] = np.frombuffer(row["counts"], np.int64)
         tables = [compare_words(table.reshape(3, SLOTS), *own) for own in SETTINGS]
+        del table
         shared = spark.sparkContext.broadcast(tables)
         seen = keyed.mapInArrow(B.frugal(_calibration(shared, spark.sparkContext.broadcast(check[0]))),
                                 "doc_id long, x array<double>").toPandas()
@@ -218,6 +219,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
         if len(set(y)) == 2:
             best, weights = best_fit(np.array(seen["x"].tolist()), y)
             words = spark.sparkContext.broadcast(tables[best])
+        del tables
     docs = docs.drop("held_out", "score", "predicted", "__score")
     scored = docs.mapInArrow(B.frugal(_scores(words, weights)), T.StructType([*docs.schema, T.StructField("__score", T.DoubleType())]))
     return scored.withColumns({"held_out": F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)), "score": F.col("__score"),
