@@ -18,8 +18,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="test data not p
 @pytest.fixture(scope="module")
 def parts(spark):
     inv = D.build_invoices(TD.sources(spark, ROOT)).persist()
-    return B.bundle_parts(inv, BundleConfig(as_of=None, item_col="model_number",
-                                            min_confidence=0.1))
+    yield B.bundle_parts(inv, BundleConfig(as_of=None, item_col="model_number",
+                                           min_confidence=0.1))
+    spark.catalog.clearCache()
 
 
 def test_ratings_in_range_and_top_k_bounded(parts):
