@@ -12,6 +12,7 @@ Smaller pieces follow in descending order, each into the tightest gap."""
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from itertools import repeat
@@ -153,6 +154,7 @@ def _pieces(definition, capacity: int, end_id: int, with_ids: bool):
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = Encoder(definition.value)
+        gc.disable()  # many small lists, none in a cycle: collections only cost time
         for batch in batches:
             for part, texts in B.text_chunks(batch):
                 raw = [texts.data[a:b].tobytes() for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
@@ -168,6 +170,7 @@ def _pieces(definition, capacity: int, end_id: int, with_ids: bool):
                     pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(columns[:5 + with_ids], names[:5 + with_ids])
+        gc.enable()
     return run
 
 
