@@ -11,11 +11,12 @@ words whose two probabilities differ by less than a margin count as even.  Disco
 and margin are the one of ``SETTINGS`` that fits labelled texts best which the
 counts have not seen.
 
-Counts add up over any split of the corpus.  They are kept in tables of fixed size
-addressed by word hashes, so the model stays as large as its tables however large
-the corpus is (words that share a slot share their counts).  Contexts are counted,
-but the models are of order one: with word pairs as a second order, held-out
-ranking got much worse (see the README).
+Counts add up over any split of the corpus.  They are rows keyed by the 64-bit hash
+of a word, summed by Spark, so they grow with the corpus.  Only the words that the
+labelled texts hold compare unequally, and only these are gathered: there are at
+most as many as the ``max_labelled`` texts have.  Contexts are counted, but the
+models are of order one: with word pairs as a second order, held-out ranking got
+much worse (see the README).
 
 Labels are learned from at most ``max_labelled`` rows, those with the least hashes
 of their doc_id; all other counts are over all documents."""
@@ -23,43 +24,46 @@ of their doc_id; all other counts are over all documents."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwise.llm import bytetext as B
-from cartwise.llm.common import small_batches
+from cartwise.llm.common import materialize, small_batches
 
-WORD_BITS = 21
-SLOTS = 1 << WORD_BITS
-SEGMENT = 1 << 16
+#: Words that a task holds before it counts them.
+HELD = 1 << 20
 #: (discount of a continuation count, least difference of logarithms that counts)
 SETTINGS = ((0.75, 3.0), (1.5, 3.0), (3.0, 3.0), (3.0, 2.0), (6.0, 2.0))
 
 
-def slots(texts: B.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each word, and a hash of it with the word before."""
+def contexts(texts: B.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and a hash of it with the word before."""
     texts.words(B.ALNUM, lower=True)
     h = texts.hashes()
     before = np.append(np.uint64(0), h[:-1])[:len(h)]
     before[texts.first[:-1][np.diff(texts.first) > 0]] = 0  # a text's first word follows its start
-    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), B.mix(before * np.uint64(3) + h)
+    return h, B.mix(before * np.uint64(3) + h)
 
 
-def count(texts: B.Texts, kind: np.ndarray, table: np.ndarray) -> None:
-    """Add texts to the continuation counts: row 0 of all, rows 1 and 2 of texts
-    whose ``kind`` is 0 (ordinary) and 1 (toxic)."""
-    word, pair = slots(texts)
-    if not len(word):
-        return
+def count(texts: B.Texts, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different words of some texts and their continuation counts: of all texts, and
+    of those whose ``kind`` is 0 (ordinary) and 1 (toxic)."""
+    word, pair = contexts(texts)
     order = np.lexsort((pair, texts.doc))
     p, d = pair[order], texts.doc[order]
-    at = order[np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]))]
-    np.add.at(table[0], word[at], 1)
-    for k in (0, 1):
-        np.add.at(table[1 + k], word[at[kind[texts.doc[at]] == k]], 1)
+    at = order[np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]))[:len(p)]]
+    own = kind[texts.doc[at]]
+    return add(word[at], np.column_stack([np.ones(len(at), np.int64), own == 0, own == 1]).astype(np.int64))
+
+
+def add(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different words and the sums of their counts."""
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[:len(word)])
+    return word[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def find(ids: np.ndarray, doc_id: pa.Array) -> np.ndarray:
@@ -74,50 +78,49 @@ def find(ids: np.ndarray, doc_id: pa.Array) -> np.ndarray:
 def _counts(labels):
     def run(batches):
         ids, toxic = labels.value
-        table = np.zeros((3, SLOTS), np.int32)
+        held: list[tuple] = []
+
+        def rows():
+            word, counts = (np.concatenate(x) for x in zip(*held))
+            word, counts = add(word, counts)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *(pa.array(c) for c in counts.T)],
+                                              ["word", "n", "n0", "n1"])
         for batch in batches:
             for part, texts in B.text_chunks(batch):
                 at = find(ids, part.column("doc_id"))
-                count(texts, np.where(at >= 0, np.append(toxic, -1)[at], -1), table)
-        flat = table.reshape(-1)
-        used = np.flatnonzero(flat)
-        cuts = np.searchsorted(used, np.arange(0, len(flat) + 1, SEGMENT))
-        for s in np.flatnonzero(np.diff(cuts)):
-            own = used[cuts[s]:cuts[s + 1]]
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()),
-                                              "places": [(own - s * SEGMENT).astype("<u2").tobytes()],
-                                              "counts": [flat[own].astype("<i4").tobytes()]})
+                held.append(count(texts, np.where(at >= 0, np.append(toxic, -1)[at], -1)))
+                if sum(len(word) for word, _ in held) > HELD:
+                    yield rows()
+                    held = []
+        if held:
+            yield rows()
     return run
 
 
-def _sum(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SEGMENT, np.int64)
-    for places, counts in zip(rows["places"], rows["counts"]):
-        total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<i4")
-    return pd.DataFrame({"segment": rows["segment"].iloc[:1], "counts": [total.tobytes()]})
-
-
-def compare_words(table: np.ndarray, discount: float, margin: float) -> np.ndarray:
-    """The log-likelihood of each slot's words, toxic less ordinary."""
-    shared = table[0] + 0.5
-    shared = shared / shared.sum()
+def compare_words(counts: np.ndarray, rest: np.ndarray, discount: float, margin: float) -> np.ndarray:
+    """The log-likelihood of each word of the labelled texts, toxic less ordinary,
+    from rows of its counts (of all, ordinary, toxic).  ``rest`` has rows (count, how
+    many words) of all other words."""
+    total = (counts[:, 0] + 0.5).sum() + ((rest[:, 0] + 0.5) * rest[:, 1]).sum()
     logs = []
-    for own in table[1:].astype(np.float64):
-        back = np.minimum(own.sum() * shared, discount)
+    for own in counts[:, 1:].T.astype(np.float64):
+        back, others = (np.minimum(own.sum() * (n + 0.5) / total, discount) for n in (counts[:, 0], rest[:, 0]))
         p = np.maximum(own - discount, 0) + back
-        logs.append(np.log(p / p.sum()) if own.any() else np.zeros(SLOTS))
+        logs.append(np.log(p / (p.sum() + (others * rest[:, 1]).sum())) if own.any() else np.zeros(len(own)))
     found = logs[1] - logs[0]
     return np.where(np.abs(found) > margin, found, 0).astype(np.float32)
 
 
-def compare(texts: B.Texts, tables: list[np.ndarray]) -> list[np.ndarray]:
-    """For each table rows (per word, per root of words) of log-likelihoods, toxic
-    less ordinary."""
-    word, _ = slots(texts)
+def compare(texts: B.Texts, words: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """For each table over sorted ``words`` rows (per word, per root of words) of
+    log-likelihoods, toxic less ordinary; other words are even."""
+    h = texts.words(B.ALNUM, lower=True).hashes()
     n = np.maximum(np.diff(texts.first), 1)
+    at = np.searchsorted(words, h)
+    at[np.append(words, np.uint64(0))[at] != h] = len(words)
     out = []
     for table in tables:
-        total = np.append(0, np.cumsum(table[word], dtype=np.float64))
+        total = np.append(0, np.cumsum(np.append(table, np.float32(0))[at], dtype=np.float64))
         own = total[texts.first[1:]] - total[texts.first[:-1]]
         out.append(np.column_stack([own / n, own / np.sqrt(n)]))
     return out
@@ -144,17 +147,17 @@ def _calibration(tables, ids):
         for batch in batches:
             own = batch.filter(pa.array(find(ids.value, batch.column("doc_id")) >= 0))
             for part, texts in B.text_chunks(own):
-                x = np.concatenate(compare(texts, tables.value), axis=1)
+                x = np.concatenate(compare(texts, *tables.value), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "x"])
     return run
 
 
-def _scores(table, weights):
+def _scores(words, weights):
     def run(batches):
         for batch in batches:
             for part, texts in B.text_chunks(batch):
-                score = np.zeros(len(texts)) if weights is None else probability(compare(texts, [table.value])[0], weights)
+                score = np.zeros(len(texts)) if weights is None else probability(compare(texts, *words.value)[0], weights)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "__score"])
     return run
 
@@ -203,13 +206,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = weights = None
     if all(len(set(own[1])) == 2 for own in (train, check)):
-        parts = keyed.mapInArrow(B.frugal(_counts(spark.sparkContext.broadcast(train))), "segment int, places binary, counts binary")
-        table = np.zeros(3 * SLOTS, np.int64)
-        for row in parts.groupBy("segment").applyInPandas(_sum, "segment int, counts binary").toLocalIterator():
-            table[row["segment"] * SEGMENT:(row["segment"] + 1) * SEGMENT] = np.frombuffer(row["counts"], np.int64)
-        tables = [compare_words(table.reshape(3, SLOTS), *own) for own in SETTINGS]
-        del table
-        shared = spark.sparkContext.broadcast(tables)
+        parts = keyed.mapInArrow(B.frugal(_counts(spark.sparkContext.broadcast(train))), "word long, n long, n0 long, n1 long")
+        every = materialize(parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in ("n", "n0", "n1"))), "toxicity")
+        # the words of the labelled texts; of all others, how many have each count
+        own = every.where("n0 + n1 > 0").toArrow()
+        rest = np.array(sorted(map(tuple, every.where("n0 + n1 = 0").groupBy("n").count().collect())), np.int64).reshape(-1, 2)
+        names = own.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        names, counts = names[order], np.column_stack([own.column(n).to_numpy() for n in ("n", "n0", "n1")])[order]
+        tables = [compare_words(counts, rest, *setting) for setting in SETTINGS]
+        del own, counts
+        shared = spark.sparkContext.broadcast((names, tables))
         seen = keyed.mapInArrow(B.frugal(_calibration(shared, spark.sparkContext.broadcast(check[0]))),
                                 "doc_id long, x array<double>").toPandas()
         seen["x"] = seen["x"].map(tuple)
@@ -218,7 +225,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
         y = check[1][np.searchsorted(check[0], seen["doc_id"].to_numpy())]
         if len(set(y)) == 2:
             best, weights = best_fit(np.array(seen["x"].tolist()), y)
-            words = spark.sparkContext.broadcast(tables[best])
+            some = tables[best] != 0
+            words = spark.sparkContext.broadcast((names[some], [tables[best][some]]))
         del tables
     docs = docs.drop("held_out", "score", "predicted", "__score")
     scored = docs.mapInArrow(B.frugal(_scores(words, weights)), T.StructType([*docs.schema, T.StructField("__score", T.DoubleType())]))

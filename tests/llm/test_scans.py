@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from cartwise.llm import license_scan, toxicity
+from cartwise.llm import bytetext, license_scan, toxicity
 
 
 def corpus(n=1500, seed=1):
@@ -101,3 +101,20 @@ def test_every_template_is_found(spark):
 
 def test_empty(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_share_no_counts(spark):
+    """Words whose hashes agree in their first 21 bits are counted apart."""
+    names = ["v%d" % i for i in range(20000)]
+    joined = " ".join(names).encode()
+    texts = bytetext.Texts(np.frombuffer(joined, np.uint8), np.array([0, len(joined)])).words(bytetext.ALNUM)
+    same: dict = {}
+    for name, h in zip(names, texts.hashes() >> np.uint64(43)):
+        same.setdefault(h, []).append(name)
+    plain, bad = zip(*[own[:2] for own in same.values() if len(own) > 1][:20])
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choice(bad) if i % 4 == 0 and r.random() < 0.2 else r.choice(plain) for _ in range(40))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(df, lab).where("held_out").collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in got]) > 0.97
