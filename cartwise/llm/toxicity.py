@@ -1,8 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary documents, give each word a probability from
-its continuation count (in how many contexts, here different preceding words of a
-document, it follows), less an absolute discount.  What a word loses to the
+its continuation count (in how many contexts, here different preceding words, it follows), less an absolute discount.  What a word loses to the
 discount comes back from a backoff that both models share: its continuation count
 over all documents, labelled or not.  A rare word thus has the same probability
 in both, and only words whose counts stand out compare unequally.  A text is scored by
@@ -11,12 +10,13 @@ words whose two probabilities differ by less than a margin count as even.  Disco
 and margin are the one of ``SETTINGS`` that fits labelled texts best which the
 counts have not seen.
 
-Counts add up over any split of the corpus.  They are rows keyed by the 64-bit hash
-of a word, summed by Spark, so they grow with the corpus.  Only the words that the
-labelled texts hold compare unequally, and only these are gathered: there are at
-most as many as the ``max_labelled`` texts have.  Contexts are counted, but the
-models are of order one: with word pairs as a second order, held-out ranking got
-much worse (see the README).
+A context counts once however many documents hold it: tasks send their different
+(word, context) pairs with the classes that hold them, Spark makes them different
+over the corpus and counts them by word.  Both are rows keyed by 64-bit hashes and
+grow with the corpus.  Only the words that the labelled texts hold compare
+unequally, and only these are gathered: there are at most as many as the
+``max_labelled`` texts have.  Contexts are counted, but the models are of order one:
+with word pairs as a second order, held-out ranking got much worse (see the README).
 
 Labels are learned from at most ``max_labelled`` rows, those with the least hashes
 of their doc_id; all other counts are over all documents."""
@@ -32,10 +32,10 @@ from pyspark.sql import types as T
 from cartwise.llm import bytetext as B
 from cartwise.llm.common import materialize, small_batches
 
-#: Words that a task holds before it counts them.
+#: Different pairs of a word and its context that a task holds before it sends them.
 HELD = 1 << 20
 #: (discount of a continuation count, least difference of logarithms that counts)
-SETTINGS = ((0.75, 3.0), (1.5, 3.0), (3.0, 3.0), (3.0, 2.0), (6.0, 2.0))
+SETTINGS = ((0.75, 3.0), (1.5, 3.0), (3.0, 3.0), (3.0, 2.0), (6.0, 2.0), (0.75, 0.0), (1.5, 0.0), (3.0, 0.0), (6.0, 0.0))
 
 
 def contexts(texts: B.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -47,23 +47,12 @@ def contexts(texts: B.Texts) -> tuple[np.ndarray, np.ndarray]:
     return h, B.mix(before * np.uint64(3) + h)
 
 
-def count(texts: B.Texts, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different words of some texts and their continuation counts: of all texts, and
-    of those whose ``kind`` is 0 (ordinary) and 1 (toxic)."""
-    word, pair = contexts(texts)
-    order = np.lexsort((pair, texts.doc))
-    p, d = pair[order], texts.doc[order]
-    at = order[np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]))[:len(p)]]
-    own = kind[texts.doc[at]]
-    return add(word[at], np.column_stack([np.ones(len(at), np.int64), own == 0, own == 1]).astype(np.int64))
-
-
-def add(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different words and the sums of their counts."""
-    order = np.argsort(word, kind="stable")
-    word = word[order]
-    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[:len(word)])
-    return word[first], np.add.reduceat(counts[order], first) if len(first) else counts
+def different(word: np.ndarray, pair: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (word, pair) in the order of words, with the classes of all that are alike."""
+    order = np.lexsort((pair, word))
+    word, pair, classes = word[order], pair[order], classes[order]
+    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (pair[1:] != pair[:-1]))[:len(word)])
+    return word[first], pair[first], np.bitwise_or.reduceat(classes, first) if len(first) else classes
 
 
 def find(ids: np.ndarray, doc_id: pa.Array) -> np.ndarray:
@@ -75,24 +64,34 @@ def find(ids: np.ndarray, doc_id: pa.Array) -> np.ndarray:
     return np.where((ids[at] == doc) & doc_id.is_valid().to_numpy(zero_copy_only=False), at, -1)
 
 
-def _counts(labels):
+#: The class bits of a pair by the kind of a text: ordinary, toxic, neither.
+CLASSES = np.array([1, 2, 0], np.int8)
+
+
+def _pairs(labels):
     def run(batches):
         ids, toxic = labels.value
-        held: list[tuple] = []
+        held, n = [], 0
 
         def rows():
-            word, counts = (np.concatenate(x) for x in zip(*held))
-            word, counts = add(word, counts)
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *(pa.array(c) for c in counts.T)],
-                                              ["word", "n", "n0", "n1"])
+            word, pair, classes = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(classes)],
+                                              ["word", "pair", "classes"])
         for batch in batches:
             for part, texts in B.text_chunks(batch):
                 at = find(ids, part.column("doc_id"))
-                held.append(count(texts, np.where(at >= 0, np.append(toxic, -1)[at], -1)))
-                if sum(len(word) for word, _ in held) > HELD:
-                    yield rows()
-                    held = []
+                own = CLASSES[np.where(at >= 0, np.append(toxic, -1)[at], -1)]
+                word, pair = contexts(texts)
+                held.append((word, pair, own[texts.doc]))
+                n += len(word)
+                if n > HELD:
+                    held = [different(*(np.concatenate(x) for x in zip(*held)))]
+                    n = len(held[0][0])
+                    if n > HELD // 2:
+                        yield rows()
+                        held, n = [], 0
         if held:
+            held = [different(*(np.concatenate(x) for x in zip(*held)))]
             yield rows()
     return run
 
@@ -206,8 +205,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = weights = None
     if all(len(set(own[1])) == 2 for own in (train, check)):
-        parts = keyed.mapInArrow(B.frugal(_counts(spark.sparkContext.broadcast(train))), "word long, n long, n0 long, n1 long")
-        every = materialize(parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in ("n", "n0", "n1"))), "toxicity")
+        pairs = (keyed.mapInArrow(B.frugal(_pairs(spark.sparkContext.broadcast(train))), "word long, pair long, classes byte")
+                 .groupBy("word", "pair").agg(F.bit_or("classes").alias("classes")))
+        every = materialize(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(
+            F.count_if(F.col("classes").bitwiseAND(k) > 0).alias(n) for n, k in (("n0", 1), ("n1", 2)))), "toxicity")
         # the words of the labelled texts; of all others, how many have each count
         own = every.where("n0 + n1 > 0").toArrow()
         rest = np.array(sorted(map(tuple, every.where("n0 + n1 = 0").groupBy("n").count().collect())), np.int64).reshape(-1, 2)

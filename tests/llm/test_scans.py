@@ -118,3 +118,26 @@ def test_words_share_no_counts(spark):
     lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
     got = toxicity.score_toxicity(df, lab).where("held_out").collect()
     assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in got]) > 0.97
+
+
+def test_copies_are_one_context(spark):
+    """A context of many copies counts once: their labels do not outweigh a class."""
+    docs, labels = corpus(800)
+    labels = [(i, int(i % 4 == 0)) for i, _ in docs]
+    copied = " ".join("w%d" % i if i % 15 else "b%d" % (i // 15) for i in range(120))
+    copies = [(i, copied) for i in range(5000, 7000)]
+    df = spark.createDataFrame(docs + copies, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(i, 0) for i, _ in copies if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(df, lab).where("held_out and doc_id < 800 and doc_id % 4 = 0").collect()
+    assert np.mean([r["predicted"] for r in got]) > 0.9
+
+
+def test_small_differences_count(spark):
+    """Words that toxic texts hold four times as often tell, though no word stands out."""
+    r = random.Random(3)
+    odd, plain = ["m%d" % i for i in range(40)], ["w%d" % i for i in range(40)]
+    docs = [(i, " ".join(r.choice(odd) if r.random() < (0.8 if i % 2 else 0.2) else r.choice(plain) for _ in range(30)))
+            for i in range(600)]
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), lab).where("held_out").collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.95
