@@ -1,16 +1,16 @@
 """Licence scan with a positional rare-token index.
 
 The words of all licence templates are counted over all documents; their inverse
-document frequencies rank them.  Each template posts its words with their
-positions.  In a file, the rarest licence words that it holds are looked up: each
-occurrence votes for (template, start), its position less the posted one.  Starts
-with enough votes are checked: the template's words that stand at their places are
-counted, and one of its mandatory key phrases must stand within its reach."""
+document frequencies rank them.  Each template posts its rarest words with their
+positions, so many that a passage which covers enough of the template must hold one
+of them in its place.  In a file every occurrence of a posted word proposes a
+(template, start): its position less the posted one.  All starts are checked: the
+template's words that stand at their places are counted, and one of its mandatory
+key phrases must stand within its reach."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +50,12 @@ TEMPLATES = {
             "| permission to use copy modify and or distribute"],
     "unlicense": ["this is free and unencumbered software released into the public domain | unencumbered software"],
 }
-#: Licence words that are looked up in a file, the rarest first; more are looked
-#: up where several are as rare.
-LOOKED_UP = 8
 #: Share of a template's words that must stand at their places.
 COVERAGE = 0.6
 
 
 class Index:
-    """Templates in numbers of their vocabulary (from 1), postings and phrases."""
+    """Templates in numbers of their vocabulary (from 1), and phrases."""
 
     def __init__(self) -> None:
         self.passages = [(label, passage.split("|")[0].split(), [p.split() for p in passage.split("|")[1:]])
@@ -74,10 +71,6 @@ class Index:
         self.templates = [(label, np.array([at[w] for w in own]), [np.array([at[w] for w in p]) for p in phrases])
                           for label, own, phrases in self.passages]
         self.base = [(label, np.array([at[w] for w in p.split()])) for p, label in BASE.items()]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, own, _) in enumerate(self.templates):
-            for place, w in enumerate(own):
-                self.postings.setdefault(int(w), []).append((t, place))
 
     def numbers(self, texts: B.Texts) -> np.ndarray:
         """The number of each word; 0 is not a licence word."""
@@ -95,33 +88,40 @@ def stands(phrase: np.ndarray, words: np.ndarray) -> np.ndarray:
     return at
 
 
-def detect(words: np.ndarray, index: Index, rarity: np.ndarray) -> dict[str, float]:
-    """Labels with the best share of a template's words, weighted by rarity."""
-    held = np.unique(words[words > 0])
-    held = held[[int(w) in index.postings for w in held]] if len(held) else held
-    if not len(held):
-        return {}
-    least = np.sort(rarity[held])[::-1][min(LOOKED_UP, len(held)) - 1]
-    votes: Counter = Counter()
-    for w in held[rarity[held] >= least]:
-        for at in np.flatnonzero(words == w):
-            for t, place in index.postings[int(w)]:
-                votes[t, int(at) - place] += 1
-    found: dict[str, float] = {}
-    for (t, start), n in votes.items():
-        label, own, phrases = index.templates[t]
-        if n < 2:
-            continue
-        places = start + np.arange(len(own))
-        inside = (places >= 0) & (places < len(words))
-        same = np.zeros(len(own), bool)
-        same[inside] = words[places[inside]] == own[inside]
-        share = float((rarity[own] * same).sum() / rarity[own].sum())
-        if same.mean() < COVERAGE or share <= found.get(label, 0):
-            continue
-        near = words[max(0, start):max(0, start) + len(own) + 1]
-        if any(len(stands(p, near)) for p in phrases):
-            found[label] = share
+def detect(words: np.ndarray, first: np.ndarray, index: Index, rarity: np.ndarray) -> list[dict[str, float]]:
+    """For each text labels with the best share of a template's words, weighted by
+    rarity; text ``d`` has the words from ``first[d]`` to ``first[d + 1]``."""
+    found: list[dict[str, float]] = [{} for _ in first[1:]]
+    doc = np.repeat(np.arange(len(found)), np.diff(first))
+    held = np.flatnonzero(words)
+    held = held[np.argsort(words[held], kind="stable")]
+    begins = np.searchsorted(words[held], np.arange(len(index.words) + 2))
+    for label, own, phrases in index.templates:
+        least = next(n for n in range(len(own) + 1) if n / len(own) >= COVERAGE)
+        # at most len(own) - least words are not at their places
+        posted = np.argsort(-rarity[own], kind="stable")[:len(own) - least + 1]
+        at = [held[begins[own[p]]:begins[own[p] + 1]] for p in posted]
+        start = np.concatenate([a - p for a, p in zip(at, posted)])
+        span = len(words) + len(own)
+        key = np.unique(doc[np.concatenate(at)] * span + start + len(own))
+        d, start = key // span, key % span - len(own)
+        n = np.zeros(len(key), np.int64)
+        for k, w in enumerate(own):
+            place = start + k
+            inside = (place >= first[d]) & (place < first[d + 1])
+            n[inside] += words[place[inside]] == w
+        for d, start in zip(d[n >= least].tolist(), start[n >= least].tolist()):
+            text, start = words[first[d]:first[d + 1]], start - int(first[d])
+            places = start + np.arange(len(own))
+            inside = (places >= 0) & (places < len(text))
+            same = np.zeros(len(own), bool)
+            same[inside] = text[places[inside]] == own[inside]
+            share = float((rarity[own] * same).sum() / rarity[own].sum())
+            if share <= found[d].get(label, 0):
+                continue
+            near = text[max(0, start):max(0, start) + len(own) + 1]
+            if any(len(stands(p, near)) for p in phrases):
+                found[d][label] = share
     return found
 
 
@@ -154,10 +154,9 @@ def _scan(shared):
             for part, texts in B.text_chunks(batch):
                 every = index.numbers(texts)
                 out: list[list] = [[] for _ in ADDED]
-                for a, b in zip(texts.first[:-1], texts.first[1:]):
+                for a, b, found in zip(texts.first[:-1], texts.first[1:], detect(every, texts.first, index, rarity)):
                     words = every[a:b]
                     base = {label: at for label, p in index.base if len(at := stands(p, words))} if (words > 0).any() else {}
-                    found = detect(words, index, rarity) if (words > 0).any() else {}
                     places = np.concatenate([*base.values(), np.zeros(0, np.int64)])
                     row = (len(words), len(places), int(places.min()) if len(places) else None,
                            int(places.max()) if len(places) else None, ",".join(sorted(base)),

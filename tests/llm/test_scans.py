@@ -141,3 +141,39 @@ def test_small_differences_count(spark):
     lab = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
     got = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), lab).where("held_out").collect()
     assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.95
+
+
+def test_several_licenses_in_a_file(spark):
+    """Each licence of a file is found, however rare the words of another one are."""
+    own = {label: passages[-1].split("|")[0] for label, passages in license_scan.TEMPLATES.items()}
+    usual = [own[x] for x in ("cc-by", "mpl", "lgpl", "cc-by-sa")]
+    rows = [(i, " filler ".join(reversed(x.split()))) for i, x in enumerate(usual * 20)]
+    many = [(1000, " and also ".join(own.values())), (1001, " text ".join(reversed(own.values()))),
+            (1002, own["unlicense"] + " " + own["bsd"] + " " + own["mpl"] + " x " + own["cc-by"])]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan_licenses(
+        spark.createDataFrame(rows + many, "doc_id long, text string").repartition(3)).collect()}
+    assert got[1000] >= set(own) and got[1001] >= set(own) and got[1002] >= {"unlicense", "bsd", "mpl", "cc-by"}
+
+
+def test_detect_leaves_out_no_start():
+    """The same as checking every start."""
+    r, index = random.Random(4), license_scan.Index()
+    words, first = [], [0]
+    for _ in range(60):
+        for _ in range(r.randint(0, 5)):
+            own = r.choice(index.templates)[1].tolist()
+            words += [w if r.random() < 0.8 else r.randint(0, len(index.words)) for w in own[r.randint(0, 3):]]
+        first.append(len(words))
+    words, first = np.array(words), np.array(first)
+    rarity = np.array([0] + [r.random() + 0.1 for _ in index.words])
+    want = []
+    for a, b in zip(first[:-1], first[1:]):
+        text, best = words[a:b].tolist(), {}
+        for label, own, phrases in index.templates:
+            for s in range(-len(own), len(text)):
+                same = np.array([0 <= s + k < len(text) and text[s + k] == w for k, w in enumerate(own)])
+                near = words[a:b][max(0, s):max(0, s) + len(own) + 1]
+                if same.mean() >= license_scan.COVERAGE and any(len(license_scan.stands(p, near)) for p in phrases):
+                    best[label] = max(best.get(label, 0), float((rarity[own] * same).sum() / rarity[own].sum()))
+        want.append(best)
+    assert license_scan.detect(words, first, index, rarity) == want and sum(map(len, want)) > 20
