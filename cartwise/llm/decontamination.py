@@ -201,6 +201,8 @@ def occurrences(words: B.Texts, benchmark: Benchmark) -> tuple[np.ndarray, np.nd
 
 #: What ``_with_spans`` adds: number of words, merged spans, item ids.
 ADDED = ("__n", "__spans", "__items")
+#: The hash of a text: rows may share a doc_id but not a text.
+VERSION = "__version"
 
 
 def _spans(shared):
@@ -247,7 +249,8 @@ def _with_spans(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     """All columns of ``docs``, n_words, merged spans and item ids."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop(*ADDED)
+    docs = docs.drop(*ADDED, VERSION)
+    version = F.sha2(F.col("text").cast("binary"), 256).alias(VERSION)
     extra = [T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(
         ADDED, ("long", "array<array<int>>", "array<string>"))]
 
@@ -259,15 +262,16 @@ def _with_spans(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
         if first is None:
             first = found(docs, shared)
             continue
-        # later blocks add spans and items of the documents that hold any
+        # later blocks add spans and items of the (doc_id, text) that hold any, once for repeated rows
         some = found(docs.select("doc_id", "text"), shared).where("size(__spans) > 0")
-        more.append(materialize(some.select("doc_id", "__spans", "__items"), "spans"))
+        more.append(materialize(some.select("doc_id", version, "__spans", "__items").dropDuplicates(["doc_id", VERSION]), "spans"))
         shared.unpersist()
     if not more:
         return first
-    more = reduce(DataFrame.unionAll, more).groupBy("doc_id").agg(
+    more = reduce(DataFrame.unionAll, more).groupBy(F.col("doc_id").alias("__d"), F.col(VERSION).alias("__v")).agg(
         F.flatten(F.collect_list("__spans")).alias("__s"), F.flatten(F.collect_list("__items")).alias("__i"))
-    wide = first.join(more, "doc_id", "left")
+    wide = first.withColumn(VERSION, version).join(
+        more, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col(VERSION) == F.col("__v")), "left")
     every = F.array_sort(F.concat("__spans", F.coalesce("__s", F.array())))
     last = F.lit(-1)
     merged = F.aggregate(every, F.array().cast("array<array<int>>"), lambda done, s: F.when(
@@ -291,7 +295,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
     added (columns of these names are replaced).  Null and empty texts have no
     words; a null item or item text has no windows; repeated documents and items
     are found alike; an empty benchmark hits nothing, an empty table gives an
-    empty table.  With more than one block of items, ``doc_id`` must be unique."""
+    empty table.  Rows are told apart by doc_id and text, so doc_ids may be null or
+    shared however many blocks of items there are."""
     hit = F.aggregate("__spans", F.lit(0), lambda n, s: n + s[1] - s[0])
     return _with_spans(docs, benchmark, width).withColumns({
         "n_words": F.col("__n"), "n_hit": hit.cast("long"), "n_items": F.size("__items").cast("long"),

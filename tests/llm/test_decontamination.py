@@ -44,6 +44,22 @@ def test_in_blocks(spark, monkeypatch):
     assert got == D.brute_force(docs, items)
 
 
+def test_null_and_shared_ids_in_blocks(spark, monkeypatch):
+    """The same rows as with one block, also where doc_ids are null, shared or repeated."""
+    docs, items = data(4)
+    docs = [(None if d % 3 == 0 else d % 5, text) for d, text in docs] + docs[:5] + docs[:5]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def results():
+        return (sorted(map(repr, D.digest(D.find_contamination(df, bench, 10)).collect())),
+                sorted(map(repr, D.remove_contamination(df, bench, 10).collect())))
+    one = results()
+    monkeypatch.setattr(D, "BLOCK_WORDS", 60)
+    assert len(list(D.blocks(bench, 10))) > 2
+    assert results() == one
+
+
 def test_removal(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     df = spark.createDataFrame([(1, "Start, A b c-d e f g h i J! end"), (2, "clean é"), (3, None), (3, "a b")],
