@@ -116,3 +116,20 @@ def batch_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int):
+    """Arrow batches of at most ``size`` bytes (and ``BATCH_ROWS`` rows, unless one
+    row is larger) for the tables written inside; the settings before hold again
+    afterwards."""
+    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size),
+                "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -72,3 +72,41 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def _levels(first: str, out: str, paths: str, steps: int) -> str:
+    """Common table expressions for ``steps`` hashing steps of the trees in ``first``
+    (t, i, h, n) and the paths through them in ``paths`` (r, t, i, cur, proof)."""
+    sql = f"{out}0 AS MATERIALIZED (SELECT * FROM {first}), {out}p0 AS MATERIALIZED (SELECT * FROM {paths})"
+    for k in range(steps):
+        sql += f""",
+{out}{k + 1} AS MATERIALIZED (SELECT t, i // 8 AS i, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+  (n + 7) // 8 AS n FROM {out}{k} GROUP BY t, i // 8, n),
+{out}p{k + 1} AS MATERIALIZED (SELECT r, p.t, p.i // 8 AS i,
+  CASE WHEN n = 1 THEN min(cur) ELSE sha256(string_agg(CASE WHEN l.i = p.i THEN cur ELSE h END, '' ORDER BY l.i)) END AS cur,
+  min(proof) || coalesce(string_agg(h, '' ORDER BY l.i) FILTER (WHERE l.i <> p.i), '') AS proof
+  FROM {out}p{k} p JOIN {out}{k} l ON p.t = l.t AND p.i // 8 = l.i // 8 GROUP BY r, p.t, p.i // 8, n)"""
+    return sql
+
+
+def _leaf(text: str) -> str:
+    parts = (f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+_BYTE = "(CASE WHEN b % 8 = 0 THEN xor(c, ascii(substr(CAST(doc_id AS VARCHAR), CAST(b // 8 + 1 AS INTEGER), 1))::BIGINT) ELSE c END)"
+#: CRC-32 of the decimal doc_id, bit by bit (polynomial 0xEDB88320).
+_CRC32 = ("xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * strlen(CAST(doc_id AS VARCHAR)))), "
+          f"lambda c, b: xor({_BYTE} >> 1, 3988292384 * ({_BYTE} & 1))), 4294967295)")
+
+#: Eight steps hold 8**8 documents of a lang, four 8**4 langs.
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, {_leaf('text')} AS leaf,
+  CASE WHEN {_CRC32} % 3 = 0 THEN {_leaf(_LOWER.format('text'))} ELSE {_leaf('text')} END AS cur FROM documents),
+o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS t, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS r,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_levels("(SELECT t, i, leaf AS h, n FROM o)", "l", "(SELECT r, t, i, cur, '' AS proof FROM o)", 8)},
+{_levels("(SELECT 1 AS t, t - 1 AS i, h, count(*) OVER () AS n FROM l8)", "c", "(SELECT r, 1 AS t, t - 1 AS i, cur, proof FROM lp8)", 4)}
+SELECT o.doc_id, o.leaf, l8.h AS subroot, c4.h AS root, sha256(proof) AS proof_sha256, cp4.cur AS folded_root, cp4.cur = c4.h AS verified
+FROM o JOIN l8 ON o.t = l8.t JOIN cp4 ON cp4.r = o.r CROSS JOIN c4
+"""
