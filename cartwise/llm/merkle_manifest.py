@@ -276,7 +276,7 @@ def manifest(rows: DataFrame, name: str, by: str) -> DataFrame:
             F.col("tree").alias("name"), F.lit(None).cast("string").alias("other")))
         root = crown[-1].select("digest").first()
         no_path = F.array().cast("array<string>")
-        start = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("tree"), no_path.alias("left"), no_path.alias("right"))
+        start = rows.sparkSession.range(1).select(F.col("id").alias("tree"), no_path.alias("left"), no_path.alias("right"))
         over = descend(crown, start).select("tree", "block", "size", "n", "nodes", "names", "left", "right").mapInArrow(
             _downward, f"tree long, block long, name long, {PATH}")
         over = materialize(over.select(F.col("name").alias("tree"), "left", "right").join(

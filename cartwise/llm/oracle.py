@@ -110,3 +110,18 @@ o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS t,
 SELECT o.doc_id, o.leaf, l8.h AS subroot, c4.h AS root, sha256(proof) AS proof_sha256, cp4.cur AS folded_root, cp4.cur = c4.h AS verified
 FROM o JOIN l8 ON o.t = l8.t JOIN cp4 ON cp4.r = o.r CROSS JOIN c4
 """
+
+OP12 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+total AS MATERIALIZED (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_ALNUM}) AS term FROM benchmark),
+t AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM t, total GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(w) * n_docs) // n_terms) AS m FROM d, total),
+s AS (SELECT item_id, r, doc_id, CAST(sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+"""

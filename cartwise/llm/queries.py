@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import (decontamination, embedding_dedup, license_scan, line_dedup, merkle_manifest, oracle, packing, sharding, simhash,
+from cartwise.llm import (decontamination, embedding_dedup, lexical_search, license_scan, line_dedup, merkle_manifest, oracle, packing, sharding, simhash,
                           substring_dedup, toxicity, warc)
 from cartwise.llm.common import materialize
 
@@ -71,11 +71,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify_documents(table(spark, sf_dir, "documents"), every=3)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_benchmark_decontamination,
                                   op4_embedding_near_dedup, op5_best_fit_packing,
                                   op6_simhash_near_dedup, op7_warc_fixity, op8_toxicity, op9_license_scan, op10_substring_dedup,
-                                  op11_merkle_manifest)}
+                                  op11_merkle_manifest, op12_lexical_search)}
 
 SQL: dict[str, str] = {"op1_line_dedup": oracle.OP1, "op3_benchmark_decontamination": oracle.OP3,
                        "op4_embedding_near_dedup": oracle.OP4, "op7_warc_fixity": oracle.OP7,
-                       "op10_substring_dedup": oracle.OP10, "op11_merkle_manifest": oracle.OP11}
+                       "op10_substring_dedup": oracle.OP10, "op11_merkle_manifest": oracle.OP11,
+                       "op12_lexical_search": oracle.OP12}
