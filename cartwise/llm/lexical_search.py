@@ -39,6 +39,8 @@ BITS, HASHES = 12, 4
 ROUND_BYTES, BLOCK_ROWS, BLOCK_CELLS = 16 << 20, 1024, 1 << 24
 #: Items and terms of a block of queries.
 QUERY_ITEMS, QUERY_TERMS = 512, 1 << 14
+#: Times ``top`` documents are scored first; the loosest of them don't set the floor.
+FIRST = 3
 #: Documents to score that may be broadcast (two longs and a few ints each).
 BROADCAST_DOCS = 100_000
 INDEX = ("kind int, n_docs long, n_terms long, terms binary, dfs binary, "
@@ -48,7 +50,7 @@ BLOCK, STATS = 0, 1
 
 def _positions(h: np.ndarray, level: int, width: int) -> np.ndarray:
     """The bits (by column) of the terms at a level."""
-    e = B.mix(h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level + 1))
+    e = B.mix(h + np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2 ** 64))
     low, step = e & np.uint64(0xFFFFFFFF), (e >> np.uint64(32)) | np.uint64(1)
     at = (low[:, None] + step[:, None] * np.arange(HASHES, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
     return (at * np.uint64(width) >> np.uint64(32)).astype(np.int64)
@@ -330,7 +332,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, index: DataFrame |
             df = stats.select("terms", "dfs").mapInArrow(_frequencies(q.terms), "term long, df long").groupBy("term").agg(F.sum("df"))
             q.weigh({r[0]: r[1] for r in df.collect()}, n_docs, n_terms)  # at most QUERY_TERMS rows
             picked = "item int, doc_id long, key long, bound double"
-            seeds = _first(blocks.mapInArrow(_highest(q, top), picked), [F.desc("bound"), "doc_id", "key"], top)
+            seeds = _first(blocks.mapInArrow(_highest(q, FIRST * top), picked), [F.desc("bound"), "doc_id", "key"], FIRST * top)
             scored = _score(docs, seeds, q)
             floor = np.zeros(len(q.of))
             for r in _first(scored, [F.desc("score")], top).where(F.col("rank") == top).collect():  # a row for each item
