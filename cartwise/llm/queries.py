@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.llm import (decontamination, embedding_dedup, lexical_search, license_scan, line_dedup, merkle_manifest, oracle, packing, sharding, simhash,
-                          substring_dedup, toxicity, warc)
+                          substring_dedup, suffix_dedup, toxicity, warc)
 from cartwise.llm.common import materialize
 
 
@@ -76,10 +76,15 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(docs, table(spark, sf_dir, "benchmark"), top=50)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.dedup_strings(docs, width=400))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_benchmark_decontamination,
                                   op4_embedding_near_dedup, op5_best_fit_packing,
                                   op6_simhash_near_dedup, op7_warc_fixity, op8_toxicity, op9_license_scan, op10_substring_dedup,
-                                  op11_merkle_manifest, op12_lexical_search)}
+                                  op11_merkle_manifest, op12_lexical_search, op13_suffix_array_dedup)}
 
 SQL: dict[str, str] = {"op1_line_dedup": oracle.OP1, "op3_benchmark_decontamination": oracle.OP3,
                        "op4_embedding_near_dedup": oracle.OP4, "op7_warc_fixity": oracle.OP7,
