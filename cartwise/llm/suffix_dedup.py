@@ -41,6 +41,8 @@ from cartwise.llm.common import batch_bytes, materialize
 
 #: Bytes of fetched segments in a bucket; starts of a document handled at once.
 BUCKET_BYTES, PIECE = 4 << 20, 1 << 20
+#: Texts to fetch from whose ids may be broadcast (two longs each).
+BROADCAST_DOCS = 1_000_000
 #: Low bits that hold a place beside a hash.
 PLACE = np.uint64((1 << 22) - 1)
 SEGMENT = "doc_id long, key long, anchor long, print long, first int, n int, at int"
@@ -186,14 +188,17 @@ def _scan(width: int, gram: int, piece: int):
 
 
 def _fetch(width: int):
-    """The bytes of the segments that are asked for."""
+    """The bytes of the segments that are asked for, each once in a task: rows that
+    are alike ask for the same."""
     names = ["anchor", "print", "copies", "classes", "first", "n", "at"]
 
     def fetch(batches):
+        seen = set()
         for batch in batches:
             for doc_id, key, text, asked in zip(*(batch.column(c) for c in ("doc_id", "key", "text", "asked"))):
                 data = text.as_buffer().to_pybytes()
-                asked = asked.as_py()
+                asked = [x for x in asked.as_py() if (x["anchor"], x["print"]) not in seen]
+                seen.update((x["anchor"], x["print"]) for x in asked)
                 for at in range(0, len(asked), 4096):
                     own = asked[at:at + 4096]
                     yield pa.RecordBatch.from_arrays(
@@ -306,33 +311,44 @@ def repeated_strings(docs: DataFrame, width: int, gram: int, most: int) -> DataF
     """(doc_id, key, begin, last): runs of starts of repeated strings."""
     scanned = materialize(docs.mapInArrow(B.frugal(_scan(width, gram, PIECE)), SEGMENT), "suffix-segments")
     anchors = scanned.groupBy("anchor").agg(F.count(F.lit(1)).alias("holders"), (F.min("print") != F.max("print")).alias("several"))
-    shared = materialize(scanned.join(anchors.where("holders > 1").drop("holders"), "anchor"), "suffix-shared")
+    # written first: a join onto an aggregate over its own key would not be split where an anchor is hot
+    anchors = materialize(anchors.where("holders > 1").drop("holders"), "suffix-anchors")
+    shared = materialize(scanned.join(anchors, "anchor"), "suffix-shared")
     several = shared.where("several")
     classes = several.groupBy("anchor", "print").agg(F.count(F.lit(1)).alias("copies"), F.min(
         F.struct("doc_id", "key", "first", "n", "at")).alias("one")).select("anchor", "print", "copies", "one.*")
     classes = materialize(classes, "suffix-classes")
     sized = classes.join(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")), "anchor")
-    asked = sized.groupBy("doc_id", "key").agg(F.collect_list(F.struct(
-        "anchor", "print", "copies", "classes", "first", "n", "at")).alias("asked"))
-    d, a = docs.alias("d"), asked.alias("a")
-    texts = d.join(a, F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.key") == F.col("a.key"))).select("d.*", "a.asked")
-    # rows that are alike ask for the same; one of them is enough
-    fetched = materialize(texts.select("doc_id", "key", "text", "asked").mapInArrow(
-        B.frugal(_fetch(width)), f"doc_id long, key long, {CLASS}, bytes binary"), "suffix-fetched").dropDuplicates(["anchor", "print"])
+    asked = materialize(sized.groupBy("doc_id", "key").agg(F.collect_list(F.struct(
+        "anchor", "print", "copies", "classes", "first", "n", "at")).alias("asked")), "suffix-asked")
+
+    def same(a, b):
+        return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
+
+    d = docs.alias("d")
+    if asked.count() <= BROADCAST_DOCS:  # other texts need not be shuffled
+        d = d.join(F.broadcast(asked.select("doc_id", "key")).alias("k"), same("d", "k"), "left_semi").alias("d")
+    texts = d.join(asked.alias("a").hint("merge"), same("d", "a")).select("d.*", "a.asked")
+    fetched = texts.select("doc_id", "key", "text", "asked").mapInArrow(
+        B.frugal(_fetch(width)), f"doc_id long, key long, {CLASS}, bytes binary")
+    hot = not classes.groupBy("anchor").count().where(F.col("count") > most).isEmpty()
+    if hot:  # read twice
+        fetched = materialize(fetched, "suffix-fetched")
     total = classes.agg(F.sum(F.col("n") + width)).first()[0] or 0
     bucket = F.pmod(F.col("anchor"), F.lit(max(1, -(-total // BUCKET_BYTES))))
-    spans = "doc_id long, key long, begin long, last long"
-    sorted_ = fetched.where(F.col("classes") <= most).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(
-        _resolve(width, max(1, width // 16)), spans)
-    rows = fetched.where(F.col("classes") > most).mapInArrow(
-        _strings(width), "doc_id long, key long, copies long, begin long, h1 long, h2 long")
-    rows = materialize(rows, "suffix-strings")
-    again = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h1", "h2")
-    counted = rows.where("copies = 1").join(again, ["h1", "h2"]).select("doc_id", "key", "begin", F.col("begin").alias("last"))
+    found = fetched.where(F.col("classes") <= most).withColumn("bucket", bucket).repartition("bucket").dropDuplicates(
+        ["bucket", "anchor", "print"]).groupBy("bucket").applyInArrow(
+        _resolve(width, max(1, width // 16)), "doc_id long, key long, begin long, last long")
+    if hot:
+        rows = materialize(fetched.where(F.col("classes") > most).dropDuplicates(["anchor", "print"]).mapInArrow(
+            _strings(width), "doc_id long, key long, copies long, begin long, h1 long, h2 long"), "suffix-strings")
+        again = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h1", "h2")
+        found = found.union(rows.where("copies = 1").join(again, ["h1", "h2"]).select(
+            "doc_id", "key", "begin", F.col("begin").alias("last")))
     copied = several.join(classes.where("copies > 1").select("anchor", "print"), ["anchor", "print"], "left_semi")
     whole = shared.where("not several").select(*scanned.columns).unionByName(copied.select(*scanned.columns))
     first, last = F.col("first").cast("long"), F.col("first").cast("long") + F.col("n") - 1
-    return whole.select("doc_id", "key", first.alias("begin"), last.alias("last")).union(sorted_).union(counted)
+    return whole.select("doc_id", "key", first.alias("begin"), last.alias("last")).union(found)
 
 
 def _remove(width: int):
@@ -379,8 +395,8 @@ def dedup_strings(docs: DataFrame, width: int = 400, gram: int | None = None, mo
     with batch_bytes(docs.sparkSession, 8 << 20):
         keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
         found = repeated_strings(keyed, width, gram, most)
-        spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(
-            F.collect_set(F.struct("begin", "last")).alias("__spans"))
+        spans = materialize(found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(
+            F.collect_set(F.struct("begin", "last")).alias("__spans")), "suffix-spans")
         wide = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
         out = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
                             T.StructField("kept", T.BinaryType())])
