@@ -1,10 +1,8 @@
 """Rating preparation for the factorisation models (L1, L6) and the models
-themselves (L2-L5, L7-L9, G9, G10)."""
+themselves (L2-L5, G9, G10).  L7-L9 are in ``gmf.py``."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,38 +133,6 @@ def als_pipeline(invoices: DataFrame, area: str | None = C.ALS_AREA, rank: int =
     return model, ratings, metrics, als_recommend(model, ratings, k)
 
 
-# ---------------------------------------------------------------- L7-L9: factorisation
-def fit_gmf(train: DataFrame, label: str = "interaction", factors: int = C.NCF_FACTORS,
-            max_iter: int = 10, reg: float = 0.01, seed: int = C.SEED):
-    """L7 (re-aimed neural factorisation): explicit ALS factors, whose product is
-    the factorisation model's prediction.  Factors stay distributed; no vector of
-    the size of all customers and items goes to the driver."""
-    return fit_als(train, rank=factors, max_iter=max_iter, reg=reg, rating_col=label, seed=seed,
-                   implicit=False)
-
-
-def param_sweep(data: DataFrame, label: str = "interaction", factor_sizes=(8, 32), regs=(0.01, 0.1),
-                max_iter: int = 5, seed: int = C.SEED) -> DataFrame:
-    """Held-out RMSE over a grid, in the viewer's columns.  Alternating least
-    squares has neither drop-out nor a learning rate, so those are null."""
-    data = persist(data)
-    train, test = hash_split(data, C.NCF_TRAIN_FRACTION)
-    found = []
-    for size in factor_sizes:
-        for reg in regs:
-            pred = fit_gmf(train, label, size, max_iter, reg, seed).transform(test)
-            found.append(regression_metrics(pred, label).select(
-                F.lit(size).alias("latent_dim"), F.lit(None).cast("double").alias("drop_out"),
-                F.lit(float(reg)).alias("reg_value"), F.lit(None).cast("double").alias("learning_rate"),
-                F.col("rmse").alias("RMSE")))
-    return reduce(DataFrame.unionAll, found)
-
-
-def sweep_between(sweep: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
-    """The sweep rows within a range of one of its dimensions."""
-    return sweep.where(F.col(col).between(lo, hi))
-
-
 # ---------------------------------------------------------------- G9, G10
 def factors_long(factors: DataFrame, layer: str, id_col: str = "id",
                  vec_col: str = "features") -> DataFrame:

@@ -11,9 +11,10 @@ from cartwise.operators import filters as FL
 from cartwise.operators import interpret as G
 from cartwise.operators.aggregates import node_degree, value_range
 from cartwise.operators.joins import resolve_ids
-from cartwise.operators.scaling import dense_index
+from cartwise.operators.scaling import dense_index, join_scalar
 from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
+from cartwise.plans import gmf as GMF
 from cartwise.plans import models as MO
 from cartwise.plans.queries import (
     als_input, bundles_out, invoices, mixed_parts, ncf_input, parts, pooled_rules, r6, register,
@@ -112,10 +113,17 @@ def _ncf(spark, root, index=False):
         dense_index(dense_index(r, CU, "customer_id"), MN, "product_id")))
 
 
+def _gmf(spark, root):
+    """The logistic factorisation at the fixed number of factors, fitted once."""
+    def build():
+        train, test = MO.hash_split(_ncf(spark, root, True), C.NCF_TRAIN_FRACTION)
+        return test, GMF.fit(train, test, [GMF.Point()])
+    return once(("gmf", root), build)
+
+
 @register("gmf_fit")
 def q_gmf(spark, root):
-    train, test = MO.hash_split(_ncf(spark, root, True), C.NCF_TRAIN_FRACTION)
-    return MO.fit_gmf(train).transform(test).select(CU, MN, "interaction", "prediction")
+    return GMF.predict(*_gmf(spark, root)).select(CU, MN, "interaction", "prediction")
 
 
 @register("fit_metrics")
@@ -126,13 +134,22 @@ def q_fit_metrics(spark, root):
 
 @register("gmf_metrics")
 def q_gmf_metrics(spark, root):
+    """Errors of the fitted model, with its loss and that of the items' means."""
     train, test = MO.hash_split(_ncf(spark, root, True), C.NCF_TRAIN_FRACTION)
-    return MO.regression_metrics(MO.fit_gmf(train).transform(test), "interaction")
+    loss = GMF.cross_entropy(F.col("interaction"), F.col("prediction")).alias("log_loss")
+    pred = persist(GMF.predict(*_gmf(spark, root)))
+    means = MO.item_mean_predictions(train, test, "interaction").agg(loss).withColumnRenamed("log_loss", "item_mean_log_loss")
+    return join_scalar(join_scalar(MO.regression_metrics(pred, "interaction"), pred.agg(loss)), means)
+
+
+#: Two values of every dimension of the viewer's sweep.
+SWEEP = GMF.grid((8, 32), (0.0, 0.1), (1e-4, 1e-2), (0.02, 0.1))
 
 
 @register("param_sweep")
 def q_sweep(spark, root):
-    return MO.param_sweep(_ncf(spark, root, True))
+    train, test = MO.hash_split(_ncf(spark, root, True), C.NCF_TRAIN_FRACTION)
+    return GMF.sweep(train, test, SWEEP)
 
 
 @register("als_factors_long")
