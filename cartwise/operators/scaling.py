@@ -59,6 +59,17 @@ def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
             .drop("_total"))
 
 
+def ordered_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Number distinct rows 0..n-1 in ascending order of ``order``: a range-partitioned
+    sort, per-partition counts and prefix offsets."""
+    rows = (df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id())).checkpoint(eager=True)
+    sizes = rows.groupBy("_pid").agg(F.count("*").alias("_n_rows"))
+    offsets = sizes.select("_pid", (F.sum("_n_rows").over(_unbounded_by("_pid")) - F.col("_n_rows")).alias("_off"))
+    number = F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    return rows.join(F.broadcast(offsets), "_pid").withColumn(out, number).drop("_pid", "_mid", "_off")
+
+
 def join_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row: an equi join on a
     constant key against a broadcast side whose size is exactly one row."""

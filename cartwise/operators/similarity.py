@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cartwise import config as C
 from cartwise.operators.joins import salted_join
+from cartwise.operators.scaling import ordered_numbers
 from cartwise.scope import persist
 
 DEFAULT_CHUNK = 1024
@@ -47,13 +48,14 @@ def item_ids(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def pair_counts(bought: DataFrame, ids: DataFrame, keys: Sequence[str],
                 cust: str, chunk: int) -> DataFrame:
-    """(_pair, co): the number of shared customers of every item pair; the smaller
-    id stands in the upper 32 bits of ``_pair``.
+    """(_pair, co, _nn): the number of shared customers of every item pair, and the
+    product of the items' numbers of buyers; the smaller id stands in the upper 32 bits
+    of ``_pair``.
 
     The number of a customer's items comes from a window-free aggregate joined with
     salts, so neither a hot customer nor a hot item gathers in a task."""
     k = bought.groupBy(*keys, cust).agg(F.count("*").alias("_k"))
-    b = salted_join(salted_join(bought, k, [*keys, cust]), ids.select(*keys, "item", "_id"),
+    b = salted_join(salted_join(bought, k, [*keys, cust]), ids.select(*keys, "item", "_id", "_n"),
                     [*keys, "item"])
     b = (b.withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(chunk))).cast("int"))
          .withColumn("_c", F.pmod(F.xxhash64("item"), F.col("_m")).cast("int")))
@@ -61,14 +63,15 @@ def pair_counts(bought: DataFrame, ids: DataFrame, keys: Sequence[str],
     # go to groups (ca <= cb, cb).  Each unordered pair meets in exactly one group.
     left = b.select(*keys, cust, F.col("_c").alias("ca"),
                     F.explode(F.sequence(F.col("_c"), F.col("_m") - 1)).alias("cb"),
-                    F.col("_id").alias("i"))
+                    F.col("_id").alias("i"), F.col("_n").alias("ni"))
     right = b.select(*keys, cust, F.col("_c").alias("cb"),
                      F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("ca"),
-                     F.col("_id").alias("j"))
+                     F.col("_id").alias("j"), F.col("_n").alias("nj"))
     met = (left.join(right, [*keys, cust, "ca", "cb"])
            .where((F.col("ca") < F.col("cb")) | (F.col("i") < F.col("j"))))
     pair = F.shiftleft(F.least("i", "j"), 32) + F.greatest("i", "j")
-    return met.select(pair.alias("_pair")).groupBy("_pair").agg(F.count("*").alias("co"))
+    return (met.select(pair.alias("_pair"), (F.col("ni") * F.col("nj")).alias("_nn"))
+            .groupBy("_pair").agg(F.count("*").alias("co"), F.min("_nn").alias("_nn")))
 
 
 def co_purchase(bought: DataFrame, keys: Sequence[str] = ("customer_area",),
@@ -117,6 +120,47 @@ def top_similar(sims: DataFrame, k: int = C.NEIGHBOURS_PER_ITEM,
             .withColumn("sim_score", F.round("sim", digits)))
 
 
+def _directions(pairs: DataFrame) -> DataFrame:
+    """Both directions of counted pairs, scored: (_i, _o, co, sim)."""
+    i, j = F.shiftrightunsigned("_pair", 32), F.col("_pair").bitwiseAND(F.lit(0xFFFFFFFF))
+    both = F.explode(F.array(F.struct(i.alias("_i"), j.alias("_o")), F.struct(j.alias("_i"), i.alias("_o"))))
+    return pairs.select(both.alias("_d"), "co", (F.col("co") / F.sqrt(F.col("_nn").cast("double"))).alias("sim")).select(
+        "_d._i", "_d._o", "co", "sim")
+
+
+def reaching(pairs: DataFrame, k: int) -> DataFrame:
+    """The directions of counted pairs that can be among the ``k`` best of their item.
+
+    An item's partners fall into ``k`` classes by number; the least of the classes'
+    best scores is reached by ``k`` partners, so it is a floor of the k-th best.  It takes
+    one aggregate, combined before the shuffle; what is below is never sorted.  Items
+    with an empty class keep all."""
+    each = _directions(pairs)
+    classes = each.groupBy("_i", F.pmod("_o", F.lit(k)).alias("_c")).agg(F.max("sim").alias("_best"))
+    floor = classes.groupBy("_i").agg(F.min("_best").alias("_floor"), F.count("*").alias("_k")).where(F.col("_k") == k)
+    kept = each.join(floor.drop("_k"), "_i", "left").where(F.col("_floor").isNull() | (F.col("sim") >= F.col("_floor")))
+    return kept.drop("_floor")
+
+
+def top_similar_items(bought: DataFrame, k: int = C.NEIGHBOURS_PER_ITEM, keys: Sequence[str] = ("customer_area",),
+                      cust: str = "customernumber", digits: int = C.SIMILARITY_DIGITS,
+                      chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """I1 + W4 in one: the rows of ``top_similar(item_cosine(...))``.
+
+    Items are numbered in the order of their names, so ties break on numbers; pairs
+    stay numbers (with the product of their buyer counts) until the ``k`` best of each
+    item stand, and only those get names."""
+    keys = list(keys)
+    counts = bought.groupBy(*keys, "item").agg(F.count("*").alias("_n"))
+    ids = persist(ordered_numbers(counts, [*keys, "item"], "_id"))
+    pairs = persist(pair_counts(bought, ids, keys, cust, chunk))
+    best = Window.partitionBy("_i").orderBy(F.desc("sim"), F.asc("_o"))
+    top = reaching(pairs, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    named = top.join(ids.select(F.col("_id").alias("_i"), *keys, "item"), "_i").join(
+        ids.select(F.col("_id").alias("_o"), F.col("item").alias("other")), "_o")
+    return named.select(*keys, "item", "other", "co", "sim", "rank", F.round("sim", digits).alias("sim_score"))
+
+
 def head_neighbours(unmatched: DataFrame, top: DataFrame, keys: Sequence[str] = ("customer_area",),
                     cust: str = "customernumber",
                     n_items: int = C.FALLBACK_ITEMS_PER_CUSTOMER) -> DataFrame:

@@ -87,8 +87,7 @@ class BundleParts:
     def neighbours(self) -> DataFrame:
         bought = S.purchases(self.ratings, [AREA], CUST, self.item,
                              use_raw=self.cfg.use_raw_purchases)
-        top = S.top_similar(S.item_cosine(bought, [AREA], CUST), self.cfg.neighbours, [AREA])
-        return persist(top)  # k rows per item
+        return persist(S.top_similar_items(bought, self.cfg.neighbours, [AREA], CUST))  # k rows per item
 
     @cached_property
     def fallback(self) -> DataFrame:
