@@ -215,7 +215,7 @@ def rules_cte(sets: str, keys: list[str], min_conf: float, min_lift: float | Non
 NAME_ITEM = "split_part(product_name, ':', 1)"
 POOLED = INVOICE + baskets_cte("invoice", NAME_ITEM, []) + itemsets_cte("bask", [], 0.001)
 
-SQL["baskets"] = _with(WINDOWED + baskets_cte("win", NAME_ITEM, ["customer_area"])) + """
+SQL["baskets"] = _with(INVOICE + baskets_cte("invoice", NAME_ITEM, ["customer_area"])) + """
 SELECT customer_area, customernumber, sales_receipt, array_to_string(items, ',') AS items,
        CAST(len(items) AS INTEGER) AS "count"
 FROM bask"""
@@ -239,15 +239,19 @@ SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequen
 SQL["freq_cap"] = _with(POOLED) + """
 SELECT array_to_string(items, ',') AS items, freq FROM sets WHERE freq <= 900"""
 
-# Flagship: names as items, trailing window, per-area rules at the fixed thresholds.
-FLAG_BASE = (WINDOWED + ratings_cte("win", NAME_ITEM, "fr") + top_cte("fr", 10, "ftop")
-             + baskets_cte("win", NAME_ITEM, ["customer_area"])
-             + itemsets_cte("bask", ["customer_area"], 0.001)
-             + rules_cte("sets", ["customer_area"], 0.5, 1.0, None))
+# Names as items over the whole history, per-area rules at the fixed support.
+def flag_base(confidence: float) -> str:
+    return (INVOICE + ratings_cte("invoice", NAME_ITEM, "fr") + top_cte("fr", 10, "ftop")
+            + baskets_cte("invoice", NAME_ITEM, ["customer_area"])
+            + itemsets_cte("bask", ["customer_area"], 0.001)
+            + rules_cte("sets", ["customer_area"], confidence, 1.0, None))
+
+
+FLAG_BASE = flag_base(0.5)
 
 SQL["all_area_rules"] = _with(FLAG_BASE) + _RULE_OUT.format(k="customer_area, ")
 
-MATCH = FLAG_BASE + """,
+MATCHING = """,
 na AS (SELECT customer_area, customernumber, COUNT(*) AS n_a FROM ftop GROUP BY ALL),
 ante AS (SELECT DISTINCT customer_area, antecedent, len(antecedent) AS n_b FROM rules),
 ante_items AS (SELECT customer_area, antecedent, n_b, unnest(antecedent) AS item FROM ante),
@@ -282,6 +286,8 @@ actual AS (
   FROM ftop GROUP BY ALL
 )"""
 
+MATCH = FLAG_BASE + MATCHING
+
 SQL["jaccard_join"] = _with(MATCH) + """
 SELECT customer_area, customernumber, array_to_string(antecedent, ',') AS antecedent,
        n_ab, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS INTEGER) AS n_b, round(jaccard, 6) AS jaccard
@@ -301,7 +307,7 @@ SELECT a.customer_area, a.customernumber, a.actual_products,
        array_to_string(list_concat(b.antecedent, b.consequent), ',') AS rules
 FROM actual a JOIN best b ON a.customer_area = b.customer_area AND a.customernumber = b.customernumber"""
 
-SQL["match_split"] = _with(MATCH) + """
+SQL["match_split"] = _with(flag_base(0.7) + MATCHING) + """
 SELECT a.customer_area, a.customernumber, (b.customernumber IS NOT NULL) AS matched
 FROM actual a LEFT JOIN best b
   ON a.customer_area = b.customer_area AND a.customernumber = b.customernumber"""
@@ -414,7 +420,7 @@ fallback AS (
 
 SIM_BASE = sim_base(INVOICE, "invoice", "model_number", 0.001, 0.5)
 # A run in which some customers have rules and others fall back on neighbours.
-MIXED_BASE = sim_base(WINDOWED, "win", NAME_ITEM, 0.02, 0.3, names=False)
+MIXED_BASE = sim_base(INVOICE, "invoice", NAME_ITEM, 0.001, 0.7, names=False)
 
 SQL["cooccurrence_join"] = _with(SIM_BASE) + "\nSELECT customer_area, a, b, co FROM co"
 SQL["item_cosine"] = _with(SIM_BASE) + """
@@ -482,9 +488,9 @@ SQL["semantic_scan"] = """SELECT c_custkey AS customer, c_name AS custcontact,
   c_mktsegment AS customerindustry, c_acctbal AS balance FROM customer"""
 SQL["company_scan"] = "SELECT * FROM customer WHERE c_nationkey = 7"
 SQL["csv_scan"] = "SELECT p_partkey, p_name, p_retailprice FROM part"
-SQL["parquet_sink"] = SQL["customer_ratings"]
-SQL["area_sink"] = SQL["top10_per_customer"]
-SQL["area_result_read"] = f"SELECT * FROM ({SQL['top10_per_customer']}) z WHERE customer_area = 'Metal'"
+SQL["parquet_sink"] = SQL["customer_ratings"].replace(WINDOWED.lstrip() + ratings_cte(), INVOICE.lstrip() + ratings_cte("invoice"))
+SQL["area_sink"] = SQL["top10_per_customer"].replace(WINDOWED.lstrip() + ratings_cte(), INVOICE.lstrip() + ratings_cte("invoice"))
+SQL["area_result_read"] = f"SELECT * FROM ({SQL['area_sink']}) z WHERE customer_area = 'Metal'"
 
 ORDERS_M = """WITH m AS (SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y%m') AS calendar_yearmonth
   FROM orders)"""
@@ -573,7 +579,7 @@ SELECT customer_area, customernumber, model_number, """ + snap("turnover", 4) +
 SQL["cap_outlier"] = _with(QTY) + """
 SELECT customer_area, customernumber, model_number,
        round(CASE WHEN raw_rating > 2.0 THEN 2.0 ELSE raw_rating END, 6) AS rating FROM mean_r"""
-SQL["binary_interaction"] = _with(WINDOWED + ratings_cte()) + """
+SQL["binary_interaction"] = _with(INVOICE + ratings_cte("invoice")) + """
 SELECT customer_area, customernumber, item AS model_number,
        CASE WHEN interaction > 0 THEN 1 ELSE 0 END AS interacted FROM ratings"""
 SQL["cast_keys"] = _with(INVOICE) + """
@@ -606,7 +612,7 @@ SELECT DISTINCT sales_receipt, year(calendar_day) AS y, month(calendar_day) AS m
 SQL["month_start"] = """SELECT o_orderkey,
   strftime(CAST(date_trunc('month', o_orderdate) AS DATE) - INTERVAL 1 YEAR, '%Y-%m-%d') AS year_back,
   strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month_first FROM orders"""
-SQL["round_n"] = _with(WINDOWED + ratings_cte()) + f"""
+SQL["round_n"] = _with(INVOICE + ratings_cte("invoice")) + f"""
 SELECT customer_area, customernumber, item AS model_number, {sround('raw_rating', 3)} AS r3,
   {sround('raw_rating', 5)} AS r5, {sround('raw_rating', 6)} AS r6 FROM ratings"""
 SQL["array_set_sorted"] = _with(INVOICE) + """
@@ -653,7 +659,7 @@ SELECT customernumber, COUNT(DISTINCT model_number) AS distinct_items FROM invoi
 SQL["customer_item_set"] = _with(MATCH) + """
 SELECT customernumber, array_to_string(list_sort(list(DISTINCT item)), ',') AS actual_products
 FROM ftop GROUP BY customernumber"""
-SQL["interaction_pivot"] = _with(WINDOWED + ratings_cte()) + """
+SQL["interaction_pivot"] = _with(INVOICE + ratings_cte("invoice")) + """
 SELECT customernumber, item AS model_number, CASE WHEN SUM(interaction) > 0 THEN 1 ELSE 0 END AS bought
 FROM ratings GROUP BY ALL"""
 SQL["distinct_rows"] = "SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem"
@@ -928,75 +934,4 @@ FROM bask"""
 SQL = {k: _spark_rounding(v) for k, v in SQL.items()}
 
 
-def fallback_tail(ratings: str, top: str, rules: str, p: str) -> str:
-    """Cosine fallback CTEs (prefix ``p``) for an arbitrary ratings/top/rules
-    triple: unmatched customers' first two items with their two neighbours."""
-    return f""",
-{p}bought AS (SELECT customer_area, customernumber, item FROM {ratings} WHERE interaction > 0),
-{p}n AS (SELECT customer_area, item, COUNT(*) AS n FROM {p}bought GROUP BY ALL),
-{p}co AS (
-  SELECT x.customer_area, x.item AS a, y.item AS b, COUNT(*) AS co
-  FROM {p}bought x JOIN {p}bought y ON x.customer_area = y.customer_area
-   AND x.customernumber = y.customernumber AND x.item < y.item GROUP BY ALL),
-{p}sim AS (
-  SELECT c.customer_area, c.a, c.b, c.co / sqrt(CAST(na.n * nb.n AS DOUBLE)) AS sim
-  FROM {p}co c JOIN {p}n na ON c.customer_area = na.customer_area AND c.a = na.item
-               JOIN {p}n nb ON c.customer_area = nb.customer_area AND c.b = nb.item),
-{p}sims AS (SELECT customer_area, a AS item, b AS other, sim FROM {p}sim
-            UNION ALL SELECT customer_area, b, a, sim FROM {p}sim),
-{p}top2 AS (SELECT *, round(sim, 3) AS sim_score FROM (
-  SELECT *, row_number() OVER (PARTITION BY customer_area, item ORDER BY sim DESC, other) AS rank
-  FROM {p}sims) z WHERE rank <= 2),
-{p}na AS (SELECT customer_area, customernumber, COUNT(*) AS n_a FROM {top} GROUP BY ALL),
-{p}ante AS (SELECT DISTINCT customer_area, antecedent, len(antecedent) AS n_b FROM {rules}),
-{p}cand AS (
-  SELECT t.customer_area, t.customernumber, a.antecedent, COUNT(*) AS n_ab, a.n_b
-  FROM {top} t JOIN (SELECT customer_area, antecedent, n_b, unnest(antecedent) AS item FROM {p}ante) a
-    ON t.customer_area = a.customer_area AND t.item = a.item GROUP BY ALL),
-{p}best_ante AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_area, antecedent
-      ORDER BY confidence DESC, lift DESC, array_to_string(consequent, ',')) AS r FROM {rules}) z
-  WHERE r = 1),
-{p}best AS (
-  SELECT * FROM (
-    SELECT c.customer_area, c.customernumber, c.antecedent, b.consequent, b.confidence, b.lift,
-      row_number() OVER (PARTITION BY c.customer_area, c.customernumber
-        ORDER BY CAST(c.n_ab AS DOUBLE) / (na.n_a + c.n_b - c.n_ab) DESC, b.confidence DESC,
-                 b.lift DESC, array_to_string(c.antecedent, ','),
-                 array_to_string(b.consequent, ',')) AS r
-    FROM {p}cand c JOIN {p}na na ON c.customer_area = na.customer_area
-                               AND c.customernumber = na.customernumber
-    JOIN {p}best_ante b ON c.customer_area = b.customer_area AND c.antecedent = b.antecedent) z
-  WHERE r = 1),
-{p}actual AS (SELECT customer_area, customernumber, list(item ORDER BY rn) AS actual_list
-  FROM {top} GROUP BY ALL),
-{p}heads AS (
-  SELECT customer_area, customernumber, unnest(actual_list[1:2]) AS item FROM {p}actual a
-  WHERE NOT EXISTS (SELECT 1 FROM {p}best b WHERE b.customer_area = a.customer_area
-                                             AND b.customernumber = a.customernumber)),
-{p}grp AS (
-  SELECT h.customer_area, h.customernumber, h.item,
-         list(t.other ORDER BY t.rank, t.other) AS sims_list,
-         list(t.sim_score ORDER BY t.rank, t.other) AS score_list
-  FROM {p}heads h JOIN {p}top2 t ON h.customer_area = t.customer_area AND h.item = t.item
-  GROUP BY ALL),
-{p}fallback AS (
-  SELECT customer_area, customernumber, [item] AS actual_products, sims_list AS most_similar_items,
-         score_list AS sim_score,
-         list_filter(list_concat([item], sims_list),
-                     lambda x, i: list_position(list_concat([item], sims_list), x) = i) AS recommend
-  FROM {p}grp)"""
-
-
-SQL["union_bundles"] = _spark_rounding(_with(FLAG_BASE + fallback_tail("fr", "ftop", "rules", "u_")) + """
-SELECT customer_area, customernumber, array_to_string(actual_products, ',') AS actual_products,
-       array_to_string(most_similar_items, ',') AS most_similar_items,
-       array_to_string(recommend, ',') AS recommend, array_to_string(sim_score, ',') AS sim_score,
-       'similarity' AS method
-FROM u_fallback
-UNION ALL
-SELECT customer_area, customernumber, array_to_string(antecedent, ',') AS actual_products,
-       array_to_string(consequent, ',') AS most_similar_items,
-       array_to_string(list_concat(antecedent, consequent), ',') AS recommend,
-       CAST(round(confidence, 6) AS VARCHAR) AS sim_score, 'rule' AS method
-FROM u_best""")
+SQL["union_bundles"] = SQL["bundle_pipeline"]

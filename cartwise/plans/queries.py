@@ -74,8 +74,13 @@ def ratings(spark: SparkSession, root: str, item: str = "model_number") -> DataF
     return D.customer_ratings(window(spark, root), item=item)
 
 
-def top10(spark: SparkSession, root: str, item: str = "model_number") -> DataFrame:
-    return top_items(ratings(spark, root, item), C.TOP_ITEMS_PER_CUSTOMER,
+def all_ratings(spark: SparkSession, root: str) -> DataFrame:
+    """D3 over the whole history, for operators that have no window."""
+    return D.customer_ratings(invoices(spark, root))
+
+
+def top10(spark: SparkSession, root: str, item: str = "model_number", rated: DataFrame | None = None) -> DataFrame:
+    return top_items(ratings(spark, root, item) if rated is None else rated, C.TOP_ITEMS_PER_CUSTOMER,
                      ["customer_area", "customernumber"], "interaction", item)
 
 
@@ -118,7 +123,8 @@ def arr(col: str) -> F.Column:
     return F.concat_ws(",", F.col(col)).alias(col)
 
 
-FLAG_CFG = BundleConfig(as_of=TD.AS_OF, item_col="product_name")
+# The fixed thresholds over the whole history: an area's minimum count is 3 at sf0.01.
+FLAG_CFG = BundleConfig(item_col="product_name")
 
 
 def pooled_baskets(spark, root):
@@ -138,7 +144,7 @@ def rule_out(df, keys=()):
 
 
 def parts(spark, root) -> B.BundleParts:
-    """Intermediate frames of the windowed run, shared within one query."""
+    """Intermediate frames of the run at the fixed thresholds, shared within one query."""
     return once(("parts", root), lambda: B.bundle_parts(fact(spark, root), FLAG_CFG))
 
 
@@ -212,7 +218,7 @@ def q_bundle_by_rule(spark, root):
 @register("match_split")
 def q_match_split(spark, root):
     from cartwise.operators.filters import split_matched
-    p = parts(spark, root)
+    p = mixed_parts(spark, root)
     every = p.actual.join(p.matched.select("customer_area", "customernumber", "confidence"),
                           ["customer_area", "customernumber"], "left")
     matched, rest = split_matched(every)
@@ -324,9 +330,9 @@ def bundles_out(df):
                      .alias("sim_score"), "method")
 
 
-# A run in which some customers match a rule and others fall back on neighbours.
-MIXED_CFG = BundleConfig(as_of=TD.AS_OF, item_col="product_name", min_support=0.02,
-                         min_confidence=0.3)
+# A run in which some customers match a rule and others fall back on neighbours: the
+# whole history and the fixed support, with a higher confidence.
+MIXED_CFG = BundleConfig(item_col="product_name", min_confidence=0.7)
 
 
 def mixed_parts(spark, root) -> B.BundleParts:

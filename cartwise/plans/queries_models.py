@@ -17,7 +17,7 @@ from cartwise.plans import dataset as D
 from cartwise.plans import gmf as GMF
 from cartwise.plans import models as MO
 from cartwise.plans.queries import (
-    als_input, bundles_out, invoices, mixed_parts, ncf_input, parts, pooled_rules, r6, register,
+    als_input, bundles_out, invoices, mixed_parts, ncf_input, pooled_rules, r6, register,
     sim_parts,
 )
 from cartwise.scope import once, persist
@@ -287,7 +287,7 @@ def q_marked(spark, root):
 
 @register("union_bundles")
 def q_union(spark, root):
-    return bundles_out(B.union_bundles(parts(spark, root)))
+    return bundles_out(B.union_bundles(mixed_parts(spark, root)))
 
 
 @register("area_recommendations")

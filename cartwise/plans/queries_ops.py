@@ -15,7 +15,7 @@ from cartwise.operators import scaling as M
 from cartwise.operators.joins import with_group_stat
 from cartwise.plans import dataset as D
 from cartwise.plans.queries import (
-    als_input, arr, invoices, mixed_parts, money, ncf_input, parts, pooled_rules, r6,
+    all_ratings, als_input, arr, invoices, mixed_parts, money, ncf_input, parts, pooled_rules, r6,
     register, top10, window,
 )
 from cartwise.session import CHECKPOINT_CONF
@@ -68,14 +68,13 @@ def _ratings_out(r):
 
 @register("parquet_sink")
 def q_parquet_sink(spark, root):
-    from cartwise.plans.queries import ratings
     path = scratch(spark, "sink")
-    IO.write_table(_ratings_out(ratings(spark, root)), path)
+    IO.write_table(_ratings_out(all_ratings(spark, root)), path)
     return spark.read.parquet(path)
 
 
 def _top_rows(spark, root):
-    return top10(spark, root).select(CA, CU, MN, "row", "interaction")
+    return top10(spark, root, rated=all_ratings(spark, root)).select(CA, CU, MN, "row", "interaction")
 
 
 @register("area_sink")
@@ -286,7 +285,7 @@ def q_cap_outlier(spark, root):
 @register("binary_interaction")
 def q_binary(spark, root):
     from cartwise.plans.queries import ratings
-    return ratings(spark, root).select(CA, CU, MN, PR.binarise("interaction").alias("interacted"))
+    return all_ratings(spark, root).select(CA, CU, MN, PR.binarise("interaction").alias("interacted"))
 
 
 @register("cast_keys")
@@ -383,7 +382,7 @@ def q_month_start(spark, root):
 @register("round_n")
 def q_round_n(spark, root):
     from cartwise.plans.queries import ratings
-    r = ratings(spark, root)
+    r = all_ratings(spark, root)
     return r.select(CA, CU, MN, F.round("raw_rating", 3).alias("r3"),
                     F.round("raw_rating", 5).alias("r5"), F.round("raw_rating", 6).alias("r6"))
 
@@ -482,7 +481,7 @@ def q_item_set(spark, root):
 @register("interaction_pivot")
 def q_pivot(spark, root):
     from cartwise.plans.queries import ratings
-    return A.interaction_matrix(ratings(spark, root))
+    return A.interaction_matrix(all_ratings(spark, root))
 
 
 @register("distinct_rows")
