@@ -140,9 +140,10 @@ def q_active_products(spark, root):
 
 def _cust_orders(spark, root):
     c = IO.read_table(spark, root, "customer").select("c_custkey")
-    # customers without a large order get nulls
-    o = IO.read_table(spark, root, "orders").where("o_totalprice > 250000").select(
-        "o_orderkey", "o_custkey", "o_orderdate")
+    # small orders and customers without any get nulls
+    big = F.col("o_totalprice") > 250000
+    o = IO.read_table(spark, root, "orders").select("o_custkey", *(
+        F.when(big, F.col(k)).alias(k) for k in ("o_orderkey", "o_orderdate")))
     return c.join(o, c.c_custkey == o.o_custkey, "left").drop("o_custkey")
 
 
