@@ -53,7 +53,7 @@ class Encoder:
         self.runs: dict[bytes, list[int]] = {b"": []}
         self.direct = True
         ends = ("", ",", ".", "***", "!?", "'", "'.", "(|)")
-        self.direct = all((self.word_ids(p.encode()) or []) + self.run_ids(e.encode()) == self.ids_of([p + e])[0]
+        self.direct = all(self.word_ids(p.encode(), p) + self.run_ids(e.encode()) == self.ids_of([p + e])[0]
                           for p in self.PROBES for e in ends)
         self.clear()
 
@@ -73,16 +73,19 @@ class Encoder:
             ids = self.runs[marks] = self.ids_of([marks.decode()])[0]
         return ids
 
-    def word_ids(self, word: bytes) -> list[int] | None:
-        """Ids of a word of Latin letters in lower case, else None."""
+    def latin(self, word: bytes) -> str | None:
+        """A word of Latin letters in lower case as text, else None: marks that follow
+        only such a word can't change its ids."""
         if word.isalpha():  # ASCII letters
             text = word.decode()
         else:
             text = word.decode("utf-8", "replace")
             if not text.isalpha() or max(text) >= "\u0250" or not is_normalized("NFC", text):
                 return None
-        if not self.direct or text != text.lower():
-            return None
+        return text if self.direct and text == text.lower() else None
+
+    def word_ids(self, word: bytes, text: str) -> list[int]:
+        """Ids of a word that has passed ``latin``."""
         if not text.isascii():
             text = word.decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenizer.model.tokenize(text)]
@@ -98,8 +101,8 @@ class Encoder:
                 word = chunk.rstrip(self.MARKS)
                 ids = words.get(word)
                 if ids is None and word not in words:
-                    at = self.known.get(word)
-                    ids = words[word] = (self.word_ids(word) if at is None else
+                    at, text = self.known.get(word), self.latin(word)
+                    ids = words[word] = (None if text is None else self.word_ids(word, text) if at is None else
                                          self.ids[self.starts[at]:self.starts[at] + self.sizes[at]].tolist())
                 if ids is None or b"<|" in chunk:
                     others.append(chunk)

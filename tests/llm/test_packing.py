@@ -133,3 +133,21 @@ def test_lots_fill_shards_evenly(spark, monkeypatch):
 
 def test_shards_of_nothing(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_do_not_depend_on_what_a_worker_has_seen():
+    """Random Unicode in two orders against the tokenizer."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    plain = Tokenizer.from_str(definition)
+    r = random.Random(11)
+    pool = "abzAZ09\u00e9\u00c9\u00df\u0130\u0131\u017f\u0345\u0301\u03a9\u0416\u4e2d\U0001f5df\u200b\u00b5\u2126\u1e9e"
+    words = ["".join(r.choice(pool) for _ in range(r.randint(1, 4))) for _ in range(1500)] + ["\U0001f5df", "I\u0307", "\u0130"]
+    texts = words + [w + r.choice(["<", "?", ">", "!?", "'", ".", "(|)"]) for w in words]
+    for order in (texts, texts[::-1]):
+        encoder = packing.Encoder(definition)
+        for at in range(0, len(order), 500):
+            some = order[at:at + 500]
+            ids, places = encoder.encode([t.encode() for t in some], 0)
+            for i, t in enumerate(some):
+                assert ids[places[i]:places[i + 1] - 1].tolist() == plain.encode(t, add_special_tokens=False).ids, t
