@@ -197,14 +197,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     component_id).  Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing, nor do vectors of different length
     or rows with a null vec_id (their component is null and they are not kept).
-    Repeated rows link with each other.  Other columns are left out.  An empty
+    Repeated rows link with each other; rows that share a vec_id are vectors of their
+    own.  Other columns are left out.  An empty
     table gives an empty table.  ``least`` must be above 0."""
     spark = vectors.sparkSession
     vector = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", F.when(usable(vector) & F.col("vec_id").isNotNull(), vector).alias("vector"))
     rows = rows.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.reverse("vector"), F.size("vector")).alias("h2"))
     classes = materialize(rows.where("vector is not null").groupBy("h1", "h2").agg(
-        F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")), "vector-classes")
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
+        .withColumn("first", F.monotonically_increasing_id()), "vector-classes")  # a class's number, whatever ids its rows share
     n, width = classes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if not n:
         alone = F.col("vec_id").alias("component_id")
@@ -235,10 +237,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     counts = found.where("b is null").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("links"))
     edges = found.where("b is not null").select("a", "b")
     parents = components(classes.select(F.col("first").alias("node")), edges, "vector")
-    told = materialize(classes.select("h1", "h2", "first", "n").join(counts, "first", "left")
-                       .join(parents.withColumnRenamed("node", "first"), "first")
-                       .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component"),
-                       "vector-told")
+    told = materialize(classes.select("h1", "h2", "least", "first", "n").join(counts, "first", "left")
+                       .join(parents.withColumnRenamed("node", "first"), "first"), "vector-parents")
+    smallest = materialize(told.groupBy("component").agg(F.min("least").alias("__least")), "vector-least")
+    told = materialize(told.join(smallest, "component").select(
+        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("__least").alias("component")), "vector-told")
     mine = F.col("vector").isNotNull()
     return (rows.join(told, ["h1", "h2"], "left").select(
         "vec_id", F.when(mine, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),

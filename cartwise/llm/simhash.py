@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     other.  Fingerprints at most ``radius`` bits apart are linked.
 
     Returns one row per row of ``docs``: doc_id, fingerprint (16 hex digits) and
-    component_id, the smallest doc_id reachable over links.  Rows with a null
+    component_id, the smallest doc_id reachable over links.  Rows that share a
+    doc_id are linked by their own fingerprints only.  Rows with a null
     doc_id get the component of their fingerprint's other rows, if there are any
     (else null).  Other columns are left out.  An empty table gives an empty
     table."""
@@ -191,11 +192,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with batch_rows(spark, 20_000):
         edges = materialize(links(prints.select("print"), radius, parts), "simhash-links")
-        a, b = (prints.select(F.col("print").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
-        edges = edges.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-        classes = components(prints.select(F.col("first").alias("node")), edges, "simhash")
-        of_print = materialize(prints.join(classes, prints["first"] == classes["node"])
-                               .select("print", F.col("component").alias("component_id")), "simhash-classes")
+        # rows that share a doc_id may differ in their texts, so classes are fingerprints
+        classes = components(prints.select(F.col("print").alias("node")), edges.select("a", "b"), "simhash")
+        joined = materialize(prints.join(classes, prints["print"] == classes["node"])
+                             .select("print", "first", "component"), "simhash-components")
+        least = materialize(joined.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
+        of_print = materialize(joined.join(least, "component").select("print", "component_id"), "simhash-classes")
     return (found.join(of_print, "print", "left")
             .select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"))
 

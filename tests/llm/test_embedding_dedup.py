@@ -51,3 +51,9 @@ def test_forest_keeps_components():
     again = E.forest(child, root)
     assert (again[0] == child).all() and (again[1] == root).all()
     assert set(child) | set(root) == set(a[a != b]) | set(b[a != b])
+
+
+def test_rows_that_share_an_id_stay_themselves(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]

@@ -76,3 +76,10 @@ def test_null_ids(spark):
     got = {(r[0], r[2]) for r in simhash.near_duplicates(df).collect()}
     assert got == {(None, 5), (5, 5), (None, None)}
     assert simhash.keep_one(df).count() == 3
+
+
+def test_rows_that_share_an_id_stay_themselves(spark):
+    one, two = ("w%d " * 30 % tuple(range(30)), "v%d " * 30 % tuple(range(30)))
+    df = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two), (4, "alone here")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
