@@ -10,13 +10,19 @@ words whose two probabilities differ by less than a margin count as even.  Disco
 and margin are the one of ``SETTINGS`` that fits labelled texts best which the
 counts have not seen.
 
-A context counts once however many documents hold it: tasks send their different
-(word, context) pairs with the classes that hold them, Spark makes them different
-over the corpus and counts them by word.  Both are rows keyed by 64-bit hashes and
-grow with the corpus.  Only the words that the labelled texts hold compare
-unequally, and only these are gathered: there are at most as many as the
-``max_labelled`` texts have.  Contexts are counted, but the models are of order one:
-with word pairs as a second order, held-out ranking got much worse (see the README).
+A context counts once however many documents hold it.  The vocabulary is what the
+labelled texts of the counts hold; every other word is the one unknown word, which is
+even.  Contexts are any words of any document.  Tasks send their different pairs of a
+word and its context, with the classes that hold them, packed and dealt by word; words
+that are frequent in the corpus are dealt further by context.  A bucket makes its
+pairs different and counts them by word; Spark adds a word's counts up.  Contexts are
+counted, but the models are of order one: with word pairs as a second order, held-out
+ranking got much worse (see the README).
+
+Words are compared by 64-bit hashes, the contexts of a word by 62 bits less those that
+number the vocabulary (40 bits for two million words, so of a million contexts of a
+word about half a one is lost).  The vocabulary, at most the words of ``max_labelled``
+texts, goes to the driver and the tasks, 12 bytes a word.
 
 Labels are learned from at most ``max_labelled`` rows, those with the least hashes
 of their doc_id; all other counts are over all documents."""
@@ -30,29 +36,121 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwise.llm import bytetext as B
-from cartwise.llm.common import materialize, small_batches
-
-#: Different pairs of a word and its context that a task holds before it sends them.
-HELD = 1 << 20
+from cartwise.llm.common import materialize, small_batches, text_bytes
+
+#: Pairs of a word and its context that a task holds before it makes them different
+#: and, if more than half are left, sends them.
+HELD = 1 << 21
+#: A word that occurs this often within ``HELD`` words is reported as frequent.
+OFTEN = 256
+#: Occurrences of a frequent word for each part that its contexts are dealt over.
+PART = 1 << 19
+#: Bytes of text for each bucket of pairs.
+BUCKET_BYTES = 1 << 24
 #: (discount of a continuation count, least difference of logarithms that counts)
 SETTINGS = ((0.75, 3.0), (1.5, 3.0), (3.0, 3.0), (3.0, 2.0), (6.0, 2.0), (0.75, 0.0), (1.5, 0.0), (3.0, 0.0), (6.0, 0.0))
 
 
 def contexts(texts: B.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and a hash of it with the word before."""
+    """The hash of each word, and a hash of the word before (0 at a text's start)."""
     texts.words(B.ALNUM, lower=True)
     h = texts.hashes()
     before = np.append(np.uint64(0), h[:-1])[:len(h)]
-    before[texts.first[:-1][np.diff(texts.first) > 0]] = 0  # a text's first word follows its start
-    return h, B.mix(before * np.uint64(3) + h)
-
+    before[texts.first[:-1][np.diff(texts.first) > 0]] = 0
+    return h, B.mix(before * np.uint64(3))
+
+
+def different(keys: np.ndarray) -> np.ndarray:
+    """Sorted different keys; their last two bits are those of all that are else alike."""
+    keys = np.sort(keys)
+    pairs = keys >> np.uint64(2)
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[:len(keys)])
+    return np.bitwise_or.reduceat(keys, first) if len(first) else keys
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of whole numbers, all lowest bytes first: high bytes of
+    small numbers are zeros in a row, which the shuffle's compression removes."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def whole(data: bytes, width: int) -> np.ndarray:
+    """What ``planes`` was given."""
+    own = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, :width] = own.T
+    return out.view("<u8").ravel()
+
+
+class Deal:
+    """Buckets of pairs.  A pair is a key: the place of its word in the vocabulary (the
+    unknown word comes last), ``bits`` of its context, and two class bits.
+
+    Words are dealt over ``buckets`` in their order; a word of ``parts`` p goes to 2**p
+    buckets from there on by its context.  The unknown word goes to all."""
+
+    def __init__(self, names: np.ndarray, occurrences: np.ndarray, buckets: int):
+        self.names, self.buckets = names, buckets
+        self.parts = np.ceil(np.log2(np.append(occurrences, PART * buckets) / PART + 1)).astype(np.uint8)
+        self.bits = 62 - len(names).bit_length()
+        self.width = (self.bits + 2 + 7) // 8
+
+    def keys(self, word: np.ndarray, context: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.names, word)
+        at[np.append(self.names, np.uint64(0))[at] != word] = len(self.names)
+        return ((at.astype(np.uint64) << np.uint64(self.bits + 2)) | (context >> np.uint64(64 - self.bits) << np.uint64(2))
+                | classes.astype(np.uint64))
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word and rest of each key."""
+        own = np.uint64(self.bits + 2)
+        return keys >> own, keys & ((np.uint64(1) << own) - np.uint64(1))
+
+    def pack(self, keys: np.ndarray) -> pa.RecordBatch:
+        """Rows (bucket, words, contexts) of sorted keys."""
+        word, rest = self.split(keys)
+        own = np.uint64(self.buckets)
+        part = (rest >> np.uint64(2)) & ((np.uint64(1) << self.parts[word].astype(np.uint64)) - np.uint64(1))
+        bucket = (word * own // np.uint64(len(self.names) + 1) + part) % own
+        order = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=self.buckets))
+        rows = []
+        for i in np.flatnonzero(np.diff(ends, prepend=0)):
+            at = order[ends[i - 1] if i else 0:ends[i]]
+            rows.append((i, planes(np.diff(word[at], prepend=np.uint64(0)), 4), planes(rest[at], self.width)))
+        bucket, words, contexts = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(words, pa.binary()), pa.array(contexts, pa.binary())],
+                                          ["bucket", "words", "contexts"])
+
+    def unpack(self, words: bytes, contexts: bytes) -> np.ndarray:
+        return (np.cumsum(whole(words, 4), dtype=np.uint64) << np.uint64(self.bits + 2)) | whole(contexts, self.width)
+
+
+def _vocabulary(labels):
+    """Rows (word, known, n): words of labelled texts, and how often frequent words occur."""
+    def run(batches):
+        ids = labels.value[0]
+        held, known, n = [], [], 0
 
-def different(word: np.ndarray, pair: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (word, pair) in the order of words, with the classes of all that are alike."""
-    order = np.lexsort((pair, word))
-    word, pair, classes = word[order], pair[order], classes[order]
-    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (pair[1:] != pair[:-1]))[:len(word)])
-    return word[first], pair[first], np.bitwise_or.reduceat(classes, first) if len(first) else classes
+        def rows():
+            word, count = np.unique(np.concatenate(held), return_counts=True)
+            often = count >= OFTEN
+            own = np.unique(np.concatenate(known))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.append(own, word[often]).view(np.int64)), pa.array(np.arange(len(own) + often.sum()) < len(own)),
+                 pa.array(np.append(np.zeros(len(own), np.int64), count[often]))], ["word", "known", "n"])
+        for batch in batches:
+            for part, texts in B.text_chunks(batch):
+                word, _ = contexts(texts)
+                held.append(word)
+                known.append(np.unique(word[(find(ids, part.column("doc_id")) >= 0)[texts.doc]]))
+                n += len(word)
+                if n > HELD:
+                    yield rows()
+                    held, known, n = [], [], 0
+        if held:
+            yield rows()
+    return run
 
 
 def find(ids: np.ndarray, doc_id: pa.Array) -> np.ndarray:
@@ -68,58 +166,66 @@ def find(ids: np.ndarray, doc_id: pa.Array) -> np.ndarray:
 CLASSES = np.array([1, 2, 0], np.int8)
 
 
-def _pairs(labels):
+def _pairs(labels, deal):
     def run(batches):
         ids, toxic = labels.value
+        own = deal.value
         held, n = [], 0
-
-        def rows():
-            word, pair, classes = held[0]
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(classes)],
-                                              ["word", "pair", "classes"])
         for batch in batches:
             for part, texts in B.text_chunks(batch):
                 at = find(ids, part.column("doc_id"))
-                own = CLASSES[np.where(at >= 0, np.append(toxic, -1)[at], -1)]
-                word, pair = contexts(texts)
-                held.append((word, pair, own[texts.doc]))
+                kind = CLASSES[np.where(at >= 0, np.append(toxic, -1)[at], -1)]
+                word, context = contexts(texts)
+                held.append(own.keys(word, context, kind[texts.doc]))
                 n += len(word)
                 if n > HELD:
-                    held = [different(*(np.concatenate(x) for x in zip(*held)))]
-                    n = len(held[0][0])
+                    held = [different(np.concatenate(held))]
+                    n = len(held[0])
                     if n > HELD // 2:
-                        yield rows()
+                        yield own.pack(held[0])
                         held, n = [], 0
         if held:
-            held = [different(*(np.concatenate(x) for x in zip(*held)))]
-            yield rows()
+            yield own.pack(different(np.concatenate(held)))
+    return run
+
+
+def _counts(deal):
+    """Rows (at, n, n0, n1): the different contexts of each word of a bucket, of all,
+    ordinary and toxic texts."""
+    def run(table: pa.Table) -> pa.Table:
+        own = deal.value
+        keys = different(np.concatenate([own.unpack(w.as_py(), c.as_py()) for w, c in zip(table["words"], table["contexts"])]))
+        word, rest = own.split(keys)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[:len(word)])
+        return pa.table({"at": word[first].astype(np.int32), "n": np.diff(np.append(first, len(word))),
+                         **{f"n{k}": np.add.reduceat(((rest >> np.uint64(k)) & np.uint64(1)).astype(np.int64), first) for k in (0, 1)}})
     return run
 
 
-def compare_words(counts: np.ndarray, rest: np.ndarray, discount: float, margin: float) -> np.ndarray:
-    """The log-likelihood of each word of the labelled texts, toxic less ordinary,
-    from rows of its counts (of all, ordinary, toxic).  ``rest`` has rows (count, how
-    many words) of all other words."""
-    total = (counts[:, 0] + 0.5).sum() + ((rest[:, 0] + 0.5) * rest[:, 1]).sum()
+def compare_words(counts: np.ndarray, words: np.ndarray, discount: float, margin: float) -> np.ndarray:
+    """The log-likelihood of a word, toxic less ordinary, for each different row of
+    ``counts`` (of all, ordinary, toxic); ``words`` says how many words have the row."""
+    total = ((counts[:, 0] + 0.5) * words).sum()
     logs = []
     for own in counts[:, 1:].T.astype(np.float64):
-        back, others = (np.minimum(own.sum() * (n + 0.5) / total, discount) for n in (counts[:, 0], rest[:, 0]))
+        back = np.minimum((own * words).sum() * (counts[:, 0] + 0.5) / total, discount)
         p = np.maximum(own - discount, 0) + back
-        logs.append(np.log(p / (p.sum() + (others * rest[:, 1]).sum())) if own.any() else np.zeros(len(own)))
+        logs.append(np.log(p / (p * words).sum()) if own.any() else np.zeros(len(own)))
     found = logs[1] - logs[0]
     return np.where(np.abs(found) > margin, found, 0).astype(np.float32)
 
 
-def compare(texts: B.Texts, words: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
-    """For each table over sorted ``words`` rows (per word, per root of words) of
-    log-likelihoods, toxic less ordinary; other words are even."""
+def compare(texts: B.Texts, words: np.ndarray, kind: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (per word, per root of words) of log-likelihoods, toxic less ordinary, for
+    each table of the kinds of the sorted ``words``; other words are even."""
     h = texts.words(B.ALNUM, lower=True).hashes()
     n = np.maximum(np.diff(texts.first), 1)
     at = np.searchsorted(words, h)
-    at[np.append(words, np.uint64(0))[at] != h] = len(words)
+    known = np.append(words, np.uint64(0))[at] == h
+    own_kind = np.append(kind, 0)[at]
     out = []
     for table in tables:
-        total = np.append(0, np.cumsum(np.append(table, np.float32(0))[at], dtype=np.float64))
+        total = np.append(0, np.cumsum(np.where(known, table[own_kind], np.float32(0)), dtype=np.float64))
         own = total[texts.first[1:]] - total[texts.first[:-1]]
         out.append(np.column_stack([own / n, own / np.sqrt(n)]))
     return out
@@ -179,6 +285,29 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def count_contexts(docs: DataFrame, train: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the words of ``train`` (ids, toxic) texts, and rows of counts
+    (of different contexts in all, ordinary and toxic texts) of these words and, last,
+    of the unknown word."""
+    spark = docs.sparkSession
+    labels = spark.sparkContext.broadcast(train)
+    found = (docs.mapInArrow(B.frugal(_vocabulary(labels)), "word long, known boolean, n long").groupBy("word")
+             .agg(F.max("known").alias("known"), F.sum("n").alias("n")).where("known").select("word", "n").toArrow())
+    names = found.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    names = names[order]
+    buckets = 1 + text_bytes(docs) // BUCKET_BYTES
+    deal = spark.sparkContext.broadcast(Deal(names, found.column("n").to_numpy()[order], buckets))
+    del found, order
+    every = materialize(
+        docs.mapInArrow(B.frugal(_pairs(labels, deal)), "bucket int, words binary, contexts binary")
+        .groupBy("bucket").applyInArrow(_counts(deal), "at int, n long, n0 long, n1 long")
+        .groupBy("at").agg(*(F.sum(n).alias(n) for n in ("n", "n0", "n1"))), "toxicity").toArrow()
+    counts = np.zeros((len(names) + 1, 3), np.int64)
+    counts[every.column("at").to_numpy()] = np.column_stack([every.column(n).to_numpy() for n in ("n", "n0", "n1")])
+    return names, counts
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000_000) -> DataFrame:
     """Score ``docs(doc_id, text, ...)`` after ``labels(doc_id, toxic)``.
 
@@ -205,19 +334,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = weights = None
     if all(len(set(own[1])) == 2 for own in (train, check)):
-        pairs = (keyed.mapInArrow(B.frugal(_pairs(spark.sparkContext.broadcast(train))), "word long, pair long, classes byte")
-                 .groupBy("word", "pair").agg(F.bit_or("classes").alias("classes")))
-        every = materialize(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(
-            F.count_if(F.col("classes").bitwiseAND(k) > 0).alias(n) for n, k in (("n0", 1), ("n1", 2)))), "toxicity")
-        # the words of the labelled texts; of all others, how many have each count
-        own = every.where("n0 + n1 > 0").toArrow()
-        rest = np.array(sorted(map(tuple, every.where("n0 + n1 = 0").groupBy("n").count().collect())), np.int64).reshape(-1, 2)
-        names = own.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(names)
-        names, counts = names[order], np.column_stack([own.column(n).to_numpy() for n in ("n", "n0", "n1")])[order]
-        tables = [compare_words(counts, rest, *setting) for setting in SETTINGS]
-        del own, counts
-        shared = spark.sparkContext.broadcast((names, tables))
+        names, counts = count_contexts(keyed, train)
+        # words of the same counts are of one kind; the unknown word is the last row
+        counts, kind, alike = np.unique(counts, axis=0, return_inverse=True, return_counts=True)
+        kind = kind.ravel()[:-1].astype(np.int32)
+        tables = [compare_words(counts, alike, *setting) for setting in SETTINGS]
+        shared = spark.sparkContext.broadcast((names, kind, tables))
         seen = keyed.mapInArrow(B.frugal(_calibration(shared, spark.sparkContext.broadcast(check[0]))),
                                 "doc_id long, x array<double>").toPandas()
         seen["x"] = seen["x"].map(tuple)
@@ -226,9 +348,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 1_000
         y = check[1][np.searchsorted(check[0], seen["doc_id"].to_numpy())]
         if len(set(y)) == 2:
             best, weights = best_fit(np.array(seen["x"].tolist()), y)
-            some = tables[best] != 0
-            words = spark.sparkContext.broadcast((names[some], [tables[best][some]]))
-        del tables
+            some = tables[best][kind] != 0
+            words = spark.sparkContext.broadcast((names[some], kind[some], [tables[best]]))
     docs = docs.drop("held_out", "score", "predicted", "__score")
     scored = docs.mapInArrow(B.frugal(_scores(words, weights)), T.StructType([*docs.schema, T.StructField("__score", T.DoubleType())]))
     return scored.withColumns({"held_out": F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)), "score": F.col("__score"),

@@ -177,3 +177,37 @@ def test_detect_leaves_out_no_start():
                     best[label] = max(best.get(label, 0), float((rarity[own] * same).sum() / rarity[own].sum()))
         want.append(best)
     assert license_scan.detect(words, first, index, rarity) == want and sum(map(len, want)) > 20
+
+
+def test_contexts_match_brute_force(spark, monkeypatch):
+    """Different contexts of each word, and of the unknown word, over many buckets and
+    with words whose contexts are dealt over several of them."""
+    monkeypatch.setattr(toxicity, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(toxicity, "PART", 40)
+    docs, labels = corpus(300)
+    docs += [(i, "w1 w2 new%d new%d W1" % (i % 7, i)) for i in range(1000, 1400)] + [(2000, None), (2001, ""), (None, "b1 x")]
+    train = np.array([i for i, _ in labels if i % 3], np.int64), np.array([t for i, t in labels if i % 3], np.int64)
+    pairs = {}
+    kinds = dict(zip(*(x.tolist() for x in train)))
+    known = {w for i, text in docs if i in kinds for w in (text or "").lower().split()}
+    for i, text in docs:
+        words = (text or "").lower().split()
+        for before, word in zip(["", *words], words):
+            pairs.setdefault(word if word in known else "", {}).setdefault(before, set()).add(kinds.get(i))
+    want = {w: tuple(sum(k is None or k in c for c in found.values()) for k in (None, 0, 1)) for w, found in pairs.items()}
+    monkeypatch.setattr(toxicity, "OFTEN", 2)
+    names, counts = toxicity.count_contexts(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), train)
+    order = sorted(known, key=lambda w: hash_of(w))
+    assert [hash_of(w) for w in order] == names.tolist()
+    assert [tuple(c) for c in counts.tolist()] == [want[w] for w in [*order, ""]]
+
+
+def hash_of(word):
+    texts = bytetext.Texts(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))
+    return int(texts.words(bytetext.ALNUM).hashes()[0])
+
+
+def test_packed_numbers_come_back():
+    x = np.array([0, 1, 255, 256, 2**31, 2**40 - 1], np.uint64)
+    assert toxicity.whole(toxicity.planes(x, 5), 5).tolist() == x.tolist()
+    assert toxicity.different(np.array([9, 4, 10, 5, 4], np.uint64)).tolist() == [5, 11]
