@@ -194,6 +194,61 @@ def best_rule(candidates: DataFrame, rules: DataFrame, keys: Sequence[str] = ("c
             .select(*keys, cust, *(F.col(f"_b.{c}").alias(c) for c in kept)))
 
 
+def rare_first(rules: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    """Postings of antecedents: one row per antecedent and item, the items that the
+    fewest antecedents hold first (``_pos`` from 1), with the whole list in that order."""
+    keys = list(keys)
+    items = rules.select(*keys, "antecedent", F.explode("antecedent").alias(item))
+    held = items.groupBy(*keys, item).agg(F.count(F.lit(1)).alias("_held"))
+    ordered = (items.join(held, [*keys, item]).groupBy(*keys, "antecedent")
+               .agg(F.array_sort(F.collect_list(F.struct("_held", item))).alias("_o")))
+    listed = ordered.select(*keys, "antecedent", F.transform("_o", lambda x: x[item]).alias("_b"))
+    return listed.select(*keys, "antecedent", "_b", F.posexplode("_b").alias("_pos", item)).withColumn(
+        "_pos", F.col("_pos") + 1)
+
+
+def scored_pairs(cust_items: DataFrame, rules: DataFrame, keys: Sequence[str] = ("customer_area",),
+                 cust: str = "customernumber", item: str = "item") -> tuple[DataFrame, DataFrame]:
+    """The pairs of J6 that can hold a customer's best rule, in two disjoint parts.
+
+    First: pairs whose antecedent's rarest item the customer holds; one posting per
+    antecedent is read.  Their best score bounds the customer's best from below (t).
+    Second: pairs that meet at a later item only.  To reach t the two must share
+    o = t (n_a + n_b) / (1 + t) items, so an antecedent has to meet the customer
+    within its first n_b - o + 1 items (prefix filter), and o is at most either size
+    (length filter); the join lets no other pair through.  Equal scores stay in, as
+    ties are broken by the rules."""
+    keys = list(keys)
+    posts = persist(rare_first(rules.select(*keys, "antecedent").distinct(), keys, item))
+    held = persist(cust_items.where(F.col(item).isNotNull()).groupBy(*keys, cust)
+                   .agg(F.array_sort(F.collect_set(item)).alias("_a")))
+    n_a, n_b = F.size("_a"), F.size("_b")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        n_ab = F.size(F.array_intersect("_a", "_b"))
+        return (pairs.select(*keys, cust, "antecedent", n_ab.cast("long").alias("n_ab"),
+                             n_a.cast("long").alias("n_a"), n_b.alias("n_b"))
+                .withColumn("jaccard", F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab"))))
+
+    first = score(held.select("*", F.explode("_a").alias(item))
+                  .join(posts.where("_pos = 1"), [*keys, item]))
+    reached = held.join(first.groupBy(*keys, cust).agg(F.max("jaccard").alias("_t")), [*keys, cust], "left")
+    left = reached.select("*", F.explode("_a").alias(item)).withColumn("_t", F.coalesce("_t", F.lit(0.0)))
+    shared = F.greatest(F.ceil(F.col("_t") * (n_a + n_b) / (1 + F.col("_t")) - 1e-9), F.lit(1))
+    met = F.array_intersect("_b", "_a")  # in the order of _b: rarest first
+    second = score(left.join(posts.where("_pos > 1"), [*keys, item])
+                   .where((F.col("_pos") <= n_b - shared + 1) & (shared <= n_a) & (met[0] == F.col(item))))
+    return first, second
+
+
+def best_match(cust_items: DataFrame, rules: DataFrame, keys: Sequence[str] = ("customer_area",),
+               cust: str = "customernumber", item: str = "item") -> DataFrame:
+    """W5 without the whole of J6: the same rows as ``best_rule`` over
+    ``jaccard_candidates``."""
+    first, second = scored_pairs(cust_items, rules, keys, cust, item)
+    return best_rule(first.unionByName(second), rules, keys, cust)
+
+
 def match_rules(top: DataFrame, actual: DataFrame, rules: DataFrame,
                 keys: Sequence[str] = ("customer_area",), cust: str = "customernumber",
                 item: str = "item") -> DataFrame:
@@ -201,8 +256,7 @@ def match_rules(top: DataFrame, actual: DataFrame, rules: DataFrame,
 
     ``top`` has one row per (keys, customer, item) of the customer's top
     items, ``actual`` one row per customer with the rank-ordered list."""
-    cand = jaccard_candidates(top, rules, keys, cust, item)
-    best = best_rule(cand, rules, keys, cust)
+    best = best_match(top, rules, keys, cust, item)
     return (actual.join(best, [*keys, cust])
             .select(*keys, cust, "actual_products",
                     F.col("antecedent").alias("highest_similarity"), "consequent",

@@ -201,8 +201,7 @@ def q_jaccard_join(spark, root):
 @register("best_rule")
 def q_best_rule(spark, root):
     p = parts(spark, root)
-    c = R.jaccard_candidates(p.top, p.rules, ["customer_area"], "customernumber", "item")
-    b = R.best_rule(c, p.rules, ["customer_area"], "customernumber")
+    b = R.best_match(p.top, p.rules, ["customer_area"], "customernumber", "item")
     return b.select("customer_area", "customernumber", arr("antecedent"), arr("consequent"),
                     r6("jaccard"), r6("confidence"), r6("lift"))
 

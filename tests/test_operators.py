@@ -180,3 +180,29 @@ def test_area_sink_round_trip_and_pruning(spark):
     plan = back._jdf.queryExecution().executedPlan().toString()
     scan = [line for line in plan.split("\n") if "PartitionFilters" in line][0]
     assert "= Metal)" in scan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_best_match_equals_all_candidates(spark):
+    """Prefix and length filters lose no best rule, ties included, and score fewer pairs."""
+    import random
+    r = random.Random(5)
+    weight = [1 / (i + 1) for i in range(60)]
+    top = [("A" if c % 3 else "B", f"c{c}", f"i{i}") for c in range(150)
+           for i in set(r.choices(range(60), weight, k=r.randint(1, 10)))] + [("B", "c0", "i0"), ("A", "cx", "no"), ("A", "cy", None)]
+    rules = {}
+    for area in "AB":
+        for _ in range(500):
+            x = sorted({f"i{i}" for i in r.choices(range(60), weight, k=r.randint(1, 5))})
+            rules[area, tuple(x), r.choice(["x", "y"])] = (r.choice([0.5, 0.75]), r.choice([1.0, 2.0]))
+    top = spark.createDataFrame(top, "customer_area string, customernumber string, item string")
+    rules = spark.createDataFrame([(a, list(x), [c], *v) for (a, x, c), v in rules.items()],
+                                  "customer_area string, antecedent array<string>, consequent array<string>, "
+                                  "confidence double, lift double")
+    cand = R.jaccard_candidates(top, rules)
+    want = {tuple(map(str, x)) for x in R.best_rule(cand, rules).collect()}
+    got = {tuple(map(str, x)) for x in R.best_match(top, rules).collect()}
+    assert got == want and len(got) > 100
+    first, second = R.scored_pairs(top, rules)
+    assert first.count() + second.count() < cand.count() / 2
+    assert first.join(second, ["customer_area", "customernumber", "antecedent"]).count() == 0
+    assert R.best_match(top.limit(0), rules).count() == R.best_match(top, rules.limit(0)).count() == 0
