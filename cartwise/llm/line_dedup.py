@@ -150,7 +150,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     lines = docs.agg(F.sum(F.least(
         F.octet_length("text") / min_chars,
         F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).alias("n")).first()["n"] or 1
-    wanted = max(SEGMENT_BITS, 1 << math.ceil(math.log2(bits_per_line * lines)))
+    wanted = max(SEGMENT_BITS, 1 << max(0, math.ceil(math.log2(bits_per_line * lines))))
     slices = max(1, wanted // max(max_filter_bits, SEGMENT_BITS))
     found = reduce(DataFrame.unionAll, [
         suspects(docs, wanted // slices, slices, at, min_chars) for at in range(slices)])

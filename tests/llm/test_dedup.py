@@ -82,3 +82,9 @@ def test_substrings_empty_null_and_extra_columns(spark):
     out = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(df).collect()}
     assert out[None]["text"] == text and out[1]["n_removed"] == 0 and out[2]["text"] == "more"
     assert out[2]["n_words"] == 21
+
+
+def test_tables_of_hardly_any_text(spark):
+    for rows in ([(1, "x")], [(1, "")], [(1, None)], [(1, "x"), (2, None)]):
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in got) == [(*r, 0) for r in rows]
