@@ -73,15 +73,17 @@ def _fingerprints(size: int):
                          for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
                 hashes = np.array([h for own in found for h in own], np.uint64)
                 prints = majority(hashes, np.array([len(own) for own in found]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))],
-                                                 ["doc_id", "print"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(prints.view(np.int64))],
+                                                 ["doc_id", "version", "print"])
     return run
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, print): 64-bit SimHash of ``size``-word shingles, repeats included."""
+    """(doc_id, version, print): 64-bit SimHash of ``size``-word shingles, repeats
+    included; ``version`` is a hash of the text."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(B.frugal(_fingerprints(size)), "doc_id long, print long")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    return keyed.mapInArrow(B.frugal(_fingerprints(size)), "doc_id long, version long, print long")
 
 
 def flips(bits: range, n: int) -> np.ndarray:
@@ -186,6 +188,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     doc_id get the component of their fingerprint's other rows, if there are any
     (else null).  Other columns are left out.  An empty table gives an empty
     table."""
+    return _classes(docs, size, radius).select(
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, size: int, radius: int) -> DataFrame:
+    """(doc_id, version, print, component_id), one row per row of ``docs``."""
     spark = docs.sparkSession
     found = materialize(fingerprints(docs, size), "simhash")
     prints = materialize(found.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("first")), "prints")
@@ -198,16 +206,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
                              .select("print", "first", "component"), "simhash-components")
         least = materialize(joined.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
         of_print = materialize(joined.join(least, "component").select("print", "component_id"), "simhash-classes")
-    return (found.join(of_print, "print", "left")
-            .select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"))
+    return found.join(of_print, "print", "left").select("doc_id", "version", "print", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class, and rows
-    with a null doc_id; columns as in ``docs``."""
-    classes = near_duplicates(docs, size, radius)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose doc_id is the smallest of its class, and rows with a
+    null doc_id; columns as in ``docs``.  Rows that share a doc_id are kept or dropped
+    each by its own text; repeated rows alike."""
+    gone = (_classes(docs, size, radius).where("doc_id <> component_id")
+            .select("doc_id", F.col("version").alias("__version")).distinct())
+    kept = docs.drop("__version").withColumn("__version", F.xxhash64("text"))
+    return kept.join(gone, ["doc_id", "__version"], "left_anti").select(*(c for c in docs.columns if c != "__version"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = 3, radius: int = 3) -> dict[int, tuple]:

@@ -83,3 +83,13 @@ def test_rows_that_share_an_id_stay_themselves(spark):
     df = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two), (4, "alone here")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect())
+    assert kept == [(1, two), (1, one), (4, "alone here")]
+
+
+def test_a_copy_elsewhere_takes_no_clean_row_along(spark):
+    one, own = ("w%d " * 30 % tuple(range(30)), "v%d " * 30 % tuple(range(30)))
+    rows = [(1, one), (5, one), (5, own), (5, own), (6, None), (7, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r[0], r[1]) for r in got if r[0] < 6) == [(1, one), (5, own), (5, own)]
+    assert [r[0] for r in got if r[0] >= 6] == [6]
