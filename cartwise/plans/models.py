@@ -11,6 +11,7 @@ from cartwise.operators import aggregates as A
 from cartwise.operators import filters as FL
 from cartwise.operators import projections as PR
 from cartwise.operators.joins import salted_join
+from cartwise.operators.mips import top_products
 from cartwise.operators.scaling import dense_index, minmax, standardise
 from cartwise.operators.windows import scale_per_item
 from cartwise.scope import persist
@@ -102,14 +103,12 @@ def fit_als(train: DataFrame, rank: int = C.ALS_RANK, max_iter: int = C.ALS_MAX_
 
 
 def als_recommend(model, ratings: DataFrame, k: int = C.ALS_TOP_K) -> DataFrame:
-    """``k`` items per customer, exploded, ids resolved to numbers."""
+    """The ``k`` items of largest inner product per customer, exactly,
+    without scoring every pair (``operators.mips``); ids resolved to numbers."""
     from cartwise.operators.joins import resolve_ids
-    recs = model.recommendForAllUsers(k)
-    flat = recs.select("customer_id", F.posexplode("recommendations").alias("pos", "rec")).select(
-        F.col("customer_id").cast("double").alias("customer_id"),
-        (F.col("pos") + 1).alias("rank"),
-        F.col("rec.product_id").cast("double").alias("product_id"),
-        F.col("rec.rating").alias("rating"))
+    flat = top_products(model.userFactors, model.itemFactors, k).select(
+        F.col("customer").cast("double").alias("customer_id"), "rank",
+        F.col("product").cast("double").alias("product_id"), F.col("score").alias("rating"))
     users = ratings.select("customer_id", CUST).distinct()
     items = ratings.select("product_id", ITEM).distinct()
     return resolve_ids(flat, users, items)
