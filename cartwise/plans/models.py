@@ -144,8 +144,8 @@ def factors_long(factors: DataFrame, layer: str, id_col: str = "id",
 
 def project_2d(vectors: DataFrame, source: int, id_col: str = "id",
                vec_col: str = "features") -> DataFrame:
-    """2-D points of embedding vectors by PCA (distributed covariance);
-    t-SNE has no scalable built-in, so PCA stands in for it."""
+    """Linear 2-D points of embedding vectors by PCA (distributed covariance); G10's
+    own points keep neighbours together (``operators.landmarks``)."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
     v = vectors.select(F.col(id_col).alias("Index"),

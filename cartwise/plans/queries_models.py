@@ -11,6 +11,7 @@ from cartwise.operators import filters as FL
 from cartwise.operators import interpret as G
 from cartwise.operators.aggregates import node_degree, value_range
 from cartwise.operators.joins import resolve_ids
+from cartwise.operators.landmarks import points_2d
 from cartwise.operators.scaling import dense_index, join_scalar
 from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
@@ -162,9 +163,7 @@ def q_als_factors(spark, root):
 def q_points(spark, root):
     model = als(spark, root)[0]
     emb = spark.read.parquet(f"{root}/embeddings.parquet")
-    return (MO.project_2d(model.itemFactors, 1)
-            .unionByName(MO.project_2d(emb.withColumnRenamed("vec_id", "id")
-                                       .withColumnRenamed("embedding", "features"), 2)))
+    return points_2d(model.itemFactors, 1).unionByName(points_2d(emb, 2, "vec_id", "embedding"))
 
 
 # ------------------------------------------------------------------ value-checked tables
