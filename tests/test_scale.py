@@ -171,6 +171,24 @@ def test_invoice_time_levels_hold(spark):
     assert got.columns == plain.columns and got.count() <= plain.count()
 
 
+def test_repeated_source_rows_merge(spark):
+    """Repeated lines, customers and products, also ones that differ in a column that the
+    result doesn't hold, leave the same distinct rows."""
+    from cartwise.plans import dataset as D
+    from cartwise.sources import testdata as TD
+    src = TD.sources(spark, "/root/testdata/sf0.001")
+    plain = D.build_invoices(src)
+    n = plain.count()
+    assert n > 0 and plain.distinct().count() == n
+    extra = {k: df.withColumn("not_in_the_result", F.lit(1)).unionByName(df.withColumn("not_in_the_result", F.lit(2)))
+             for k, df in src.items() if k in ("invoices", "products")}
+    for k in ("casa", "casa_md"):
+        extra[k] = src[k].unionAll(src[k])
+    got = D.build_invoices(extra)
+    assert got.columns == plain.columns and got.count() == n
+    assert got.exceptAll(plain).count() == 0
+
+
 def test_date_filters_reach_the_scan(spark):
     from cartwise.plans.queries import QUERIES
     spark.catalog.clearCache()  # else a kept fact of another test stands in for the scan
