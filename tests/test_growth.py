@@ -9,6 +9,7 @@ from cartwise.operators import similarity as S
 from cartwise.plans import dataset as D
 from cartwise.plans import gmf as GMF
 from cartwise.plans import models as MO
+from cartwise.scope import scope
 
 
 def test_only_hot_keys_repeat_their_statistic(spark):
@@ -96,3 +97,12 @@ def test_als_blocks_follow_the_ratings(spark):
 
 def test_few_strata(spark):
     assert [GMF.block_count(n) for n in (0, 400_000, 25_000_000)] == [2, 2, 4]
+
+
+def test_ratings_are_built_once_for_both_indexes(spark):
+    lines = [("a", "c%d" % (i % 5), "m%d" % (i % 3), float(i + 1)) for i in range(20)]
+    inv = spark.createDataFrame(lines, "customer_area string, customernumber string, model_number string, sales_value double")
+    with scope() as own:
+        r = MO.als_ratings(inv)
+        assert r.count() == 15 and len(own.frames) == 1 and own.frames[0].storageLevel.useMemory
+        own.release()
