@@ -106,3 +106,22 @@ def test_ratings_are_built_once_for_both_indexes(spark):
         r = MO.als_ratings(inv)
         assert r.count() == 15 and len(own.frames) == 1 and own.frames[0].storageLevel.useMemory
         own.release()
+
+
+def small_invoices(spark):
+    rows = [("Metal" if c % 2 else "Wood", f"c{c}", f"m{(c * i) % 7}", f"r{c}{i}", float(i + 1), 10.0 * i + 1, 1997, i % 7 + 1)
+            for c in range(9) for i in range(8)]
+    return spark.createDataFrame(rows, "customer_area string, customernumber string, model_number string, sales_receipt string, "
+                                 "soldnumber double, sales_value double, sales_year int, sales_month int")
+
+
+def test_ratings_build_the_lines_once(spark):
+    """Statistics joined back multiplied the plan: item_minmax_window had 7959 exchanges."""
+    inv = small_invoices(spark)
+    with scope() as own:
+        for r in (D.customer_ratings(inv), MO.als_ratings(inv, index=False), MO.ncf_ratings(inv, min_months=2, min_items=1)):
+            assert r.count() > 0
+            leaves = r._jdf.queryExecution().optimizedPlan().collectLeaves()
+            kinds = {leaves.apply(i).nodeName() for i in range(leaves.size())}
+            assert not any("RDD" in k or "LocalRelation" in k for k in kinds), kinds
+        own.release()
