@@ -1,6 +1,7 @@
 """Suffix arrays and the removal of repeated strings against plain loops."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -74,3 +75,27 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a" * 50, 3, 4, 5)], "doc_id long, text string, key int, n_spans int, anchor int")
     row = S.dedup_strings(df, width=40).first()
     assert (row["key"], row["n_spans"], row["anchor"], row["kept"]) == (3, 1, 5, b"")
+
+
+def test_strings_to_compare_are_held_one_place_at_a_time():
+    r = random.Random(3)
+    base = bytes(r.choice(b"abcdefgh") for _ in range(699))
+    rows = []
+    for i in range(400):  # near copies: each pair of them shares some strings
+        at = r.randrange(699)
+        text = base[:at] + b"%c" % (65 + i % 50) + base[at + 1:]
+        rows.append({"anchor": i % 2, "print": i, "n": 300, "at": 300, "bytes": text})
+    rows.sort(key=lambda x: (x["anchor"], x["print"]))
+    times = {}
+    for x in rows:
+        for a in range(300):
+            k = (x["anchor"], a, x["bytes"][a:a + 400])
+            times[k] = times.get(k, 0) + 1
+    want = [[times[x["anchor"], a, x["bytes"][a:a + 400]] > 1 for a in range(300)] for x in rows]
+    del times
+    tracemalloc.start()
+    got = S.resolve(rows, 400, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [g.tolist() for g in got] == want
+    assert peak < 16 << 20  # 400 strings of 400 bytes, not 300 times as many
