@@ -1,15 +1,22 @@
 """What is shuffled grows with the rows, not with pairs, salts or partitions."""
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
+from cartwise.config import BundleConfig
+from cartwise.operators import interpret as G
 from cartwise.operators import joins as J
+from cartwise.operators import rules as R
 from cartwise.operators import similarity as S
+from cartwise.operators.scaling import minmax, standardise
+from cartwise.operators.windows import top_items
+from cartwise.plans import bundles as B
 from cartwise.plans import dataset as D
 from cartwise.plans import gmf as GMF
 from cartwise.plans import models as MO
-from cartwise.scope import scope
+from cartwise.scope import CLEAN_UP, scope, stored
 
 
 def test_only_hot_keys_repeat_their_statistic(spark):
@@ -125,3 +132,72 @@ def test_ratings_build_the_lines_once(spark):
             read = [leaves.apply(i).output().mkString(",") for i in range(leaves.size())]
             assert not any("sales_receipt" in columns for columns in read), read  # a column of the lines only
         own.release()
+
+
+def shuffle_files(spark) -> set[str]:
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in held.mkString("\n").splitlines() if "shuffle_" in f}
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    before = spark.conf.get(CLEAN_UP, None)
+    was = shuffle_files(spark)
+    counted = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert sorted(map(tuple, counted.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert not shuffle_files(spark) - was and spark.conf.get(CLEAN_UP, None) == before
+    top = B.BundleParts(bundle_invoices(spark), CFG).neighbours
+    assert top.count() > 0 and "Scan parquet" in top._jdf.queryExecution().executedPlan().toString()
+
+
+CFG = BundleConfig(min_support=0.05, min_confidence=0.1)
+
+
+def bundle_invoices(spark):
+    rows = [(("Metal", "Wood")[c % 2], f"c{c}", f"m{(c * i) % 7}", f"r{c}{i // 3}", float(i + 1), f"f{i % 2}")
+            for c in range(12) for i in range(9)]
+    return spark.createDataFrame(rows, "customer_area string, customernumber string, model_number string, sales_receipt string, "
+                                 "soldnumber double, product_family string")
+
+
+def test_steps_of_a_bundle_run_do_not_repeat_each_others_plans(spark):
+    """The plan of bundle_by_rule had 75 million characters."""
+    with scope() as own:
+        p = B.BundleParts(bundle_invoices(spark), CFG)
+        assert p.rules.count() > 0 and p.matched.count() > 0
+        for frame in (p.rules, p.top, p.matched, p.unmatched):
+            assert len(frame._jdf.queryExecution().toString()) < 20_000
+        whole = R.best_rule(R.jaccard_candidates(p.top, p.rules), p.rules)
+        columns = ["customer_area", "customernumber", "antecedent", "consequent", "jaccard"]
+        assert sorted(map(tuple, R.best_match(p.top, p.rules).select(columns).collect())) == sorted(
+            map(tuple, whole.select(columns).collect()))
+        own.release()
+
+
+def test_marks_are_counted_where_they_are_listed(spark):
+    products = spark.createDataFrame([("all", "g1", "c1", "f1", "m1"), ("all", "g1", "c2", "f2", "m2"), ("all", "g1", "c2", "f2", "m3")],
+                                     "product_field string, product_group string, product_class string, product_family string, model_number string")
+    actual = spark.createDataFrame([("x", "m1"), ("x", "m1"), ("y", "m2"), (None, "m2")], "customernumber string, model_number string")
+    predicted = spark.createDataFrame([("x", "m1"), ("x", "m2"), ("z", "m3"), ("z", None)], "customernumber string, model_number string")
+    marks = G.compare_sets(actual, predicted, products)
+    got = {(r.customernumber, r.level, r.node): r.status for r in marks.collect()}
+    assert got["x", 4, "m1"] == "actual" and got["x", 0, "all"] == got["x", 3, "f1"] == "predicted"
+    assert got["y", 3, "f2"] == got[None, 4, "m2"] == "actual" and len(got) == 23
+    plan = marks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate")]
+
+
+def test_an_areas_rows_do_not_meet_in_one_task(spark):
+    """AQE may broadcast the bounds of the areas, but only after this shuffle."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = small_invoices(spark)
+        scaled = minmax(rows, "soldnumber", "to", 0.0, 10.0, by=["customer_area"])
+        top = top_items(scaled, 2, ["customer_area", "customernumber"], "to", "model_number")
+        for r in (top, standardise(rows, "soldnumber", "to", by=["customer_area"])):
+            plan = r._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(customer_area" in plan  # the bounds themselves
+            assert not re.search(r"hashpartitioning\(customer_area#\d+, \d+\)", plan[:plan.find("BroadcastExchange")])
+        assert top.count() == 18
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
