@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cartwise.operators import similarity as S
@@ -83,3 +84,40 @@ def test_ratings_are_not_built_twice(spark):
     with scope() as own:
         assert MO.als_ratings(inv).count() == 15 and read.value == 20
         own.release()
+
+
+def test_pairs_are_counted_in_tiles(spark, monkeypatch):
+    """Every purchase moved an array of its customer's items, by name."""
+    rows = sorted({("a" if c % 3 else "b", "c%d" % c, "item %d" % (i * (c + 1) % 23)) for c in range(12) for i in range(8)})
+    rows += [("a", None, "item 1"), (None, "c1", "item 1"), ("a", "c1", None), ("a", "c1", "item 2"), ("b", "c0", "only")]
+    want, held, buyers = {}, {}, {}
+    for area, cust, item in rows:
+        buyers[area, item] = buyers.get((area, item), 0) + 1
+        if None not in (area, cust, item):
+            held.setdefault((area, cust), []).append(item)
+    for (area, _), items in held.items():
+        for x in items:
+            for y in items:
+                if x < y:
+                    want[area, x, y] = want.get((area, x, y), 0) + 1
+    want = {(a, x, y, n, buyers[a, x], buyers[a, y]) for (a, x, y), n in want.items()}
+    b = spark.createDataFrame(rows, "customer_area string, customernumber string, item string")
+    for chunk, blocks in ((1024, 1), (1024, 4), (3, 1), (3, 4)):
+        monkeypatch.setattr(S.T, "block_count", lambda pairs, partitions: blocks)
+        found = [tuple(r) for r in S.co_purchase(b, chunk=chunk).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    empty = S.co_purchase(b.limit(0))
+    assert empty.count() == 0 and [c for c in empty.columns] == ["customer_area", "a", "b", "co", "n_a", "n_b"]
+
+
+def test_blocks_and_sums_of_tiles(monkeypatch):
+    from cartwise.operators import tiles as T
+    assert [T.block_count(n, 200) for n in (0, 66e6, 660e6)] == [5, 5, 9] and T.block_count(0, 1) == 1
+    keys = np.array([5, 3, 5, 3, 3])
+    [(k, n)] = T.summed([(keys, None), (np.array([9, 3]), np.array([2, 4]))])
+    assert k.tolist() == [3, 5, 9] and n.tolist() == [7, 2, 2]
+    ends = np.array([0, 3, 3, 5])
+    x, y = T.within(np.arange(5), ends)
+    assert list(zip(x, y)) == [(0, 1), (0, 2), (1, 2), (3, 4)]
+    x, y = T.crossed(np.arange(5), ends, np.arange(10, 14), np.array([0, 1, 2, 4]))
+    assert list(zip(x, y)) == [(0, 10), (1, 10), (2, 10), (3, 12), (3, 13), (4, 12), (4, 13)]
