@@ -123,17 +123,17 @@ def test_blocks_and_sums_of_tiles(monkeypatch):
     assert list(zip(x, y)) == [(0, 10), (1, 10), (2, 10), (3, 12), (3, 13), (4, 12), (4, 13)]
 
 
-def test_a_step_is_run_once_and_old_factors_go(spark):
+def test_a_step_is_run_once_and_old_factors_go(spark, monkeypatch):
     """A checkpoint ran every step of a fit twice, and all of its states stayed."""
     import os
 
     from cartwise.plans import gmf as G
     rows = [(u, i, 0.2 + 0.6 * (u % 2 == i % 2)) for u in range(12) for i in range(8) if (u * i) % 5]
     train = spark.createDataFrame(rows, "customer_id long, product_id long, interaction double")
-    at = os.path.join(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), "steps")
-    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    kept, tables = G.stored, []
+    monkeypatch.setattr(G, "stored", lambda df, tag: tables.append((tag, kept(df, tag))) or tables[-1][1])
     model = G.fit(train, train, [G.Point(factors=2), G.Point(factors=3)], epochs=3, blocks=2)
-    left = [x for x in os.listdir(at) if x not in before]
-    assert len([x for x in left if x.startswith("state")]) <= 2 and not [x for x in left if x.startswith("ratings")]
-    assert model.customers.count() == 24 and {len(r.vec) for r in model.products.collect()} == {3, 4}
+    left = [tag for tag, table in tables if os.path.exists(table.stored_at.removeprefix("file://"))]
+    assert len([tag for tag, _ in tables if tag == "state"]) >= 2 and left.count("state") <= 2 and "ratings" not in left
+    assert model.customers.count() == 2 * len({u for u, _, _ in rows}) and {len(r.vec) for r in model.products.collect()} == {3, 4}
     assert G.predict(train, model, [1]).select("point").distinct().collect()[0][0] == 1
